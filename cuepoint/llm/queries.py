@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_output
+from . import mixing, ngram_join, packing, pii, quality, secrets, token_output, topk
 from ._scratch import shared_root
 from ._tokens import vocabulary
 
@@ -22,14 +23,48 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary(VOCABULARY))
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(_table(spark, sf_dir, "documents")))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_root(spark)}/cuepoint-{uuid.uuid4().hex}/token-output"
     token_output.write_tokens(_table(spark, sf_dir, "documents"), path, vocabulary(VOCABULARY))
     return token_output.read_tokens(spark, path)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality.verdicts(_table(spark, sf_dir, "documents")).select(*columns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op8_token_output": op8_token_output}
+    return {
+        "op1_pack": op1_pack,
+        "op2_mix": op2_mix,
+        "op3_ngram_join": op3_ngram_join,
+        "op4_topk": op4_topk,
+        "op5_pii": op5_pii,
+        "op6_secrets": op6_secrets,
+        "op8_token_output": op8_token_output,
+        "op9_quality": op9_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
