@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, pii, quality, secrets, token_output, topk
+from . import mixing, ngram_join, packing, pii, quality, secrets, sentence_dedup, suffix_dedup, token_output, topk
 from ._scratch import shared_root
 from ._tokens import vocabulary
 
@@ -43,6 +43,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(_table(spark, sf_dir, "documents")))
 
 
+def op7_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = sentence_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "text", "n_sentences", "n_removed", "n_spans", "removed_spans")
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_root(spark)}/cuepoint-{uuid.uuid4().hex}/token-output"
     token_output.write_tokens(_table(spark, sf_dir, "documents"), path, vocabulary(VOCABULARY))
@@ -54,6 +59,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack": op1_pack,
@@ -62,8 +71,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_topk": op4_topk,
         "op5_pii": op5_pii,
         "op6_secrets": op6_secrets,
+        "op7_sentence_dedup": op7_sentence_dedup,
         "op8_token_output": op8_token_output,
         "op9_quality": op9_quality,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
