@@ -28,8 +28,8 @@ RULES = {
     "symbols": ("n_symbols", "word_chars", 15),
     "capitals": ("n_capitals", "word_chars", 30),
     "exclaims": ("n_exclaims", "word_chars", 15),
-    "repeats": ("n_repeat_words", "n_words", 60),
-    "dup_lines": ("n_dup_lines", "n_lines", 60),
+    "repeats": ("n_repeat_words", "n_words", 90),
+    "dup_lines": ("n_dup_lines", "n_lines", 125),
 }
 #: Quartile distances above the upper quartile at which a rule rejects.
 FENCE = 4
