@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, pii, quality, secrets, sentence_dedup, suffix_dedup, token_output, topk
+from . import mixing, ngram_join, packing, pii, quality, secrets, sentence_dedup, sql, suffix_dedup, token_output, topk
 from ._scratch import shared_root
 from ._tokens import vocabulary
 
@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mix": sql.OP2, "op3_ngram_join": sql.OP3, "op4_topk": sql.OP4, "op9_quality": sql.OP9}
