@@ -136,3 +136,56 @@ def repeats(docs: list[tuple[int, str | None]], size: int = 100) -> dict[int, tu
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out[d] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def sentence_repeats(docs: list[tuple[int, str | None]], least: int = 3, words: int = 20, long: int = 40) -> dict[int, tuple[str | None, int, int]]:
+    """Text without repeated sentences, number of sentences, number removed."""
+    split: dict[int, list[list]] = {}
+    for d, text in docs:
+        text, parts, at = text or "", [], 0
+        for i, c in enumerate(text):
+            if c == "\n" or (c in " \t\r\x0b\x0c" and i and text[i - 1] in ".!?"):
+                parts.append([at, i + 1])
+                at = i + 1
+        if at < len(text):
+            parts.append([at, len(text)])
+        sentences: list[list] = []
+        for a, b in parts:
+            found = WORD.findall(lower(text[a:b]))
+            if found:
+                sentences.append([a, b, found])
+            elif sentences:
+                sentences[-1][1] = b
+        split[d] = sentences
+    places: dict[tuple, list[tuple[int, int, int]]] = {}
+    for d, sentences in split.items():
+        spans = set()
+        n = len(sentences)
+        for i in range(n):
+            for j in range(i + least - 1, n):
+                if sum(len(s[2]) for s in sentences[i : j + 1]) >= words:
+                    spans.add((i, j))
+                    break
+            for j in range(i - least + 1, -1, -1):
+                if sum(len(s[2]) for s in sentences[j : i + 1]) >= words:
+                    spans.add((j, i))
+                    break
+            if len(sentences[i][2]) >= long:
+                spans.add((i, i))
+        for i, j in spans:
+            places.setdefault(tuple(w for s in sentences[i : j + 1] for w in s[2]), []).append((d, i, j))
+    gone: dict[int, set[int]] = {d: set() for d in split}
+    for found in places.values():
+        first = min(found)[:2]
+        for d, i, j in found:
+            if (d, i) != first:
+                gone[d].update(range(i, j + 1))
+    out = {}
+    for d, text in docs:
+        kept, at = [], 0
+        for k, (a, b, _) in enumerate(split[d]):
+            if k in gone[d]:
+                kept.append(text[at:a])
+                at = b
+        out[d] = (None if text is None else "".join(kept) + text[at:], len(split[d]), len(gone[d]))
+    return out
