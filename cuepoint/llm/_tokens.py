@@ -11,11 +11,12 @@ import os
 import re
 import sys
 from array import array
+from itertools import islice
 
 import numpy as np
 
-#: Chunks remembered by a worker; beyond it the memory is cleared, which costs time and no ids.
-CACHE_CHUNKS = 600_000
+#: Chunks remembered by a worker; the older half goes when it is full, which costs time and no ids.
+CACHE_CHUNKS = 1_000_000
 #: Chunks longer than this are encoded each time they come.
 CACHE_CHUNK_CHARS = 64
 
@@ -82,7 +83,8 @@ class ChunkEncoder:
         chunks = _GAP.findall(text)
         known, out = self._known, []
         if len(known) > CACHE_CHUNKS:
-            known.clear()
+            for chunk in list(islice(known, CACHE_CHUNKS // 2)):
+                del known[chunk]
         for chunk in chunks:
             ids = known.get(chunk)
             if ids is None:

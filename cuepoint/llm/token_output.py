@@ -29,9 +29,9 @@ from ._tokens import encoder
 _HEADER = struct.Struct("<4sBIIQQ")  # magic, symbol bytes, first nonterminal, rules, documents, symbols
 _MAGIC = b"CPRP"
 #: A pair is replaced while it comes this often in its shard.
-MIN_PAIR_COUNT = 8
+MIN_PAIR_COUNT = 32
 #: Most nonterminals that one round adds; counts are taken anew after each round.
-ROUND_RULES = 4096
+ROUND_RULES = 16_000
 #: Slots of the table that finds a round's pairs, as a power of two.
 SLOT_BITS = 18
 
@@ -98,12 +98,22 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     return b"".join([head, left.tobytes(), right.tobytes(), sizes.astype("<u4").tobytes(), lengths.astype("<u8").tobytes(), text.tobytes()])
 
 
+def _levels(left: np.ndarray, right: np.ndarray, base: int) -> Iterator[slice]:
+    """Runs of rules whose symbols are all known when the run begins."""
+    newest = np.maximum(left, right).astype(np.int64) - base
+    start = 0
+    while start < len(newest):
+        later = np.flatnonzero(newest[start:] >= start)
+        end = start + int(later[0]) if len(later) else len(newest)
+        yield slice(start, end)
+        start = end
+
+
 def _expansion_lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
-    sizes = np.zeros(len(left), np.int64)
-    of = lambda s: 1 if s < base else sizes[s - base]
-    for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
-        sizes[i] = of(a) + of(b)
-    return sizes
+    sizes = np.ones(base + len(left), np.int64)
+    for level in _levels(left, right, base):
+        sizes[base:][level] = sizes[left[level]] + sizes[right[level]]
+    return sizes[base:]
 
 
 class Shard:
@@ -121,26 +131,24 @@ class Shard:
         self.left, self.right, self.sizes, self.lengths, self.text = parts
 
     def _expand(self, text: np.ndarray) -> np.ndarray:
-        """All ids of a run of symbols, through a flat table of every rule's expansion."""
+        """All ids of a run of symbols, through a flat table of every symbol's expansion."""
         if not hasattr(self, "_flat"):
-            flat: list[np.ndarray] = []
-            for a, b in zip(self.left.tolist(), self.right.tolist(), strict=True):
-                flat.append(np.concatenate([flat[s - self.base] if s >= self.base else np.array([s], np.uint32) for s in (a, b)]))
-            self._flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-            self._begins = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
-        plain = text < self.base
-        rule = np.where(plain, 0, text.astype(np.int64) - self.base)
-        sizes = np.where(plain, 1, self.sizes[rule] if len(self.sizes) else 1).astype(np.int64)
+            self._all_sizes = np.concatenate([np.ones(self.base, np.int64), self.sizes.astype(np.int64)])
+            self._begins = np.cumsum(self._all_sizes) - self._all_sizes
+            self._flat = np.empty(int(self._all_sizes.sum()), np.uint32)
+            self._flat[: self.base] = np.arange(self.base)
+            for level in _levels(self.left, self.right, self.base):
+                at = int(self._begins[self.base + level.start])
+                grown = self._gathered(np.stack([self.left[level], self.right[level]], 1).ravel())
+                self._flat[at : at + len(grown)] = grown
+        return self._gathered(text)
+
+    def _gathered(self, text: np.ndarray) -> np.ndarray:
+        sizes = self._all_sizes[text]
         ends = np.cumsum(sizes)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
-        out[ends[plain] - 1] = text[plain]
-        own = np.flatnonzero(~plain)
-        if len(own):
-            n = sizes[own]
-            shift = np.repeat(self._begins[rule[own]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            target = np.repeat(ends[own] - n - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            out[target] = self._flat[shift]
-        return out
+        at = np.repeat(self._begins[text] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return self._flat[at]
 
     def ids(self) -> np.ndarray:
         return self._expand(self.text)
@@ -149,7 +157,8 @@ class Shard:
         """The ids of one document; only the symbols that it touches are expanded."""
         start = int(self.lengths[:i].sum())
         end = start + int(self.lengths[i])
-        sizes = np.where(self.text < self.base, 1, self.sizes[np.maximum(self.text.astype(np.int64) - self.base, 0)] if len(self.sizes) else 1)
+        whole = np.concatenate([np.ones(self.base, np.int64), self.sizes.astype(np.int64)])
+        sizes = whole[self.text]
         ends = np.cumsum(sizes.astype(np.int64))
         a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, end, "left")
         skipped = int(ends[a - 1]) if a else 0
