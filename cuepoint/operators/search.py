@@ -59,12 +59,11 @@ def _scores(index: DataFrame, queries: list[tuple[object, list[float]]], keys: l
     return source.mapInArrow(score, f"{fields}, query_id {kind}, sim double")
 
 
-def nearest(index: DataFrame, queries: DataFrame, k: int = 10, keys: list[str] | None = None, vector: str = "embedding", id_col: str = "id", keep_self: bool = True) -> DataFrame:
-    """The ``k`` rows nearest to each query (query_id, vector), by inner product, within each of ``keys``.
+def candidates(index: DataFrame, queries: DataFrame, k: int = 10, keys: list[str] | None = None, vector: str = "embedding", id_col: str = "id", keep_self: bool = True) -> DataFrame:
+    """Rows that may be among the ``k`` nearest to a query (query_id, vector): each batch's best, with query_id and sim.
 
-    Exact. Each batch gives its best only, so what is shuffled is small. Adds query_id, sim and rank;
-    ties go to the smaller id. Queries, whose number is checked, go to the tasks; many more than a
-    person asks at once are taken in blocks.
+    Queries, whose number is checked, go to the tasks; many more than a person asks at once are taken
+    in blocks.
     """
     keys = keys or []
     out = None
@@ -83,22 +82,42 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 10, keys: list[str] |
     if out is None:
         base = index.drop(vector)
         out = base.select("*", F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.lit(None).cast("double").alias("sim")).limit(0)
-    if not keep_self:
-        out = out.filter(F.col(id_col) != F.col("query_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id", *keys).orderBy(F.col("sim").desc(), id_col))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return out if keep_self else out.filter(F.col(id_col) != F.col("query_id"))
+
+
+def ranked(found: DataFrame, keys: list[str], k: int, id_col: str = "id") -> DataFrame:
+    """The ``k`` nearest of each of ``keys`` with their ``rank``; ties go to the smaller id."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("sim").desc(), id_col))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
 
+def nearest(index: DataFrame, queries: DataFrame, k: int = 10, keys: list[str] | None = None, vector: str = "embedding", id_col: str = "id", keep_self: bool = True) -> DataFrame:
+    """The ``k`` rows nearest to each query, by inner product, within each of ``keys``: query_id, sim and rank.
+
+    Exact. Each batch gives its best only, so what is shuffled is small.
+    """
+    return ranked(candidates(index, queries, k, keys, vector, id_col, keep_self), ["query_id", *(keys or [])], k, id_col)
 
-def weighted(found: DataFrame, weight: float, source: str, threshold: float = 0.0) -> DataFrame:
-    """Results of one index: those of at least ``threshold`` similarity, after the top k, with their weighted score."""
-    return found.filter(F.col("sim") >= threshold).withColumn("score", F.round(F.col("sim") * weight, 4)).withColumn("source", F.lit(source))
 
+def union_results(frames: DataFrame, transcript: DataFrame, queries: DataFrame, keys: list[str] | None = None, settings: Settings = DEFAULT, keep_self: bool = True, threshold: float = 0.0) -> DataFrame:
+    """Both indexes' results for each query as one list: source, weighted score and ``ord``.
 
-def union_results(frames: DataFrame, transcript: DataFrame, keys: list[str]) -> DataFrame:
-    """Both results as one list with ``ord``: frames before transcripts, each in the order of its search."""
-    both = frames.withColumn("_side", F.lit(0)).unionByName(transcript.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_side", "rank")) - 1
-    return both.withColumn("ord", place).drop("_side", "rank")
+    Each index gives its k nearest, of which those of at least ``threshold`` similarity stay. Frames come
+    before transcripts, each in the order of its search. Candidates are united before they are ranked,
+    so both searches share a shuffle.
+    """
+    keys = keys or []
+    sides = []
+    for place, (index, column, weight, name) in enumerate(((frames, "frame_vector", settings.frame_weight, "frames"), (transcript, "transcript_vector", settings.transcript_weight, "transcript"))):
+        asked = queries.select("query_id", F.col(column).alias("vector"))
+        found = candidates(index, asked, settings.initial_k, keys, keep_self=keep_self)
+        sides.append(found.withColumn("source", F.lit(name)).withColumn("_side", F.lit(place)).withColumn("_weight", F.lit(weight)))
+    both = sides[0].unionByName(sides[1], allowMissingColumns=True)
+    by = ["query_id", *keys]
+    best = ranked(both, [*by, "_side"], settings.initial_k).filter(F.col("sim") >= threshold)
+    order = F.row_number().over(Window.partitionBy(*by).orderBy("_side", "rank")) - 1
+    scored = best.withColumn("score", F.round(F.col("sim") * F.col("_weight"), 4)).withColumn("ord", order)
+    return scored.drop("_side", "_weight", "rank", "sim")
 
 
 def dynamic_k(results: DataFrame, keys: list[str], threshold: float = 0.27, min_k: int = 2, max_k: int = 10, ties: list[str] | None = None) -> DataFrame:
@@ -116,13 +135,8 @@ def hybrid(frames: DataFrame, transcript: DataFrame, queries: DataFrame, keys: l
     ``frames`` and ``transcript`` have id, timestamp and embedding; ``queries`` query_id, frame_vector
     and transcript_vector. A null vector leaves its index out.
     """
-    keys = keys or []
-    by = ["query_id", *keys]
-    sides = []
-    for index, column, weight, name in ((frames, "frame_vector", settings.frame_weight, "frames"), (transcript, "transcript_vector", settings.transcript_weight, "transcript")):
-        asked = queries.select("query_id", F.col(column).alias("vector"))
-        sides.append(weighted(nearest(index, asked, settings.initial_k, keys, keep_self=keep_self), weight, name).drop("sim"))
-    results = union_results(*sides, by)
+    by = ["query_id", *(keys or [])]
+    results = union_results(frames, transcript, queries, keys, settings, keep_self)
     best = anchored_best(results, by, settings.dedup_sec)
     return dynamic_k(best, by, settings.score_threshold, settings.min_k, settings.max_k, ties=["grp"]).drop("grp")
 

@@ -37,11 +37,7 @@ def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _union(spark: SparkSession, d: str) -> DataFrame:
     frames, transcript, asked = _two(spark, d)
-    sides = []
-    for index, weight, name in ((frames, 0.4, "frames"), (transcript, 0.6, "transcript")):
-        found = search.nearest(index, asked.select("query_id", F.col("frame_vector").alias("vector")), 10, keep_self=False)
-        sides.append(search.weighted(found, weight, name))
-    return search.union_results(*sides, ["query_id"])
+    return search.union_results(frames, transcript, asked, keep_self=False)
 
 
 def _hybrid(spark: SparkSession, d: str, keys: list[str] | None = None) -> DataFrame:
