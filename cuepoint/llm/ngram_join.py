@@ -7,11 +7,13 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
    shingles of the whole corpus are put last in the order of prefixes.
 2. A set that links to another shares one of its first ``n - ceil(0.8 n) + 1`` shingles with it
    (prefix filter), so sets meet in tiles, one for each prefix shingle.
-3. Small tiles give pairs of fitting sizes. Their bitmaps (parities of hashed shingles, at least two
-   bits a shingle) bound the overlap from above; what passes is intersected exactly.
-4. Large tiles are cut into bands of sizes and blocks, and blocks that can link meet pairwise in one
-   task: bitmaps, then exact intersection, leaving out pairs already connected there. Such a task
-   returns a spanning forest, so a group of thousands of near copies isn't expanded into its pairs.
+3. Bitmaps (parities of hashed shingles, at least two bits a shingle) bound the overlap of two sets from
+   above. Small tiles give pairs of fitting sizes, which are tested one by one. Large tiles are cut into
+   bands of sizes and blocks; the bitmaps of blocks that can link meet in one task, which returns a
+   star for each group that they connect. Every link is within a cluster of what passed.
+4. A cluster is a cell, or a grid of cells by blocks if it is large. The texts of a cell meet in one
+   task: sets, bitmaps, then exact intersection of sorted arrays, leaving out pairs already connected
+   there. It too returns stars, so a group of thousands of near copies isn't expanded into its pairs.
 5. Components of all links come from large-star/small-star rounds.
 
 Sets are identified by 64-bit hashes of their content; a second hash finds two sets with one
@@ -227,33 +229,49 @@ def _bitmaps_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch.select(["a", "b"]).filter(pa.array(_may_link(distance, n, m)))
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x, y = ([np.frombuffer(v.as_py(), "<u8") for v in batch.column(c)] for c in ("set_a", "set_b"))
-        yield batch.select(["a", "b"]).filter(pa.array([_links(p, q) for p, q in zip(x, y, strict=True)], pa.bool_()))
-
-
-def _block_links(table: pa.Table) -> pa.Table:
-    """A spanning forest of the links among the sets that meet in one task."""
-    nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
-    sets = [np.frombuffer(table.column("set")[i].as_py(), "<u8") for i in first.tolist()]
-    n = np.array([len(s) for s in sets])
-    maps = [_bitmap(s) for s in sets]
-    # bitmaps of one width are compared together; sizes that differ more than that don't link
+def _near(n: np.ndarray, maps: list[np.ndarray]) -> list[np.ndarray]:
+    """For each set those after it (in an order of its own) that the bitmaps don't rule out."""
+    # a link's sizes, and so its bitmaps' widths, differ by less than a factor of two
     words = np.array([len(x) for x in maps])
-    root = np.arange(len(sets))
-    near: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sets)
+    near: list[np.ndarray] = [np.zeros(0, np.int64)] * len(maps)
     for width in np.unique(words).tolist():
         own = np.flatnonzero((words == width) | (words == 2 * width))
         packed = np.stack([_folded(maps[i][None, :], width)[0] for i in own])
         for row in np.flatnonzero(words[own] == width).tolist():
             i = own[row]
             after = np.flatnonzero((own > i) | (words[own] > width))
-            j = own[after]
-            fit = _fits(n[i : i + 1], n[j])
-            after, j = after[fit], j[fit]
+            fit = _fits(n[i : i + 1], n[own[after]])
+            after, j = after[fit], own[after][fit]
             distance = np.bitwise_count(packed[row] ^ packed[after]).sum(1)
             near[i] = np.append(near[i], j[_may_link(distance, n[i : i + 1], n[j])])
+    return near
+
+
+def _block_groups(table: pa.Table) -> pa.Table:
+    """What the bitmaps of the sets that meet in one task connect, as a star for each group."""
+    nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
+    maps = [np.frombuffer(table.column("bitmap")[i].as_py(), "<u8") for i in first.tolist()]
+    root = np.arange(len(nodes))
+    for i, others in enumerate(_near(table.column("n").to_numpy()[first], maps)):
+        joined = np.unique(root[np.append(others, i)])
+        if len(joined) > 1:
+            root[np.isin(root, joined)] = joined[0]
+    far = np.flatnonzero(root != np.arange(len(root)))
+    return pa.table({"a": pa.array(nodes[far], pa.int64()), "b": pa.array(nodes[root[far]], pa.int64())})
+
+
+def _block_links(table: pa.Table, seed: int) -> pa.Table:
+    """Links among the sets that meet in one task, as a star for each component."""
+    table = table.combine_chunks()
+    every = [s for _, data, offsets in T.slices(table.column("text").chunk(0)) for s in T.shingle_sets(data, offsets, SHINGLE)] if len(table) else []
+    given = table.column("node").to_numpy()
+    # an id may stand for several texts; only those with the set that was asked for count
+    right = np.array([len(s) > 0 and _identity(s, seed)[0] == node for s, node in zip(every, given.tolist(), strict=True)], bool)
+    own = np.flatnonzero(right)
+    nodes, first = np.unique(given[own], return_index=True)
+    sets = [every[i] for i in own[first].tolist()]
+    near = _near(np.array([len(s) for s in sets]), [_bitmap(s) for s in sets])
+    root = np.arange(len(sets))
     degree = np.zeros(len(sets), np.int64)
     for i, others in enumerate(near):
         degree[i] += len(others)
@@ -262,33 +280,30 @@ def _block_links(table: pa.Table) -> pa.Table:
     for i, others in enumerate(near):
         for j in others.tolist():
             both[j].append(np.array([i]))
-    links: list[tuple[int, int]] = []
     tried: set[tuple[int, int]] = set()
     for i in np.argsort(-degree, kind="stable").tolist():
-        for j in np.concatenate(both[i]).tolist():
+        others = np.concatenate(both[i])
+        for j in others[root[others] != root[i]].tolist():
             pair = (min(i, j), max(i, j))
             if root[i] == root[j] or pair in tried:
                 continue
             if _links(sets[i], sets[j]):
-                links.append((int(nodes[i]), int(nodes[j])))
-                root[root == root[j]] = root[i]
+                low, high = sorted((root[i], root[j]))
+                root[root == high] = low
             else:
                 tried.add(pair)
-    a, b = zip(*links, strict=True) if links else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    far = np.flatnonzero(root != np.arange(len(root)))
+    return pa.table({"a": pa.array(nodes[far], pa.int64()), "b": pa.array(nodes[root[far]], pa.int64())})
 
 
 def _in_cells(members: DataFrame) -> DataFrame:
-    """Members of large tiles, repeated for each pair of blocks (a cell) that they are part of."""
-    total = members.groupBy("tile").agg(F.count("*").alias("rows"))
+    """Members of large tiles and the cells, pairs of blocks, that they are part of."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / THRESHOLD) * 1.000001)).cast("int")
     banded = members.withColumn("band", band)
-    blocks = banded.groupBy("tile", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    small = banded.join(total.filter(F.col("rows") <= BLOCK), "tile").select("node", "tile", F.lit("whole").alias("cell"))
-    wide = total.filter(F.col("rows") > BLOCK).select("tile")
-    counted = blocks.join(wide, "tile", "left_semi")
-    neighbours = counted.groupBy("tile").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("of"))
-    large = banded.join(neighbours, "tile").withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")[F.col("band")]).cast("int"))
+    counts = banded.groupBy("tile", "band").agg(F.count("*").alias("rows"))
+    blocks = F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int"))))
+    tiles = counts.groupBy("tile").agg(blocks.alias("of"), F.sum("rows").alias("rows"))
+    placed = banded.join(tiles, "tile").withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")[F.col("band")]).cast("int"))
 
     def cells(other, key):
         count = F.coalesce(F.col("of")[other], F.lit(0))
@@ -301,7 +316,18 @@ def _in_cells(members: DataFrame) -> DataFrame:
         cells(own + 1, lambda t: key(own, block, own + 1, t)),
         cells(own - 1, lambda t: key(own - 1, t, own, block)),
     )
-    return small.unionByName(large.select("node", "tile", F.explode(every).alias("cell")))
+    cell = F.explode(F.when(F.col("rows") <= BLOCK, F.array(F.lit(""))).otherwise(every))
+    return placed.select("node", "tile", cell.alias("cell")).select("node", F.concat_ws(":", "tile", "cell").alias("cell"))
+
+
+def _cluster_cells(passed: DataFrame) -> DataFrame:
+    """Sets of clusters and their cells; any two sets of a cluster are together in one of its cells."""
+    clusters = written(components(passed), "set-clusters")
+    blocks = clusters.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    placed = clusters.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    paired = placed.select("node", "root", "block", other.alias("other"))
+    return paired.select("node", F.concat_ws(":", "root", F.least("block", "other"), F.greatest("block", "other")).alias("cell"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,26 +356,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bitmaps = prefixes.select("node", "n", "bitmap").dropDuplicates(["node"])
     side = lambda s: bitmaps.select(*[F.col(c).alias(f"{c}_{s}" if c != "node" else s) for c in bitmaps.columns])
     pairs = tiles.filter("not large").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-    passed = written(pairs.mapInArrow(_bitmaps_pass, "a bigint, b bigint"), "set-pairs")
     members = tiles.filter("large").select(F.col("a").alias("tile"), F.col("b").alias("node"), "n").distinct()
-
-    wanted = passed.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
-    ids = documents.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, sets in _sets(batches):
-            found = [(_identity(s, seed)[0], s.tobytes()) for s in sets if len(s)]
-            if found:
-                node, values = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(values, pa.binary())], ["node", "set"])
-
-    sets = texts.mapInArrow(whole, "node bigint, set binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = written(sets, "sets-wanted")
-    of = lambda s: sets.select(F.col("node").alias(s), F.col("set").alias(f"set_{s}"))
-    small = passed.join(of("a"), "a").join(of("b"), "b").mapInArrow(_exact, "a bigint, b bigint")
-    large = _in_cells(members).join(sets, "node").groupBy("tile", "cell").applyInArrow(_block_links, "a bigint, b bigint")
-    links = written(small.unionByName(large), "set-links")
+    blocks = _in_cells(members).join(bitmaps, "node").groupBy("cell").applyInArrow(_block_groups, "a bigint, b bigint")
+    passed = written(pairs.mapInArrow(_bitmaps_pass, "a bigint, b bigint").unionByName(blocks), "set-pairs")
+    if passed.isEmpty():
+        cells = passed.select(F.col("a").alias("node"), F.lit("").alias("cell"))
+    else:
+        cells = written(_cluster_cells(passed), "set-cells")
+    wanted = cells.select("node").distinct()
+    ids = documents.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id"))
+    texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+    met = cells.join(texts, "node").groupBy("cell").applyInArrow(lambda table: _block_links(table, seed), "a bigint, b bigint")
+    links = written(met, "set-links")
 
     if links.isEmpty():
         named = classes.select("node", F.col("smallest").alias("_component"))
