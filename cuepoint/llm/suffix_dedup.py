@@ -52,9 +52,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return none, none, none, none, np.zeros(0, np.uint64)
     prefix = T.prefix_hashes(data)
     grams = len(data) - GRAM + 1
-    hashes = T.mix((prefix[GRAM:] - prefix[:grams]) * T._inverse_powers(grams))
+    hashes = prefix[GRAM:] - prefix[:grams]
+    hashes *= T._inverse_powers(grams)
+    hashes ^= hashes >> np.uint64(32)
+    hashes *= np.uint64(0xD6E8FEB86659FD93)
+    hashes ^= hashes >> np.uint64(32)
     low = np.uint64((1 << _PLACE_BITS) - 1)
-    least = (hashes & ~low) | np.arange(grams, dtype=np.uint64)
+    least = hashes & ~low
+    least |= np.arange(grams, dtype=np.uint64)
     span, have = SIZE - GRAM + 1, 1
     while 2 * have <= span:
         least = np.minimum(least[:-have], least[have:])
@@ -171,8 +176,14 @@ def repeats(units: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start = base[unit] + step
     prefix = T.prefix_hashes(data)
     whole = T.span_hashes(prefix, start, start + SIZE)
-    order = suffix_mergesort(data, prefix, whole, start, segment)
-    segment, unit, step, start, whole = (x[order] for x in (segment, unit, step, start, whole))
+    # segments of equal suffixes only are in order as they are
+    heads = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
+    odd = np.append(False, (whole[1:] != whole[:-1]) & (segment[1:] == segment[:-1]))
+    mixed = np.flatnonzero(np.repeat(np.logical_or.reduceat(odd, heads), np.diff(np.append(heads, len(segment)))))
+    if len(mixed):
+        order = np.arange(len(segment))
+        order[mixed] = mixed[suffix_mergesort(data, prefix, whole[mixed], start[mixed], segment[mixed])]
+        unit, step, start, whole = (x[order] for x in (unit, step, start, whole))
     head = np.append(True, (segment[1:] != segment[:-1]) | (whole[1:] != whole[:-1]))
     lead = np.flatnonzero(head)[np.cumsum(head) - 1]
     at = units["start"].astype(np.int64)[unit] + step
