@@ -21,6 +21,7 @@ CACHE_CHUNKS = 1_000_000
 CACHE_CHUNK_CHARS = 64
 
 _GAP = re.compile(r"[^ \t\n\r]+")
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
 #: A word of Latin letters that lower-casing maps one to one and Unicode normalisation leaves alone,
 #: and punctuation behind it, which the vocabulary's own pattern always parts from letters.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|)]*)")
@@ -75,24 +76,35 @@ class ChunkEncoder:
             tail = self._known[rest] = self._encode(rest)
         return ids + tail
 
+    def forget(self) -> None:
+        """Give the memory of known chunks back, for workers that go on to other work."""
+        self._known.clear()
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self._by_chunk:
             return self._encode(text)
-        chunks = _GAP.findall(text)
-        known, out = self._known, []
+        # str.split also parts at four separators that the vocabulary's pattern takes for text
+        chunks = _GAP.findall(text) if _SEPARATORS.search(text) else text.split()
+        known = self._known
         if len(known) > CACHE_CHUNKS:
             for chunk in list(islice(known, CACHE_CHUNKS // 2)):
                 del known[chunk]
-        for chunk in chunks:
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self._learn(chunk)
-                if len(chunk) <= CACHE_CHUNK_CHARS:
-                    known[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        ids = list(map(known.get, chunks))
+        at = -1
+        try:
+            while True:
+                at = ids.index(None, at + 1)
+                chunk = chunks[at]
+                new = known.get(chunk)
+                if new is None:
+                    new = self._learn(chunk)
+                    if len(chunk) <= CACHE_CHUNK_CHARS:
+                        known[chunk] = new
+                ids[at] = new
+        except ValueError:
+            return b"".join(ids)
 
 
 def encoder(path: str) -> ChunkEncoder:
