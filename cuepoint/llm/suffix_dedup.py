@@ -14,6 +14,9 @@ smaller id, or earlier in its own. Strings are the suffixes of all texts cut to
 
 A slice settles what repeats within it and sends only the first place of everything, in both rounds, so
 a string that a third of the corpus shares reaches a task once for each slice and not for each copy.
+Around the borders of such a passage strings differ though their anchor is the same. Strings of anchors
+that come very often are therefore dealt one by one by two hashes of the whole string, not by anchor; such
+anchors are a bounded part of all, so their list is sent to the tasks.
 
 Cases: null and empty texts have no bytes; a null id comes after all others; of rows with one id those
 with another text are other documents, in the order of a hash of their texts, and repeated rows are one
@@ -37,10 +40,15 @@ SIZE, GRAM = 100, 50
 #: Anchors that a slice gathers and a bucket's task holds, and bytes of context that each holds, about.
 SLICE_ANCHORS, BUCKET_ANCHORS, CONTEXT_BYTES = 500_000, 1_500_000, 3 << 20
 
+#: Anchors with this many places are dealt string by string; there are at most MOST_HOT of them.
+HOT_PLACES, MOST_HOT = 4096, 500_000
+
 _PLACE_BITS = 28
-_ANCHOR = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("at", "<u4")])
+_ANCHOR = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("at", "<u4"), ("places", "<u4")])
 _PLACE = np.dtype([("doc", "<i8"), ("tie", "<u4"), ("at", "<u4"), ("end", "<u4")])
 _UNIT = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("start", "<u4"), ("count", "<u2"), ("back", "<u2")])
+_STRING = np.dtype([("hash", "<u8"), ("other", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("at", "<u4")])
+_UNITS, _SETTLED, _STRINGS = 0, 1, 2
 _KNOWN = np.uint32(1 << 31)
 
 
@@ -226,8 +234,18 @@ def _by_document(rows: np.ndarray, fields: list[str]) -> pa.Table:
     return pa.table({"doc": rows["doc"][heads], "tie": rows["tie"][heads].astype(np.int64), "packed": pa.array(packed, pa.binary())})
 
 
-def _sent(buckets: list[int], settled: bool, parts: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([settled] * len(parts), pa.bool_()), pa.array(parts, pa.binary())], ["bucket", "settled", "part"])
+def _sent(buckets: list[int], kind: int, parts: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([kind] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["bucket", "kind", "part"])
+
+
+def _dealt(rows: np.ndarray, kind: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows with a hash in their buckets, packed."""
+    to = _bucket(rows["hash"], buckets)
+    order = np.argsort(to, kind="stable")
+    rows, to = rows[order], to[order]
+    cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+    if len(to):
+        yield _sent(to[cuts].tolist(), kind, [x.tobytes() for x in np.split(rows, cuts[1:])])
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -246,8 +264,8 @@ def _met(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.repeat(np.logical_or.reduceat(other, heads), np.diff(np.append(heads, len(rows))))
 
 
-def repeated_anchors(keys: DataFrame, buckets: int) -> DataFrame:
-    """``(doc, tie, packed)``: places of anchors that come at several places."""
+def repeated_anchors(keys: DataFrame, buckets: int, hot_places: int) -> DataFrame:
+    """``(doc, tie, packed)``: places of anchors that come at several places; and ``hot``: anchors that come at very many."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -255,17 +273,15 @@ def repeated_anchors(keys: DataFrame, buckets: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             rows, several = _met(np.concatenate(held))
             held.clear()
+            if not len(rows):
+                return
             if several.any():
-                yield _sent([int(rows["hash"][0] % np.uint64(buckets))], True, [rows[several].tobytes()])
-            head = np.append(True, rows["hash"][1:] != rows["hash"][:-1]) if len(rows) else np.zeros(0, bool)
+                yield _sent([int(rows["doc"][0] % buckets)], _SETTLED, [rows[several].tobytes()])
+            head = np.append(True, rows["hash"][1:] != rows["hash"][:-1])
             firsts = rows[head].copy()
             firsts["at"] |= np.where(several[head], _KNOWN, np.uint32(0))
-            to = _bucket(firsts["hash"], buckets)
-            order = np.argsort(to, kind="stable")
-            firsts, to = firsts[order], to[order]
-            cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
-            if len(to):
-                yield _sent(to[cuts].tolist(), False, [x.tobytes() for x in np.split(firsts, cuts[1:])])
+            firsts["places"] = np.diff(np.append(np.flatnonzero(head), len(rows)))
+            yield from _dealt(firsts, _UNITS, buckets)
 
         for batch in batches:
             docs, ties = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
@@ -273,6 +289,7 @@ def repeated_anchors(keys: DataFrame, buckets: int) -> DataFrame:
                 anchor, _, _, text, hashes = anchors(data, offsets)
                 rows = np.empty(len(anchor), _ANCHOR)
                 rows["hash"], rows["doc"], rows["tie"], rows["at"] = hashes, docs[row + text], ties[row + text], anchor - offsets[text]
+                rows["places"] = 1
                 held.append(rows)
                 if sum(map(len, held)) >= SLICE_ANCHORS:
                     yield from flush()
@@ -280,16 +297,21 @@ def repeated_anchors(keys: DataFrame, buckets: int) -> DataFrame:
             yield from flush()
 
     def join(table: pa.Table) -> pa.Table:
-        settled = table.column("settled").to_pylist()
+        kinds = table.column("kind").to_pylist()
         parts = [np.frombuffer(x.as_py(), _ANCHOR) for x in table.column("part")]
         empty = np.zeros(0, _ANCHOR)
-        rows, several = _met(np.concatenate([empty, *(p for p, s in zip(parts, settled, strict=True) if not s)]))
+        rows, several = _met(np.concatenate([empty, *(p for p, k in zip(parts, kinds, strict=True) if k == _UNITS)]))
         new = rows[several & ((rows["at"] & _KNOWN) == 0)]
-        return _by_document(np.concatenate([new, *(p for p, s in zip(parts, settled, strict=True) if s)]), ["at"])
+        found = _by_document(np.concatenate([new, *(p for p, k in zip(parts, kinds, strict=True) if k == _SETTLED)]), ["at"])
+        heads = np.flatnonzero(np.append(True, rows["hash"][1:] != rows["hash"][:-1])) if len(rows) else np.zeros(0, np.int64)
+        places = np.add.reduceat(rows["places"].astype(np.int64), heads) if len(rows) else heads
+        hot = rows["hash"][heads][places >= hot_places].view(np.int64)
+        columns = {"doc": found["doc"], "tie": found["tie"], "packed": found["packed"], "hot": pa.nulls(len(found), pa.int64())}
+        more = {"doc": pa.nulls(len(hot), pa.int64()), "tie": pa.nulls(len(hot), pa.int64()), "packed": pa.nulls(len(hot), pa.binary()), "hot": pa.array(hot)}
+        return pa.concat_tables([pa.table(columns), pa.table(more)])
 
-    dealt = keys.mapInArrow(deal, "bucket int, settled boolean, part binary")
-    found = dealt.groupBy("bucket").applyInArrow(join, "doc bigint, tie bigint, packed binary")
-    return found.groupBy("doc", "tie").agg(F.collect_list("packed").alias("packed"))
+    dealt = keys.mapInArrow(deal, "bucket int, kind int, part binary")
+    return dealt.groupBy("bucket").applyInArrow(join, "doc bigint, tie bigint, packed binary, hot bigint")
 
 
 def _gathered(data: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -308,8 +330,39 @@ def _unpacked_units(part: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(part, _UNIT, n, 8), np.frombuffer(part, np.uint8, offset=8 + n * _UNIT.itemsize)
 
 
-def covered(marked: DataFrame, buckets: int) -> DataFrame:
-    """``(doc, tie, packed)``: byte ranges to remove, from documents with their repeated anchors."""
+def _strings(units: np.ndarray, data: np.ndarray, number: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The wanted windows one by one, named by two hashes of their bytes."""
+    counts = units["count"].astype(np.int64)
+    base = np.cumsum(counts + SIZE - 1) - (counts + SIZE - 1)
+    at = np.flatnonzero(wanted)
+    unit = np.repeat(np.arange(len(units)), counts)[at]
+    step = at - number[unit]
+    start, prefix = base[unit] + step, T.prefix_hashes(data)
+    out = np.empty(len(at), _STRING)
+    out["hash"] = T.span_hashes(prefix, start, start + SIZE)
+    halves = T.span_hashes(prefix, start, start + SIZE // 2) * np.uint64(3) + T.span_hashes(prefix, start + SIZE // 2, start + SIZE)
+    out["other"] = T.mix(halves)
+    out["doc"], out["tie"], out["at"] = units["doc"][unit], units["tie"][unit], units["start"][unit] + step
+    return out
+
+
+def _string_repeats(rows: np.ndarray) -> np.ndarray:
+    """Ranges of strings that repeat an earlier place."""
+    out = np.zeros(0, _PLACE)
+    if not len(rows):
+        return out
+    rows = rows[np.lexsort((rows["at"], rows["tie"], rows["doc"], rows["other"], rows["hash"]))]
+    head = np.append(True, (rows["hash"][1:] != rows["hash"][:-1]) | (rows["other"][1:] != rows["other"][:-1]))
+    lead = rows[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    rows = rows[(rows["doc"] != lead["doc"]) | (rows["tie"] != lead["tie"]) | (rows["at"] != lead["at"])]
+    out = np.empty(len(rows), _PLACE)
+    out["doc"], out["tie"], out["at"], out["end"] = rows["doc"], rows["tie"], rows["at"], rows["at"] + SIZE
+    return out
+
+
+def covered(marked: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """``(doc, tie, packed)``: byte ranges to remove, from documents with their repeated anchors. ``hot``: sorted hashes of anchors dealt string by string."""
+    shared = marked.sparkSession.sparkContext.broadcast(hot)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -320,7 +373,11 @@ def covered(marked: DataFrame, buckets: int) -> DataFrame:
             number, flags = repeats(units, data)
             done = _cut(units, number, flags)
             if len(done):
-                yield _sent([int(units["hash"][0] % np.uint64(buckets))], True, [done.tobytes()])
+                yield _sent([int(units["doc"][0] % buckets)], _SETTLED, [done.tobytes()])
+            often = np.isin(units["hash"], shared.value)
+            if often.any():
+                yield from _dealt(_strings(units, data, number, ~flags & np.repeat(often, units["count"])), _STRINGS, buckets)
+                flags = flags | np.repeat(often, units["count"])
             # what is left of each unit: from its first to its last window that is not settled
             counts = units["count"].astype(np.int64)
             open_ = np.flatnonzero(~flags)
@@ -342,7 +399,7 @@ def covered(marked: DataFrame, buckets: int) -> DataFrame:
             left, begin, size, to = left[order], begin[order], size[order], to[order]
             cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
             parts = [_packed_units(left[a:b], _gathered(data, begin[a:b], size[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield _sent(to[cuts[:-1]].tolist(), False, parts)
+            yield _sent(to[cuts[:-1]].tolist(), _UNITS, parts)
 
         for batch in batches:
             docs, ties = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
@@ -365,18 +422,20 @@ def covered(marked: DataFrame, buckets: int) -> DataFrame:
             yield from flush()
 
     def join(table: pa.Table) -> pa.Table:
-        done, units, data = [np.zeros(0, _PLACE)], [np.zeros(0, _UNIT)], [np.zeros(0, np.uint8)]
-        for part, settled in zip(table.column("part"), table.column("settled"), strict=True):
-            if settled.as_py():
+        done, units, data, strings = [np.zeros(0, _PLACE)], [np.zeros(0, _UNIT)], [np.zeros(0, np.uint8)], [np.zeros(0, _STRING)]
+        for part, kind in zip(table.column("part"), table.column("kind").to_pylist(), strict=True):
+            if kind == _SETTLED:
                 done.append(np.frombuffer(part.as_py(), _PLACE))
+            elif kind == _STRINGS:
+                strings.append(np.frombuffer(part.as_py(), _STRING))
             else:
                 own = _unpacked_units(part.as_py())
                 units.append(own[0])
                 data.append(own[1])
         units, data = np.concatenate(units), np.concatenate(data)
-        return _by_document(np.concatenate([*done, _cut(units, *repeats(units, data))]), ["at", "end"])
+        return _by_document(np.concatenate([*done, _cut(units, *repeats(units, data)), _string_repeats(np.concatenate(strings))]), ["at", "end"])
 
-    dealt = marked.mapInArrow(deal, "bucket int, settled boolean, part binary")
+    dealt = marked.mapInArrow(deal, "bucket int, kind int, part binary")
     found = dealt.groupBy("bucket").applyInArrow(join, "doc bigint, tie bigint, packed binary")
     return found.groupBy("doc", "tie").agg(F.collect_list("packed").alias("packed"))
 
@@ -399,10 +458,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = keyed(docs, id_col, text_col)
     size = int(keys.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     per_anchor = (SIZE - GRAM + 2) / 2
-    marked = written(repeated_anchors(keys, max(1, -(-int(size / per_anchor) // BUCKET_ANCHORS))), "suffix-anchors")
-    places = marked.agg(F.coalesce(F.sum(F.aggregate("packed", F.lit(0).cast("bigint"), lambda n, p: n + F.shiftright(F.octet_length(p), 2))), F.lit(0))).first()[0]
-    joined = keys.join(marked, ["doc", "tie"])
-    cover = written(covered(joined, max(1, -(-int(places * (per_anchor + SIZE)) // CONTEXT_BYTES))), "suffix-cover")
+    total = int(size / per_anchor)
+    found = written(repeated_anchors(keys, max(1, -(-total // BUCKET_ANCHORS)), max(HOT_PLACES, total // MOST_HOT)), "suffix-anchors")
+    hot = np.sort(found.filter("hot is not null").select("hot").distinct().toArrow().column("hot").to_numpy().view(np.uint64))
+    places = found.agg(F.coalesce(F.sum(F.shiftright(F.octet_length("packed"), 2)), F.lit(0))).first()[0]
+    marked = found.filter("packed is not null").groupBy("doc", "tie").agg(F.collect_list("packed").alias("packed"))
+    cover = written(covered(keys.join(marked, ["doc", "tie"]), max(1, -(-int(places * (per_anchor + SIZE)) // CONTEXT_BYTES)), hot), "suffix-cover")
 
     rows = docs.select(F.col(id_col).alias("doc_id"), keyed_column(id_col, "doc"), F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tie"), F.col(text_col).alias("_text"))
     last = rows.join(cover, ["doc", "tie"], "left").select("doc_id", F.coalesce("_text", F.lit("")).alias("_text"), "packed")
