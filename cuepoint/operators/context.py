@@ -110,6 +110,13 @@ def assemble(rows: DataFrame, keys: list[str], place: str = "place", max_images:
     )
 
 
+def shown_images(parts: DataFrame, files: DataFrame, keys: list[str], limit: int = 3) -> DataFrame:
+    """The first ``limit`` frame paths of each answer whose files exist (``files`` has path), with their ``place``."""
+    paths = parts.select(*keys, F.posexplode("keyframe_paths").alias("_pos", "path")).join(files.select("path"), "path", "left_semi")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_pos"))
+    return paths.withColumn("place", place).filter(F.col("place") <= limit).drop("_pos")
+
+
 def prompt_parts(parts: DataFrame, max_images: int = 5) -> DataFrame:
     """``parts`` with ``prompt_parts``: role, context if there is any, up to ``max_images`` pictures, question."""
     part = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..functions.text import strip
 from .folds import anchored_best
 
 #: Queries sent to every task: this many at most, above it they are joined in blocks.
@@ -59,6 +60,11 @@ def _scores(index: DataFrame, queries: list[tuple[object, list[float]]], keys: l
     return source.mapInArrow(score, f"{fields}, query_id {kind}, sim double")
 
 
+def asked(queries: DataFrame, text: str = "query") -> DataFrame:
+    """Queries that aren't blank."""
+    return queries.filter(strip(F.coalesce(F.col(text), F.lit(""))) != "")
+
+
 def candidates(index: DataFrame, queries: DataFrame, k: int = 10, keys: list[str] | None = None, vector: str = "embedding", id_col: str = "id", keep_self: bool = True) -> DataFrame:
     """Rows that may be among the ``k`` nearest to a query (query_id, vector): each batch's best, with query_id and sim.
 

@@ -224,6 +224,21 @@ def oracle_sql() -> dict[str, str]:
                 array_to_string(list('t' || vec_id ORDER BY place) FILTER (source = 'transcript'), ',') AS transcript_used, count(*)::INT AS n_sources FROM h GROUP BY query_id
             )
             SELECT query_id, timestamps, coalesce(keyframe_paths, '') AS keyframe_paths, coalesce(transcript_used, '') AS transcript_used, n_sources FROM a""",
+        "search_response": f"""{_hybrid()}, c AS (SELECT query_id, count(*) FILTER (source = 'frames') AS frame_candidates, count(*) FILTER (source = 'transcript') AS transcript_candidates FROM u GROUP BY query_id),
+            k AS (SELECT query_id, count(*) AS dynamic_k FROM h GROUP BY query_id)
+            SELECT q.vec_id AS query_id, coalesce(frame_candidates, 0) AS frame_candidates, coalesce(transcript_candidates, 0) AS transcript_candidates, coalesce(dynamic_k, 0) AS dynamic_k
+            FROM embeddings q LEFT JOIN c ON c.query_id = q.vec_id LEFT JOIN k ON k.query_id = q.vec_id WHERE q.vec_id < 5""",
+        "score_lists": f"{_SEMANTIC} SELECT label AS video, coalesce(string_agg(round(score * 10000)::BIGINT::VARCHAR, ',' ORDER BY vec_id), '') AS scores FROM s GROUP BY label",
+        "answer_gate": f"{_hybrid(', c.label', ', video')} SELECT query_id, video, count(*) AS n_results, max(score) AS best_score FROM h GROUP BY ALL HAVING max(score) >= 0.2",
+        "answer_fallback": f"""{_hybrid()}, fl AS (SELECT query_id, place, timestamp, '[' || {_MMSS.format(s="timestamp")} || '] words at ' || vec_id AS line FROM h WHERE source = 'transcript'),
+            fc AS (SELECT query_id, string_agg(line, chr(10) || chr(10) ORDER BY timestamp, place) AS context FROM fl GROUP BY query_id),
+            ft AS (SELECT query_id, string_agg({_MMSS.format(s="timestamp")}, ', ' ORDER BY timestamp) AS times FROM (SELECT DISTINCT query_id, timestamp FROM h) GROUP BY query_id),
+            fn AS (SELECT query_id, count(*)::INT AS n FROM h GROUP BY query_id)
+            SELECT q.query_id, CASE WHEN fn.n IS NULL THEN 'No part of the recording seems to answer this question. Another wording may help.'
+              ELSE 'The answer couldn''t be written. Relevant times: ' || ft.times || chr(10) || chr(10) || coalesce(fc.context, '') END AS response_text, coalesce(fn.n, 0)::INT AS n_sources
+            FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id < 5 UNION ALL SELECT -1) q LEFT JOIN fn ON fn.query_id = q.query_id LEFT JOIN ft ON ft.query_id = q.query_id LEFT JOIN fc ON fc.query_id = q.query_id""",
+        "shown_images": f"""WITH {_union()}, p AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS n FROM u WHERE source = 'frames')
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY n)::INT AS place, 'f' || vec_id AS path FROM p WHERE n <= 5 AND vec_id % 4 <> 0 QUALIFY place <= 3""",
         "library_listing": """WITH o AS (SELECT *, row_number() OVER (ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey) AS place FROM orders)
             SELECT o_orderkey, place, strftime(o_orderdate, '%Y-%m-%d') AS day, (place - 1) % 3 AS grid_column,
               CASE WHEN o_orderkey % 7 = 0 THEN 'N/A' ELSE floor(o_totalprice / 10000)::BIGINT || '%' END AS reduction FROM o""",

@@ -261,6 +261,35 @@ def answer_assembly(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("query_id", whole.alias("timestamps"), joined("keyframe_paths").alias("keyframe_paths"), joined("transcript_used").alias("transcript_used"), F.size("sources").alias("n_sources"))
 
 
+def search_response(spark: SparkSession, d: str) -> DataFrame:
+    out = search.response(_hybrid(spark, d), _union(spark, d), _queries(spark, d))
+    return out.select("query_id", "frame_candidates", "transcript_candidates", "dynamic_k")
+
+
+def score_lists(spark: SparkSession, d: str) -> DataFrame:
+    lists = folds.score_lists(_semantic(spark, d), ["video"], ["id"], ["score"])
+    whole = F.transform("scores", lambda x: F.round(x * 10000).cast("bigint").cast("string"))
+    return lists.select("video", F.array_join(whole, ",").alias("scores"))
+
+
+def answer_gate(spark: SparkSession, d: str) -> DataFrame:
+    kept = context.gated(_hybrid(spark, d, ["video"]), ["query_id", "video"], 0.20)
+    return kept.groupBy("query_id", "video").agg(F.count("*").alias("n_results"), F.max("score").alias("best_score"))
+
+
+def answer_fallback(spark: SparkSession, d: str) -> DataFrame:
+    spoken = F.when(F.col("source") == "transcript", F.concat(F.lit("words at "), "id")).otherwise("")
+    rows = _hybrid(spark, d).withColumn("text", spoken).withColumn("frame_path", F.lit(""))
+    queries = _queries(spark, d).select("query_id", F.lit("?").alias("query")).unionByName(spark.createDataFrame([(-1, "?")], "query_id bigint, query string"))
+    return context.answers(rows, queries, ["query_id"], None).select("query_id", "response_text", F.size("sources").alias("n_sources"))
+
+
+def shown_images(spark: SparkSession, d: str) -> DataFrame:
+    rows = _union(spark, d).withColumn("place", F.col("ord")).withColumn("text", F.lit("")).withColumn("frame_path", F.concat(F.lit("f"), "id"))
+    files = _vectors(spark, d).filter("id % 4 <> 0").select(F.concat(F.lit("f"), "id").alias("path"))
+    return context.shown_images(context.assemble(rows, ["query_id"]), files, ["query_id"]).select("query_id", "place", "path")
+
+
 def library_listing(spark: SparkSession, d: str) -> DataFrame:
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     rows = registry.ranked(table(spark, d, "orders").select("o_orderkey", "o_totalprice", day.alias("day")), F.col("day"), [F.col("o_orderkey")])
@@ -303,6 +332,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fuzzy_name_match": fuzzy_name_match,
         "answer_assembly": answer_assembly,
         "library_listing": library_listing,
+        "search_response": search_response,
+        "score_lists": score_lists,
+        "answer_gate": answer_gate,
+        "answer_fallback": answer_fallback,
+        "shown_images": shown_images,
     }
 
 
