@@ -46,7 +46,7 @@ SHINGLE = 5
 #: (mean set size / share) of them whatever the corpus, so they are broadcast.
 FREQUENT_COUNT, FREQUENT_SHARE = 24, 0.0005
 #: Prefix shingles that one bucket's task holds, about.
-BUCKET_ELEMENTS = 1_500_000
+BUCKET_ELEMENTS = 400_000
 #: Tiles of up to this many sets give pairs; larger ones are cut into blocks of BLOCK sets.
 SMALL_TILE, BLOCK = 24, 1024
 
@@ -124,7 +124,7 @@ def _measured(source: DataFrame, seed: int) -> DataFrame:
             empty = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(twins, pa.int64()), empty, empty], names)
             held += sets
-            if sum(map(len, held)) > 2_000_000:
+            if sum(map(len, held)) > 500_000:
                 yield frequent()
         if held:
             yield frequent()
@@ -272,17 +272,14 @@ def _block_links(table: pa.Table, seed: int) -> pa.Table:
     sets = [every[i] for i in own[first].tolist()]
     near = _near(np.array([len(s) for s in sets]), [_bitmap(s) for s in sets])
     root = np.arange(len(sets))
-    degree = np.zeros(len(sets), np.int64)
-    for i, others in enumerate(near):
-        degree[i] += len(others)
-        np.add.at(degree, others, 1)
-    both: list[list[np.ndarray]] = [[x] for x in near]
-    for i, others in enumerate(near):
-        for j in others.tolist():
-            both[j].append(np.array([i]))
+    count = [len(x) for x in near]
+    left, right = np.repeat(np.arange(len(sets)), count), np.concatenate([np.zeros(0, np.int64), *near])
+    left, right = np.append(left, right), np.append(right, left)
+    order = np.argsort(left, kind="stable")
+    right, at = right[order], np.searchsorted(left[order], np.arange(len(sets) + 1))
     tried: set[tuple[int, int]] = set()
-    for i in np.argsort(-degree, kind="stable").tolist():
-        others = np.concatenate(both[i])
+    for i in np.argsort(-np.diff(at), kind="stable").tolist():
+        others = right[at[i] : at[i + 1]]
         for j in others[root[others] != root[i]].tolist():
             pair = (min(i, j), max(i, j))
             if root[i] == root[j] or pair in tried:
