@@ -17,6 +17,21 @@ from .folds import anchored_best
 BROADCAST_QUERIES = 4096
 
 
+def _best(group: np.ndarray, sims: np.ndarray, k: int, ids: pa.Array) -> np.ndarray:
+    """Rows with the ``k`` highest similarities of each group; ids are compared only where more are tied."""
+    order = np.lexsort((-sims, group))
+    grouped, high = group[order], sims[order]
+    first, last = np.searchsorted(grouped, grouped), np.searchsorted(grouped, grouped, "right") - 1
+    kept = order[high >= high[np.minimum(first + k - 1, last)]]
+    heads = np.flatnonzero(first == np.arange(len(first)))
+    if len(kept) > int(np.minimum(last[heads] - first[heads] + 1, k).sum()):
+        names = ids.take(pa.array(kept)).to_pylist()
+        again = sorted(range(len(kept)), key=lambda i: (group[kept[i]], -sims[kept[i]], names[i]))
+        kept = kept[again]
+        kept = kept[np.arange(len(kept)) - np.searchsorted(group[kept], group[kept]) < k]
+    return kept
+
+
 def _scores(index: DataFrame, queries: list[tuple[object, list[float]]], keys: list[str], k: int, vector: str, id_col: str) -> DataFrame:
     """Rows of ``index`` that are among the ``k`` nearest of their key in their batch, with query_id and sim."""
     kept = [c for c in index.columns if c != vector]
@@ -49,11 +64,8 @@ def _scores(index: DataFrame, queries: list[tuple[object, list[float]]], keys: l
             for key in keys:
                 codes = rows.column(key).dictionary_encode().indices.to_numpy(zero_copy_only=False)
                 group = group * (int(codes.max(initial=0)) + 2) + np.nan_to_num(codes, nan=-1).astype(np.int64) + 1
-            tie = np.argsort(np.argsort(np.array(rows.column(id_col).to_pylist(), object), kind="stable"), kind="stable")
             for j, name in enumerate(ids):
-                order = np.lexsort((tie, -sims[:, j], group))
-                place = np.arange(len(order)) - np.searchsorted(group[order], group[order])
-                best = order[place < k]
+                best = _best(group, sims[:, j], k, rows.column(id_col))
                 own = rows.take(pa.array(best))
                 yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array([name] * len(best), pa.int64() if kind == "bigint" else pa.string()), pa.array(sims[best, j])], [*kept, "query_id", "sim"])
 

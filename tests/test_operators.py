@@ -331,3 +331,17 @@ def test_index_tables(spark, tmp_path):
 
 def test_settings():
     assert ask.with_settings(max_k=3).max_k == 3 and DEFAULT.max_k == 10
+
+
+def test_best_of_batch():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        n = int(rng.integers(1, 60))
+        group, sims, ids = rng.integers(0, 4, n), rng.integers(0, 5, n) / 4, rng.permutation(n)
+        got = sorted(search._best(group, sims, 3, pa.array(ids)).tolist())
+        expected = []
+        for g in range(4):
+            expected += sorted((i for i in range(n) if group[i] == g), key=lambda i: (-sims[i], ids[i]))[:3]
+        assert got == sorted(expected)
