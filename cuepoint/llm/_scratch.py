@@ -31,6 +31,24 @@ def shared_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cuepoint"
 
 
+_made: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, known to ``release``."""
+    folder = f"{shared_root(spark)}/cuepoint-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return f"{folder}/{name}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this driver; for when the results built on them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    while _made:
+        folder = path(_made.pop())
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """Write ``frame`` to the shared folder and return it read back.
 
@@ -38,6 +56,6 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     whatever is used twice is computed once.
     """
     spark = frame.sparkSession
-    path = f"{shared_root(spark)}/cuepoint-{uuid.uuid4().hex}/{name}"
+    path = scratch_path(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing, ngram_join, packing, pii, quality, secrets, sentence_dedup, sql, suffix_dedup, token_output, topk
-from ._scratch import shared_root
+from ._scratch import scratch_path
 from ._tokens import vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
@@ -49,7 +48,7 @@ def op7_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_root(spark)}/cuepoint-{uuid.uuid4().hex}/token-output"
+    path = scratch_path(spark, "token-output")
     token_output.write_tokens(_table(spark, sf_dir, "documents"), path, vocabulary(VOCABULARY))
     return token_output.read_tokens(spark, path)
 
