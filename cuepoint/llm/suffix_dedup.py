@@ -234,6 +234,26 @@ def _by_document(rows: np.ndarray, fields: list[str]) -> pa.Table:
     return pa.table({"doc": rows["doc"][heads], "tie": rows["tie"][heads].astype(np.int64), "packed": pa.array(packed, pa.binary())})
 
 
+def _to_documents(rows: np.ndarray, targets: int) -> pa.Table:
+    """Rows packed by where their documents are gathered: few rows to send, however many documents there are."""
+    key = T.mix(rows["doc"].view(np.uint64) ^ rows["tie"].astype(np.uint64)) if len(rows) else np.zeros(0, np.uint64)
+    to = (key % np.uint64(targets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    rows, to = rows[order], to[order]
+    cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+    parts = [x.tobytes() for x in np.split(rows, cuts[1:])] if len(to) else []
+    return pa.table({"to": pa.array(to[cuts], pa.int32()), "part": pa.array(parts, pa.binary())})
+
+
+def _gathered_documents(sent: DataFrame, kind: np.dtype, fields: list[str]) -> DataFrame:
+    """``(doc, tie, packed)``: one row a document."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        return _by_document(np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column("part")]), fields)
+
+    return sent.select("to", "part").groupBy("to").applyInArrow(gather, "doc bigint, tie bigint, packed binary")
+
+
 def _sent(buckets: list[int], kind: int, parts: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([kind] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["bucket", "kind", "part"])
 
@@ -265,7 +285,7 @@ def _met(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_anchors(keys: DataFrame, buckets: int, hot_places: int) -> DataFrame:
-    """``(doc, tie, packed)``: places of anchors that come at several places; and ``hot``: anchors that come at very many."""
+    """Packed places (``to``, ``part``) of anchors that come at several places; and ``hot``: anchors that come at very many."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -302,16 +322,15 @@ def repeated_anchors(keys: DataFrame, buckets: int, hot_places: int) -> DataFram
         empty = np.zeros(0, _ANCHOR)
         rows, several = _met(np.concatenate([empty, *(p for p, k in zip(parts, kinds, strict=True) if k == _UNITS)]))
         new = rows[several & ((rows["at"] & _KNOWN) == 0)]
-        found = _by_document(np.concatenate([new, *(p for p, k in zip(parts, kinds, strict=True) if k == _SETTLED)]), ["at"])
+        found = _to_documents(np.concatenate([new, *(p for p, k in zip(parts, kinds, strict=True) if k == _SETTLED)]), buckets)
         heads = np.flatnonzero(np.append(True, rows["hash"][1:] != rows["hash"][:-1])) if len(rows) else np.zeros(0, np.int64)
         places = np.add.reduceat(rows["places"].astype(np.int64), heads) if len(rows) else heads
         hot = rows["hash"][heads][places >= hot_places].view(np.int64)
-        columns = {"doc": found["doc"], "tie": found["tie"], "packed": found["packed"], "hot": pa.nulls(len(found), pa.int64())}
-        more = {"doc": pa.nulls(len(hot), pa.int64()), "tie": pa.nulls(len(hot), pa.int64()), "packed": pa.nulls(len(hot), pa.binary()), "hot": pa.array(hot)}
-        return pa.concat_tables([pa.table(columns), pa.table(more)])
+        more = pa.table({"to": pa.nulls(len(hot), pa.int32()), "part": pa.nulls(len(hot), pa.binary()), "hot": pa.array(hot)})
+        return pa.concat_tables([found.append_column("hot", pa.nulls(len(found), pa.int64())), more])
 
     dealt = keys.mapInArrow(deal, "bucket int, kind int, part binary")
-    return dealt.groupBy("bucket").applyInArrow(join, "doc bigint, tie bigint, packed binary, hot bigint")
+    return dealt.groupBy("bucket").applyInArrow(join, "to int, part binary, hot bigint")
 
 
 def _gathered(data: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -406,7 +425,7 @@ def covered(marked: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             packed = batch.column("packed")
             for row, data, offsets in T.slices(batch.column("text")):
                 anchor, first, last, text, hashes = anchors(data, offsets)
-                wanted = [np.frombuffer(b"".join(packed[row + i].as_py()), "<u4") for i in range(len(offsets) - 1)]
+                wanted = [np.frombuffer(packed[row + i].as_py(), "<u4") for i in range(len(offsets) - 1)]
                 places = np.sort(np.concatenate([np.zeros(0, np.int64), *(w.astype(np.int64) + offsets[i] for i, w in enumerate(wanted))]))
                 own = np.isin(anchor, places)
                 anchor, first, last, text, hashes = (x[own] for x in (anchor, first, last, text, hashes))
@@ -433,16 +452,16 @@ def covered(marked: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 units.append(own[0])
                 data.append(own[1])
         units, data = np.concatenate(units), np.concatenate(data)
-        return _by_document(np.concatenate([*done, _cut(units, *repeats(units, data)), _string_repeats(np.concatenate(strings))]), ["at", "end"])
+        return _to_documents(np.concatenate([*done, _cut(units, *repeats(units, data)), _string_repeats(np.concatenate(strings))]), buckets)
 
     dealt = marked.mapInArrow(deal, "bucket int, kind int, part binary")
-    found = dealt.groupBy("bucket").applyInArrow(join, "doc bigint, tie bigint, packed binary")
-    return found.groupBy("doc", "tie").agg(F.collect_list("packed").alias("packed"))
+    found = dealt.groupBy("bucket").applyInArrow(join, "to int, part binary")
+    return _gathered_documents(found, _PLACE, ["at", "end"])
 
 
-def _kept(data: bytes, packed: list[bytes]) -> tuple[bytes, int, list[tuple[int, int]]]:
+def _kept(data: bytes, packed: bytes) -> tuple[bytes, int, list[tuple[int, int]]]:
     """Bytes that stay, how many go, and the maximal removed runs."""
-    ranges = np.concatenate([np.frombuffer(p, "<u4").reshape(-1, 2).astype(np.int64) for p in packed]) if packed else np.zeros((0, 2), np.int64)
+    ranges = np.frombuffer(packed, "<u4").reshape(-1, 2).astype(np.int64)
     change = np.zeros(len(data) + 2, np.int64)
     np.add.at(change, ranges[:, 0] + 1, 1)
     np.add.at(change, ranges[:, 1] + 1, -1)
@@ -461,8 +480,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = int(size / per_anchor)
     found = written(repeated_anchors(keys, max(1, -(-total // BUCKET_ANCHORS)), max(HOT_PLACES, total // MOST_HOT)), "suffix-anchors")
     hot = np.sort(found.filter("hot is not null").select("hot").distinct().toArrow().column("hot").to_numpy().view(np.uint64))
-    places = found.agg(F.coalesce(F.sum(F.shiftright(F.octet_length("packed"), 2)), F.lit(0))).first()[0]
-    marked = found.filter("packed is not null").groupBy("doc", "tie").agg(F.collect_list("packed").alias("packed"))
+    places = found.agg(F.coalesce(F.sum(F.octet_length("part")), F.lit(0))).first()[0] // _ANCHOR.itemsize
+    marked = _gathered_documents(found.filter("part is not null"), _ANCHOR, ["at"])
     cover = written(covered(keys.join(marked, ["doc", "tie"]), max(1, -(-int(places * (per_anchor + SIZE)) // CONTEXT_BYTES)), hot), "suffix-cover")
 
     rows = docs.select(F.col(id_col).alias("doc_id"), keyed_column(id_col, "doc"), F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tie"), F.col(text_col).alias("_text"))
