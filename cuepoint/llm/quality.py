@@ -75,18 +75,19 @@ def _measures(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [n_words, word_chars, T.per_text(_SYMBOLS[data], offsets), n_dup_lines, n_repeat_words, capitals, T.per_text(data == 33, offsets), n_lines]
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns but the text, and the counts that the rules use."""
+def measure(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """All columns, without the text unless it is to be kept, and the counts that the rules use."""
     kept = [c for c in docs.columns if c != text_col and c not in _COUNTS]
     source = docs.select(*kept, F.col(text_col).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    passed = len(kept) + keep_text
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:passed])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [_measures(data, offsets) for _, data, offsets in T.slices(batch.column(len(kept)))]
             if parts:
                 counts = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *counts], [*kept, *_COUNTS])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:passed], *counts], [*kept, *["_text"] * keep_text, *_COUNTS])
 
     return source.mapInArrow(count, f"{fields}, " + ", ".join(f"{c} bigint" for c in _COUNTS))
 
@@ -130,6 +131,8 @@ def judge(measured: DataFrame, lang_col: str = "lang", source_col: str = "source
         .groupBy("_l", "_s")
         .agg(*[F.max(F.when(F.col("rule") == r, F.col("limit"))).alias(f"_limit_{r}") for r in RULES])
     )
+    # written, so that the planner knows its size before it decides how to join
+    limits = written(limits, "quality-limits")
     joined = measured.join(limits, F.col(lang_col).eqNullSafe(F.col("_l")) & F.col(source_col).eqNullSafe(F.col("_s")), "left")
     far = F.lit(False)
     for rule in RULES:
@@ -144,8 +147,10 @@ def filter_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     The verdict depends on a row's text, language and source alone, so it is worked out with the row
     at hand: measures and text stay in one row and no join on the id is needed.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    return judge(measure(rows)).filter("kept").select("_row.*")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*others, F.lit(0).alias("_")).alias("_row"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    kept = judge(measure(rows, keep_text=True)).filter("kept")
+    return kept.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
