@@ -103,7 +103,6 @@ def _measured(source: DataFrame, seed: int) -> DataFrame:
     """Rows of documents (doc_id, n_shingles, node, twin) and rows of locally frequent shingles (shingle, found)."""
     key = source.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_shingles", "node", "twin", "shingle", "found"]
-    kind = None
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
