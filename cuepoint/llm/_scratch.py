@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +51,20 @@ def release(spark: SparkSession) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def settled(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of phases whose results are written.
+
+    Its cleaner follows the driver's garbage collection, which may otherwise not come for long. Plans
+    that Python has let go are let go in the JVM by a thread that wakes each second, and what they held
+    goes with the collection after that.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.5)
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """Write ``frame`` to the shared folder and return it read back.
 

@@ -29,16 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._scratch import written
+from ._scratch import settled, written
 from .sentence_dedup import keyed, keyed_column
 
 SIZE, GRAM = 100, 50
 #: Anchors that a slice gathers and a bucket's task holds, and bytes of context that each holds, about.
-SLICE_ANCHORS, BUCKET_ANCHORS, CONTEXT_BYTES = 500_000, 1_500_000, 3 << 20
+SLICE_ANCHORS, BUCKET_ANCHORS, CONTEXT_BYTES = 300_000, 500_000, 3 << 20
 
 #: Anchors with this many places are dealt string by string; there are at most MOST_HOT of them.
 HOT_PLACES, MOST_HOT = 4096, 500_000
@@ -341,10 +342,12 @@ def _gathered(data: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 def _packed_units(units: np.ndarray, data: np.ndarray) -> bytes:
-    return np.uint64(len(units)).tobytes() + units.tobytes() + data.tobytes()
+    """Units and their contexts; compressed, as contexts are most of what is shuffled."""
+    return zstandard.ZstdCompressor(level=1).compress(np.uint64(len(units)).tobytes() + units.tobytes() + data.tobytes())
 
 
 def _unpacked_units(part: bytes) -> tuple[np.ndarray, np.ndarray]:
+    part = zstandard.ZstdDecompressor().decompress(part)
     n = int(np.frombuffer(part, "<u8", 1)[0])
     return np.frombuffer(part, _UNIT, n, 8), np.frombuffer(part, np.uint8, offset=8 + n * _UNIT.itemsize)
 
@@ -479,10 +482,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     per_anchor = (SIZE - GRAM + 2) / 2
     total = int(size / per_anchor)
     found = written(repeated_anchors(keys, max(1, -(-total // BUCKET_ANCHORS)), max(HOT_PLACES, total // MOST_HOT)), "suffix-anchors")
+    settled(docs.sparkSession)
     hot = np.sort(found.filter("hot is not null").select("hot").distinct().toArrow().column("hot").to_numpy().view(np.uint64))
     places = found.agg(F.coalesce(F.sum(F.octet_length("part")), F.lit(0))).first()[0] // _ANCHOR.itemsize
     marked = _gathered_documents(found.filter("part is not null"), _ANCHOR, ["at"])
     cover = written(covered(keys.join(marked, ["doc", "tie"]), max(1, -(-int(places * (per_anchor + SIZE)) // CONTEXT_BYTES)), hot), "suffix-cover")
+    settled(docs.sparkSession)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), keyed_column(id_col, "doc"), F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tie"), F.col(text_col).alias("_text"))
     last = rows.join(cover, ["doc", "tie"], "left").select("doc_id", F.coalesce("_text", F.lit("")).alias("_text"), "packed")
