@@ -44,6 +44,9 @@ SLICE_ANCHORS, BUCKET_ANCHORS, CONTEXT_BYTES = 300_000, 500_000, 3 << 20
 #: Anchors with this many places are dealt string by string; there are at most MOST_HOT of them.
 HOT_PLACES, MOST_HOT = 4096, 500_000
 
+#: Bytes of text from which it is worth some seconds to let finished phases' shuffle files go.
+SETTLE_BYTES = 256 << 20
+
 _PLACE_BITS = 28
 _ANCHOR = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("at", "<u4"), ("places", "<u4")])
 _PLACE = np.dtype([("doc", "<i8"), ("tie", "<u4"), ("at", "<u4"), ("end", "<u4")])
@@ -482,12 +485,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     per_anchor = (SIZE - GRAM + 2) / 2
     total = int(size / per_anchor)
     found = written(repeated_anchors(keys, max(1, -(-total // BUCKET_ANCHORS)), max(HOT_PLACES, total // MOST_HOT)), "suffix-anchors")
-    settled(docs.sparkSession)
+    if size >= SETTLE_BYTES:
+        settled(docs.sparkSession)
     hot = np.sort(found.filter("hot is not null").select("hot").distinct().toArrow().column("hot").to_numpy().view(np.uint64))
     places = found.agg(F.coalesce(F.sum(F.octet_length("part")), F.lit(0))).first()[0] // _ANCHOR.itemsize
     marked = _gathered_documents(found.filter("part is not null"), _ANCHOR, ["at"])
     cover = written(covered(keys.join(marked, ["doc", "tie"]), max(1, -(-int(places * (per_anchor + SIZE)) // CONTEXT_BYTES)), hot), "suffix-cover")
-    settled(docs.sparkSession)
+    if size >= SETTLE_BYTES:
+        settled(docs.sparkSession)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), keyed_column(id_col, "doc"), F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tie"), F.col(text_col).alias("_text"))
     last = rows.join(cover, ["doc", "tie"], "left").select("doc_id", F.coalesce("_text", F.lit("")).alias("_text"), "packed")
