@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._scratch import written
 
-MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 3, 20, 40
+MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 20, 20
 #: Spans that a slice gathers before it sends them, and that a bucket's task holds, about.
 SLICE_SPANS, BUCKET_SPANS = 500_000, 1_000_000
 #: Bytes of text for a span, about; only for the number of buckets.
