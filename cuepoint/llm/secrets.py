@@ -6,9 +6,13 @@ is scanned by the same patterns and put on the list, until nothing new appears;
 their content and place, so cycles end. What is found is mapped to the characters of the original
 text that it came from: escapes character by character, decoded runs as a whole.
 
+An in-place layer is the parts of its text in which something was undone; the others were scanned
+before. Compressed payloads are unpacked whole, all members and streams in streams, and scanned in
+windows that end where no pattern and no encoding can go on, so a window more or less changes nothing.
+
 Cases: null and empty texts have no spans; other rows and columns don't matter, so nulls, repeated
-rows and empty tables need no care. Whole texts are scanned. What one document unpacks to is held to
-``LAYER_BYTES`` against decompression bombs; the texts themselves are not.
+rows and empty tables need no care. Whole texts and whole layers are scanned; memory follows the text
+and ``WINDOW_CHARS``, or the longest run without a separator in what is unpacked, if that is longer.
 """
 
 from __future__ import annotations
@@ -16,19 +20,26 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
+import io
 import re
+import tempfile
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
+from typing import IO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
-#: Bytes that the layers of one document may unpack to.
-LAYER_BYTES = 64 << 20
+#: Characters of an unpacked payload that are scanned at a time, about, and bytes that are read at a time.
+WINDOW_CHARS, CHUNK_BYTES = 4 << 20, 1 << 20
+#: Bytes that zstandard is given at a time; they hold at most as many blocks of 128 kB as a quarter of them.
+_ZSTD_BYTES = 256
 #: Shortest run that is tried as base64.
 BASE64_CHARS = 16
 
@@ -43,8 +54,14 @@ _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-
 _ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]+)\}|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#x([0-9A-Fa-f]+);")
 _BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{BASE64_CHARS},}}={{0,2}}")
 
+#: Characters that the patterns and encodings above consist of; texts fall apart at all others.
+_INSIDE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"': %\\{};&#")
+_SEPARATOR = re.compile(r"""[^A-Za-z0-9+/_.=\-"': %\\{};&#]""")
+
 Span = tuple[int, int]
 Place = Callable[[int, int], Span]
+#: Maps to the enclosing layer, from the inside out; a loop walks them, as layers may be many.
+Chain = tuple[Place, "Chain"] | None
 
 
 def matches(text: str) -> list[tuple[str, int, int]]:
@@ -80,14 +97,31 @@ def _percent(run: str) -> str | None:
         return None
 
 
+def _last_separator(text: str, start: int, end: int) -> int:
+    """Place of the last separator of a part of the text, or -1."""
+    while end > start and text[end - 1] in _INSIDE:
+        end -= 1
+    return end - 1 if end > start else -1
+
+
 def _in_place(text: str, pattern: re.Pattern, decode: Callable[[str], str | None]) -> tuple[str, Place] | None:
-    """The text with each run decoded, and where its characters come from."""
+    """The parts of the text with runs to decode, decoded, and where their characters come from."""
     pieces, at, new = [], 0, 0
     begins, origins, whole = [0], [0], [False]  # from this new position on; from this old one; a decoded run
     for m in pattern.finditer(text):
         decoded = decode(m[0])
         if decoded is None:
             continue
+        last = _last_separator(text, at, m.start())
+        first = _SEPARATOR.search(text, at, m.start()) if len(begins) > 1 and last >= 0 else None
+        if last >= 0 and (first is None or first.start() < last):
+            if first is not None:
+                pieces.append(text[at : first.end()])
+                new += first.end() - at
+            begins.append(new)
+            origins.append(last)
+            whole.append(False)
+            at = last
         pieces += [text[at : m.start()], decoded]
         new += m.start() - at
         begins.append(new)
@@ -100,7 +134,8 @@ def _in_place(text: str, pattern: re.Pattern, decode: Callable[[str], str | None
         at = m.end()
     if len(begins) == 1:
         return None
-    pieces.append(text[at:])
+    rest = _SEPARATOR.search(text, at)
+    pieces.append(text[at : rest.end() if rest else len(text)])
     ends = [*origins[1:], len(text)]
 
     def place(start: int, end: int) -> Span:
@@ -110,25 +145,147 @@ def _in_place(text: str, pattern: re.Pattern, decode: Callable[[str], str | None
     return "".join(pieces), place
 
 
-def _unpacked(data: bytes, most: int) -> bytes:
-    """``data`` decompressed where it is a compressed stream, else as it is."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, most)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, most)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, most)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
+def _origin(chain: Chain, start: int, end: int) -> Span:
+    while chain:
+        own, chain = chain
+        start, end = own(start, end)
+    return start, end
+
+
+def _codec(head: bytes) -> str | None:
+    """The compression that the first bytes of a stream stand for."""
+    if head[:2] == b"\x1f\x8b":
+        return "gzip"
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return "zlib"
+    if head[:3] == b"BZh":
+        return "bz2"
+    return "zstd" if head[:4] == b"\x28\xb5\x2f\xfd" else None
+
+
+def _members(source: IO[bytes]) -> Iterator[bytes]:
+    """What all members of a compressed stream unpack to, piece by piece; EOFError if the last is cut short."""
+    data = source.read(CHUNK_BYTES)
+    while codec := _codec(data):
+        if codec == "zstd":
             import zstandard
 
-            return zstandard.ZstdDecompressor().stream_reader(data).read(most)
-    except (zlib.error, OSError, ValueError, EOFError):
-        pass
-    except Exception as error:  # zstandard's own error type
-        if type(error).__module__.split(".")[0] != "zstandard":
-            raise
-    return data
+            member = zstandard.ZstdDecompressor().decompressobj()
+            while not member.eof:
+                if not data and not (data := source.read(CHUNK_BYTES)):
+                    raise EOFError
+                yield member.decompress(data[:_ZSTD_BYTES])  # it has no limit of its own
+                data = data[_ZSTD_BYTES:]
+            data = member.unused_data + data
+        elif codec == "bz2":
+            member = bz2.BZ2Decompressor()
+            while not member.eof:
+                if member.needs_input and not data and not (data := source.read(CHUNK_BYTES)):
+                    raise EOFError
+                yield member.decompress(data, CHUNK_BYTES)
+                data = b""
+            data = member.unused_data
+        else:
+            member = zlib.decompressobj(31 if codec == "gzip" else 15)
+            while not member.eof:
+                if not data and not (data := source.read(CHUNK_BYTES)):
+                    yield member.flush()
+                    if not member.eof:
+                        raise EOFError
+                    break
+                yield member.decompress(data, CHUNK_BYTES)
+                data = member.unconsumed_tail
+            data = member.unused_data
+        data = (data + source.read(CHUNK_BYTES)).lstrip(b"\0")
+
+
+class _Unpacked:
+    """A compressed stream's content, as often as it is read; ``damaged`` once a reading found it so."""
+
+    def __init__(self, source: IO[bytes]):
+        self.source, self.damaged = source, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        self.source.seek(0)
+        try:
+            yield from _members(self.source)
+        except (zlib.error, OSError, ValueError, EOFError):
+            self.damaged = True
+        except Exception as error:  # zstandard's own error type
+            if type(error).__module__.split(".")[0] != "zstandard":
+                raise
+            self.damaged = True
+
+
+def _head(pieces: _Unpacked) -> bytes:
+    head = b""
+    for piece in pieces:
+        head += piece
+        if len(head) >= 4:
+            break
+    return head
+
+
+def _shown(text: str) -> int:
+    if text.isprintable():
+        return len(text)
+    return sum(n for c, n in Counter(text).items() if c.isprintable() or c in "\t\r\n")
+
+
+def _decoded(pieces: _Unpacked) -> Iterator[str]:
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    for piece in pieces:
+        yield decoder.decode(piece)
+    yield decoder.decode(b"", not pieces.damaged)
+
+
+def _windows(pieces: _Unpacked) -> Iterator[str]:
+    """The readable content of a stream in windows that end at separators; nothing if it isn't readable."""
+    total = shown = 0
+    try:
+        for text in _decoded(pieces):
+            total += len(text)
+            shown += _shown(text)
+    except UnicodeDecodeError:
+        return
+    if shown < 0.95 * total:
+        return
+    ready, tail, size = [], [], 0
+    for text in _decoded(pieces):
+        cut = _last_separator(text, 0, len(text)) + 1
+        if cut:
+            ready += [*tail, text[:cut]]
+            tail = []
+        tail.append(text[cut:])
+        size += len(text)
+        if size >= WINDOW_CHARS and ready:
+            yield "".join(ready)
+            ready, size = [], sum(map(len, tail))
+    yield "".join(ready + tail)
+
+
+def _unpacked(data: bytes) -> Iterator[str]:
+    """Texts of a compressed payload: its innermost stream, and those on the way that turn out to be damaged
+    or none at all."""
+    level, seen = io.BytesIO(data), set()
+    while True:
+        pieces = _Unpacked(level)
+        if not _codec(_head(pieces)):
+            yield from _windows(pieces)
+            if pieces.damaged:
+                level.seek(0)
+                if (text := _readable(level.read())) is not None:
+                    yield text
+            return
+        inner, digest = tempfile.SpooledTemporaryFile(WINDOW_CHARS), hashlib.blake2b(digest_size=16)
+        for piece in pieces:
+            inner.write(piece)
+            digest.update(piece)
+        level.close()
+        if digest.digest() in seen:  # a stream that unpacks to itself
+            return
+        seen.add(digest.digest())
+        level = inner
 
 
 def _readable(data: bytes) -> str | None:
@@ -140,7 +297,8 @@ def _readable(data: bytes) -> str | None:
     return text if text and shown >= 0.95 * len(text) else None
 
 
-def _from_base64(run: str, most: int) -> str | None:
+def _from_base64(run: str) -> str | Iterator[str] | None:
+    """The text that a run stands for, or its windows if it is compressed."""
     body = run.rstrip("=").translate(str.maketrans("-_", "+/"))
     if len(body) % 4 == 1:
         return None
@@ -148,12 +306,7 @@ def _from_base64(run: str, most: int) -> str | None:
         data = base64.b64decode(body + "=" * (-len(body) % 4))
     except binascii.Error:
         return None
-    for _ in range(8):  # streams in streams; a stream that unpacks to itself ends here too
-        inner = _unpacked(data, most)
-        if inner == data:
-            break
-        data = inner
-    return _readable(data)
+    return _unpacked(data) if _codec(data) else _readable(data)
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -162,29 +315,40 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         return [], []
     base = set(matches(text))
     found = set(base)
-    identity: Place = lambda start, end: (start, end)
-    work: list[tuple[str, Place]] = [(text, identity)]
+    work: list[tuple[str | Iterator[str], Chain]] = [(text, None)]
     seen: set[tuple[bytes, Span]] = set()
-    left = LAYER_BYTES
+
+    def add(layer: str, chain: Chain) -> None:
+        """Scans a new layer and puts it on the list. A layer that is known by content and place may still have
+        come another way, from other characters of that place."""
+        if not layer:
+            return
+        found.update((kind, *_origin(chain, s, e)) for kind, s, e in matches(layer))
+        key = (hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest(), _origin(chain, 0, len(layer)))
+        if key not in seen:
+            seen.add(key)
+            work.append((layer, chain))
+
     while work:
-        layer, place = work.pop()
-        nested: list[tuple[str, Place]] = []
+        layer, chain = work.pop()
+        if not isinstance(layer, str):
+            window = next(layer, None)
+            if window is not None:
+                work.append((layer, chain))
+                add(window, chain)
+            continue
         for mark, pattern, decode in (("%", _PERCENT, _percent), ("\\", _ESCAPE, _unescaped), ("&#", _ESCAPE, _unescaped)):
             if mark in layer and (inner := _in_place(layer, pattern, decode)):
-                nested.append((inner[0], lambda s, e, own=inner[1], place=place: place(*own(s, e))))
+                add(inner[0], (inner[1], chain))
         for m in _BASE64.finditer(layer):
-            inner = _from_base64(m[0], max(left, 0))
+            inner = _from_base64(m[0])
             if inner is not None:
-                outer = place(*m.span())
-                nested.append((inner, lambda s, e, outer=outer: outer))
-        for inner, own in nested:
-            key = (hashlib.blake2b(inner.encode("utf-8", "surrogatepass"), digest_size=16).digest(), own(0, max(1, len(inner))))
-            if not inner or key in seen or left <= 0:
-                continue
-            seen.add(key)
-            left -= len(inner)
-            found.update((kind, *own(s, e)) for kind, s, e in matches(inner))
-            work.append((inner, own))
+                outer = _origin(chain, *m.span())
+                own = (lambda s, e, outer=outer: outer, None)
+                if isinstance(inner, str):
+                    add(inner, own)
+                else:
+                    work.append((inner, own))
     return _ordered(base), _ordered(found)
 
 
