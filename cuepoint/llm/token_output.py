@@ -29,9 +29,9 @@ from ._tokens import encoder
 _HEADER = struct.Struct("<4sBIIQQ")  # magic, symbol bytes, first nonterminal, rules, documents, symbols
 _MAGIC = b"CPRP"
 #: A pair is replaced while it comes this often in its shard.
-MIN_PAIR_COUNT = 32
+MIN_PAIR_COUNT = 8
 #: Most nonterminals that one round adds; counts are taken anew after each round.
-ROUND_RULES = 16_000
+ROUND_RULES = 4096
 #: Slots of the table that finds a round's pairs, as a power of two.
 SLOT_BITS = 18
 
