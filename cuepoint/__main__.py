@@ -1,16 +1,21 @@
-"""Command line: evaluate and show annotations, list and edit the registry, search an index."""
+"""Command line: index, list, rename and delete recordings, ask one or all of them, annotate and evaluate."""
 
 from __future__ import annotations
 
 import argparse
+import datetime
 import importlib
 
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from .adapters import HashedWords, query_vectors
+from .config import settings
+from .operators import registry, search
 from .plans import ask, ingest
 from .session import session
-from .sources import json_files
+from .sinks import tables
+from .sources import json_files, media
 
 
 def _named(path: str):
@@ -33,9 +38,20 @@ def main(argv: list[str] | None = None) -> None:
         if name == "evaluate":
             sub.add_argument("--k", type=int, default=5)
             sub.add_argument("--output")
-    sub = commands.add_parser("query")
-    sub.add_argument("video_hash")
+    sub = commands.add_parser("query", help="a question to one recording, or without --video to the whole library")
     sub.add_argument("query")
+    sub.add_argument("--video")
+    sub.add_argument("--pictures", action="store_true", help="the answerer gets a list of parts with pictures")
+    sub = commands.add_parser("rename")
+    sub.add_argument("video_hash")
+    sub.add_argument("name")
+    sub = commands.add_parser("delete")
+    sub.add_argument("video_hash")
+    sub = commands.add_parser("annotate", help="add annotations of queries; asks for the times of those that have none yet")
+    sub.add_argument("video", help="the recording's file name, or a part of it")
+    sub.add_argument("--output", required=True)
+    sub.add_argument("--queries", nargs="+", required=True)
+    sub.add_argument("--no-resume", action="store_true")
     sub = commands.add_parser("index")
     sub.add_argument("path")
     sub.add_argument("--models", required=True, help="a Models object, module:attribute")
@@ -44,35 +60,70 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
 
     spark = session()
-    known = json_files.registry(spark, f"{args.folder}/registry.json")
+    where = f"{args.folder}/registry.json"
+    known = json_files.registry(spark, where)
+    options = settings(spark)
     frame_model, text_model = (_named(m) if m else HashedWords for m in (args.frame_model, args.text_model))
     reranker, answerer = (_named(m) if m else None for m in (args.reranker, args.answerer))
     if args.command == "list":
-        json_files.listing(known).show(truncate=False)
+        ask.library_view(known).orderBy("place").show(1000, truncate=False)
+    elif args.command in ("rename", "delete"):
+        if json_files.lookup(known, args.video_hash).isEmpty():
+            raise SystemExit(f"no recording {args.video_hash}")
+        if args.command == "rename":
+            rows = registry.rename(known, "video_hash", args.video_hash, args.name)
+        else:
+            rows = tables.delete_videos(spark, [args.video_hash], [f"{args.folder}/{name}" for name in ("frame_index", "chunk_index")], known)
+        tables.registry_json(rows, where)
     elif args.command == "annotations":
-        ask.shown_annotations(json_files.annotations(spark, args.annotations)).show(truncate=False)
+        ask.shown_annotations(json_files.annotations(spark, args.annotations)).show(1000, truncate=False)
+    elif args.command == "annotate":
+        _annotate(spark, known, args, options)
     elif args.command == "index":
-        from .sinks.tables import registry_json
-        from .sources.media import video_files
-
-        rows = ingest.index_videos(spark, video_files(spark, args.path), known, args.folder, _named(args.models), args.force).persist()
-        rows.count()
-        registry_json(rows, f"{args.folder}/registry.json")
+        ask.library_view(ingest.index_path(spark, args.path, args.folder, _named(args.models), args.force, options)).orderBy("place").show(1000, truncate=False)
     else:
         frames, chunks = ingest.search_tables(spark, args.folder)
         if args.command == "query":
-            asked = query_vectors(spark.createDataFrame([("q", args.query)], "query_id string, query string"), "query", frame_model, text_model)
-            ask.ask(frames, chunks, asked, args.video_hash, reranker, answerer).show(truncate=False, vertical=True)
+            asked = search.asked(spark.createDataFrame([("q", args.query)], "query_id string, query string"))
+            if asked.isEmpty():
+                raise SystemExit("the question is blank")
+            asked = query_vectors(asked, "query", frame_model, text_model)
+            pictures = media.pictures(spark, f"{args.folder}/keyframes") if args.pictures else None
+            if args.video:
+                found = ask.ask(frames, chunks, asked, args.video, reranker, answerer, options, pictures=pictures)
+            else:
+                found = ask.ask_library(frames, chunks, asked, known, reranker, answerer, options, pictures=pictures)
+            ask.answer_view(found).show(truncate=False, vertical=True)
         else:
             annotated = json_files.annotations(spark, args.annotations)
             vectors = query_vectors(annotated.select("query").distinct(), "query", frame_model, text_model)
-            rows = ask.evaluate(annotated, frames, chunks, vectors, reranker, args.k).persist()
+            rows = ask.evaluate(annotated, frames, chunks, vectors, reranker, args.k, options).persist()
             report = ask.report(rows, args.k)
             ask.summary_lines(rows, report.select(F.col("*"))).show(100, truncate=False)
             if args.output:
-                from .sinks.tables import one_json
+                tables.one_json(report, args.output)
+
 
-                one_json(report, args.output)
+def _annotate(spark, known, args, options) -> None:
+    """Ask for the times and notes of each query that has none, and write the file anew."""
+    matched = registry.match_names(known, [args.video], "video_name", "date_indexed")
+    video = known.join(matched.select("video_name"), "video_name", "left_semi").limit(1)
+    if video.isEmpty():
+        raise SystemExit(f"no recording like {args.video}")
+    try:
+        existing = json_files.annotations(spark, args.output)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        existing = spark.createDataFrame([], "video_hash string, video_name string, video_path string, annotated_at string, tolerance double, pos int, query string, relevant_timestamps array<double>, notes string")
+    wanted = spark.createDataFrame(list(enumerate(args.queries)), "pos int, query string")
+    left = wanted if args.no_resume else ask.to_annotate(wanted, existing)
+    given = []
+    for row in left.orderBy("pos").toLocalIterator():
+        given.append((row["pos"], row["query"], input(f"{row['query']}\n  times (73, 1:13, 1:02:03): "), input("  notes: ")))
+    rows = spark.createDataFrame(given, "pos int, query string, times string, notes string")
+    now = datetime.datetime.now().isoformat(timespec="seconds")
+    tables.swapped_json(ask.annotate(video, existing, rows, now, options.tolerance_sec, not args.no_resume), args.output)
 
 
 if __name__ == "__main__":

@@ -7,6 +7,7 @@ Deterministic stubs stand in for real models in tests.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,23 +15,40 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_made: dict[int, object] = {}
+_made: dict[str, object] = {}
+_tokens: dict[int, "Keyed"] = {}
 
 
-def once(factory: Callable[[], object]) -> object:
-    """What ``factory`` makes, kept for the life of the worker."""
-    key = hash((getattr(factory, "__module__", ""), getattr(factory, "__qualname__", ""), id(type(factory)), repr(getattr(factory, "args", ""))))
-    if key not in _made:
-        _made[key] = factory()
-    return _made[key]
+class Keyed:
+    """A factory under a token that the driver gave it; workers keep what it makes under the token."""
+
+    def __init__(self, factory: Callable[[], object]):
+        self.factory, self.token = factory, uuid.uuid4().hex
+
+
+def keyed(factory: Callable[[], object] | Keyed) -> Keyed:
+    """The factory's token: one for each factory object of this driver, so two lambdas of one function differ."""
+    if isinstance(factory, Keyed):
+        return factory
+    if id(factory) not in _tokens:  # the entry holds the factory, so its id isn't given to another
+        _tokens[id(factory)] = Keyed(factory)
+    return _tokens[id(factory)]
+
+
+def once(known: Keyed) -> object:
+    """What the factory makes, kept for the life of the worker."""
+    if known.token not in _made:
+        _made[known.token] = known.factory()
+    return _made[known.token]
 
 
 def with_embeddings(rows: DataFrame, value: str, factory: Callable[[], Callable[[list], Iterable]], into: str = "embedding", batch: int = 64) -> DataFrame:
     """``rows`` with unit vectors of ``value`` (texts or pictures), embedded ``batch`` at a time."""
+    known = keyed(factory)
 
     @F.pandas_udf("array<float>")
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = once(factory)
+        model = once(known)
         for part in parts:
             out = []
             for a in range(0, len(part), batch):
@@ -68,10 +86,10 @@ class HashedWords:
 
 def transcribed(videos: DataFrame, factory: Callable[[], Callable[[str], Iterable[dict]]], key: str = "video_hash", path: str = "path") -> DataFrame:
     """Timed segments of every video: key, pos, id, start, end, text. The model gets a path."""
-    kind = videos.schema[key].dataType.simpleString()
+    kind, known = videos.schema[key].dataType.simpleString(), keyed(factory)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = once(factory)
+        model = once(known)
         for frame in frames:
             for video, where in zip(frame[key], frame[path], strict=True):
                 rows = [{key: video, "pos": i, "id": int(s["id"]), "start": float(s["start"]), "end": float(s["end"]), "text": s["text"].strip()} for i, s in enumerate(model(where))]
@@ -82,10 +100,10 @@ def transcribed(videos: DataFrame, factory: Callable[[], Callable[[str], Iterabl
 
 def detected_scenes(videos: DataFrame, factory: Callable[[], Callable[[str], Iterable[tuple[float, float]]]], key: str = "video_hash", path: str = "path") -> DataFrame:
     """Raw scene cuts of every video, as the detector gives them."""
-    kind = videos.schema[key].dataType.simpleString()
+    kind, known = videos.schema[key].dataType.simpleString(), keyed(factory)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = once(factory)
+        model = once(known)
         for frame in frames:
             for video, where in zip(frame[key], frame[path], strict=True):
                 yield pd.DataFrame([(video, float(a), float(b)) for a, b in model(where)], columns=[key, "start_sec", "end_sec"])

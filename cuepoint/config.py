@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -53,3 +54,15 @@ class Settings:
 
 
 DEFAULT = Settings()
+
+
+def settings(spark=None, base: Settings = DEFAULT) -> Settings:
+    """``base`` with what the environment (``CUEPOINT_MAX_K``) and, over it, the session (``spark.cuepoint.max_k``) set."""
+    changed = {}
+    for field in fields(base):
+        value = os.environ.get(f"CUEPOINT_{field.name.upper()}")
+        if spark is not None:
+            value = spark.conf.get(f"spark.cuepoint.{field.name}", value)
+        if value is not None:
+            changed[field.name] = type(getattr(base, field.name))(value)
+    return replace(base, **changed)

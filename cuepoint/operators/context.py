@@ -76,17 +76,19 @@ def rerank(rows: DataFrame, keys: list[str], order: list[Column], model: Callabl
 
 
 def _called(prompts: DataFrame, keys: list[str], model: Callable[[str], str] | None, name: str) -> DataFrame:
-    """Replies of a model to prompts, in the tasks; null where it fails."""
+    """Replies of a model to prompts, in the tasks; null where it fails. A prompt of parts reaches the model as a
+    list of (kind, text or picture)."""
     if model is None:
         return prompts.select(*keys, F.lit(None).cast("string").alias(name))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields if f.name in keys)
+    shown = lambda p: p if p is None or isinstance(p, str) else [(x["kind"], x["image"] if x["kind"] == "image" else x["value"]) for x in p]
 
     def ask(frames):
         for frame in frames:
             replies = []
             for prompt in frame["prompt"]:
                 try:
-                    replies.append(model(prompt))
+                    replies.append(model(shown(prompt)))
                 except Exception:  # noqa: BLE001  any failure of the model is a failed call
                     replies.append(None)
             frame[name] = replies
@@ -126,17 +128,31 @@ def prompt_parts(parts: DataFrame, max_images: int = 5) -> DataFrame:
     return parts.withColumn("prompt_parts", F.concat(F.array(role), context, images, F.array(part("text", F.concat(F.lit("Question: "), "query")))))
 
 
-def answers(rows: DataFrame, queries: DataFrame, keys: list[str], model: Callable[[str], str] | None, model_name: str = "", settings: Settings = DEFAULT) -> DataFrame:
+def loaded_parts(prompts: DataFrame, keys: list[str], pictures: DataFrame) -> DataFrame:
+    """``keys`` and ``prompt``: the parts of ``prompt_parts`` in order, pictures with their ``image``.
+
+    ``pictures`` has frame_path and image. A picture that isn't there is left out, after the number of
+    pictures was limited.
+    """
+    parts = prompts.select(*keys, F.posexplode("prompt_parts").alias("_pos", "_part")).select(*keys, "_pos", "_part.kind", "_part.value")
+    found = pictures.select(F.col("frame_path").alias("_path"), "image")
+    joined = parts.join(found, (F.col("kind") == "image") & (F.col("value") == F.col("_path")), "left").filter("kind <> 'image' or image is not null")
+    ordered = F.array_sort(F.collect_list(F.struct("_pos", F.struct("kind", "value", "image").alias("p"))))
+    return joined.groupBy(*keys).agg(F.transform(ordered, lambda x: x["p"]).alias("prompt"))
+
+
+def answers(rows: DataFrame, queries: DataFrame, keys: list[str], model: Callable[[str], str] | None, model_name: str = "", settings: Settings = DEFAULT, pictures: DataFrame | None = None) -> DataFrame:
     """An answer for every row of ``queries`` (keys, query) from its re-ranked ``rows``.
 
-    Without results it says so; where the model fails it lists the times and the context.
+    Without results it says so; where the model fails it lists the times and the context. With ``pictures``
+    (frame_path, image) the model gets a list of parts, else one text in which pictures are named.
     """
     parts = assemble(rows, keys, max_images=settings.max_images)
     context = budgeted_context(rows.filter(F.col("source") == "transcript"), keys, settings.context_chars, settings.min_tail_chars, pos="place")
     full = queries.join(parts, keys, "left").join(context, keys, "left")
     found = F.col("timestamps").isNotNull()
     prompts = prompt_parts(full.filter(found), settings.max_images)
-    asked = prompts.select(*keys, F.array_join(F.transform("prompt_parts", lambda p: F.concat(F.when(p["kind"] == "image", "[image] ").otherwise(""), p["value"])), "\n\n").alias("prompt"))
+    asked = loaded_parts(prompts, keys, pictures) if pictures is not None else prompts.select(*keys, F.array_join(F.transform("prompt_parts", lambda p: F.concat(F.when(p["kind"] == "image", "[image] ").otherwise(""), p["value"])), "\n\n").alias("prompt"))
     replied = full.join(_called(asked, keys, model, "_reply"), keys, "left")
     times = F.array_join(F.transform("timestamps", minutes_clock), ", ")
     fallback = F.concat(F.lit("The answer couldn't be written. Relevant times: "), times, F.lit("\n\n"), F.coalesce("context", F.lit("")))

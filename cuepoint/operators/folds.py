@@ -11,6 +11,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ def sorted_fold(frame: DataFrame, keys: list[str], order: list[str], start: Call
     """``frame`` with the columns ``added`` ("name type, ...") that each key's fold gives its rows.
 
     ``start()`` makes a key's state; its ``step(batch)`` gets the key's rows in order, in pieces, and
-    returns an array for each added column.
+    returns an array for each added column. Null is a key, and so is NaN.
     """
     names = [part.split()[0] for part in added.split(", ")]
     kept = [c for c in frame.columns if c not in names]
@@ -33,7 +34,7 @@ def sorted_fold(frame: DataFrame, keys: list[str], order: list[str], start: Call
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = list(zip(*(batch.column(i).to_pylist() for i in at), strict=True))
+            values = list(zip(*(["nan" if v != v else v for v in batch.column(i).to_pylist()] for i in at), strict=True))
             cuts = [0] + [i for i in range(1, len(values)) if values[i] != values[i - 1]] + [len(values)]
             parts: list[list] = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -122,6 +123,17 @@ def ssim(a: np.ndarray, b: np.ndarray, side: int = 7, span: float = 255.0) -> fl
     return float((((2 * mu * nu + c1) * (2 * cov + c2)) / ((mu * mu + nu * nu + c1) * (va + vb + c2))).mean())
 
 
+def frame_similarity(pairs: DataFrame, a: str, b: str, height: int, width: int, into: str = "ssim", side: int = 7) -> DataFrame:
+    """``pairs`` with the structural similarity of two gray frames (binary, row by row); null where one is."""
+
+    @F.pandas_udf("double")
+    def compare(x: pd.Series, y: pd.Series) -> pd.Series:
+        image = lambda v: np.frombuffer(v, np.uint8).reshape(height, width)
+        return pd.Series([None if u is None or v is None else ssim(image(u), image(v), side) for u, v in zip(x, y, strict=True)], dtype="float64")
+
+    return pairs.withColumn(into, compare(F.col(a), F.col(b)))
+
+
 class _Semantic:
     """Drops a row as similar as ``threshold`` to the last one kept."""
 

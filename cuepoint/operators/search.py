@@ -32,44 +32,65 @@ def _best(group: np.ndarray, sims: np.ndarray, k: int, ids: pa.Array) -> np.ndar
     return kept
 
 
-def _scores(index: DataFrame, queries: list[tuple[object, list[float]]], keys: list[str], k: int, vector: str, id_col: str) -> DataFrame:
-    """Rows of ``index`` that are among the ``k`` nearest of their key in their batch, with query_id and sim."""
+def _scores(index: DataFrame, queries: list[tuple[object, list[float], object]], keys: list[str], k: int, vector: str, id_col: str, own: str | None) -> DataFrame:
+    """Rows of ``index`` that are among the ``k`` nearest of their key in their batch, with query_id and sim.
+
+    With ``own`` a query meets only the rows whose ``own`` column has its value.
+    """
     kept = [c for c in index.columns if c != vector]
     source = index.select(*kept, vector)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    names = [q for q, _ in queries]
-    width = max(len(v) for _, v in queries)
-    matrix = np.array([list(v) + [0.0] * (width - len(v)) for _, v in queries], np.float64)
-    kind = "bigint" if all(isinstance(q, int) for q in names) else "string"
-    shared = index.sparkSession.sparkContext.broadcast((names, matrix))
+    names = [q for q, _, _ in queries]
+    width = max(len(v) for _, v, _ in queries)
+    matrix = np.array([list(v) + [0.0] * (width - len(v)) for _, v, _ in queries], np.float64)
+    kind = pa.int64() if all(isinstance(q, int) for q in names) else pa.string()
+    places: dict[object, list[int]] = {}
+    for i, (_, _, value) in enumerate(queries):
+        places.setdefault(value, []).append(i)
+    shared = index.sparkSession.sparkContext.broadcast((names, matrix, places))
+
+    def met(rows: pa.RecordBatch, vectors: np.ndarray, group: np.ndarray, asked: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of rows, queries and similarities, for some queries and all of these rows."""
+        sims = vectors @ shared.value[1][asked].T
+        if not group.any() and len(sims) > 4 * k:  # no more than the k best, and those tied with the k-th, can matter
+            least = np.partition(sims, len(sims) - k, axis=0)[len(sims) - k]
+            near = sims >= least
+        else:
+            near = np.ones(sims.shape, bool)
+        for j, query in enumerate(asked):
+            at = np.flatnonzero(near[:, j])
+            best = at[_best(group[at], sims[at, j], k, rows.column(id_col).take(pa.array(at)))] if len(at) > k else at
+            yield best, np.full(len(best), query), sims[best, j]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
+        ids, q, places = shared.value
         for batch in batches:
-            column = batch.column(len(kept))
-            usable = np.flatnonzero(np.asarray(column.is_valid()))
+            usable = np.flatnonzero(np.asarray(batch.column(len(kept)).is_valid()))
             if not len(usable):
                 continue
             rows = batch.take(pa.array(usable))
             column = rows.column(len(kept))
-            values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             lengths = np.diff(column.offsets.to_numpy())
-            vectors = np.zeros((len(lengths), q.shape[1]))
-            inside = np.arange(q.shape[1])[None, :] < lengths[:, None]
             if (lengths > q.shape[1]).any():
                 raise ValueError("index and query vectors differ in length")
-            vectors[inside] = values
-            sims = vectors @ q.T
-            group = np.zeros(len(sims), np.int64)
+            vectors = np.zeros((len(lengths), q.shape[1]))
+            vectors[np.arange(q.shape[1])[None, :] < lengths[:, None]] = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            group = np.zeros(len(vectors), np.int64)
             for key in keys:
                 codes = rows.column(key).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-                group = group * (int(codes.max(initial=0)) + 2) + np.nan_to_num(codes, nan=-1).astype(np.int64) + 1
-            for j, name in enumerate(ids):
-                best = _best(group, sims[:, j], k, rows.column(id_col))
-                own = rows.take(pa.array(best))
-                yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array([name] * len(best), pa.int64() if kind == "bigint" else pa.string()), pa.array(sims[best, j])], [*kept, "query_id", "sim"])
+                group = group * (int(np.nan_to_num(codes, nan=-1).max(initial=0)) + 2) + np.nan_to_num(codes, nan=-1).astype(np.int64) + 1
+            group -= group.min(initial=0)
+            if own is None:
+                parts = [(np.arange(len(vectors)), list(range(len(ids))))]
+            else:
+                values = rows.column(own).to_pylist()
+                parts = [(np.array([i for i, v in enumerate(values) if v == value]), asked) for value, asked in places.items() if value in set(values)]
+            found = [(at[near], asked, sims) for at, own_queries in parts for near, asked, sims in met(rows.take(pa.array(at)), vectors[at], group[at], own_queries)]
+            if found:
+                at, asked, sims = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([*rows.take(pa.array(at)).columns[:-1], pa.array([ids[i] for i in asked.tolist()], kind), pa.array(sims)], [*kept, "query_id", "sim"])
 
-    return source.mapInArrow(score, f"{fields}, query_id {kind}, sim double")
+    return source.mapInArrow(score, f"{fields}, query_id {'bigint' if kind == pa.int64() else 'string'}, sim double")
 
 
 def asked(queries: DataFrame, text: str = "query") -> DataFrame:
@@ -77,21 +98,25 @@ def asked(queries: DataFrame, text: str = "query") -> DataFrame:
     return queries.filter(strip(F.coalesce(F.col(text), F.lit(""))) != "")
 
 
-def candidates(index: DataFrame, queries: DataFrame, k: int = 10, keys: list[str] | None = None, vector: str = "embedding", id_col: str = "id", keep_self: bool = True) -> DataFrame:
+def candidates(index: DataFrame, queries: DataFrame, k: int = 10, keys: list[str] | None = None, vector: str = "embedding", id_col: str = "id", keep_self: bool = True, own: str | None = None) -> DataFrame:
     """Rows that may be among the ``k`` nearest to a query (query_id, vector): each batch's best, with query_id and sim.
 
-    Queries, whose number is checked, go to the tasks; many more than a person asks at once are taken
-    in blocks.
+    Queries go to the tasks in blocks of ``BROADCAST_QUERIES``, so their number bounds what is sent at once; the
+    index is read once for each block. With ``own``, a column of both, a query meets the rows with its value
+    only, and other partitions of the index aren't read.
     """
     keys = keys or []
     out = None
-    block: list[tuple[object, list[float]]] = []
+    block: list[tuple[object, list[float], object]] = []
+    if own is not None:
+        index = index.join(F.broadcast(queries.select(own).distinct()), own, "left_semi")
 
-    def scored(rows: list[tuple[object, list[float]]]) -> DataFrame:
-        return _scores(index, rows, keys, k + (0 if keep_self else 1), vector, id_col)
+    def scored(rows: list[tuple[object, list[float], object]]) -> DataFrame:
+        return _scores(index, rows, keys, k + (0 if keep_self else 1), vector, id_col, own)
 
-    for row in queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null").toLocalIterator():
-        block.append((row["query_id"], row["vector"]))
+    value = F.col(own) if own else F.lit(None).cast("string")
+    for row in queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), value.alias("own")).filter("vector is not null").toLocalIterator():
+        block.append((row["query_id"], row["vector"], row["own"]))
         if len(block) == BROADCAST_QUERIES:
             out = scored(block) if out is None else out.unionByName(scored(block))
             block = []
@@ -117,7 +142,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 10, keys: list[str] |
     return ranked(candidates(index, queries, k, keys, vector, id_col, keep_self), ["query_id", *(keys or [])], k, id_col)
 
 
-def union_results(frames: DataFrame, transcript: DataFrame, queries: DataFrame, keys: list[str] | None = None, settings: Settings = DEFAULT, keep_self: bool = True, threshold: float = 0.0) -> DataFrame:
+def union_results(frames: DataFrame, transcript: DataFrame, queries: DataFrame, keys: list[str] | None = None, settings: Settings = DEFAULT, keep_self: bool = True, threshold: float = 0.0, own: str | None = None) -> DataFrame:
     """Both indexes' results for each query as one list: source, weighted score and ``ord``.
 
     Each index gives its k nearest, of which those of at least ``threshold`` similarity stay. Frames come
@@ -127,8 +152,8 @@ def union_results(frames: DataFrame, transcript: DataFrame, queries: DataFrame,
     keys = keys or []
     sides = []
     for place, (index, column, weight, name) in enumerate(((frames, "frame_vector", settings.frame_weight, "frames"), (transcript, "transcript_vector", settings.transcript_weight, "transcript"))):
-        asked = queries.select("query_id", F.col(column).alias("vector"))
-        found = candidates(index, asked, settings.initial_k, keys, keep_self=keep_self)
+        asked = queries.select("query_id", F.col(column).alias("vector"), *([own] if own else []))
+        found = candidates(index, asked, settings.initial_k, keys, keep_self=keep_self, own=own)
         sides.append(found.withColumn("source", F.lit(name)).withColumn("_side", F.lit(place)).withColumn("_weight", F.lit(weight)))
     both = sides[0].unionByName(sides[1], allowMissingColumns=True)
     by = ["query_id", *keys]
@@ -147,14 +172,16 @@ def dynamic_k(results: DataFrame, keys: list[str], threshold: float = 0.27, min_
     return placed.filter(kept).drop("_above")
 
 
-def hybrid(frames: DataFrame, transcript: DataFrame, queries: DataFrame, keys: list[str] | None = None, settings: Settings = DEFAULT, keep_self: bool = True) -> DataFrame:
+def hybrid(frames: DataFrame, transcript: DataFrame, queries: DataFrame, keys: list[str] | None = None, settings: Settings = DEFAULT, keep_self: bool = True, own: str | None = None) -> DataFrame:
     """Results of a hybrid search for each query (and each of ``keys``), best first by ``place``.
 
+    With ``own``, a column of all three tables, a query is searched in the rows with its value only.
+
     ``frames`` and ``transcript`` have id, timestamp and embedding; ``queries`` query_id, frame_vector
     and transcript_vector. A null vector leaves its index out.
     """
     by = ["query_id", *(keys or [])]
-    results = union_results(frames, transcript, queries, keys, settings, keep_self)
+    results = union_results(frames, transcript, queries, keys, settings, keep_self, own=own)
     best = anchored_best(results, by, settings.dedup_sec)
     return dynamic_k(best, by, settings.score_threshold, settings.min_k, settings.max_k, ties=["grp"]).drop("grp")
 

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.text import hours_clock
+from ..functions.text import display_name, hours_clock, parse_times, shown_pct, static_url, strip
 from ..operators import context, metrics, registry, search
+from ..sinks import tables
 
 Model = Callable[[str], str] | None
 
@@ -37,22 +38,23 @@ def search_library(frames: DataFrame, transcript: DataFrame, queries: DataFrame,
     return info, results.join(top.select("query_id", "video_hash", "video_place", "best_score"), ["query_id", "video_hash"])
 
 
-def ask(frames: DataFrame, transcript: DataFrame, queries: DataFrame, video_hash: str, reranker: Model, answerer: Model, settings: Settings = DEFAULT, model_name: str = "") -> DataFrame:
-    """Answers about one recording; ``queries`` also has query, the text."""
+def ask(frames: DataFrame, transcript: DataFrame, queries: DataFrame, video_hash: str, reranker: Model, answerer: Model, settings: Settings = DEFAULT, model_name: str = "", pictures: DataFrame | None = None) -> DataFrame:
+    """Answers about one recording; ``queries`` also has query, the text. Blank questions are left out."""
+    queries = search.asked(queries)
     found = search_video(frames, transcript, queries, video_hash, settings)
     rows = _described(found).join(queries.select("query_id", "query"), "query_id")
     picked = context.rerank(rows, ["query_id"], [F.col("place")], reranker, settings=settings)
-    return context.answers(picked, queries.select("query_id", "query"), ["query_id"], answerer, model_name, settings)
+    return context.answers(picked, queries.select("query_id", "query"), ["query_id"], answerer, model_name, settings, pictures)
 
 
-def ask_library(frames: DataFrame, transcript: DataFrame, queries: DataFrame, videos: DataFrame, reranker: Model, answerer: Model, settings: Settings = DEFAULT, model_name: str = "") -> DataFrame:
+def ask_library(frames: DataFrame, transcript: DataFrame, queries: DataFrame, videos: DataFrame, reranker: Model, answerer: Model, settings: Settings = DEFAULT, model_name: str = "", pictures: DataFrame | None = None) -> DataFrame:
     """Answers about the best recordings of each query, best first; those whose results don't reach the gate are left out."""
-    keys = ["query_id", "video_hash"]
+    keys, queries = ["query_id", "video_hash"], search.asked(queries)
     top, results = search_library(frames, transcript, queries, videos, settings)
     rows = _described(results).join(queries.select("query_id", "query"), "query_id")
     picked = context.gated(context.rerank(rows, keys, [F.col("place")], reranker, settings=settings), keys, settings.answer_gate)
     asked = picked.select(*keys).distinct().join(queries.select("query_id", "query"), "query_id")
-    answered = context.answers(picked, asked, keys, answerer, model_name, settings)
+    answered = context.answers(picked, asked, keys, answerer, model_name, settings, pictures)
     return answered.join(top.select(*keys, "video_place", "best_score"), keys).orderBy("query_id", "video_place")
 
 
@@ -66,11 +68,11 @@ def _described(results: DataFrame) -> DataFrame:
 def evaluate(annotated: DataFrame, frames: DataFrame, transcript: DataFrame, vectors: DataFrame, reranker: Model, k: int = 5, settings: Settings = DEFAULT) -> DataFrame:
     """A metrics row for each annotated query. ``vectors`` has query, frame_vector, transcript_vector.
 
-    All queries are searched in one plan. Re-ranking returns at most five rows, so precision at a larger
+    All queries are searched in one plan, each in its own recording. Re-ranking returns at most five rows, so precision at a larger
     k can't pass five over k.
     """
     queries = annotated.select(F.concat_ws(":", "video_hash", "pos").alias("query_id"), "video_hash", "query", "relevant_timestamps", "tolerance").join(vectors, "query", "left")
-    found = search.hybrid(frames, transcript, queries, ["video_hash"], settings).join(queries.select("query_id", "video_hash", "query"), ["query_id", "video_hash"])
+    found = search.hybrid(frames, transcript, queries, settings=settings, own="video_hash").join(queries.select("query_id", "query"), "query_id")
     picked = context.rerank(_described(found), ["query_id"], [F.col("place")], reranker, settings=settings)
     retrieved = picked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "timestamp"))), lambda r: r["timestamp"]).alias("retrieved"))
     rows = queries.join(retrieved, "query_id", "left").withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<double>")))
@@ -97,11 +99,42 @@ def to_annotate(queries: DataFrame, done: DataFrame) -> DataFrame:
     return registry.not_done(queries, done)
 
 
+def annotate(video: DataFrame, existing: DataFrame, given: DataFrame, annotated_at: str, tolerance: float = DEFAULT.tolerance_sec, resume: bool = True) -> DataFrame:
+    """The one row of a video's annotation file: what is there and new entries (pos, query, times, notes).
+
+    ``times`` is a comma list of clocks. On resuming, queries that are annotated already are left out;
+    without, the file begins anew. ``video`` is its registry row.
+    """
+    old = existing if resume else existing.limit(0)
+    fresh = to_annotate(given, old) if resume else given
+    about = video.select("video_hash", "video_name", "video_path")
+    new = fresh.crossJoin(F.broadcast(about.limit(1))).select("video_hash", "video_name", "video_path", F.lit(tolerance).alias("tolerance"), "pos", "query", parse_times(F.col("times")).alias("relevant_timestamps"), strip(F.coalesce("notes", F.lit(""))).alias("notes"))
+    return tables.merged_annotations(old, new, annotated_at)
+
+
 def shown_annotations(annotated: DataFrame) -> DataFrame:
     """Annotations with their times as clocks."""
     return annotated.select("query", F.array_join(F.transform("relevant_timestamps", hours_clock), ", ").alias("times"), "notes")
 
 
+def library_view(rows: DataFrame, columns: int = 3) -> DataFrame:
+    """What a page of the library shows of each recording, the newest first: place and column of its card, names, day,
+    counts (N/A where unknown) and reductions."""
+    newest = F.coalesce("date_indexed", F.lit(""))
+    placed = registry.ranked(rows, newest, [F.col("video_hash")])
+    count = lambda c: F.when(F.col(c) < 0, "N/A").otherwise(F.col(c).cast("string")).alias(c)
+    return placed.select(
+        "video_hash", "place", F.pmod(F.col("place") - 1, F.lit(columns)).alias("grid_column"), display_name(F.col("custom_name"), F.col("video_name")).alias("name"),
+        F.substring(newest, 1, 10).alias("day"), count("total_keyframes"), count("total_chunks"), shown_pct(F.col("ssim_reduction_pct")).alias("ssim_reduction"),
+        shown_pct(F.col("clip_reduction_pct")).alias("clip_reduction"), static_url(F.col("video_path")).alias("url"),
+    )
+
+
+def answer_view(answered: DataFrame) -> DataFrame:
+    """What a chat shows of answers: the text, the times as clocks, and each source with its clock and score."""
+    source = lambda x: F.concat(x["source"], F.lit(" at "), hours_clock(x["timestamp"]), F.lit(" ("), F.format_string("%.2f", x["score"]), F.lit(")"))
+    return answered.select("query", "response_text", F.transform("timestamps", hours_clock).alias("times"), "keyframe_paths", F.transform("sources", source).alias("sources"))
+
+
 def with_settings(**changes) -> Settings:
     return replace(DEFAULT, **changes)
-

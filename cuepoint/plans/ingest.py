@@ -14,7 +14,8 @@ from ..config import DEFAULT, Settings
 from ..functions.text import chunk_id, frame_id
 from ..operators import folds, registry, timeline
 from ..sinks import tables
-from ..sources.media import decoded_frames, video_metadata
+from ..sources import json_files
+from ..sources.media import decoded_frames, video_files, video_metadata
 
 
 @dataclass(frozen=True)
@@ -29,6 +30,8 @@ class Models:
     text_vectors: Callable
     #: Similarity of two decoded frames for the pixel filter.
     similarity: Callable = folds.ssim
+    #: A raw picture and a quality to the bytes of a file; without it pictures are kept as they are decoded.
+    encode: Callable | None = None
 
 
 def frames_of(videos: DataFrame, models: Models, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
@@ -47,9 +50,8 @@ def frames_of(videos: DataFrame, models: Models, settings: Settings = DEFAULT) -
     return semantic.filter("keep").drop("keep", "score", "scene_id"), stats.join(more, key, "left")
 
 
-def chunks_of(videos: DataFrame, models: Models, settings: Settings = DEFAULT) -> DataFrame:
-    """Transcript windows with embeddings."""
-    segments = transcribed(videos, models.speech)
+def chunks_of(segments: DataFrame, models: Models, settings: Settings = DEFAULT) -> DataFrame:
+    """Transcript windows of timed segments, with embeddings."""
     chunks = timeline.chunk_transcript(segments, settings.chunk_sec, settings.overlap_sec)
     return with_embeddings(chunks, "text", models.text_vectors, batch=settings.text_batch)
 
@@ -61,12 +63,15 @@ def index_videos(spark: SparkSession, videos: DataFrame, known: DataFrame, folde
     """
     new = video_metadata(registry.pending(videos, known, force=force), models.probe)
     kept, stats = frames_of(new, models, settings)
-    pictures = tables.keyframes(kept.withColumnRenamed("frame", "jpeg"), f"{folder}/keyframes")
+    coded = tables.encoded(kept, "frame", models.encode).drop("frame") if models.encode else kept.withColumnRenamed("frame", "jpeg")
+    pictures = tables.keyframes(coded, f"{folder}/keyframes")
     frame_rows = pictures.select(frame_id(F.col("video_hash"), F.col("frame_idx")).alias("id"), "video_hash", "frame_idx", "timestamp", "frame_path", F.lit("").alias("document"), "embedding")
-    tables.replace_videos(frame_rows, f"{folder}/frame_index")
-    spoken = chunks_of(new, models, settings)
+    tables.replace_videos(frame_rows, f"{folder}/frame_index", videos=new)
+    # speech is recognised once; its file is what the windows are made from
+    tables.segments_json(transcribed(new, models.speech), f"{folder}/transcripts", "video_hash")
+    spoken = chunks_of(new.select("video_hash").join(json_files.segments(spark, f"{folder}/transcripts", "video_hash"), "video_hash"), models, settings)
     chunk_rows = spoken.select(chunk_id(F.col("video_hash"), F.col("chunk_id")).alias("id"), "video_hash", F.col("chunk_id").cast("int").alias("chunk_id"), "start_time", "end_time", F.col("text").alias("document"), "embedding")
-    tables.replace_videos(chunk_rows, f"{folder}/chunk_index")
+    tables.replace_videos(chunk_rows, f"{folder}/chunk_index", videos=new)
 
     written = spark.read.schema(schemas.FRAME_INDEX).parquet(f"{folder}/frame_index")
     first = written.groupBy("video_hash").agg(F.min_by("frame_path", "timestamp").alias("thumbnail_path"))
@@ -75,13 +80,23 @@ def index_videos(spark: SparkSession, videos: DataFrame, known: DataFrame, folde
     rows = results.select(
         "video_hash", "video_name", "video_path", F.lit("").alias("custom_name"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("date_indexed"),
         F.coalesce("total_keyframes", F.lit(0)).alias("total_keyframes"), F.coalesce("total_chunks", F.lit(0)).alias("total_chunks"), F.concat_ws("/", F.lit("keyframes"), "video_hash").alias("frames_dir"),
-        F.concat(F.lit("transcripts/"), "video_hash", F.lit(".json")).alias("transcript_path"), F.concat("video_hash", F.lit("_frames")).alias("frames_collection"),
+        F.concat(F.lit("transcripts/video_hash="), "video_hash").alias("transcript_path"), F.concat("video_hash", F.lit("_frames")).alias("frames_collection"),
         F.concat("video_hash", F.lit("_transcript")).alias("transcript_collection"), F.coalesce("ssim_reduction_pct", F.lit(0.0)).alias("ssim_reduction_pct"),
         F.coalesce("clip_reduction_pct", F.lit(0.0)).alias("clip_reduction_pct"), F.coalesce("thumbnail_path", F.lit("")).alias("thumbnail_path"),
     )
     return registry.register(known, rows)
 
 
+def index_path(spark: SparkSession, path: str, folder: str, models: Models, force: bool = False, settings: Settings = DEFAULT) -> DataFrame:
+    """Index the video files at a path, those that aren't yet or all, and write the registry, which is returned as read back."""
+    where = f"{folder}/registry.json"
+    known = json_files.registry(spark, where)
+    videos = video_files(spark, path)
+    if force or not registry.pending(videos, known).isEmpty():
+        tables.registry_json(index_videos(spark, videos, known, folder, models, force, settings), where)
+    return json_files.registry(spark, where)
+
+
 def search_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Both indexes in the shape that searches take; an index that is missing is empty."""
 

@@ -5,15 +5,15 @@ from __future__ import annotations
 _DOT = "list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
 
 
-def _knn(source: str, k: int = 10, by: str = "") -> str:
+def _knn(source: str, k: int = 10, by: str = "", where: str = "c.vec_id <> q.vec_id") -> str:
     part = f"q.vec_id{by}"
     return f"""SELECT q.vec_id AS query_id, c.vec_id, c.label AS video, {_DOT.format(a="q.embedding", b="c.embedding")} AS sim,
     row_number() OVER (PARTITION BY {part} ORDER BY {_DOT.format(a="q.embedding", b="c.embedding")} DESC, c.vec_id) AS rank
-  FROM embeddings q JOIN {source} c ON c.vec_id <> q.vec_id WHERE q.vec_id < 5 QUALIFY rank <= {k}"""
+  FROM embeddings q JOIN {source} c ON {where} WHERE q.vec_id % 20 = 0 QUALIFY rank <= {k}"""
 
 
-def _union(by: str = "", key: str = "") -> str:
-    frames, spoken = (_knn(f"(SELECT * FROM embeddings WHERE vec_id % 2 = {r})", by=by) for r in (0, 1))
+def _union(by: str = "", key: str = "", where: str = "c.vec_id <> q.vec_id") -> str:
+    frames, spoken = (_knn(f"(SELECT * FROM embeddings WHERE vec_id % 2 = {r})", by=by, where=where) for r in (0, 1))
     return f"""f AS ({frames}), t AS ({spoken}),
 u AS (
   SELECT *, row_number() OVER (PARTITION BY query_id{key} ORDER BY side, rank) - 1 AS ord FROM (
@@ -32,10 +32,10 @@ def _dynamic(source: str, threshold: float, tie: str, key: str = "") -> str:
   ) WHERE CASE WHEN above < 2 THEN place <= 2 ELSE score >= {threshold} AND place <= 10 END"""
 
 
-def _hybrid(by: str = "", key: str = "") -> str:
+def _hybrid(by: str = "", key: str = "", where: str = "c.vec_id <> q.vec_id") -> str:
     """Chain of tables that ends in h: union, anchored groups by recursion, best of each, dynamic k."""
     k = "video" if key else "0"
-    return f"""WITH RECURSIVE {_union(by, key)},
+    return f"""WITH RECURSIVE {_union(by, key, where)},
 n AS (SELECT *, {k} AS k, row_number() OVER (PARTITION BY query_id, {k} ORDER BY timestamp, ord) AS i FROM u),
 g AS (
   SELECT query_id, k, i, timestamp AS anchor, 0 AS grp FROM n WHERE i = 1
@@ -111,6 +111,43 @@ m AS (
 )"""
 
 
+def _picked(key: str = "") -> str:
+    """p: what is left of h by score where re-ranking fails; up to two results stay as they are."""
+    return f"""p AS (
+  SELECT * FROM (
+    SELECT * EXCLUDE (place), CASE WHEN count(*) OVER (PARTITION BY query_id{key}) <= 2 THEN place ELSE row_number() OVER (PARTITION BY query_id{key} ORDER BY score DESC, place) END AS place FROM h
+  ) WHERE place <= 5
+)"""
+
+
+def _fallback(key: str = "", rows: str = "p") -> str:
+    """w: the text of an answer that couldn't be written, for each question (and video)."""
+    clock = _MMSS.format(s="timestamp")
+    return f"""x AS (
+  SELECT query_id{key}, string_agg('[' || {clock} || '] words at ' || vec_id, chr(10) || chr(10) ORDER BY timestamp, place) FILTER (source = 'transcript') AS context, count(*)::INT AS n_sources, max(score) AS top FROM {rows} GROUP BY ALL
+),
+y AS (SELECT query_id{key}, string_agg({clock}, ', ' ORDER BY timestamp) AS times FROM (SELECT DISTINCT query_id{key}, timestamp FROM {rows}) GROUP BY ALL),
+w AS (SELECT x.*, 'The answer couldn''t be written. Relevant times: ' || times || chr(10) || chr(10) || coalesce(context, '') AS response_text FROM x JOIN y USING (query_id{key}))"""
+
+
+_OWN = "c.label = q.label"
+_EVALUATED = f"""{_hybrid(where=_OWN)}, {_picked()},
+l AS (SELECT q.vec_id, q.label, list(p.timestamp ORDER BY p.place) FILTER (p.timestamp IS NOT NULL) AS top FROM embeddings q LEFT JOIN p ON p.query_id = q.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL),
+e AS (
+  SELECT vec_id, label, coalesce(top, []) AS top, [vec_id + 10.0::DOUBLE, vec_id + 300.0::DOUBLE] AS relevant,
+    list_transform(coalesce(top, []), lambda t: abs(t - vec_id - 10) <= 30 OR abs(t - vec_id - 300) <= 30) AS hits FROM l
+),
+m AS (
+  SELECT 'q' || vec_id AS query, label::VARCHAR AS video_hash, len(top)::INT AS n_retrieved, round(len(list_filter(hits, lambda x: x)) / 5, 4) AS precision_at_k,
+    round(len(list_filter(relevant, lambda g: len(list_filter(top, lambda t: abs(t - g) <= 30)) > 0)) / 2, 4) AS recall_at_k,
+    CASE WHEN list_contains(hits, true) THEN round(1.0::DOUBLE / list_position(hits, true), 4) ELSE 0.0 END AS reciprocal_rank, list_contains(hits, true) AS hit_at_k FROM e
+),
+a AS (
+  SELECT count(*) AS num_queries, round(avg(precision_at_k), 4) AS mean_precision_at_k, round(avg(recall_at_k), 4) AS mean_recall_at_k, round(avg(reciprocal_rank), 4) AS mrr, round(avg(hit_at_k::INT), 4) AS hit_rate_at_k FROM m
+),
+r AS (SELECT *, CASE WHEN hit_rate_at_k >= 0.8 THEN 'strong' WHEN hit_rate_at_k >= 0.6 THEN 'moderate' ELSE 'weak' END AS band FROM a)"""
+
+
 def oracle_sql() -> dict[str, str]:
     from .roster import NAMES, REPLIES
 
@@ -227,7 +264,7 @@ def oracle_sql() -> dict[str, str]:
         "search_response": f"""{_hybrid()}, c AS (SELECT query_id, count(*) FILTER (source = 'frames') AS frame_candidates, count(*) FILTER (source = 'transcript') AS transcript_candidates FROM u GROUP BY query_id),
             k AS (SELECT query_id, count(*) AS dynamic_k FROM h GROUP BY query_id)
             SELECT q.vec_id AS query_id, coalesce(frame_candidates, 0) AS frame_candidates, coalesce(transcript_candidates, 0) AS transcript_candidates, coalesce(dynamic_k, 0) AS dynamic_k
-            FROM embeddings q LEFT JOIN c ON c.query_id = q.vec_id LEFT JOIN k ON k.query_id = q.vec_id WHERE q.vec_id < 5""",
+            FROM embeddings q LEFT JOIN c ON c.query_id = q.vec_id LEFT JOIN k ON k.query_id = q.vec_id WHERE q.vec_id % 20 = 0""",
         "score_lists": f"{_SEMANTIC} SELECT label AS video, coalesce(string_agg(round(score * 10000)::BIGINT::VARCHAR, ',' ORDER BY vec_id), '') AS scores FROM s GROUP BY label",
         "answer_gate": f"{_hybrid(', c.label', ', video')} SELECT query_id, video, count(*) AS n_results, max(score) AS best_score FROM h GROUP BY ALL HAVING max(score) >= 0.2",
         "answer_fallback": f"""{_hybrid()}, fl AS (SELECT query_id, place, timestamp, '[' || {_MMSS.format(s="timestamp")} || '] words at ' || vec_id AS line FROM h WHERE source = 'transcript'),
@@ -236,10 +273,68 @@ def oracle_sql() -> dict[str, str]:
             fn AS (SELECT query_id, count(*)::INT AS n FROM h GROUP BY query_id)
             SELECT q.query_id, CASE WHEN fn.n IS NULL THEN 'No part of the recording seems to answer this question. Another wording may help.'
               ELSE 'The answer couldn''t be written. Relevant times: ' || ft.times || chr(10) || chr(10) || coalesce(fc.context, '') END AS response_text, coalesce(fn.n, 0)::INT AS n_sources
-            FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id < 5 UNION ALL SELECT -1) q LEFT JOIN fn ON fn.query_id = q.query_id LEFT JOIN ft ON ft.query_id = q.query_id LEFT JOIN fc ON fc.query_id = q.query_id""",
+            FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0 UNION ALL SELECT -1) q LEFT JOIN fn ON fn.query_id = q.query_id LEFT JOIN ft ON ft.query_id = q.query_id LEFT JOIN fc ON fc.query_id = q.query_id""",
         "shown_images": f"""WITH {_union()}, p AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS n FROM u WHERE source = 'frames')
             SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY n)::INT AS place, 'f' || vec_id AS path FROM p WHERE n <= 5 AND vec_id % 4 <> 0 QUALIFY place <= 3""",
         "library_listing": """WITH o AS (SELECT *, row_number() OVER (ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey) AS place FROM orders)
             SELECT o_orderkey, place, strftime(o_orderdate, '%Y-%m-%d') AS day, (place - 1) % 3 AS grid_column,
               CASE WHEN o_orderkey % 7 = 0 THEN 'N/A' ELSE floor(o_totalprice / 10000)::BIGINT || '%' END AS reduction FROM o""",
+        "ask_video": f"{_hybrid(where='c.label = 3 AND q.vec_id % 60 <> 0')}, {_picked()}, {_fallback()}"
+        """ SELECT q.vec_id AS query_id, coalesce(response_text, 'No part of the recording seems to answer this question. Another wording may help.') AS response_text, coalesce(n_sources, 0)::INT AS n_sources
+            FROM embeddings q LEFT JOIN w ON w.query_id = q.vec_id WHERE q.vec_id % 20 = 0 AND q.vec_id % 60 <> 0""",
+        "ask_library": f"""{_hybrid(", c.label", ", video", "true")},
+            v AS (
+              SELECT query_id, video, max(score) AS best_score FROM h GROUP BY ALL HAVING max(score) >= 0.15
+            ),
+            o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best_score DESC, video % 3 DESC, video::VARCHAR) AS video_place FROM v QUALIFY video_place <= 3),
+            {_picked(", video")}, s AS (SELECT p.* FROM p JOIN o USING (query_id, video)), {_fallback(", video", "s")}
+            SELECT query_id, video::VARCHAR AS video_hash, video_place::INT AS video_place, best_score, response_text, n_sources FROM w JOIN o USING (query_id, video) WHERE top >= 0.2""",
+        "evaluate_queries": f"{_EVALUATED} SELECT * FROM m",
+        "evaluate_report": f"{_EVALUATED} SELECT *, 5::INT AS k, num_queries::INT AS n_results FROM r",
+        "summary_lines": f"""{_EVALUATED} SELECT '  ' || query || ': P ' || precision_at_k || ', R ' || recall_at_k AS line FROM m
+            UNION ALL SELECT 'mean P ' || mean_precision_at_k || ', mean R ' || mean_recall_at_k || ', MRR ' || mrr || ', hit rate ' || hit_rate_at_k || ' (' || band || ')' FROM r""",
+        "video_duration": "SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN round(n_chars / ((doc_id % 4) * 7.5::DOUBLE), 6) ELSE 0.0 END::DOUBLE AS duration_sec FROM documents",
+        "registry_lookup": "SELECT c_custkey, c_mktsegment AS video_hash FROM customer WHERE c_mktsegment = 'BUILDING'",
+        "collection_sizes": """SELECT label || '_' || kind AS name, label::VARCHAR AS video_hash, kind, count(*) AS rows
+            FROM (SELECT label, CASE WHEN vec_id % 2 = 0 THEN 'frames' ELSE 'transcript' END AS kind FROM embeddings) GROUP BY label, kind""",
+        "unit_vectors": """WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (vec_id % 7)) AS v FROM embeddings),
+            u AS (SELECT vec_id, v, nullif(sqrt(list_inner_product(v, v)), 0) AS n FROM v)
+            SELECT vec_id, round(list_inner_product(v, v) / (n * n), 6) AS length, round(v[1] / n, 6) AS first FROM u""",
+        "static_links": "SELECT page_id, 'app/static/videos/' || string_split(url, '/')[-1] AS link FROM pages",
+        "asked_queries": "SELECT conv_id, turn FROM conversations WHERE turn % 3 <> 0 AND turn % 5 <> 1 AND regexp_matches(text, '\\S')",
+        "pending_videos": """SELECT source, false AS forced, count(*) AS videos FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY source
+            UNION ALL SELECT source, true, count(*) FROM documents GROUP BY source""",
+        "registry_register": """SELECT c_custkey AS video_hash, CASE WHEN c_custkey % 3 = 0 THEN c_name || '.mp4' ELSE c_name END AS video_name, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE '' END AS custom_name,
+              CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS total_chunks FROM customer
+            UNION ALL SELECT c_custkey + 10000000, c_name, '', 3 FROM customer WHERE c_custkey % 10 = 0""",
+        "annotate_resumed": """WITH o AS (SELECT 0 AS late, doc_id AS pos, 'q' || doc_id % 50 AS query, 1 AS t, '' AS notes FROM documents WHERE source = 'src1'),
+            g AS (SELECT 1 AS late, doc_id AS pos, 'q' || doc_id % 60 AS query, (doc_id % 60) * 60 + 5 + doc_id % 7 AS t, 'n' AS notes FROM documents WHERE source = 'src2'),
+            a AS (SELECT * FROM o UNION ALL SELECT * FROM g WHERE query NOT IN (SELECT query FROM o))
+            SELECT '/lecture.mp4' AS video_path, '2024-02-02T00:00:00' AS annotated_at, 30.0::DOUBLE AS timestamp_tolerance_sec, count(*)::INT AS total_annotations,
+              string_agg(query || '@' || t || notes, ',' ORDER BY late, pos) AS entries FROM a HAVING count(*) > 0""",
+        "shown_annotations": """WITH t AS (SELECT doc_id, source, unnest([n_chars, floor(doc_id * 61.5)::BIGINT]) AS s, unnest([1, 2]) AS i FROM documents)
+            SELECT doc_id::VARCHAR AS query, string_agg(CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%02d:%02d', s // 60, s % 60) END, ', ' ORDER BY i) AS times, source AS notes
+            FROM t GROUP BY doc_id, source""",
+        "library_view": """WITH o AS (
+              SELECT o_orderkey AS n, o_orderpriority, CASE WHEN o_orderkey % 9 <> 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') ELSE '' END AS d FROM orders
+            )
+            SELECT n::VARCHAR AS video_hash, row_number() OVER (ORDER BY d DESC, n::VARCHAR) AS place, (row_number() OVER (ORDER BY d DESC, n::VARCHAR) - 1) % 3 AS grid_column,
+              CASE WHEN n % 4 = 0 AND o_orderpriority <> '' THEN o_orderpriority ELSE 'v' || n || '.mp4' END AS name, substr(d, 1, 10) AS day,
+              CASE WHEN n % 7 = 0 THEN 'N/A' ELSE (n % 100)::VARCHAR END AS total_keyframes, (n % 50)::VARCHAR AS total_chunks, CASE WHEN n % 7 = 0 THEN 'N/A' ELSE (n % 90) || '%' END AS ssim_reduction,
+              (n % 33) || '%' AS clip_reduction, 'app/static/videos/v.mp4' AS url FROM o""",
+        "frame_ssim": """WITH f AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor((x + 1) * 127.5)) AS v FROM embeddings),
+            g AS (SELECT vec_id, v, lag(v) OVER (PARTITION BY label ORDER BY vec_id) AS u FROM f),
+            x AS (SELECT vec_id, unnest(u) AS a, unnest(v) AS b FROM g WHERE u IS NOT NULL),
+            s AS (SELECT vec_id, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS c FROM x GROUP BY vec_id)
+            SELECT g.vec_id, round((2 * ma * mb + 2.55 ** 2) * (2 * c + 7.65 ** 2) / ((ma * ma + mb * mb + 2.55 ** 2) * (va + vb + 7.65 ** 2)), 6) AS ssim FROM g LEFT JOIN s ON s.vec_id = g.vec_id""",
+        "prompt_images": f"""WITH {_union()}, q AS (SELECT DISTINCT query_id FROM u),
+            i AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS n FROM u WHERE source = 'frames'),
+            a AS (
+              SELECT query_id, 0 AS part, 0 AS n, 'text' AS kind, 'Answer from the excerpts of this recording only, and name the times that you rely on.' AS value, NULL::INT AS n_bytes FROM q
+              UNION ALL SELECT query_id, 1, 0, 'text', 'c' || query_id, NULL FROM q WHERE query_id % 40 = 0
+              UNION ALL SELECT query_id, 2, n, 'image', 'f' || vec_id, length(vec_id::VARCHAR) FROM i WHERE n <= 5 AND vec_id % 4 <> 0
+              UNION ALL SELECT query_id, 3, 0, 'text', 'Question: q' || query_id, NULL FROM q
+            )
+            SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY part, n) - 1)::INT AS n, kind, value, coalesce(n_bytes, 0)::INT AS n_bytes FROM a""",
+        "keyframe_paths": "SELECT doc_id, 'keyframes/' || source || '/' || printf('frame_%06d_t%.2f.jpg', doc_id % 1000, n_chars / 7) AS frame_path FROM documents",
     }

@@ -1,7 +1,7 @@
 """Registered queries: each operator on stand-ins among the synthetic tables.
 
 Even vectors are a frame index and odd ones a transcript index, labels are videos and vec_id is the
-time line; vectors 0 to 4 are the queries. Events are a user's frames at ``value`` seconds, turns of
+time line; every vector whose id is divisible by 20 is a query. Events are a user's frames at ``value`` seconds, turns of
 conversations are speech. Thresholds suit these data; the library's defaults are those of ``Settings``.
 """
 
@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import text as X
+from ..functions import vectors as V
 from ..operators import context, folds, metrics, registry, search, timeline
 from ..session import table
+from ..sinks import tables
+from ..sources import json_files
+from . import ask
 
 FIXTURE = replace(DEFAULT, score_threshold=0.15, video_gate=0.15)
 
@@ -26,7 +30,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -297,6 +301,145 @@ def library_listing(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", "place", "day", F.pmod(F.col("place") - 1, F.lit(3)).alias("grid_column"), X.shown_pct(pct).alias("reduction"))
 
 
+def _library(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both indexes in the shape of the search tables, and the questions with their texts."""
+    frames, transcript, asked = _two(spark, d)
+    shaped = lambda t: t.withColumn("video_hash", F.col("video").cast("string")).drop("video")
+    frames = shaped(frames).withColumn("frame_path", F.concat(F.lit("f"), "id"))
+    return frames, shaped(transcript).withColumn("text", F.concat(F.lit("words at "), "id")), asked.withColumn("query", F.concat(F.lit("q"), "query_id"))
+
+
+def ask_video(spark: SparkSession, d: str) -> DataFrame:
+    frames, transcript, asked = _library(spark, d)
+    # a blank question is left out
+    asked = asked.withColumn("query", F.when(F.col("query_id") % 60 == 0, " \t").otherwise(F.col("query")))
+    return ask.ask(frames, transcript, asked, "3", None, None, FIXTURE).select("query_id", "response_text", F.size("sources").alias("n_sources"))
+
+
+def ask_library(spark: SparkSession, d: str) -> DataFrame:
+    frames, transcript, asked = _library(spark, d)
+    videos = frames.select("video_hash").distinct().withColumn("date_indexed", F.concat(F.lit("2024-01-0"), F.col("video_hash").cast("int") % 3))
+    out = ask.ask_library(frames, transcript, asked, videos, None, None, FIXTURE)
+    return out.select("query_id", "video_hash", "video_place", "best_score", "response_text", F.size("sources").alias("n_sources"))
+
+
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    frames, transcript, asked = _library(spark, d)
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("video_hash"))
+    times = F.array((F.col("query_id") + 10).cast("double"), (F.col("query_id") + 300).cast("double"))
+    annotated = asked.join(own, "query_id").select("video_hash", F.col("query_id").alias("pos"), "query", times.alias("relevant_timestamps"), F.lit(30.0).alias("tolerance"))
+    return ask.evaluate(annotated, frames, transcript, asked.select("query", "frame_vector", "transcript_vector"), None, 5, FIXTURE)
+
+
+def evaluate_queries(spark: SparkSession, d: str) -> DataFrame:
+    return _evaluated(spark, d).select("query", "video_hash", F.size("retrieved_timestamps").alias("n_retrieved"), "precision_at_k", "recall_at_k", "reciprocal_rank", "hit_at_k")
+
+
+def evaluate_report(spark: SparkSession, d: str) -> DataFrame:
+    return ask.report(_evaluated(spark, d), 5).withColumn("n_results", F.size("query_results")).drop("query_results")
+
+
+def summary_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = _evaluated(spark, d)
+    return ask.summary_lines(rows, ask.report(rows, 5))
+
+
+def video_duration(spark: SparkSession, d: str) -> DataFrame:
+    fps = (F.col("doc_id") % 4) * 7.5
+    return table(spark, d, "documents").select("doc_id", F.round(timeline.duration(F.col("n_chars"), fps), 6).alias("duration_sec"))
+
+
+def registry_lookup(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("video_hash"))
+    return json_files.lookup(rows, "BUILDING")
+
+
+def collection_sizes(spark: SparkSession, d: str) -> DataFrame:
+    frames, transcript, _ = _library(spark, d)
+    return tables.sizes(frames, transcript)
+
+
+def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh vector is made zero, and has none."""
+    scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("id") % 7))
+    unit = _vectors(spark, d).withColumn("unit", V.normalised(scaled))
+    return unit.select(F.col("id").alias("vec_id"), F.round(V.dot(F.col("unit"), F.col("unit")), 6).alias("length"), F.round(F.element_at("unit", 1), 6).alias("first"))
+
+
+def static_links(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", X.static_url(F.col("url")).alias("link"))
+
+
+def asked_queries(spark: SparkSession, d: str) -> DataFrame:
+    text = F.when(F.col("turn") % 3 == 0, " \t").when(F.col("turn") % 5 == 1, None).otherwise(F.col("text"))
+    return search.asked(table(spark, d, "conversations").withColumn("query", text)).select("conv_id", "turn")
+
+
+def pending_videos(spark: SparkSession, d: str) -> DataFrame:
+    incoming = table(spark, d, "documents").select(F.col("doc_id").alias("video_hash"), "source")
+    known = table(spark, d, "labels").select(F.col("doc_id").alias("video_hash"))
+    both = registry.pending(incoming, known).withColumn("forced", F.lit(False)).unionByName(registry.pending(incoming, known, force=True).withColumn("forced", F.lit(True)))
+    return both.groupBy("source", "forced").agg(F.count("*").alias("videos"))
+
+
+def registry_register(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("video_hash"), F.col("c_name").alias("video_name"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_mktsegment")).otherwise("").alias("custom_name"), F.lit(1).alias("total_chunks"))
+    again = rows.filter("video_hash % 3 = 0").select("video_hash", F.concat("video_name", F.lit(".mp4")).alias("video_name"), F.lit(2).alias("total_chunks"))
+    new = rows.filter("video_hash % 10 = 0").select((F.col("video_hash") + 10_000_000).alias("video_hash"), "video_name", F.lit(3).alias("total_chunks"))
+    return registry.register(rows, again.unionByName(new)).select("video_hash", "video_name", "custom_name", "total_chunks")
+
+
+def annotate_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of one source are annotated already, those of another are given now."""
+    docs = table(spark, d, "documents")
+    video = spark.createDataFrame([("v", "lecture.mp4", "/lecture.mp4")], "video_hash string, video_name string, video_path string")
+    about = [F.lit("v").alias("video_hash"), F.lit("lecture.mp4").alias("video_name"), F.lit("/lecture.mp4").alias("video_path"), F.lit("2024-01-01T00:00:00").alias("annotated_at"), F.lit(30.0).alias("tolerance")]
+    old = docs.filter("source = 'src1'").select(*about, F.col("doc_id").alias("pos"), F.concat(F.lit("q"), F.col("doc_id") % 50).alias("query"), F.array(F.lit(1.0)).alias("relevant_timestamps"), F.lit("").alias("notes"))
+    given = docs.filter("source = 'src2'").select(F.col("doc_id").alias("pos"), F.concat(F.lit("q"), F.col("doc_id") % 60).alias("query"), F.concat(F.col("doc_id") % 60, F.lit(":05, "), F.col("doc_id") % 7).alias("times"), F.lit(" n ").alias("notes"))
+    out = ask.annotate(video, old, given, "2024-02-02T00:00:00")
+    entry = lambda a: F.concat(a["query"], F.lit("@"), F.aggregate(a["relevant_timestamps"], F.lit(0.0), lambda t, x: t + x).cast("bigint"), a["notes"])
+    return out.select("video_path", "annotated_at", "timestamp_tolerance_sec", "total_annotations", F.array_join(F.transform("annotations", entry), ",").alias("entries"))
+
+
+def shown_annotations(spark: SparkSession, d: str) -> DataFrame:
+    times = F.array(F.col("n_chars").cast("double"), F.col("doc_id") * 61.5)
+    return ask.shown_annotations(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("query"), times.alias("relevant_timestamps"), F.col("source").alias("notes")))
+
+
+def library_view(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("o_orderkey")
+    unknown = lambda c: F.when(n % 7 == 0, -1).otherwise(c)
+    rows = table(spark, d, "orders").select(
+        n.cast("string").alias("video_hash"), F.concat(F.lit("v"), n, F.lit(".mp4")).alias("video_name"), F.when(n % 4 == 0, F.col("o_orderpriority")).otherwise("").alias("custom_name"),
+        F.concat(F.lit("/data/"), n, F.lit("/v.mp4")).alias("video_path"), F.when(n % 9 != 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("date_indexed"),
+        unknown(n % 100).cast("int").alias("total_keyframes"), (n % 50).cast("int").alias("total_chunks"), unknown(n % 90).cast("double").alias("ssim_reduction_pct"), (n % 33).cast("double").alias("clip_reduction_pct"),
+    )
+    return ask.library_view(rows)
+
+
+def frame_ssim(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as gray pictures of 8 by 8, each against the one before of its video."""
+    level = F.transform("embedding", lambda x: F.lpad(F.hex(F.floor((x.cast("double") + 1) * 127.5).cast("int")), 2, "0"))
+    frames = _vectors(spark, d).withColumn("frame", F.unhex(F.array_join(level, "")))
+    pairs = frames.withColumn("before", F.lag("frame").over(Window.partitionBy("video").orderBy("id")))
+    return folds.frame_similarity(pairs, "before", "frame", 8, 8, side=8).select(F.col("id").alias("vec_id"), F.round("ssim", 6).alias("ssim"))
+
+
+def prompt_images(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of the prompts of a model that takes pictures; every fourth picture is missing."""
+    rows = _union(spark, d).withColumn("place", F.col("ord")).withColumn("text", F.lit("")).withColumn("frame_path", F.concat(F.lit("f"), "id"))
+    spoken = F.when(F.col("query_id") % 40 == 0, F.concat(F.lit("c"), "query_id")).otherwise(" ")
+    parts = context.assemble(rows, ["query_id"]).withColumn("context", spoken).withColumn("query", F.concat(F.lit("q"), "query_id"))
+    pictures = _vectors(spark, d).filter("id % 4 <> 0").select(F.concat(F.lit("f"), "id").alias("frame_path"), F.col("id").cast("string").cast("binary").alias("image"))
+    loaded = context.loaded_parts(context.prompt_parts(parts), ["query_id"], pictures).select("query_id", F.posexplode("prompt").alias("n", "p"))
+    return loaded.select("query_id", "n", "p.kind", F.element_at(F.split("p.value", "\n"), -1).alias("value"), F.coalesce(F.length("p.image"), F.lit(0)).alias("n_bytes"))
+
+
+def keyframe_paths(spark: SparkSession, d: str) -> DataFrame:
+    name = X.frame_file((F.col("doc_id") % 1000).cast("int"), F.col("n_chars") / 7)
+    return table(spark, d, "documents").select("doc_id", F.concat_ws("/", F.lit("keyframes"), "source", name).alias("frame_path"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "knn_topk": knn_topk,
@@ -337,6 +480,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "answer_gate": answer_gate,
         "answer_fallback": answer_fallback,
         "shown_images": shown_images,
+        "ask_video": ask_video,
+        "ask_library": ask_library,
+        "evaluate_queries": evaluate_queries,
+        "evaluate_report": evaluate_report,
+        "summary_lines": summary_lines,
+        "video_duration": video_duration,
+        "registry_lookup": registry_lookup,
+        "collection_sizes": collection_sizes,
+        "unit_vectors": unit_vectors,
+        "static_links": static_links,
+        "asked_queries": asked_queries,
+        "pending_videos": pending_videos,
+        "registry_register": registry_register,
+        "annotate_resumed": annotate_resumed,
+        "shown_annotations": shown_annotations,
+        "library_view": library_view,
+        "frame_ssim": frame_ssim,
+        "prompt_images": prompt_images,
+        "keyframe_paths": keyframe_paths,
     }
-
-

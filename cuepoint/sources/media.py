@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..adapters import once
+from ..adapters import keyed, once
 from ..functions.text import video_hash
 from ..operators.timeline import duration, sample_frames
 
@@ -23,9 +23,10 @@ def video_files(spark: SparkSession, path: str, pattern: str = "*.{mp4,mkv,avi,m
 def video_metadata(videos: DataFrame, factory: Callable[[], Callable[[str], dict]]) -> DataFrame:
     """``videos`` with fps, total_frames, width and height from a prober, and the duration."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in videos.schema.fields)
+    known = keyed(factory)
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prober = once(factory)
+        prober = once(known)
         for frame in frames:
             found = pd.DataFrame([prober(p) for p in frame["path"]], columns=["fps", "total_frames", "width", "height"], index=frame.index)
             yield pd.concat([frame, found], axis=1)
@@ -34,34 +35,59 @@ def video_metadata(videos: DataFrame, factory: Callable[[], Callable[[str], dict
     return probed.withColumn("duration_sec", duration(F.col("total_frames"), F.col("fps")))
 
 
-def decoded_frames(videos: DataFrame, factory: Callable[[], Callable[[str, int, int], Iterable[tuple[int, bytes]]]], fps: float = 1.0, start_sec: float | None = None, end_sec: float | None = None) -> DataFrame:
-    """Sampled frames with timestamps. The decoder seeks to the range's first frame and stops behind its last."""
+def decoded_frames(videos: DataFrame, factory: Callable[[], Callable[[str, int, int, int], Iterable[tuple[int, bytes]]]], fps: float = 1.0, start_sec: float | None = None, end_sec: float | None = None) -> DataFrame:
+    """Sampled frames with timestamps. The decoder gets the range's first and last frame and the step between
+    wanted ones; what it gives besides those is left out before it crosses to the JVM."""
+    known = keyed(factory)
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = once(factory)
+        decoder, names = once(known), ["video_hash", "fps", "frame_idx", "frame"]
         for frame in frames:
             for row in frame.itertuples():
-                first = int((start_sec or 0) * row.fps)
+                first, step = int((start_sec or 0) * row.fps), max(1, round(row.fps / fps))
                 last = row.total_frames - 1 if end_sec is None else min(row.total_frames - 1, int(end_sec * row.fps))
                 part: list[tuple] = []
-                for index, picture in decoder(row.path, first, last):
+                for index, picture in decoder(row.path, first, last, step):
+                    if (index - first) % step:
+                        continue
                     part.append((row.video_hash, float(row.fps), int(index), picture))
                     if len(part) == 64:
-                        yield pd.DataFrame(part, columns=["video_hash", "fps", "frame_idx", "frame"])
+                        yield pd.DataFrame(part, columns=names)
                         part = []
-                yield pd.DataFrame(part, columns=["video_hash", "fps", "frame_idx", "frame"])
+                yield pd.DataFrame(part, columns=names)
 
     raw = videos.select("video_hash", "fps", "total_frames", "path").mapInPandas(decode, "video_hash string, fps double, frame_idx int, frame binary")
     return sample_frames(raw, F.col("fps"), fps, start_sec, end_sec).drop("fps")
 
 
-def images(spark: SparkSession, paths: DataFrame, folder: str, column: str = "frame_path", resize: Callable[[bytes], bytes] | None = None) -> DataFrame:
-    """``paths`` with the bytes of their files in ``folder``; null where a file is missing."""
+def pictures(spark: SparkSession, folder: str) -> DataFrame:
+    """Pictures of a keyframe table: frame_path, relative as in the index, and image."""
+    return spark.read.parquet(folder).select("frame_path", F.col("content").alias("image"))
+
+
+def picture_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Pictures of a folder of files: frame_path, relative to the folder, and image."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    name = F.element_at(F.split(F.col(column), "/"), -1)
-    found = files.select(F.element_at(F.split("path", "/"), -1).alias("_name"), F.col("content").alias("image"))
-    joined = paths.withColumn("_name", name).join(found, "_name", "left").drop("_name")
+    root = folder.rstrip("/").split("://")[-1] + "/"
+    return files.select(F.substring("path", F.instr("path", root) + len(root), F.length("path")).alias("frame_path"), F.col("content").alias("image"))
+
+
+def images(paths: DataFrame, known: DataFrame, column: str = "frame_path", resize: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    """``paths`` with the ``image`` of each, by its whole path; null where there is none. ``known``: frame_path, image."""
+    found = known.select(F.col("frame_path").alias("_path"), "image")
+    joined = paths.join(found, F.col(column) == F.col("_path"), "left").drop("_path")
     if resize is None:
         return joined
     fit = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else resize(x)), "binary")
     return joined.withColumn("image", fit("image"))
+
+
+def land(spark: SparkSession, path: str, folder: str) -> str:
+    """Copy an uploaded file into the folder unless it is there already, and return its place there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source, conf = hadoop.Path(path), spark._jsc.hadoopConfiguration()
+    target = hadoop.Path(f"{folder.rstrip('/')}/{source.getName()}")
+    files = target.getFileSystem(conf)
+    if not files.exists(target):
+        hadoop.FileUtil.copy(source.getFileSystem(conf), source, files, target, False, False, conf)
+    return target.toString()

@@ -14,8 +14,8 @@ def probe():
 
 
 def decode():
-    def frames(path, first, last):
-        for i in range(first, last + 1):
+    def frames(path, first, last, step):
+        for i in range(first, last + 1, step):
             yield i, bytes([i // 20 * 40 % 256, i % 7])
 
     return frames
@@ -62,6 +62,17 @@ def test_index_and_ask(spark, tmp_path):
     asked = query_vectors(spark.createDataFrame([("q", "word3 talk")], "query_id string, query string"), "query", words, words)
     answer = ask.ask(frames, chunks, asked, "v1", None, lambda p: "yes").first()
     assert answer.response_text == "yes" and answer.timestamps
+    # a model that takes pictures gets them as parts, frames of its own video
+    from cuepoint.sources import json_files, media
+
+    seen = lambda parts: ",".join(k if k == "text" else v.hex() for k, v in parts)
+    shown = ask.ask(frames, chunks, asked, "v1", None, seen, ask.with_settings(score_threshold=-1.0), pictures=media.pictures(spark, f"{tmp_path}/keyframes")).first()
+    if shown.keyframe_paths:
+        assert sum(len(p) == 4 for p in shown.response_text.split(",") if p != "text") == len(shown.keyframe_paths)
+    sizes = {r["name"]: r["rows"] for r in __import__("cuepoint.sinks.tables", fromlist=["x"]).collections(spark, str(tmp_path)).collect()}
+    assert sizes == {"v1_frames": 6, "v2_frames": 6, "v1_transcript": 3, "v2_transcript": 3}
+    spoken = json_files.segments(spark, f"{tmp_path}/transcripts", "video_hash").filter("video_hash = 'v1'").orderBy("pos").collect()
+    assert [r.text for r in spoken] == [f"word{i} talk" for i in range(5)]
     again = ingest.index_videos(spark, videos, spark.createDataFrame(rows, schemas.REGISTRY), str(tmp_path), models)
     assert again.count() == 2 and ingest.search_tables(spark, str(tmp_path))[0].count() == 12
 

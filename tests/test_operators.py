@@ -298,7 +298,12 @@ def test_files(spark, tmp_path):
     segments = json_files.segments(spark, str(path))
     assert [(r.pos, r.text) for r in segments.orderBy("pos").collect()] == [(0, " é "), (1, "b")]
     tables.segments_json(segments, str(tmp_path / "out"))
-    assert {r.text for r in spark.read.json(str(tmp_path / "out")).collect()} == {"é", "b"}
+    again = json_files.segments(spark, str(tmp_path / "out")).orderBy("pos").collect()
+    assert [(r.pos, r.id, r.start, r.text) for r in again] == [(0, 0, 0.0, "é"), (1, 1, 1.5, "b")]
+    both = segments.withColumn("video_hash", F.lit("00000012")).unionByName(segments.withColumn("video_hash", F.lit("1e234567")))
+    tables.segments_json(both, str(tmp_path / "many"), "video_hash")
+    found = json_files.segments(spark, str(tmp_path / "many"), "video_hash").collect()
+    assert sorted((r.video_hash, r.pos) for r in found) == [("00000012", 0), ("00000012", 1), ("1e234567", 0), ("1e234567", 1)]
     notes = tmp_path / "a.json"
     notes.write_text(json.dumps({"video_hash": "v", "video_name": "n", "annotations": [{"query": "q", "relevant_timestamps": [1.0, 3700.0], "notes": ""}]}))
     annotated = json_files.annotations(spark, str(notes))
@@ -309,7 +314,13 @@ def test_files(spark, tmp_path):
     assert json_files.registry(spark, str(tmp_path / "none.json")).count() == 0
     rows = spark.createDataFrame([("a",)], "video_hash string").select("video_hash", *[F.lit(None).cast(f.dataType).alias(f.name) for f in json_files.schemas.REGISTRY.fields[1:]])
     tables.registry_json(rows, str(tmp_path / "registry.json"))
-    assert [r.video_hash for r in json_files.registry(spark, str(tmp_path / "registry.json")).collect()] == ["a"]
+    where = str(tmp_path / "registry.json")
+    assert [r.video_hash for r in json_files.registry(spark, where).collect()] == ["a"]
+    # rows may come from the file that they replace, and a swap that broke off is read from the old file
+    tables.registry_json(json_files.registry(spark, where).withColumn("custom_name", F.lit("x")), where)
+    assert [r.custom_name for r in json_files.registry(spark, where).collect()] == ["x"]
+    (tmp_path / "registry.json").rename(tmp_path / "registry.json__old")
+    assert [r.custom_name for r in json_files.registry(spark, where).collect()] == ["x"]
     (tmp_path / "bad.json").write_text("{not json")
     with pytest.raises(Exception):
         json_files.registry(spark, str(tmp_path / "bad.json")).count()
@@ -325,12 +336,98 @@ def test_index_tables(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == ["a1", "a2", "b1"]
     tables.replace_videos(spark.createDataFrame([row("a3", "a")], schemas.FRAME_INDEX), path)
     assert sorted(r.id for r in spark.read.schema(schemas.FRAME_INDEX).parquet(path).collect()) == ["a3", "b1"]
+    asked = spark.createDataFrame([("a",), ("b",)], "video_hash string")
+    tables.replace_videos(spark.createDataFrame([row("a3", "a")], schemas.FRAME_INDEX), path, videos=asked)
+    assert [r.id for r in spark.read.schema(schemas.FRAME_INDEX).parquet(path).collect()] == ["a3"]
+    tables.upsert_rows(spark, spark.createDataFrame([row("b1", "b")], schemas.FRAME_INDEX), path, schemas.FRAME_INDEX, ["id"])
+    assert not [p for p in tmp_path.iterdir() if "__merge" in p.name]
     left = tables.delete_videos(spark, ["a"], [path], spark.createDataFrame([("a",), ("b",)], "video_hash string"))
     assert left.count() == 1 and [r.id for r in spark.read.schema(schemas.FRAME_INDEX).parquet(path).collect()] == ["b1"]
 
 
-def test_settings():
+def test_settings(spark, monkeypatch):
+    from cuepoint.config import settings
+
     assert ask.with_settings(max_k=3).max_k == 3 and DEFAULT.max_k == 10
+    monkeypatch.setenv("CUEPOINT_MAX_K", "7")
+    monkeypatch.setenv("CUEPOINT_VIDEO_GATE", "0.5")
+    assert settings().max_k == 7 and settings(spark).video_gate == 0.5
+    spark.conf.set("spark.cuepoint.max_k", "4")
+    assert settings(spark).max_k == 4
+    spark.conf.unset("spark.cuepoint.max_k")
+
+
+def test_nan_keys_are_one_fold(spark):
+    rows = spark.createDataFrame([(float("nan"), 0.0), (float("nan"), 10.0), (None, 0.0), (None, 5.0), (1.0, 3.0)], "k double, ts double")
+    found = folds.anchored_groups(rows, ["k"], "ts", [], 30.0).collect()
+    assert all(r.grp == 0 for r in found) and {r.anchor for r in found if r.k != r.k} == {0.0}
+
+
+def test_factories_are_told_apart():
+    import pickle
+
+    from cuepoint.adapters import keyed, once
+
+    factories = [lambda n=n: [n] for n in range(3)]
+    assert [once(keyed(f)) for f in factories] == [[0], [1], [2]] and once(keyed(factories[1])) is once(keyed(factories[1]))
+    assert pickle.loads(pickle.dumps(keyed(dict))).token == keyed(dict).token
+
+
+def test_pictures_by_path(spark, tmp_path):
+    from cuepoint.sources import media
+
+    frames = spark.createDataFrame([("a", 1, 1.0, b"one"), ("b", 1, 1.0, b"two")], "video_hash string, frame_idx int, timestamp double, frame binary")
+    coded = tables.encoded(frames, "frame", lambda raw, quality: raw + str(quality).encode()).drop("frame")
+    named = tables.keyframes(coded, str(tmp_path / "keyframes"))
+    found = media.images(named, media.pictures(spark, str(tmp_path / "keyframes"))).collect()
+    assert sorted((r.video_hash, bytes(r.image)) for r in found) == [("a", b"one95"), ("b", b"two95")]
+    wanted = spark.createDataFrame([("x/f.jpg",), ("y/f.jpg",), ("z/f.jpg",)], "frame_path string")
+    for folder in "xy":
+        (tmp_path / "files" / folder).mkdir(parents=True)
+        (tmp_path / "files" / folder / "f.jpg").write_bytes(folder.encode())
+    files = media.picture_files(spark, str(tmp_path / "files"))
+    shown = media.images(wanted, files, resize=lambda x: x * 2).collect()
+    assert {r.frame_path: r.image and bytes(r.image) for r in shown} == {"x/f.jpg": b"xx", "y/f.jpg": b"yy", "z/f.jpg": None}
+    place = media.land(spark, str(tmp_path / "files/x/f.jpg"), str(tmp_path / "data"))
+    (tmp_path / "data" / "f.jpg").write_bytes(b"kept")
+    assert media.land(spark, str(tmp_path / "files/y/f.jpg"), str(tmp_path / "data")) == place and (tmp_path / "data" / "f.jpg").read_bytes() == b"kept"
+    tables.saved_frames(frames.select(F.col("video_hash").alias("frame_path"), "frame"), str(tmp_path / "saved"))
+    assert media.pictures(spark, str(tmp_path / "saved")).count() == 2
+
+
+def test_own_video_search(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"{v}{i}", v, float(i), rng.normal(size=4).tolist()) for v in "abc" for i in range(20)]
+    index = spark.createDataFrame(rows, "id string, video_hash string, timestamp double, embedding array<double>")
+    queries = spark.createDataFrame([(f"q{v}{n}", v, rng.normal(size=4).tolist()) for v in "ac" for n in range(2)], "query_id string, video_hash string, vector array<double>")
+    own = search.ranked(search.candidates(index, queries, 3, own="video_hash"), ["query_id"], 3)
+    every = search.nearest(index, queries, 3, ["video_hash"]).join(queries.select("query_id", "video_hash"), ["query_id", "video_hash"])
+    key = lambda rows: sorted((r.query_id, r.rank, r.id) for r in rows.collect())
+    assert key(own) == key(every) and len(key(own)) == 12
+
+
+def test_commands(spark, tmp_path, monkeypatch, capsys):
+    from cuepoint.__main__ import main
+
+    where = f"{tmp_path}/registry.json"
+    empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in json_files.schemas.REGISTRY.fields}
+    base = spark.createDataFrame([("a", "one.mp4", "/one.mp4"), ("b", "two.mp4", "/two.mp4")], "video_hash string, video_name string, video_path string")
+    tables.registry_json(base.select(*[c if c in base.columns else empty[c] for c in empty]), where)
+    main(["--folder", str(tmp_path), "rename", "a", " First "])
+    main(["--folder", str(tmp_path), "delete", "b"])
+    assert [(r.video_hash, r.custom_name) for r in json_files.registry(spark, where).collect()] == [("a", "First")]
+    for command in (["rename", "zz", "x"], ["delete", "zz"], ["query", "  "]):
+        with pytest.raises(SystemExit):
+            main(["--folder", str(tmp_path), *command])
+    given = iter(["1:13, 73", "", "5", " later "])
+    monkeypatch.setattr("builtins.input", lambda _: next(given))
+    notes = f"{tmp_path}/notes.json"
+    main(["--folder", str(tmp_path), "annotate", "one", "--output", notes, "--queries", "q1"])
+    main(["--folder", str(tmp_path), "annotate", "one", "--output", notes, "--queries", "q1", "q2"])
+    rows = json_files.annotations(spark, notes).orderBy("pos").collect()
+    assert [(r["query"], r.relevant_timestamps, r.notes, r.video_path) for r in rows] == [("q1", [73.0, 73.0], "", "/one.mp4"), ("q2", [5.0], "later", "/one.mp4")]
+    main(["--folder", str(tmp_path), "list"])
+    assert "First" in capsys.readouterr().out
 
 
 def test_best_of_batch():
