@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, or by an earlier ``setCheckpointDir``.
 
-    Where neither is set, a single-process session gets a temporary folder of its own and a
-    cluster uses the warehouse, which its executors share.
+    Where neither is set, a single-process session gets a temporary folder of its own; on a cluster
+    that's an error, as no folder is known to be shared.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -30,10 +28,12 @@ def shared_root(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
         return context.getCheckpointDir().rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cuepoint"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 _made: list[str] = []
+#: Spark's setting that removes a query's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -51,27 +51,18 @@ def release(spark: SparkSession) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def settled(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of phases whose results are written.
-
-    Its cleaner follows the driver's garbage collection, which may otherwise not come for long. Plans
-    that Python has let go are let go in the JVM by a thread that wakes each second, and what they held
-    goes with the collection after that.
-    """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(1.5)
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def written(frame: DataFrame, name: str) -> DataFrame:
     """Write ``frame`` to the shared folder and return it read back.
 
     The copy cuts the lineage, so a lost executor costs a read and not the work before it, and
-    whatever is used twice is computed once.
+    whatever is used twice is computed once. Shuffle files of the write go when it has ended.
     """
     spark = frame.sparkSession
     path = scratch_path(spark, name)
-    frame.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(path)

@@ -1,8 +1,12 @@
-"""Vectorised work on the bytes of many texts at once: words, lines and polynomial hashes.
+"""Vectorised work on the bytes of many texts at once: words, lines and their hashes.
 
-Words are runs of bytes other than space and 0x09-0x0D, which no multi-byte character contains.
-Hashes are polynomials modulo 2**64 over random byte values, brought to one power by the position,
-then mixed. Two different strings meet with a probability of about 2**-64 a pair.
+Words are runs of bytes other than space and 0x09-0x0D, which no multi-byte character contains. Words
+and lines are hashed by tabulation: a random value for each byte at each place, added up and mixed, so
+two different runs of any length and form meet with a probability of 2**-64 a pair.
+
+``prefix_hashes`` gives polynomials modulo 2**64 over random byte values, for suffixes of a bounded
+depth that are compared byte by byte where they agree; from about a thousand bytes on there are pairs of
+strings (Thue-Morse) that such polynomials can't tell apart, whatever their base.
 """
 
 from __future__ import annotations
@@ -42,6 +46,26 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+#: Random values by place (up to 256) and byte; later places mix the place into them.
+_TABLE = np.random.default_rng(20240315).integers(0, 1 << 64, 1 << 16, dtype=np.uint64)
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of runs of bytes that follow one another without overlap."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    step = np.zeros(len(data), np.int64)
+    step[starts] = np.diff(starts, prepend=0)
+    place = np.arange(len(data)) - np.cumsum(step)
+    values = _TABLE[((place & 255) << 8) | data]
+    if int((ends - starts).max()) > 256:
+        far = np.flatnonzero(place > 255)
+        values[far] = mix(values[far] + (place[far] >> 8).astype(np.uint64) * _BASE)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(values, out=total[1:])
+    return mix(total[ends] - total[starts] + (ends - starts).astype(np.uint64))
+
+
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """``P`` such that bytes a to b hash to ``(P[b] - P[a]) * power(len - a)``."""
     out = np.zeros(len(data) + 1, np.uint64)
@@ -133,7 +157,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[n
     """
     low = lowered(data)
     starts, ends, text = words(low, offsets)
-    hashes = span_hashes(prefix_hashes(low), starts, ends)
+    hashes = run_hashes(low, starts, ends)
     shingles, at = windows(hashes, text, size)
     counts = np.bincount(text, minlength=len(offsets) - 1)
     per = np.maximum(counts - size + 1, 0)

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -32,8 +32,10 @@ MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 20, 20
 SLICE_SPANS, BUCKET_SPANS = 500_000, 1_000_000
 #: Bytes of text for a span, about; only for the number of buckets.
 _BYTES_PER_SPAN = 32
+#: Words of runs that are hashed at a time.
+RUN_WORDS = 1 << 20
 
-_SPAN = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("first", "<u4"), ("last", "<u4")])
+_SPAN = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("first", "<u4"), ("last", "<u4")])
 _LAST_ID = (1 << 63) - 1
 
 
@@ -84,18 +86,52 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     pairs = np.concatenate([np.stack([forth, ahead[forth]], 1), np.stack([behind[back], back], 1), np.stack([long, long], 1)])
     code = np.unique(pairs[:, 0] * (number + 1) + pairs[:, 1]) if len(pairs) else np.zeros(0, np.int64)
     first, last = np.divmod(code, number + 1)
-    own = T.span_hashes(T.prefix_hashes(low), word_starts, word_ends)
-    prefix = np.zeros(len(own) + 1, np.uint64)
-    np.cumsum(own * T.powers(len(own)), out=prefix[1:])
-    hashes = T.span_hashes(prefix, total[first], total[last + 1])
+    hashes = _runs_of_words(T.run_hashes(low, word_starts, word_ends), total[first], total[last + 1])
     of = text[first]
     return of, hashes, first - begin[first], last - begin[first], per_text
 
 
+_factors = np.zeros(0, np.uint64)
+
+
+def _factor(n: int) -> np.ndarray:
+    """Odd pseudo-random factors of the first n places."""
+    global _factors
+    if len(_factors) < n:
+        _factors = T.mix(np.arange(1, max(n, 4096) + 1, dtype=np.uint64) * T._BASE) | np.uint64(1)
+    return _factors[:n]
+
+
+def _runs_of_words(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of runs of word hashes, which may overlap: each word times a factor of its place in the run."""
+    sizes = ends - starts
+    out = np.empty(len(starts), np.uint64)
+    upto = np.append(0, np.cumsum(sizes))
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + RUN_WORDS, "right")) - 1)
+        place = np.arange(upto[to] - upto[at]) - np.repeat(upto[at:to] - upto[at], sizes[at:to])
+        values = words[np.repeat(starts[at:to], sizes[at:to]) + place] * _factor(int(sizes[at:to].max()))[place]
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values, out=total[1:])
+        own = upto[at : to + 1] - upto[at]
+        out[at:to] = T.mix(total[own[1:]] - total[own[:-1]] + sizes[at:to].astype(np.uint64))
+        at = to
+    return out
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc, tie, text)``: a key that orders documents, null ids last, and tells apart texts of one id."""
-    tie = F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFFFFFF))
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST_ID)).alias("doc"), tie.alias("tie"), F.col(text_col).alias("text"))
+    return docs.select(keyed_column(id_col, "doc"), tie_column(text_col), F.col(text_col).alias("text"))
+
+
+def keyed_column(id_col: str, name: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST_ID)).alias(name)
+
+
+def tie_column(text_col: str) -> Column:
+    """All 64 bits of a hash of the text, so that texts of one id, or of none, are told apart."""
+    return F.xxhash64(text_col).alias("tie")
 
 
 def bucketed(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -155,7 +191,7 @@ def repeated_spans(keys: DataFrame, buckets: int) -> DataFrame:
         rows = rows[np.lexsort((rows["tie"], rows["doc"]))]
         heads = np.flatnonzero(np.append(True, (rows["doc"][1:] != rows["doc"][:-1]) | (rows["tie"][1:] != rows["tie"][:-1]))) if len(rows) else np.zeros(0, np.int64)
         packed = [np.stack([x["first"], x["last"]], 1).tobytes() for x in np.split(rows, heads[1:])] if len(rows) else []
-        return pa.table({"doc": rows["doc"][heads], "tie": rows["tie"][heads].astype(np.int64), "spans": pa.array(packed, pa.binary())})
+        return pa.table({"doc": rows["doc"][heads], "tie": rows["tie"][heads], "spans": pa.array(packed, pa.binary())})
 
     dealt = keys.mapInArrow(deal, "bucket int, settled boolean, part binary")
     found = dealt.groupBy("bucket").applyInArrow(join, "doc bigint, tie bigint, spans binary")
@@ -190,14 +226,14 @@ def _cleaned(text: str, packed: list[bytes]) -> tuple[str, int, int, int, str]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated sentences removed from the text, and n_sentences, n_removed, n_spans and
-    removed_spans (start:end in code points of the old text, comma-joined)."""
+    removed_spans (start:end in code points of the old text, comma-joined), in place of columns of these names."""
     keys = keyed(docs, id_col, text_col)
     size = keys.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-int(size) // (_BYTES_PER_SPAN * BUCKET_SPANS)))
     found = written(repeated_spans(keys, buckets), "sentence-spans")
     added = ["n_sentences", "n_removed", "n_spans", "removed_spans"]
     columns = [c for c in docs.columns if c not in added]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col]).alias("_row") if len(columns) > 1 else F.lit(None).cast("int").alias("_row"), keyed_column(id_col, "doc"), F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tie"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col]).alias("_row") if len(columns) > 1 else F.lit(None).cast("int").alias("_row"), keyed_column(id_col, "doc"), tie_column(text_col), F.col(text_col).alias("_text"))
     joined = rows.join(found, ["doc", "tie"], "left").select("_row", "_text", "spans")
     row_type = joined.schema["_row"].dataType.simpleString()
 
@@ -217,7 +253,3 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     done = joined.mapInArrow(clean, f"_row {row_type}, _text string, n_sentences bigint, n_removed bigint, n_spans bigint, removed_spans string")
     return done.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in columns], *added)
-
-
-def keyed_column(id_col: str, name: str):
-    return F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST_ID)).alias(name)

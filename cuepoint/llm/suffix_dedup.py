@@ -7,16 +7,17 @@ smaller id, or earlier in its own. Strings are the suffixes of all texts cut to
    anchor, so equal strings have equal anchors at equal places. Anchors are joined globally; only
    strings whose anchor comes at several places can repeat.
 2. Suffixes that share an anchor and their distance to it are sorted in one task by a mergesort that
-   compares by prefix polynomial hashes: equal at full depth, or else the common extension is found by
-   binary search and the bytes behind it decide. Sorts are stable on the places, so the first of each
-   run of equal suffixes is its earliest place; the others are repeats once their bytes agree with it.
+   compares by prefix polynomial hashes: the common extension is found by binary search and the bytes
+   behind it decide. Sorts are stable on the places. Neighbours whose common extension reaches the full
+   depth are a run, whose first is its earliest place; the others are repeats once their bytes agree with it.
 3. Places are gathered for each document and its bytes are cut.
 
 A slice settles what repeats within it and sends only the first place of everything, in both rounds, so
 a string that a third of the corpus shares reaches a task once for each slice and not for each copy.
 Around the borders of such a passage strings differ though their anchor is the same. Strings of anchors
-that come very often are therefore dealt one by one by two hashes of the whole string, not by anchor; such
-anchors are a bounded part of all, so their list is sent to the tasks.
+that come very often are therefore sent one by one, each with its bytes, and dealt by a hash of the whole
+string, not by anchor; they are sorted and compared as all others. Such anchors are a bounded part of all,
+so their list is sent to the tasks.
 
 Cases: null and empty texts have no bytes; a null id comes after all others; of rows with one id those
 with another text are other documents, in the order of a hash of their texts, and repeated rows are one
@@ -34,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._scratch import settled, written
-from .sentence_dedup import keyed, keyed_column
+from ._scratch import written
+from .sentence_dedup import keyed, keyed_column, tie_column
 
 SIZE, GRAM = 100, 50
 #: Anchors that a slice gathers and a bucket's task holds, and bytes of context that each holds, about.
@@ -43,21 +44,27 @@ SLICE_ANCHORS, BUCKET_ANCHORS, CONTEXT_BYTES = 300_000, 500_000, 3 << 20
 
 #: Anchors with this many places are dealt string by string; there are at most MOST_HOT of them.
 HOT_PLACES, MOST_HOT = 4096, 500_000
-
-#: Bytes of text from which it is worth some seconds to let finished phases' shuffle files go.
-SETTLE_BYTES = 256 << 20
+#: Bytes of one long text that are worked on at a time.
+PIECE_BYTES = 4 << 20
 
 _PLACE_BITS = 28
-_ANCHOR = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("at", "<u4"), ("places", "<u4")])
-_PLACE = np.dtype([("doc", "<i8"), ("tie", "<u4"), ("at", "<u4"), ("end", "<u4")])
-_UNIT = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("start", "<u4"), ("count", "<u2"), ("back", "<u2")])
-_STRING = np.dtype([("hash", "<u8"), ("other", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("at", "<u4")])
-_UNITS, _SETTLED, _STRINGS = 0, 1, 2
+_ANCHOR = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("at", "<u4"), ("places", "<u4")])
+_AT = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("at", "<u4")])
+_PLACE = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("at", "<u4"), ("end", "<u4")])
+_UNIT = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("start", "<u4"), ("count", "<u2"), ("back", "<u2")])
+_UNITS, _SETTLED = 0, 1
 _KNOWN = np.uint32(1 << 31)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(anchor, first, last, text, hash)``: anchors and the starts of the strings that they stand for."""
+    if len(offsets) == 2 and len(data) > PIECE_BYTES + SIZE:  # a string's anchor depends on its own bytes only
+        parts = []
+        for at in range(0, len(data) - SIZE + 1, PIECE_BYTES):
+            own = data[at : at + PIECE_BYTES + SIZE - 1]
+            anchor, first, last, text, hashes = anchors(own, np.array([0, len(own)]))
+            parts.append((anchor + at, first + at, last + at, text, hashes))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     none = np.zeros(0, np.int64)
     windows = len(data) - SIZE + 1
     if windows <= 0:
@@ -89,27 +96,35 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return anchor[at], first, last, np.searchsorted(offsets, first, "right") - 1, hashes[anchor[at]]
 
 
-def _compare(data: np.ndarray, prefix: np.ndarray, whole: np.ndarray, start: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """-1, 0 or 1 for suffixes i against j, to the depth of ``SIZE`` bytes."""
-    out = np.zeros(len(i), np.int8)
-    differ = np.flatnonzero(whole[i] != whole[j])
-    if not len(differ):
-        return out
-    a, b = start[i[differ]], start[j[differ]]
+def _extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes that suffixes from a and from b have in common, up to ``SIZE``, by binary search on prefix hashes."""
     inverse = T._inverse_powers(len(prefix))
-    same, apart = np.zeros(len(a), np.int64), np.full(len(a), SIZE, np.int64)
+    equal = lambda x, y, n: (prefix[x + n] - prefix[x]) * inverse[x] == (prefix[y + n] - prefix[y]) * inverse[y]
+    out = np.full(len(a), SIZE, np.int64)
+    short = np.flatnonzero(~equal(a, b, SIZE))
+    x, y = a[short], b[short]
+    same, apart = np.zeros(len(short), np.int64), np.full(len(short), SIZE, np.int64)
     while True:  # the common extension is at least same and less than apart
         half = (same + apart) // 2
         if (half == same).all():
             break
-        equal = (prefix[a + half] - prefix[a]) * inverse[a] == (prefix[b + half] - prefix[b]) * inverse[b]
-        same, apart = np.where(equal, half, same), np.where(equal, apart, half)
-    x, y = data[a + same].astype(np.int16), data[b + same].astype(np.int16)
-    out[differ] = np.sign(x - y)
+        longer = equal(x, y, half)
+        same, apart = np.where(longer, half, same), np.where(longer, apart, half)
+    out[short] = same
+    return out
+
+
+def _compare(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """-1, 0 or 1 for suffixes i against j, to the depth of ``SIZE`` bytes."""
+    a, b = start[i], start[j]
+    same = _extension(prefix, a, b)
+    out = np.zeros(len(i), np.int8)
+    differ = np.flatnonzero(same < SIZE)
+    out[differ] = np.sign(data[(a + same)[differ]].astype(np.int16) - data[(b + same)[differ]].astype(np.int16))
     return out
 
 
-def suffix_mergesort(data: np.ndarray, prefix: np.ndarray, whole: np.ndarray, start: np.ndarray, segment: np.ndarray) -> np.ndarray:
+def suffix_mergesort(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, segment: np.ndarray) -> np.ndarray:
     """Order that sorts suffixes within each segment, stable; segments lie one after the other.
 
     All runs of one width are merged at once: an element's place is its own in its run and the number
@@ -134,7 +149,7 @@ def suffix_mergesort(data: np.ndarray, prefix: np.ndarray, whole: np.ndarray, st
             if not len(open_):
                 break
             middle = (low[open_] + high[open_]) // 2
-            sign = _compare(data, prefix, whole, start, order[head[own[open_]] + middle], order[own[open_]])
+            sign = _compare(data, prefix, start, order[head[own[open_]] + middle], order[own[open_]])
             # a left element goes before equal right ones, a right element behind equal left ones
             before = np.where(left[open_], sign < 0, sign <= 0)
             low[open_] = np.where(before, middle + 1, low[open_])
@@ -187,23 +202,23 @@ def repeats(units: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     step = units["back"].astype(np.int64)[unit] - away
     start = base[unit] + step
     prefix = T.prefix_hashes(data)
-    whole = T.span_hashes(prefix, start, start + SIZE)
-    # segments of equal suffixes only are in order as they are
     heads = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
-    odd = np.append(False, (whole[1:] != whole[:-1]) & (segment[1:] == segment[:-1]))
+    # segments whose neighbours all agree to the full depth are sorted as they are
+    odd = np.append(False, (segment[1:] == segment[:-1]) & (_extension(prefix, start[:-1], start[1:]) < SIZE))
     mixed = np.flatnonzero(np.repeat(np.logical_or.reduceat(odd, heads), np.diff(np.append(heads, len(segment)))))
     if len(mixed):
         order = np.arange(len(segment))
-        order[mixed] = mixed[suffix_mergesort(data, prefix, whole[mixed], start[mixed], segment[mixed])]
-        unit, step, start, whole = (x[order] for x in (unit, step, start, whole))
-    head = np.append(True, (segment[1:] != segment[:-1]) | (whole[1:] != whole[:-1]))
+        order[mixed] = mixed[suffix_mergesort(data, prefix, start[mixed], segment[mixed])]
+        unit, step, start = unit[order], step[order], start[order]
+    # in sorted order a common extension of full depth joins neighbours to a run
+    head = np.append(True, (segment[1:] != segment[:-1]) | (_extension(prefix, start[:-1], start[1:]) < SIZE))
     lead = np.flatnonzero(head)[np.cumsum(head) - 1]
     at = units["start"].astype(np.int64)[unit] + step
     own = (units["doc"][unit] == units["doc"][unit[lead]]) & (units["tie"][unit] == units["tie"][unit[lead]]) & (at == at[lead])
     repeat = ~own
     check = np.flatnonzero(repeat)
     agree = _agree(data, start[check], start[lead[check]])
-    if not agree.all():  # two strings with one hash: compare the bytes of the whole run
+    if not agree.all():  # the hashes of two strings agree and their bytes don't: compare the whole run
         for k in np.unique(lead[check[~agree]]).tolist():
             firsts: dict[bytes, int] = {}
             for w in np.flatnonzero(lead == k).tolist():
@@ -231,29 +246,48 @@ def _cut(units: np.ndarray, number: np.ndarray, flags: np.ndarray) -> np.ndarray
     return out
 
 
+def _packed(rows: np.ndarray) -> bytes:
+    """Rows field by field, compressed."""
+    fields = [np.ascontiguousarray(rows[f]).tobytes() for f in rows.dtype.names]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(fields))
+
+
+def _unpacked(part: bytes, kind: np.dtype) -> np.ndarray:
+    data = zstandard.ZstdDecompressor().decompress(part)
+    rows, at = np.empty(len(data) // kind.itemsize, kind), 0
+    for f in kind.names:
+        rows[f] = np.frombuffer(data, kind[f], len(rows), at)
+        at += len(rows) * kind[f].itemsize
+    return rows
+
+
+def _cut_by(rows: np.ndarray, to: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Rows parted by ``to``, each part in the order of documents, which packs well."""
+    order = np.lexsort((rows["at"], rows["tie"], rows["doc"], to))
+    rows, to = rows[order], to[order]
+    cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+    return to[cuts].tolist(), np.split(rows, cuts[1:]) if len(to) else []
+
+
 def _by_document(rows: np.ndarray, fields: list[str]) -> pa.Table:
     rows = rows[np.lexsort((rows["tie"], rows["doc"]))]
     heads = np.flatnonzero(np.append(True, (rows["doc"][1:] != rows["doc"][:-1]) | (rows["tie"][1:] != rows["tie"][:-1]))) if len(rows) else np.zeros(0, np.int64)
     packed = [np.stack([x[f] for f in fields], 1).tobytes() for x in np.split(rows, heads[1:])] if len(rows) else []
-    return pa.table({"doc": rows["doc"][heads], "tie": rows["tie"][heads].astype(np.int64), "packed": pa.array(packed, pa.binary())})
+    return pa.table({"doc": rows["doc"][heads], "tie": rows["tie"][heads], "packed": pa.array(packed, pa.binary())})
 
 
 def _to_documents(rows: np.ndarray, targets: int) -> pa.Table:
     """Rows packed by where their documents are gathered: few rows to send, however many documents there are."""
-    key = T.mix(rows["doc"].view(np.uint64) ^ rows["tie"].astype(np.uint64)) if len(rows) else np.zeros(0, np.uint64)
-    to = (key % np.uint64(targets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    rows, to = rows[order], to[order]
-    cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
-    parts = [x.tobytes() for x in np.split(rows, cuts[1:])] if len(to) else []
-    return pa.table({"to": pa.array(to[cuts], pa.int32()), "part": pa.array(parts, pa.binary())})
+    key = T.mix(rows["doc"].view(np.uint64) ^ rows["tie"].view(np.uint64)) if len(rows) else np.zeros(0, np.uint64)
+    to, parts = _cut_by(rows, (key % np.uint64(targets)).astype(np.int64))
+    return pa.table({"to": pa.array(to, pa.int32()), "n": pa.array([len(x) for x in parts], pa.int64()), "part": pa.array(map(_packed, parts), pa.binary())})
 
 
 def _gathered_documents(sent: DataFrame, kind: np.dtype, fields: list[str]) -> DataFrame:
     """``(doc, tie, packed)``: one row a document."""
 
     def gather(table: pa.Table) -> pa.Table:
-        return _by_document(np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column("part")]), fields)
+        return _by_document(np.concatenate([_unpacked(x.as_py(), kind) for x in table.column("part")]), fields)
 
     return sent.select("to", "part").groupBy("to").applyInArrow(gather, "doc bigint, tie bigint, packed binary")
 
@@ -262,16 +296,6 @@ def _sent(buckets: list[int], kind: int, parts: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([kind] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["bucket", "kind", "part"])
 
 
-def _dealt(rows: np.ndarray, kind: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows with a hash in their buckets, packed."""
-    to = _bucket(rows["hash"], buckets)
-    order = np.argsort(to, kind="stable")
-    rows, to = rows[order], to[order]
-    cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
-    if len(to):
-        yield _sent(to[cuts].tolist(), kind, [x.tobytes() for x in np.split(rows, cuts[1:])])
-
-
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((T.mix(hashes) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -289,7 +313,7 @@ def _met(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_anchors(keys: DataFrame, buckets: int, hot_places: int) -> DataFrame:
-    """Packed places (``to``, ``part``) of anchors that come at several places; and ``hot``: anchors that come at very many."""
+    """Packed places (``to``, ``n``, ``part``) of anchors that come at several places; and ``hot``: anchors that come at very many."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -300,12 +324,13 @@ def repeated_anchors(keys: DataFrame, buckets: int, hot_places: int) -> DataFram
             if not len(rows):
                 return
             if several.any():
-                yield _sent([int(rows["doc"][0] % buckets)], _SETTLED, [rows[several].tobytes()])
+                yield _sent([int(rows["doc"][0] % buckets)], _SETTLED, [_packed(rows[several][["doc", "tie", "at"]].astype(_AT))])
             head = np.append(True, rows["hash"][1:] != rows["hash"][:-1])
             firsts = rows[head].copy()
             firsts["at"] |= np.where(several[head], _KNOWN, np.uint32(0))
             firsts["places"] = np.diff(np.append(np.flatnonzero(head), len(rows)))
-            yield from _dealt(firsts, _UNITS, buckets)
+            to, parts = _cut_by(firsts, _bucket(firsts["hash"], buckets))
+            yield _sent(to, _UNITS, [_packed(x) for x in parts])
 
         for batch in batches:
             docs, ties = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
@@ -321,20 +346,18 @@ def repeated_anchors(keys: DataFrame, buckets: int, hot_places: int) -> DataFram
             yield from flush()
 
     def join(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_pylist()
-        parts = [np.frombuffer(x.as_py(), _ANCHOR) for x in table.column("part")]
-        empty = np.zeros(0, _ANCHOR)
-        rows, several = _met(np.concatenate([empty, *(p for p, k in zip(parts, kinds, strict=True) if k == _UNITS)]))
-        new = rows[several & ((rows["at"] & _KNOWN) == 0)]
-        found = _to_documents(np.concatenate([new, *(p for p, k in zip(parts, kinds, strict=True) if k == _SETTLED)]), buckets)
+        sent = list(zip(table.column("kind").to_pylist(), table.column("part"), strict=True))
+        rows, several = _met(np.concatenate([np.zeros(0, _ANCHOR), *(_unpacked(p.as_py(), _ANCHOR) for k, p in sent if k == _UNITS)]))
+        new = rows[several & ((rows["at"] & _KNOWN) == 0)][["doc", "tie", "at"]].astype(_AT)
+        found = _to_documents(np.concatenate([new, *(_unpacked(p.as_py(), _AT) for k, p in sent if k == _SETTLED)]), buckets)
         heads = np.flatnonzero(np.append(True, rows["hash"][1:] != rows["hash"][:-1])) if len(rows) else np.zeros(0, np.int64)
         places = np.add.reduceat(rows["places"].astype(np.int64), heads) if len(rows) else heads
         hot = rows["hash"][heads][places >= hot_places].view(np.int64)
-        more = pa.table({"to": pa.nulls(len(hot), pa.int32()), "part": pa.nulls(len(hot), pa.binary()), "hot": pa.array(hot)})
+        more = pa.table({"to": pa.nulls(len(hot), pa.int32()), "n": pa.nulls(len(hot), pa.int64()), "part": pa.nulls(len(hot), pa.binary()), "hot": pa.array(hot)})
         return pa.concat_tables([found.append_column("hot", pa.nulls(len(found), pa.int64())), more])
 
     dealt = keys.mapInArrow(deal, "bucket int, kind int, part binary")
-    return dealt.groupBy("bucket").applyInArrow(join, "to int, part binary, hot bigint")
+    return dealt.groupBy("bucket").applyInArrow(join, "to int, n bigint, part binary, hot bigint")
 
 
 def _gathered(data: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -355,34 +378,19 @@ def _unpacked_units(part: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(part, _UNIT, n, 8), np.frombuffer(part, np.uint8, offset=8 + n * _UNIT.itemsize)
 
 
-def _strings(units: np.ndarray, data: np.ndarray, number: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The wanted windows one by one, named by two hashes of their bytes."""
+def _singles(units: np.ndarray, data: np.ndarray, number: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The wanted windows as units of their own, named by the hash of their bytes, and where their bytes begin."""
     counts = units["count"].astype(np.int64)
     base = np.cumsum(counts + SIZE - 1) - (counts + SIZE - 1)
     at = np.flatnonzero(wanted)
     unit = np.repeat(np.arange(len(units)), counts)[at]
     step = at - number[unit]
-    start, prefix = base[unit] + step, T.prefix_hashes(data)
-    out = np.empty(len(at), _STRING)
-    out["hash"] = T.span_hashes(prefix, start, start + SIZE)
-    halves = T.span_hashes(prefix, start, start + SIZE // 2) * np.uint64(3) + T.span_hashes(prefix, start + SIZE // 2, start + SIZE)
-    out["other"] = T.mix(halves)
-    out["doc"], out["tie"], out["at"] = units["doc"][unit], units["tie"][unit], units["start"][unit] + step
-    return out
-
-
-def _string_repeats(rows: np.ndarray) -> np.ndarray:
-    """Ranges of strings that repeat an earlier place."""
-    out = np.zeros(0, _PLACE)
-    if not len(rows):
-        return out
-    rows = rows[np.lexsort((rows["at"], rows["tie"], rows["doc"], rows["other"], rows["hash"]))]
-    head = np.append(True, (rows["hash"][1:] != rows["hash"][:-1]) | (rows["other"][1:] != rows["other"][:-1]))
-    lead = rows[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    rows = rows[(rows["doc"] != lead["doc"]) | (rows["tie"] != lead["tie"]) | (rows["at"] != lead["at"])]
-    out = np.empty(len(rows), _PLACE)
-    out["doc"], out["tie"], out["at"], out["end"] = rows["doc"], rows["tie"], rows["at"], rows["at"] + SIZE
-    return out
+    begin = base[unit] + step
+    out = units[unit].copy()
+    out["hash"] = T.span_hashes(T.prefix_hashes(data), begin, begin + SIZE)
+    out["start"] += step.astype(np.uint32)
+    out["count"], out["back"] = 1, 0
+    return out, begin
 
 
 def covered(marked: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
@@ -398,19 +406,16 @@ def covered(marked: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             number, flags = repeats(units, data)
             done = _cut(units, number, flags)
             if len(done):
-                yield _sent([int(units["doc"][0] % buckets)], _SETTLED, [done.tobytes()])
-            often = np.isin(units["hash"], shared.value)
-            if often.any():
-                yield from _dealt(_strings(units, data, number, ~flags & np.repeat(often, units["count"])), _STRINGS, buckets)
-                flags = flags | np.repeat(often, units["count"])
+                yield _sent([int(units["doc"][0] % buckets)], _SETTLED, [_packed(done)])
+            often = np.repeat(np.isin(units["hash"], shared.value), units["count"])
+            single, own = _singles(units, data, number, ~flags & often)
+            flags = flags | often
             # what is left of each unit: from its first to its last window that is not settled
             counts = units["count"].astype(np.int64)
             open_ = np.flatnonzero(~flags)
             unit = np.repeat(np.arange(len(units)), counts)[open_]
-            if not len(unit):
-                return
-            head = np.append(True, unit[1:] != unit[:-1])
-            first, last = open_[head], open_[np.append(np.flatnonzero(head)[1:], len(open_)) - 1]
+            head = np.append(True, unit[1:] != unit[:-1])[: len(unit)]
+            first, last = open_[head], open_[np.append(np.flatnonzero(head)[1:], len(open_))[: head.sum()] - 1]
             unit = unit[head]
             skip = first - number[unit]
             base = np.cumsum(counts + SIZE - 1) - (counts + SIZE - 1)
@@ -418,7 +423,10 @@ def covered(marked: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             left["start"] += skip.astype(np.uint32)
             left["back"] -= skip.astype(np.uint16)
             left["count"] = last - first + 1
-            begin, size = base[unit] + skip, last - first + SIZE
+            begin, size = np.append(base[unit] + skip, own), np.append(last - first + SIZE, np.full(len(own), SIZE))
+            left = np.append(left, single)
+            if not len(left):
+                return
             to = _bucket(left["hash"], buckets)
             order = np.argsort(to, kind="stable")
             left, begin, size, to = left[order], begin[order], size[order], to[order]
@@ -447,35 +455,32 @@ def covered(marked: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             yield from flush()
 
     def join(table: pa.Table) -> pa.Table:
-        done, units, data, strings = [np.zeros(0, _PLACE)], [np.zeros(0, _UNIT)], [np.zeros(0, np.uint8)], [np.zeros(0, _STRING)]
+        done, units, data = [np.zeros(0, _PLACE)], [np.zeros(0, _UNIT)], [np.zeros(0, np.uint8)]
         for part, kind in zip(table.column("part"), table.column("kind").to_pylist(), strict=True):
             if kind == _SETTLED:
-                done.append(np.frombuffer(part.as_py(), _PLACE))
-            elif kind == _STRINGS:
-                strings.append(np.frombuffer(part.as_py(), _STRING))
+                done.append(_unpacked(part.as_py(), _PLACE))
             else:
                 own = _unpacked_units(part.as_py())
                 units.append(own[0])
                 data.append(own[1])
         units, data = np.concatenate(units), np.concatenate(data)
-        return _to_documents(np.concatenate([*done, _cut(units, *repeats(units, data)), _string_repeats(np.concatenate(strings))]), buckets)
+        return _to_documents(np.concatenate([*done, _cut(units, *repeats(units, data))]), buckets)
 
     dealt = marked.mapInArrow(deal, "bucket int, kind int, part binary")
-    found = dealt.groupBy("bucket").applyInArrow(join, "to int, part binary")
+    found = dealt.groupBy("bucket").applyInArrow(join, "to int, n bigint, part binary")
     return _gathered_documents(found, _PLACE, ["at", "end"])
 
 
 def _kept(data: bytes, packed: bytes) -> tuple[bytes, int, list[tuple[int, int]]]:
     """Bytes that stay, how many go, and the maximal removed runs."""
     ranges = np.frombuffer(packed, "<u4").reshape(-1, 2).astype(np.int64)
-    change = np.zeros(len(data) + 2, np.int64)
-    np.add.at(change, ranges[:, 0] + 1, 1)
-    np.add.at(change, ranges[:, 1] + 1, -1)
-    gone = np.cumsum(change) > 0
-    edges = np.diff(gone.astype(np.int8))
-    runs = list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
-    gone = gone[1:-1]
-    return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
+    ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(ranges[:, 1])
+    head = np.append(True, ranges[1:, 0] > reach[:-1])
+    runs = list(zip(ranges[head, 0].tolist(), reach[np.append(np.flatnonzero(head)[1:], len(ranges)) - 1].tolist(), strict=True))
+    borders = [0, *(x for run in runs for x in run), len(data)]
+    kept = b"".join(data[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True))
+    return kept, len(data) - len(kept), runs
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -485,16 +490,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     per_anchor = (SIZE - GRAM + 2) / 2
     total = int(size / per_anchor)
     found = written(repeated_anchors(keys, max(1, -(-total // BUCKET_ANCHORS)), max(HOT_PLACES, total // MOST_HOT)), "suffix-anchors")
-    if size >= SETTLE_BYTES:
-        settled(docs.sparkSession)
     hot = np.sort(found.filter("hot is not null").select("hot").distinct().toArrow().column("hot").to_numpy().view(np.uint64))
-    places = found.agg(F.coalesce(F.sum(F.octet_length("part")), F.lit(0))).first()[0] // _ANCHOR.itemsize
-    marked = _gathered_documents(found.filter("part is not null"), _ANCHOR, ["at"])
+    places = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    marked = _gathered_documents(found.filter("part is not null"), _AT, ["at"])
     cover = written(covered(keys.join(marked, ["doc", "tie"]), max(1, -(-int(places * (per_anchor + SIZE)) // CONTEXT_BYTES)), hot), "suffix-cover")
-    if size >= SETTLE_BYTES:
-        settled(docs.sparkSession)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), keyed_column(id_col, "doc"), F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tie"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), keyed_column(id_col, "doc"), tie_column(text_col), F.col(text_col).alias("_text"))
     last = rows.join(cover, ["doc", "tie"], "left").select("doc_id", F.coalesce("_text", F.lit("")).alias("_text"), "packed")
     key = last.schema["doc_id"].dataType.simpleString()
 
@@ -516,5 +517,3 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def digest(cleaned: DataFrame) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
