@@ -9,26 +9,30 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
    (prefix filter), so sets meet in tiles, one for each prefix shingle.
 3. Bitmaps (parities of hashed shingles, at least two bits a shingle) bound the overlap of two sets from
    above. Small tiles give pairs of fitting sizes, which are tested one by one. Large tiles are cut into
-   bands of sizes and blocks; the bitmaps of blocks that can link meet in one task, which returns a
-   star for each group that they connect. Every link is within a cluster of what passed.
-4. A cluster is a cell, or a grid of cells by blocks if it is large. The texts of a cell meet in one
-   task: sets, bitmaps, then exact intersection of sorted arrays, leaving out pairs already connected
-   there. It too returns stars, so a group of thousands of near copies isn't expanded into its pairs.
+   groups of neighbouring bands of sizes, whose bitmaps meet. Every link is within a cluster of what passed.
+4. The texts of a cluster meet: sets, bitmaps, then exact intersection of sorted arrays, leaving out
+   pairs that are connected already. Tasks return stars, so a group of thousands of near copies isn't
+   expanded into its pairs.
 5. Components of all links come from large-star/small-star rounds.
 
+In steps 3 and 4 a group of up to ``BLOCK`` sets meets in one task. A larger one is cut into blocks, and
+each meets with a few pivots, which most near copies link to: their number grows with the group, not
+with its square. What this leaves outside the group's largest component then meets every block.
+
 Sets are identified by 64-bit hashes of their content; a second hash finds two sets with one
 identity, and the pass is then repeated with another seed.
 
 Cases: a text without words, or null, has the empty set and is its own component; fewer than five
 words count as one shingle; a null ``doc_id`` takes part, and is a component's id only where no
 member has one; repeated rows get equal results; an empty table gives no rows; other columns are
-ignored by ``similar_documents``.
+ignored by ``similar_documents`` and passed on by ``keep_one``. Rows are told apart by id and a 64-bit
+hash of the text.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +51,10 @@ SHINGLE = 5
 FREQUENT_COUNT, FREQUENT_SHARE = 24, 0.0005
 #: Prefix shingles that one bucket's task holds, about.
 BUCKET_ELEMENTS = 400_000
-#: Tiles of up to this many sets give pairs; larger ones are cut into blocks of BLOCK sets.
-SMALL_TILE, BLOCK = 24, 1024
+#: Tasks that buckets are dealt to at most.
+BUCKET_TASKS = 16_384
+#: Tiles of up to this many sets give pairs; sets of a block; pivots of a group of several blocks, about.
+SMALL_TILE, BLOCK, PIVOTS = 24, 1024, 16
 
 _ELEMENT = np.dtype([("hash", "<u8"), ("node", "<i8"), ("n", "<u4")])
 
@@ -100,9 +106,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, i
 
 
 def _measured(source: DataFrame, seed: int) -> DataFrame:
-    """Rows of documents (doc_id, n_shingles, node, twin) and rows of locally frequent shingles (shingle, found)."""
+    """Rows of documents (doc_id, tie, n_shingles, node, twin) and rows of locally frequent shingles (shingle, found)."""
     key = source.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_shingles", "node", "twin", "shingle", "found"]
+    names = ["doc_id", "tie", "n_shingles", "node", "twin", "shingle", "found"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -114,21 +120,21 @@ def _measured(source: DataFrame, seed: int) -> DataFrame:
             often = counts >= 3
             values, counts = values[often].view(np.int64), counts[often].astype(np.int64)
             empty = pa.nulls(len(values), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.nulls(len(values), kind), empty, empty, empty, pa.array(values), pa.array(counts)], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(values), kind), empty, empty, empty, empty, pa.array(values), pa.array(counts)], names)
 
         for batch, first, sets in _sets(batches):
             kind = batch.column("doc_id").type
             identities = [_identity(s, seed) if len(s) else (None, None) for s in sets]
             nodes, twins = zip(*identities, strict=True)
             empty = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(twins, pa.int64()), empty, empty], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(sets)), batch.column("tie").slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(twins, pa.int64()), empty, empty], names)
             held += sets
             if sum(map(len, held)) > 500_000:
                 yield frequent()
         if held:
             yield frequent()
 
-    return source.mapInArrow(measure, f"doc_id {key}, n_shingles bigint, node bigint, twin bigint, shingle bigint, found bigint")
+    return source.mapInArrow(measure, f"doc_id {key}, tie bigint, n_shingles bigint, node bigint, twin bigint, shingle bigint, found bigint")
 
 
 def _prefixes(source: DataFrame, frequent: tuple[np.ndarray, np.ndarray], seed: int) -> DataFrame:
@@ -246,31 +252,39 @@ def _near(n: np.ndarray, maps: list[np.ndarray]) -> list[np.ndarray]:
     return near
 
 
-def _block_groups(table: pa.Table) -> pa.Table:
-    """What the bitmaps of the sets that meet in one task connect, as a star for each group."""
+def _known(labels: np.ndarray) -> np.ndarray:
+    """For each set the first one with its label: what is connected already."""
+    _, first, own = np.unique(labels, return_index=True, return_inverse=True)
+    return first[own]
+
+
+def _stars(nodes: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.Table:
+    """Links that take the connections before to those after."""
+    new = np.unique(np.stack([before, after], 1)[before != after], axis=0)
+    return pa.table({"a": pa.array(nodes[new[:, 0]], pa.int64()), "b": pa.array(nodes[new[:, 1]], pa.int64())})
+
+
+def _bitmap_links(table: pa.Table) -> pa.Table:
+    """What the bitmaps of the sets that meet in one task connect."""
     nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
     maps = [np.frombuffer(table.column("bitmap")[i].as_py(), "<u8") for i in first.tolist()]
-    root = np.arange(len(nodes))
+    before = _known(table.column("label").to_numpy()[first])
+    root = before.copy()
     for i, others in enumerate(_near(table.column("n").to_numpy()[first], maps)):
         joined = np.unique(root[np.append(others, i)])
         if len(joined) > 1:
             root[np.isin(root, joined)] = joined[0]
-    far = np.flatnonzero(root != np.arange(len(root)))
-    return pa.table({"a": pa.array(nodes[far], pa.int64()), "b": pa.array(nodes[root[far]], pa.int64())})
+    return _stars(nodes, before, root)
 
 
-def _block_links(table: pa.Table, seed: int) -> pa.Table:
+def _text_links(table: pa.Table) -> pa.Table:
     """Links among the sets that meet in one task, as a star for each component."""
-    table = table.combine_chunks()
-    every = [s for _, data, offsets in T.slices(table.column("text").chunk(0)) for s in T.shingle_sets(data, offsets, SHINGLE)] if len(table) else []
-    given = table.column("node").to_numpy()
-    # an id may stand for several texts; only those with the set that was asked for count
-    right = np.array([len(s) > 0 and _identity(s, seed)[0] == node for s, node in zip(every, given.tolist(), strict=True)], bool)
-    own = np.flatnonzero(right)
-    nodes, first = np.unique(given[own], return_index=True)
-    sets = [every[i] for i in own[first].tolist()]
+    nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
+    own = table.select(["text", "label"]).take(pa.array(first)).combine_chunks()
+    sets = [s for _, data, offsets in T.slices(own.column("text").chunk(0)) for s in T.shingle_sets(data, offsets, SHINGLE)] if len(nodes) else []
+    before = _known(own.column("label").to_numpy())
+    root = before.copy()
     near = _near(np.array([len(s) for s in sets]), [_bitmap(s) for s in sets])
-    root = np.arange(len(sets))
     count = [len(x) for x in near]
     left, right = np.repeat(np.arange(len(sets)), count), np.concatenate([np.zeros(0, np.int64), *near])
     left, right = np.append(left, right), np.append(right, left)
@@ -288,55 +302,65 @@ def _block_links(table: pa.Table, seed: int) -> pa.Table:
                 root[root == high] = low
             else:
                 tried.add(pair)
-    far = np.flatnonzero(root != np.arange(len(root)))
-    return pa.table({"a": pa.array(nodes[far], pa.int64()), "b": pa.array(nodes[root[far]], pa.int64())})
+    return _stars(nodes, before, root)
 
 
-def _in_cells(members: DataFrame) -> DataFrame:
-    """Members of large tiles and the cells, pairs of blocks, that they are part of."""
+def _tile_groups(members: DataFrame) -> DataFrame:
+    """``(group, node)``: members of large tiles, by neighbouring bands of sizes where a tile is more than a block."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / THRESHOLD) * 1.000001)).cast("int")
     banded = members.withColumn("band", band)
-    counts = banded.groupBy("tile", "band").agg(F.count("*").alias("rows"))
-    blocks = F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int"))))
-    tiles = counts.groupBy("tile").agg(blocks.alias("of"), F.sum("rows").alias("rows"))
-    placed = banded.join(tiles, "tile").withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")[F.col("band")]).cast("int"))
-
-    def cells(other, key):
-        count = F.coalesce(F.col("of")[other], F.lit(0))
-        return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda t: t < count), key)
-
-    own, block = F.col("band"), F.col("block")
-    key = lambda b, s, c, t: F.concat_ws(":", b, s, c, t)
-    every = F.concat(
-        cells(own, lambda t: key(own, F.least(block, t), own, F.greatest(block, t))),
-        cells(own + 1, lambda t: key(own, block, own + 1, t)),
-        cells(own - 1, lambda t: key(own - 1, t, own, block)),
+    tiles = banded.groupBy("tile").agg(F.count("*").alias("rows"), F.collect_set("band").alias("bands"))
+    key = lambda b: F.concat_ws(":", "tile", b)
+    own = F.array(key(F.col("band")))
+    several = F.when(F.array_contains("bands", F.col("band") - 1), F.concat(own, F.array(key(F.col("band") - 1)))).otherwise(own)
+    group = F.explode(F.when(F.col("rows") <= BLOCK, F.array(key(F.lit("")))).otherwise(several))
+    return banded.join(tiles, "tile").select(group.alias("group"), "node")
+
+
+def _linked(members: DataFrame, payload: DataFrame, kernel: Callable[[pa.Table], pa.Table], name: str) -> DataFrame:
+    """Links ``(a, b)`` that ``kernel`` finds among the sets of each group; every pair of a group's sets has
+    met or is connected by links that are returned. ``members``: (group, node); ``payload``: (node, ...)."""
+    sizes = members.groupBy("group").agg(F.count("*").alias("rows"))
+    placed = written(members.join(sizes, "group"), f"{name}-members")
+    spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+
+    def met(cells: DataFrame, step: str) -> DataFrame:
+        return written(cells.join(payload, "node").groupBy("cell").applyInArrow(kernel, "a bigint, b bigint"), f"{name}-{step}")
+
+    own = blocks(F.col("rows"))
+    pivot = (own > 1) & (F.pmod(F.xxhash64("node", F.lit("pivot")), F.col("rows")) < PIVOTS)
+    dealt = placed.select("group", "node", F.explode(F.when(pivot, upto(own)).otherwise(F.array(spread(own)))).alias("block"))
+    first = met(dealt.select(F.concat_ws(":", "group", "block").alias("cell"), "node", F.col("node").alias("label")), "links")
+    large = placed.filter(F.col("rows") > BLOCK)
+    if large.isEmpty():
+        return first
+    labels = written(components(first), f"{name}-labels").withColumnRenamed("root", "label")
+    labelled = written(large.join(labels, "node", "left").select("group", "node", F.coalesce("label", "node").alias("label")), f"{name}-labelled")
+    counts = labelled.groupBy("group", "label").agg(F.count("*").alias("n"))
+    groups = counts.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    apart = groups.filter("most < all").select("group", "main", blocks(F.col("most")).alias("inner"), blocks(F.col("all") - F.col("most")).alias("outer"))
+    outer, inner = spread(F.col("outer")), spread(F.col("inner"))
+    cell = lambda *parts: F.concat_ws(":", "group", *parts)
+    outside = F.concat(
+        F.transform(upto(F.col("outer")), lambda t: cell(F.lit("o"), F.least(outer, t), F.greatest(outer, t))),
+        F.transform(upto(F.col("inner")), lambda t: cell(F.lit("i"), outer, t)),
     )
-    cell = F.explode(F.when(F.col("rows") <= BLOCK, F.array(F.lit(""))).otherwise(every))
-    return placed.select("node", "tile", cell.alias("cell")).select("node", F.concat_ws(":", "tile", "cell").alias("cell"))
-
+    inside = F.transform(upto(F.col("outer")), lambda t: cell(F.lit("i"), t, inner))
+    rest = labelled.join(apart, "group").select("node", "label", F.explode(F.when(F.col("label") == F.col("main"), inside).otherwise(outside)).alias("cell"))
+    return first.unionByName(met(rest, "rest"))
 
-def _cluster_cells(passed: DataFrame) -> DataFrame:
-    """Sets of clusters and their cells; any two sets of a cluster are together in one of its cells."""
-    clusters = written(components(passed), "set-clusters")
-    blocks = clusters.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = clusters.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = placed.select("node", "root", "block", other.alias("other"))
-    return paired.select("node", F.concat_ws(":", "root", F.least("block", "other"), F.greatest("block", "other")).alias("cell"))
 
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: doc_id, n_shingles, component_id (smallest id reachable), node (its set)."""
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _classes(source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, tie, n_shingles, node) and sets (node, root, component_id, first)."""
     seed = 0
     while True:
         measured = written(_measured(source, seed), "sets-measured")
-        documents = measured.filter("shingle is null").select("doc_id", "n_shingles", "node", "twin")
-        classes = written(documents.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("smallest"), F.min("twin").alias("_t"), F.max("twin").alias("_u")), "set-classes")
-        totals = classes.agg(F.count(F.when(F.col("_t") != F.col("_u"), 1))).first()
-        if not totals[0]:
+        documents = measured.filter("shingle is null").select("doc_id", "tie", "n_shingles", "node", "twin")
+        key = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
+        classes = written(documents.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("smallest"), key, F.min("twin").alias("_t"), F.max("twin").alias("_u")), "set-classes")
+        if classes.filter("_t <> _u").isEmpty():
             break
         seed += 1
     rows, elements = documents.agg(F.count("*"), F.coalesce(F.sum(F.col("n_shingles") - F.ceil(F.col("n_shingles") * THRESHOLD / 100) + 1), F.lit(0))).first()
@@ -347,44 +371,60 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     prefixes = written(_prefixes(source, (hashes[order], counts[order]), seed), "set-prefixes")
     buckets = max(1, -(-int(elements) // BUCKET_ELEMENTS))
-    tiles = written(_elements(prefixes, buckets).groupBy("bucket").applyInArrow(_tiles, "large boolean, a bigint, b bigint, n int"), "set-tiles")
+    # dealt to a stated number of tasks, which aren't coalesced
+    dealt = _elements(prefixes, buckets).repartition(min(buckets, BUCKET_TASKS), "bucket")
+    tiles = written(dealt.groupBy("bucket").applyInArrow(_tiles, "large boolean, a bigint, b bigint, n int"), "set-tiles")
 
     bitmaps = prefixes.select("node", "n", "bitmap").dropDuplicates(["node"])
     side = lambda s: bitmaps.select(*[F.col(c).alias(f"{c}_{s}" if c != "node" else s) for c in bitmaps.columns])
     pairs = tiles.filter("not large").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
     members = tiles.filter("large").select(F.col("a").alias("tile"), F.col("b").alias("node"), "n").distinct()
-    blocks = _in_cells(members).join(bitmaps, "node").groupBy("cell").applyInArrow(_block_groups, "a bigint, b bigint")
-    passed = written(pairs.mapInArrow(_bitmaps_pass, "a bigint, b bigint").unionByName(blocks), "set-pairs")
+    passed = written(pairs.mapInArrow(_bitmaps_pass, "a bigint, b bigint"), "set-pairs")
+    if not members.isEmpty():
+        passed = passed.unionByName(_linked(_tile_groups(members), bitmaps, _bitmap_links, "tile"))
+    plain = classes.select("node", F.col("node").alias("root"), F.col("smallest").alias("component_id"), "first")
     if passed.isEmpty():
-        cells = passed.select(F.col("a").alias("node"), F.lit("").alias("cell"))
-    else:
-        cells = written(_cluster_cells(passed), "set-cells")
-    wanted = cells.select("node").distinct()
-    ids = documents.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id"))
-    texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-    met = cells.join(texts, "node").groupBy("cell").applyInArrow(lambda table: _block_links(table, seed), "a bigint, b bigint")
-    links = written(met, "set-links")
-
+        return documents, plain
+    clusters = written(components(passed), "set-clusters")
+    firsts = clusters.select("node").join(classes, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie"))
+    texts = source.join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).select("node", "text").dropDuplicates(["node"])
+    links = _linked(clusters.select(F.col("root").cast("string").alias("group"), "node"), texts, _text_links, "set")
     if links.isEmpty():
-        named = classes.select("node", F.col("smallest").alias("_component"))
-    else:
-        roots = components(links)
-        least = roots.join(classes, "node").groupBy("root").agg(F.min("smallest").alias("_component"))
-        linked = written(roots.join(least, "root").select("node", "_component"), "set-components")
-        named = classes.join(linked, "node", "left").select("node", F.coalesce("_component", "smallest").alias("_component"))
-    joined = documents.join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), "node")
+        return documents, plain
+    roots = components(links)
+    least = roots.join(classes, "node").groupBy("root").agg(F.min("smallest").alias("component_id"), F.min("first").alias("first"))
+    linked = written(roots.join(least, "root"), "set-components")
+    alone = plain.join(linked, "node", "left_anti")
+    return documents, alone.unionByName(linked.select(*alone.columns))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of similar ones: the one with the smallest id.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("tie"), F.col(f"`{text_col}`").alias("text"))
+
 
-    Of rows with one id, one stays where they are similar. Rows without an id go where a similar row has one.
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document: doc_id, n_shingles, component_id (smallest id reachable), node (its set)."""
+    documents, classes = _classes(_rows(docs, id_col, text_col))
+    columns = ["doc_id", "n_shingles", "component_id", "node"]
+    # documents without a set would all meet under one key
+    none = documents.filter("node is null").withColumn("component_id", F.col("doc_id")).select(*columns)
+    return documents.filter("node is not null").join(classes.select("node", "component_id"), "node").select(*columns).unionByName(none)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of similar ones: the one with the smallest id, of several such
+    the one with the least hash of its text, of equal rows any. A row without an id stays only where no
+    similar one has an id. Rows without words all stay.
     """
-    found = written(similar_documents(docs, id_col, text_col), "similar")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "node").distinct()
-    several = not found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    ids = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    out = docs.join(ids, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
-    return out.dropDuplicates([id_col, text_col]) if several else out
+    documents, classes = _classes(_rows(docs, id_col, text_col))
+    keys = documents.filter("node is not null").groupBy("doc_id", "tie").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))
+    judged = written(keys.join(classes.select("node", "first"), "node").select("doc_id", "tie", "n", own.alias("stays")).filter("not stays or n > 1"), "set-judged")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(f"`{text_col}`").alias("_tie"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie"))
+    kept = rows.join(judged.select("doc_id", "tie"), same, "left_anti").select("_row")
+    again = judged.filter("stays")
+    if not again.isEmpty():
+        repeated = rows.join(again.select("doc_id", "tie"), same, "left_semi").dropDuplicates(["_id", "_tie"])
+        kept = kept.unionByName(repeated.select("_row"))
+    return kept.select("_row.*")
