@@ -11,12 +11,14 @@ import os
 import re
 import sys
 from array import array
-from itertools import islice
 
 import numpy as np
 
-#: Chunks remembered by a worker; the older half goes when it is full, which costs time and no ids.
-CACHE_CHUNKS = 1_000_000
+#: Bytes of known chunks that a worker holds, about: two generations of half of it, of which the older
+#: one goes when the younger is full. What is forgotten costs time and no ids.
+CACHE_BYTES = 256 << 20
+#: Bytes of a dictionary's entry, its key and its value beside their contents, about.
+_ENTRY_BYTES = 150
 #: Chunks longer than this are encoded each time they come.
 CACHE_CHUNK_CHARS = 64
 
@@ -46,6 +48,8 @@ class ChunkEncoder:
         self._model = self._tokenizer.model
         self._letters = _byte_letters()
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._room = CACHE_BYTES // 2
         self._by_chunk = sys.byteorder == "little" and array("I").itemsize == 4 and self._agrees()
 
     def _encode(self, text: str) -> bytes:
@@ -57,28 +61,43 @@ class ChunkEncoder:
         together = b"".join(map(self._encode, sample))
         return self._encode(" ".join(sample)) == self._encode("\n\t".join(sample)) == together == b"".join(map(self._learn, sample))
 
+    def _recall(self, piece: str) -> bytes | None:
+        """Ids of a piece from either generation; the older one's are taken over."""
+        ids = self._known.get(piece)
+        if ids is None and (ids := self._older.get(piece)) is not None:
+            self._remember(piece, ids)
+        return ids
+
+    def _remember(self, piece: str, ids: bytes) -> None:
+        if len(piece) > CACHE_CHUNK_CHARS:
+            return
+        self._known[piece] = ids
+        self._room -= _ENTRY_BYTES + len(piece) + len(ids)
+        if self._room < 0:
+            self._older, self._known, self._room = self._known, {}, CACHE_BYTES // 2
+
     def _learn(self, chunk: str) -> bytes:
         plain = _PLAIN.fullmatch(chunk)
         if not plain:
             return self._encode(chunk)
         stem, rest = plain.groups()
         stem = stem.lower()
-        ids = self._known.get(stem)
+        ids = self._recall(stem)
         if ids is None:
             letters = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self._letters)
             ids = array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
-            if len(stem) <= CACHE_CHUNK_CHARS:
-                self._known[stem] = ids
+            self._remember(stem, ids)
         if not rest:
             return ids
-        tail = self._known.get(rest)
+        tail = self._recall(rest)
         if tail is None:
-            tail = self._known[rest] = self._encode(rest)
+            tail = self._encode(rest)
+            self._remember(rest, tail)
         return ids + tail
 
     def forget(self) -> None:
         """Give the memory of known chunks back, for workers that go on to other work."""
-        self._known.clear()
+        self._known, self._older, self._room = {}, {}, CACHE_BYTES // 2
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -87,21 +106,18 @@ class ChunkEncoder:
             return self._encode(text)
         # str.split also parts at four separators that the vocabulary's pattern takes for text
         chunks = _GAP.findall(text) if _SEPARATORS.search(text) else text.split()
-        known = self._known
-        if len(known) > CACHE_CHUNKS:
-            for chunk in list(islice(known, CACHE_CHUNKS // 2)):
-                del known[chunk]
-        ids = list(map(known.get, chunks))
+        ids = list(map(self._known.get, chunks))
         at = -1
         try:
             while True:
                 at = ids.index(None, at + 1)
                 chunk = chunks[at]
-                new = known.get(chunk)
+                new = self._known.get(chunk)
                 if new is None:
-                    new = self._learn(chunk)
-                    if len(chunk) <= CACHE_CHUNK_CHARS:
-                        known[chunk] = new
+                    new = self._older.get(chunk)
+                    if new is None:
+                        new = self._learn(chunk)
+                    self._remember(chunk, new)
                 ids[at] = new
         except ValueError:
             return b"".join(ids)

@@ -97,7 +97,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                 taken, *values = zip(*rows, strict=True)
                 arrays = [batch.column(0).take(pa.array(taken, pa.int64()))] + [pa.array(v, pa.int64()) for v in values[:4]]
                 yield pa.RecordBatch.from_arrays(arrays + ([pa.array(values[4], pa.binary())] if with_ids else []), ["doc_id", *columns] + ["ids"] * with_ids)
-        encode.forget()
 
     return source.mapInArrow(cut, schema)
 

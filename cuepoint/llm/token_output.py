@@ -3,8 +3,9 @@
 Documents are sorted by id across the cluster; each task encodes its range and cuts it into shards of
 about ``shard_tokens`` ids. Within a shard frequent neighbouring pairs are replaced by nonterminals,
 round after round, until no pair comes often enough or the symbols are used up. A shard keeps its
-rules, the expansion length of each rule and the length of each document, so a single document can be
-decoded without its neighbours. Shards are rows of a Parquet table, which gives them the atomic
+rules, the expansion length of each rule, where each document begins and how many ids come before each
+block of symbols. A document is found by two binary searches, and only the symbols that it touches are
+expanded, from the top down and without what lies outside it. Shards are rows of a Parquet table, which gives them the atomic
 commit and the retries of Spark's own writer on any store.
 
 Cases: a null or empty text is the end id alone; null ``doc_id`` sort last; rows with equal ids sort
@@ -27,7 +28,11 @@ from pyspark.sql import functions as F
 from ._tokens import encoder
 
 _HEADER = struct.Struct("<4sBIIQQ")  # magic, symbol bytes, first nonterminal, rules, documents, symbols
-_MAGIC = b"CPRP"
+_MAGIC = b"CPR2"
+#: Symbols of a block, before each of which a shard keeps the number of ids.
+BLOCK_SYMBOLS = 1024
+#: Ids of the longest expansions that a reader holds as a table, which is at most this often as large as the rules.
+TABLE_IDS = 64
 #: A pair is replaced while it comes this often in its shard.
 MIN_PAIR_COUNT = 8
 #: Most nonterminals that one round adds; counts are taken anew after each round.
@@ -94,8 +99,10 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     pairs = np.concatenate(rules) if rules else np.zeros(0, key)
     left, right = (pairs >> key(8 * text.itemsize)).astype(symbol), pairs.astype(symbol)
     sizes = _expansion_lengths(left, right, base)
+    begins = np.append(0, np.cumsum(lengths))
+    whole = np.append(0, np.cumsum(np.where(text < base, 1, sizes[np.maximum(text.astype(np.int64) - base, 0)] if made else 1)))
     head = _HEADER.pack(_MAGIC, text.itemsize, base, made, len(lengths), len(text))
-    return b"".join([head, left.tobytes(), right.tobytes(), sizes.astype("<u4").tobytes(), lengths.astype("<u8").tobytes(), text.tobytes()])
+    return b"".join([head, left.tobytes(), right.tobytes(), sizes.astype("<u4").tobytes(), begins.astype("<u8").tobytes(), whole[:: BLOCK_SYMBOLS].astype("<u8").tobytes(), text.tobytes()])
 
 
 def _levels(left: np.ndarray, right: np.ndarray, base: int) -> Iterator[slice]:
@@ -116,8 +123,16 @@ def _expansion_lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.nda
     return sizes[base:]
 
 
+def _gathered(text: np.ndarray, sizes: np.ndarray, begins: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The expansions of a run of symbols, one after the other."""
+    own = sizes[text]
+    at = np.repeat(begins[text] - (np.cumsum(own) - own), own)
+    at += np.arange(len(at))
+    return flat[at]
+
+
 class Shard:
-    """A compressed shard read back."""
+    """A compressed shard read back; nothing is expanded before it is asked for."""
 
     def __init__(self, payload: bytes):
         magic, width, self.base, rules, documents, symbols = _HEADER.unpack_from(payload)
@@ -125,44 +140,60 @@ class Shard:
             raise ValueError("not a shard of token ids")
         symbol, at = f"<u{width}", _HEADER.size
         parts = []
-        for kind, n in ((symbol, rules), (symbol, rules), ("<u4", rules), ("<u8", documents), (symbol, symbols)):
+        for kind, n in ((symbol, rules), (symbol, rules), ("<u4", rules), ("<u8", documents + 1), ("<u8", symbols // BLOCK_SYMBOLS + 1), (symbol, symbols)):
             parts.append(np.frombuffer(payload, kind, n, at))
             at += parts[-1].nbytes
-        self.left, self.right, self.sizes, self.lengths, self.text = parts
-
-    def _expand(self, text: np.ndarray) -> np.ndarray:
-        """All ids of a run of symbols, through a flat table of every symbol's expansion."""
-        if not hasattr(self, "_flat"):
-            self._all_sizes = np.concatenate([np.ones(self.base, np.int64), self.sizes.astype(np.int64)])
-            self._begins = np.cumsum(self._all_sizes) - self._all_sizes
-            self._flat = np.empty(int(self._all_sizes.sum()), np.uint32)
-            self._flat[: self.base] = np.arange(self.base)
+        self.left, self.right, self.sizes, self.begins, self.before, self.text = parts
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(sizes, begins, flat)``: expansions of all symbols of up to ``TABLE_IDS`` ids, size 0 for others."""
+        if not hasattr(self, "_short"):
+            short = self.sizes <= TABLE_IDS
+            sizes = np.concatenate([np.ones(self.base, np.int64), np.where(short, self.sizes, 0)])
+            begins = np.cumsum(sizes) - sizes
+            flat = np.empty(int(sizes.sum()), "<u4")
+            flat[: self.base] = np.arange(self.base)
             for level in _levels(self.left, self.right, self.base):
-                at = int(self._begins[self.base + level.start])
-                grown = self._gathered(np.stack([self.left[level], self.right[level]], 1).ravel())
-                self._flat[at : at + len(grown)] = grown
-        return self._gathered(text)
-
-    def _gathered(self, text: np.ndarray) -> np.ndarray:
-        sizes = self._all_sizes[text]
-        ends = np.cumsum(sizes)
-        at = np.repeat(self._begins[text] - (ends - sizes), sizes)
-        at += np.arange(len(at))
-        return self._flat[at]
+                own = np.arange(level.start, level.stop)[short[level]]
+                if len(own):
+                    grown = _gathered(np.stack([self.left[own], self.right[own]], 1).ravel(), sizes, begins, flat)
+                    at = int(begins[self.base + own[0]])
+                    flat[at : at + len(grown)] = grown
+            self._short = sizes, begins, flat
+        return self._short
+
+    def _expand(self, text: np.ndarray, skip: int, length: int) -> np.ndarray:
+        """``length`` ids of a run of symbols, the first ``skip`` left out; long symbols are opened from the top
+        down and only where something of them is asked for."""
+        short = self._table()
+        while True:
+            rule = text.astype(np.int64) - self.base
+            inner = np.flatnonzero(rule >= 0)
+            inner = inner[self.sizes[rule[inner]] > TABLE_IDS]
+            if not len(inner):
+                return _gathered(text, *short)[skip : skip + length]
+            sizes = short[0][text]
+            sizes[inner] = self.sizes[rule[inner]]
+            ends = np.cumsum(sizes)
+            first, last = int(np.searchsorted(ends, skip, "right")), int(np.searchsorted(ends, skip + length, "left")) + 1
+            skip -= int(ends[first - 1]) if first else 0
+            text, rule = text[first:last], rule[first:last]
+            inner = inner[(inner >= first) & (inner < last)] - first
+            times = np.ones(len(text), np.int64)
+            times[inner] = 2
+            at = inner + np.arange(len(inner))
+            text = np.repeat(text, times)
+            text[at], text[at + 1] = self.left[rule[inner]], self.right[rule[inner]]
 
     def ids(self) -> np.ndarray:
-        return self._expand(self.text)
+        return self._expand(self.text, 0, int(self.begins[-1]))
 
     def document(self, i: int) -> np.ndarray:
         """The ids of one document; only the symbols that it touches are expanded."""
-        start = int(self.lengths[:i].sum())
-        end = start + int(self.lengths[i])
-        whole = np.concatenate([np.ones(self.base, np.int64), self.sizes.astype(np.int64)])
-        sizes = whole[self.text]
-        ends = np.cumsum(sizes.astype(np.int64))
-        a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, end, "left")
-        skipped = int(ends[a - 1]) if a else 0
-        return self._expand(self.text[a : b + 1])[start - skipped : end - skipped]
+        start, end = int(self.begins[i]), int(self.begins[i + 1])
+        first = max(int(np.searchsorted(self.before, start, "right")) - 1, 0)
+        last = int(np.searchsorted(self.before, end, "left"))
+        return self._expand(self.text[first * BLOCK_SYMBOLS : last * BLOCK_SYMBOLS], start - int(self.before[first]), end - start)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_tokens: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -220,13 +251,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard(batch.column("payload")[i].as_py())
-                ids, lengths = shard.ids(), shard.lengths.astype(np.int64)
-                ends = np.cumsum(lengths)
-                begins = ends - lengths
+                ids, begins = shard.ids(), shard.begins[:-1].astype(np.int64)
+                ends = shard.begins[1:].astype(np.int64)
                 crcs = [zlib.crc32(ids[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 keys = batch.column("doc_ids")[i].values
                 part, start = batch.column("part")[i].as_py(), batch.column("start_in_part")[i].as_py()
-                columns = [keys, pa.array(np.full(len(keys), part, np.int32)), pa.array(begins + start), pa.array(lengths), pa.array(crcs, pa.int64())]
+                columns = [keys, pa.array(np.full(len(keys), part, np.int32)), pa.array(begins + start), pa.array(ends - begins), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("_own"))
