@@ -31,8 +31,8 @@ _HEADER = struct.Struct("<4sBIIQQ")  # magic, symbol bytes, first nonterminal, r
 _MAGIC = b"CPR2"
 #: Symbols of a block, before each of which a shard keeps the number of ids.
 BLOCK_SYMBOLS = 1024
-#: Ids of the longest expansions that a reader holds as a table, which is at most this often as large as the rules.
-TABLE_IDS = 64
+#: Ids of the expansions that a reader holds as a table: the shortest ones, up to this many in all.
+TABLE_IDS = 1 << 22
 #: A pair is replaced while it comes this often in its shard.
 MIN_PAIR_COUNT = 8
 #: Most nonterminals that one round adds; counts are taken anew after each round.
@@ -146,9 +146,13 @@ class Shard:
         self.left, self.right, self.sizes, self.begins, self.before, self.text = parts
 
     def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(sizes, begins, flat)``: expansions of all symbols of up to ``TABLE_IDS`` ids, size 0 for others."""
+        """``(sizes, begins, flat)``: expansions of the shorter symbols, ``TABLE_IDS`` ids in all; size 0 for others."""
         if not hasattr(self, "_short"):
-            short = self.sizes <= TABLE_IDS
+            ordered = np.sort(self.sizes)
+            held = int(np.searchsorted(np.cumsum(ordered, dtype=np.int64), TABLE_IDS, "right"))
+            # all of one size or none, so that what a held symbol is made of is held too
+            self._long = self.sizes >= ordered[held] if held < len(ordered) else np.zeros(len(ordered), bool)
+            short = ~self._long
             sizes = np.concatenate([np.ones(self.base, np.int64), np.where(short, self.sizes, 0)])
             begins = np.cumsum(sizes) - sizes
             flat = np.empty(int(sizes.sum()), "<u4")
@@ -169,7 +173,7 @@ class Shard:
         while True:
             rule = text.astype(np.int64) - self.base
             inner = np.flatnonzero(rule >= 0)
-            inner = inner[self.sizes[rule[inner]] > TABLE_IDS]
+            inner = inner[self._long[rule[inner]]]
             if not len(inner):
                 return _gathered(text, *short)[skip : skip + length]
             sizes = short[0][text]
