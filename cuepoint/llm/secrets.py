@@ -30,6 +30,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import IO
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,6 +55,12 @@ _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-
 _ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]+)\}|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#x([0-9A-Fa-f]+);")
 _BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{BASE64_CHARS},}}={{0,2}}")
 
+#: Base64 in lines of a fixed width, as in PEM and MIME parts.
+_BASE64_LINES = re.compile(r"(?:[A-Za-z0-9+/]{40,}\r?\n[ \t]*)+[A-Za-z0-9+/]+={0,2}")
+#: Compressed payloads with their unprintable bytes percent-encoded or escaped, from the first bytes of each format on.
+_PERCENT_PACKED = re.compile(r"(?:%1[Ff]%8[Bb]|x%(?:01|5[Ee]|9[Cc]|[Dd][Aa])|BZh[1-9]1AY%26SY|%28%[Bb]5(?:/|%2[Ff])%[Ff][Dd])(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/-])+")
+_ESCAPED_PACKED = re.compile(r"(?:\\x1f\\x8b|x(?:\\x01|\^|\\x9c|\\xda)|BZh[1-9]1AY&SY|\(\\xb5/\\xfd)(?:\\x[0-9A-Fa-f]{2}|\\[nrt'\"\\]|[ !#-&(-\[\]-~])+", re.IGNORECASE)
+
 #: Characters that the patterns and encodings above consist of; texts fall apart at all others.
 _INSIDE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"': %\\{};&#")
 _SEPARATOR = re.compile(r"""[^A-Za-z0-9+/_.=\-"': %\\{};&#]""")
@@ -289,8 +296,11 @@ def _unpacked(data: bytes) -> Iterator[str]:
 
 
 def _readable(data: bytes) -> str | None:
+    """The text of UTF-8, or of UTF-16 in which one byte of most characters is zero."""
+    low, high = data[::2].count(0), data[1::2].count(0)
+    code = "utf-16-le" if 4 * high > len(data) else "utf-16-be" if 4 * low > len(data) else "utf-8"
     try:
-        text = data.decode()
+        text = data.decode(code).removeprefix("\ufeff")
     except UnicodeDecodeError:
         return None
     shown = sum(c.isprintable() or c in "\t\r\n" for c in text)
@@ -309,6 +319,23 @@ def _from_base64(run: str) -> str | Iterator[str] | None:
     return _unpacked(data) if _codec(data) else _readable(data)
 
 
+def _payloads(layer: str) -> Iterator[tuple[str | Iterator[str], Span]]:
+    """What encoded runs stand for as a whole, and where they are: a text, or the windows of a compressed one."""
+    for m in _BASE64.finditer(layer):
+        if (inner := _from_base64(m[0])) is not None:
+            yield inner, m.span()
+    if "\n" in layer:
+        for m in _BASE64_LINES.finditer(layer):
+            if (inner := _from_base64("".join(m[0].split()))) is not None:
+                yield inner, m.span()
+    if "%" in layer:
+        for m in _PERCENT_PACKED.finditer(layer):
+            yield _unpacked(unquote_to_bytes(m[0])), m.span()
+    if "\\x" in layer:
+        for m in _ESCAPED_PACKED.finditer(layer):
+            yield _unpacked(codecs.escape_decode(m[0].encode("ascii"))[0]), m.span()
+
+
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and all spans of one text, in order."""
     if not text:
@@ -340,15 +367,13 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         for mark, pattern, decode in (("%", _PERCENT, _percent), ("\\", _ESCAPE, _unescaped), ("&#", _ESCAPE, _unescaped)):
             if mark in layer and (inner := _in_place(layer, pattern, decode)):
                 add(inner[0], (inner[1], chain))
-        for m in _BASE64.finditer(layer):
-            inner = _from_base64(m[0])
-            if inner is not None:
-                outer = _origin(chain, *m.span())
-                own = (lambda s, e, outer=outer: outer, None)
-                if isinstance(inner, str):
-                    add(inner, own)
-                else:
-                    work.append((inner, own))
+        for inner, span in _payloads(layer):
+            outer = _origin(chain, *span)
+            own = (lambda s, e, outer=outer: outer, None)
+            if isinstance(inner, str):
+                add(inner, own)
+            else:
+                work.append((inner, own))
     return _ordered(base), _ordered(found)
 
 

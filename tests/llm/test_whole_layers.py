@@ -68,3 +68,26 @@ def test_damaged_streams():
     assert kinds(packed(good + good[:-3])) == {"assign"}
     assert kinds(packed(b"x token=abcdef12")) == {"assign"}
     assert kinds(packed(good[:4] + b"\0" * 30)) == set()
+
+
+def test_payloads_in_other_dress():
+    import base64
+    import bz2
+    import gzip
+    import textwrap
+    import zlib
+    from urllib.parse import quote_from_bytes
+
+    import pytest
+
+    zstandard = pytest.importorskip("zstandard")
+    hidden = "some words and password=hunter2abc, then more words " * 20
+    packers = (zlib.compress, lambda b: gzip.compress(b, mtime=0), bz2.compress, zstandard.ZstdCompressor().compress)
+    dressed = [quote_from_bytes(pack(hidden.encode())) for pack in packers]
+    dressed += [repr(pack(hidden.encode()))[2:-1] for pack in packers[:2]]
+    dressed += [base64.b64encode(hidden.encode("utf-16-le")).decode(), base64.b64encode(hidden.encode("utf-16-be")).decode()]
+    dressed += ["\n".join(textwrap.wrap(base64.b64encode(gzip.compress(hidden.encode(), mtime=0)).decode(), 76 if i else 64)) for i in range(2)]
+    for k, run in enumerate(dressed):
+        text = f"before {run} after"
+        found = {(kind, text[a:b]) for kind, a, b in secrets.scan(text)[1]}
+        assert any(kind == "assign" and len(part) > 0.9 * len(run) - 4 for kind, part in found), (k, run[:60], found)
