@@ -66,16 +66,21 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM p QUALIFY rank <= 5
 """
 
-_RULES = {"symbols": ("n_symbols", "word_chars", 15), "capitals": ("n_capitals", "word_chars", 30), "exclaims": ("n_exclaims", "word_chars", 15), "repeats": ("n_repeat_words", "n_words", 90), "dup_lines": ("n_dup_lines", "n_lines", 125)}
-_RATIOS = " UNION ALL ".join(f"SELECT doc_id, lang, source, n_words, '{r}' AS rule, {d} AS least, CASE WHEN {u} > 0 THEN least(1000 * {o} // {u}, 1000) ELSE 0 END AS bin FROM m" for r, (o, u, d) in _RULES.items())
+_RULES = {"symbols": ("n_symbols", "word_chars", 75), "capitals": ("n_capitals", "word_chars", 75), "exclaims": ("n_exclaims", "word_chars", 75), "repeats": ("n_repeat_words", "n_words", 99), "dup_lines": ("n_dup_lines", "n_lines", 99)}
+_RATIOS = " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{r}' AS rule, {h} AS higher, CASE WHEN {u} > 0 THEN least(1000 * {o} // {u}, 1000) ELSE 0 END AS bin FROM b" for r, (o, u, h) in _RULES.items())
 
 
-def _limits(keys: str) -> str:
-    return f"""SELECT {keys}rule, max(total) AS total, min(bin) FILTER (4 * upto >= 3 * total) + 4 * greatest(min(bin) FILTER (4 * upto >= 3 * total) - min(bin) FILTER (4 * upto >= total), max(least)) AS high
-  FROM (SELECT {keys}rule, least, bin, count(*) OVER (PARTITION BY {keys}rule ORDER BY bin) AS upto, count(*) OVER (PARTITION BY {keys}rule) AS total FROM r WHERE n_words > 0)
+def _quantiles(keys: str) -> str:
+    at = lambda q: f"(min(bin) FILTER (100 * upto >= {q} * total))::DOUBLE"
+    return f"""SELECT {keys}rule, max(total)::DOUBLE AS n, {at(25)} AS low, {at(75)} AS mid, {at("higher")} AS high
+  FROM (SELECT {keys}rule, higher, bin, count(*) OVER (PARTITION BY {keys}rule ORDER BY bin) AS upto, count(*) OVER (PARTITION BY {keys}rule) AS total FROM r WHERE NOT base_failed)
   GROUP BY {keys}rule"""
 
 
+def _drawn(x: str) -> str:
+    return f"(own.n * own.{x} + 200.0::DOUBLE * ((by_lang.n * by_lang.{x} + 200.0::DOUBLE * by_all.{x}) / (by_lang.n + 200.0::DOUBLE))) / (own.n + 200.0::DOUBLE) AS {x}"
+
+
 OP9 = rf"""
 WITH d AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
@@ -92,20 +97,21 @@ m AS (
     length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclaims, len(l) AS n_lines
   FROM d LEFT JOIN c ON c.doc_id = d.doc_id
 ),
+b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m),
 r AS ({_RATIOS}),
-own AS ({_limits("lang, source, ")}),
-by_lang AS ({_limits("lang, ")}),
-by_all AS ({_limits("")}),
+own AS ({_quantiles("lang, source, ")}),
+by_lang AS ({_quantiles("lang, ")}),
+by_all AS ({_quantiles("")}),
+q AS (
+  SELECT own.lang, own.source, own.rule, {_drawn("low")}, {_drawn("mid")}, {_drawn("high")}
+  FROM own JOIN by_lang ON by_lang.lang IS NOT DISTINCT FROM own.lang AND by_lang.rule = own.rule JOIN by_all ON by_all.rule = own.rule
+),
 far AS (
-  SELECT r.doc_id, bool_or(r.bin > CASE WHEN own.total >= 200 THEN own.high WHEN by_lang.total >= 200 THEN by_lang.high ELSE by_all.high END) AS far
-  FROM r
-  JOIN own ON own.lang IS NOT DISTINCT FROM r.lang AND own.source IS NOT DISTINCT FROM r.source AND own.rule = r.rule
-  JOIN by_lang ON by_lang.lang IS NOT DISTINCT FROM r.lang AND by_lang.rule = r.rule
-  JOIN by_all ON by_all.rule = r.rule
+  SELECT r.doc_id, bool_or(r.bin > q.mid + 4 * greatest(q.mid - q.low, q.high - q.mid, 10)) AS far
+  FROM r JOIN q ON q.lang IS NOT DISTINCT FROM r.lang AND q.source IS NOT DISTINCT FROM r.source AND q.rule = r.rule
   GROUP BY r.doc_id
 )
-SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(far.far, false) AS kept
-FROM m LEFT JOIN far ON far.doc_id = m.doc_id
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(far.far, false) AS kept
+FROM b LEFT JOIN far ON far.doc_id = b.doc_id
 """
