@@ -103,10 +103,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their place: ``sequence_id`` and ``offset`` (from 0, without gaps)."""
-    cut = written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids), "pieces")
-    total = cut.count()
+    # a number of the row is written with it, so that copies of one document don't meet in one group of ranks
+    numbered = written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    cut, total = numbered.drop("_row"), numbered.count()
     groups = max(1, -(-total // RANK_GROUP_ROWS))
-    keyed = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("int"))
+    keyed = numbered.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "_row"), F.lit(groups)).cast("int")).drop("_row")
     counts = keyed.groupBy("length", "_group").count()
     histogram = {row["length"]: row["n"] for row in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     table = slots(shortest_pack_first(histogram, capacity))
