@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space of any kind; none comes after U+3000.
+_WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_WHITE))
 
 
 def video_hash(name: Column, size_bytes: Column) -> Column:
