@@ -105,6 +105,21 @@ def gray(image: np.ndarray) -> np.ndarray:
     return np.rint(image[..., 0] * 0.114 + image[..., 1] * 0.587 + image[..., 2] * 0.299)
 
 
+def rgb(image: np.ndarray) -> np.ndarray:
+    """A BGR image with its channels in the order that embedders expect."""
+    return image[..., ::-1]
+
+
+def gray_frames(frames: DataFrame, column: str, height: int, width: int, into: str = "gray") -> DataFrame:
+    """``frames`` with the luma of raw BGR pictures (binary, row by row), a byte a pixel."""
+
+    @F.pandas_udf("binary")
+    def convert(pictures: pd.Series) -> pd.Series:
+        return pictures.map(lambda x: None if x is None else gray(np.frombuffer(x, np.uint8).reshape(height, width, 3)).astype(np.uint8).tobytes())
+
+    return frames.withColumn(into, convert(F.col(column)))
+
+
 def ssim(a: np.ndarray, b: np.ndarray, side: int = 7, span: float = 255.0) -> float:
     """Mean structural similarity of two gray images (Wang et al. 2004) with square windows; may be negative."""
     a, b = gray(a), gray(b)

@@ -327,6 +327,9 @@ def oracle_sql() -> dict[str, str]:
             x AS (SELECT vec_id, unnest(u) AS a, unnest(v) AS b FROM g WHERE u IS NOT NULL),
             s AS (SELECT vec_id, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS c FROM x GROUP BY vec_id)
             SELECT g.vec_id, round((2 * ma * mb + 2.55 ** 2) * (2 * c + 7.65 ** 2) / ((ma * ma + mb * mb + 2.55 ** 2) * (va + vb + 7.65 ** 2)), 6) AS ssim FROM g LEFT JOIN s ON s.vec_id = g.vec_id""",
+        "gray_levels": """WITH f AS (SELECT vec_id, list_transform(embedding[1:63]::DOUBLE[], lambda x: floor((x + 1) * 127.5)) AS v FROM embeddings),
+            p AS (SELECT vec_id, i, round_even(v[3 * i + 1] * 0.114::DOUBLE + v[3 * i + 2] * 0.587::DOUBLE + v[3 * i + 3] * 0.299::DOUBLE, 0)::INT AS y FROM f, range(21) AS r(i))
+            SELECT vec_id, string_agg(printf('%02x', y), '' ORDER BY i) AS shades FROM p GROUP BY vec_id""",
         "prompt_images": f"""WITH {_union()}, q AS (SELECT DISTINCT query_id FROM u),
             i AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS n FROM u WHERE source = 'frames'),
             a AS (

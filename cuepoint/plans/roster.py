@@ -425,6 +425,13 @@ def frame_ssim(spark: SparkSession, d: str) -> DataFrame:
     return folds.frame_similarity(pairs, "before", "frame", 8, 8, side=8).select(F.col("id").alias("vec_id"), F.round("ssim", 6).alias("ssim"))
 
 
+def gray_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The first 63 terms of vectors as BGR pictures of 3 by 7."""
+    level = F.transform(F.slice("embedding", 1, 63), lambda x: F.lpad(F.hex(F.floor((x.cast("double") + 1) * 127.5).cast("int")), 2, "0"))
+    frames = _vectors(spark, d).withColumn("frame", F.unhex(F.array_join(level, "")))
+    return folds.gray_frames(frames, "frame", 3, 7).select(F.col("id").alias("vec_id"), F.lower(F.hex("gray")).alias("shades"))
+
+
 def prompt_images(spark: SparkSession, d: str) -> DataFrame:
     """Parts of the prompts of a model that takes pictures; every fourth picture is missing."""
     rows = _union(spark, d).withColumn("place", F.col("ord")).withColumn("text", F.lit("")).withColumn("frame_path", F.concat(F.lit("f"), "id"))
@@ -497,6 +504,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "shown_annotations": shown_annotations,
         "library_view": library_view,
         "frame_ssim": frame_ssim,
+        "gray_levels": gray_levels,
         "prompt_images": prompt_images,
         "keyframe_paths": keyframe_paths,
     }
