@@ -37,7 +37,7 @@ RULES = {
 #: Distances above the upper quartile at which a rule rejects, and the least distance, in thousandths.
 FENCE, LEAST = 4, 10
 #: Rows that the language's quantiles weigh in a group's, and all documents' in a language's.
-SHRINK = 200
+SHRINK = 50
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_exclaims", "n_lines"]
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))

@@ -78,7 +78,7 @@ def _quantiles(keys: str) -> str:
 
 
 def _drawn(x: str) -> str:
-    return f"(own.n * own.{x} + 200.0::DOUBLE * ((by_lang.n * by_lang.{x} + 200.0::DOUBLE * by_all.{x}) / (by_lang.n + 200.0::DOUBLE))) / (own.n + 200.0::DOUBLE) AS {x}"
+    return f"(own.n * own.{x} + 50.0::DOUBLE * ((by_lang.n * by_lang.{x} + 50.0::DOUBLE * by_all.{x}) / (by_lang.n + 50.0::DOUBLE))) / (own.n + 50.0::DOUBLE) AS {x}"
 
 
 OP9 = rf"""
