@@ -340,7 +340,9 @@ def _linked(members: DataFrame, payload: DataFrame, kernel: Callable[[pa.Table],
     labelled = written(large.join(labels, "node", "left").select("group", "node", F.coalesce("label", "node").alias("label")), f"{name}-labelled")
     counts = labelled.groupBy("group", "label").agg(F.count("*").alias("n"))
     groups = counts.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    apart = groups.filter("most < all").select("group", "main", blocks(F.col("most")).alias("inner"), blocks(F.col("all") - F.col("most")).alias("outer"))
+    apart = written(groups.filter("most < all").select("group", "main", blocks(F.col("most")).alias("inner"), blocks(F.col("all") - F.col("most")).alias("outer")), f"{name}-apart")
+    if apart.isEmpty():
+        return first
     outer, inner = spread(F.col("outer")), spread(F.col("inner"))
     cell = lambda *parts: F.concat_ws(":", "group", *parts)
     outside = F.concat(
