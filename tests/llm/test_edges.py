@@ -285,7 +285,7 @@ def test_sentences(spark, table, empty):
     docs = unique(table) + [(20, "Intro words. " + " ".join(f"Repeated sentence number {i} with words." for i in range(9)) + " Outro."), (21, "Other. " + " ".join(f"Repeated sentence number {i} with words." for i in range(9)) + " The end of it.")]
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
     got = {r.doc_id: (r.text, r.n_sentences, r.n_removed) for r in sentence_dedup.remove_repeats(frame).collect()}
-    assert got == brute.sentence_repeats(docs)
+    assert got == brute.sentence_repeats(docs, sentence_dedup.MIN_SENTENCES, sentence_dedup.MIN_WORDS, sentence_dedup.LONG_SENTENCE)
     assert got[20][2] == 0 and got[21][0] == "Other. The end of it."
     out = sentence_dedup.remove_repeats(table)
     assert [c for c in out.columns if c in table.columns] == [c for c in table.columns if c != "n_sentences"] and out.count() == table.count()

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuepoint.llm import queries as Q
+from cuepoint.llm import sentence_dedup
 from cuepoint.llm._tokens import encoder, vocabulary
 
 
@@ -97,7 +98,7 @@ def test_secrets(spark, sf, docs):
 
 
 def test_sentences(spark, sf, docs):
-    expected = brute.sentence_repeats(docs)
+    expected = brute.sentence_repeats(docs, sentence_dedup.MIN_SENTENCES, sentence_dedup.MIN_WORDS, sentence_dedup.LONG_SENTENCE)
     assert {r.doc_id: (r.text, r.n_sentences, r.n_removed) for r in run(spark, sf, "op7_sentence_dedup")} == expected
 
 
@@ -146,9 +147,12 @@ def test_pipeline(spark, sf):
     groups = brute.components([(d, before[d]["text"]) for d in verdicts])
     assert {r.doc_id for r in single.collect()} == {d for d, (_, c) in groups.items() if c == d}
     masked = written(P.mask_pii(spark, single, sf), "t")
+    from cuepoint.llm import pii
+
+    every = {r.doc_id: r.spans for r in pii.digest(pii.find(single)).collect()}
     for r in masked.collect():
-        text = before[r.doc_id]["text"]
-        listed = brute.private(text)[-1]
+        text, listed = before[r.doc_id]["text"], every[r.doc_id]
+        assert set(filter(None, brute.private(text)[-1].split(","))) <= set(listed.split(","))
         spans = sorted((int(s.split(":")[1]), int(s.split(":")[2]), s.split(":")[0]) for s in listed.split(",") if s)
         out, at = [], 0
         for a, b, kind in spans:
