@@ -96,35 +96,34 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return anchor[at], first, last, np.searchsorted(offsets, first, "right") - 1, hashes[anchor[at]]
 
 
+def _full_depth(prefix: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Prefix hashes of suffixes at the full depth of ``SIZE`` bytes."""
+    return (prefix[start + SIZE] - prefix[start]) * T._inverse_powers(len(prefix))[start]
+
+
 def _extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bytes that suffixes from a and from b have in common, up to ``SIZE``, by binary search on prefix hashes."""
+    """Bytes that suffixes from a and from b, which differ in their first ``SIZE``, have in common: binary search on prefix hashes."""
     inverse = T._inverse_powers(len(prefix))
-    equal = lambda x, y, n: (prefix[x + n] - prefix[x]) * inverse[x] == (prefix[y + n] - prefix[y]) * inverse[y]
-    out = np.full(len(a), SIZE, np.int64)
-    short = np.flatnonzero(~equal(a, b, SIZE))
-    x, y = a[short], b[short]
-    same, apart = np.zeros(len(short), np.int64), np.full(len(short), SIZE, np.int64)
+    same, apart = np.zeros(len(a), np.int64), np.full(len(a), SIZE, np.int64)
     while True:  # the common extension is at least same and less than apart
         half = (same + apart) // 2
         if (half == same).all():
-            break
-        longer = equal(x, y, half)
+            return same
+        longer = (prefix[a + half] - prefix[a]) * inverse[a] == (prefix[b + half] - prefix[b]) * inverse[b]
         same, apart = np.where(longer, half, same), np.where(longer, apart, half)
-    out[short] = same
-    return out
 
 
-def _compare(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _compare(data: np.ndarray, prefix: np.ndarray, full: np.ndarray, start: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """-1, 0 or 1 for suffixes i against j, to the depth of ``SIZE`` bytes."""
-    a, b = start[i], start[j]
-    same = _extension(prefix, a, b)
     out = np.zeros(len(i), np.int8)
-    differ = np.flatnonzero(same < SIZE)
-    out[differ] = np.sign(data[(a + same)[differ]].astype(np.int16) - data[(b + same)[differ]].astype(np.int16))
+    differ = np.flatnonzero(full[i] != full[j])
+    a, b = start[i[differ]], start[j[differ]]
+    same = _extension(prefix, a, b)
+    out[differ] = np.sign(data[a + same].astype(np.int16) - data[b + same].astype(np.int16))
     return out
 
 
-def suffix_mergesort(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, segment: np.ndarray) -> np.ndarray:
+def suffix_mergesort(data: np.ndarray, prefix: np.ndarray, full: np.ndarray, start: np.ndarray, segment: np.ndarray) -> np.ndarray:
     """Order that sorts suffixes within each segment, stable; segments lie one after the other.
 
     All runs of one width are merged at once: an element's place is its own in its run and the number
@@ -149,7 +148,7 @@ def suffix_mergesort(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, se
             if not len(open_):
                 break
             middle = (low[open_] + high[open_]) // 2
-            sign = _compare(data, prefix, start, order[head[own[open_]] + middle], order[own[open_]])
+            sign = _compare(data, prefix, full, start, order[head[own[open_]] + middle], order[own[open_]])
             # a left element goes before equal right ones, a right element behind equal left ones
             before = np.where(left[open_], sign < 0, sign <= 0)
             low[open_] = np.where(before, middle + 1, low[open_])
@@ -203,15 +202,16 @@ def repeats(units: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start = base[unit] + step
     prefix = T.prefix_hashes(data)
     heads = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
+    full = _full_depth(prefix, start)
     # segments whose neighbours all agree to the full depth are sorted as they are
-    odd = np.append(False, (segment[1:] == segment[:-1]) & (_extension(prefix, start[:-1], start[1:]) < SIZE))
+    odd = np.append(False, (segment[1:] == segment[:-1]) & (full[1:] != full[:-1]))
     mixed = np.flatnonzero(np.repeat(np.logical_or.reduceat(odd, heads), np.diff(np.append(heads, len(segment)))))
     if len(mixed):
         order = np.arange(len(segment))
-        order[mixed] = mixed[suffix_mergesort(data, prefix, start[mixed], segment[mixed])]
-        unit, step, start = unit[order], step[order], start[order]
-    # in sorted order a common extension of full depth joins neighbours to a run
-    head = np.append(True, (segment[1:] != segment[:-1]) | (_extension(prefix, start[:-1], start[1:]) < SIZE))
+        order[mixed] = mixed[suffix_mergesort(data, prefix, full[mixed], start[mixed], segment[mixed])]
+        unit, step, start, full = unit[order], step[order], start[order], full[order]
+    # in sorted order neighbours whose common extension reaches the full depth are a run
+    head = np.append(True, (segment[1:] != segment[:-1]) | (full[1:] != full[:-1]))
     lead = np.flatnonzero(head)[np.cumsum(head) - 1]
     at = units["start"].astype(np.int64)[unit] + step
     own = (units["doc"][unit] == units["doc"][unit[lead]]) & (units["tie"][unit] == units["tie"][unit[lead]]) & (at == at[lead])
