@@ -51,7 +51,7 @@ def release(spark: SparkSession) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
+def written(frame: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``frame`` to the shared folder and return it read back.
 
     The copy cuts the lineage, so a lost executor costs a read and not the work before it, and
@@ -62,7 +62,7 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        frame.write.parquet(path)
+        frame.write.parquet(path, compression=compression)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(path)

@@ -115,3 +115,25 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
   NOT base_failed AND NOT coalesce(far.far, false) AS kept
 FROM b LEFT JOIN far ON far.doc_id = b.doc_id
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)
+),
+k AS (SELECT DISTINCT n FROM v),
+h AS (
+  SELECT d.row, v.item_id, i, d.n
+  FROM (SELECT row, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT row, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d JOIN k ON len(w) >= n)) d
+  JOIN v ON v.n = d.n AND v.g = d.g
+),
+c AS (SELECT row, count(DISTINCT j) AS n FROM (SELECT row, unnest(generate_series(i, i + n - 1)) AS j FROM h) GROUP BY row),
+m AS (SELECT row, count(*) AS n, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM h WHERE item_id IS NOT NULL) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON c.row = d.row LEFT JOIN m ON m.row = d.row
+"""

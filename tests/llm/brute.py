@@ -189,3 +189,27 @@ def sentence_repeats(docs: list[tuple[int, str | None]], least: int = 3, words:
                 at = b
         out[d] = (None if text is None else "".join(kept) + text[at:], len(split[d]), len(gone[d]))
     return out
+
+
+def item_words(text: str | None) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
+
+
+def leaks(docs: list[tuple[int, str | None]], items: list[tuple[int | None, str | None]], size: int = 10) -> dict[int, tuple]:
+    """Words, words in any occurrence of a window, items with one, and a hash of the items."""
+    where: dict[tuple, set] = {}
+    for i, text in items:
+        w = item_words(text)
+        for k in range(max(len(w) - size + 1, min(len(w), 1))):
+            where.setdefault(tuple(w[k : k + size]), set()).add(i)
+    lengths, out = sorted({len(x) for x in where}), {}
+    for d, text in docs:
+        w, hit, found = item_words(text), set(), set()
+        for n in lengths:
+            for k in range(len(w) - n + 1):
+                if (own := where.get(tuple(w[k : k + n]))) is not None:
+                    hit.update(range(k, k + n))
+                    found |= own
+        names = sorted(str(i) for i in found if i is not None)
+        out[d] = (len(w), len(hit), len(names), sha(",".join(names)))
+    return out

@@ -113,6 +113,12 @@ def test_quality(spark, sf, docs):
     assert np.mean(right) > 0.9
 
 
+def test_decontaminate(spark, sf, docs):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    expected = brute.leaks(docs, items)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in run(spark, sf, "op13_decontaminate")} == expected
+
+
 def test_suffixes(spark, sf, docs):
     expected = brute.repeats(docs)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run(spark, sf, "op10_suffix_dedup")} == expected
@@ -121,7 +127,7 @@ def test_suffixes(spark, sf, docs):
 @pytest.mark.parametrize("name", list(Q.oracle_sql()))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     found = Q.queries()[name](spark, sf)
     columns = sorted(found.columns)
