@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, ngram_join, packing, pii, quality, secrets, sentence_dedup, sql, suffix_dedup, token_output, topk
+from . import alignment, decontamination, mixing, ngram_join, packing, pii, quality, secrets, sentence_dedup, sql, suffix_dedup, token_output, topk
 from ._scratch import scratch_path
 from ._tokens import vocabulary
 
@@ -62,6 +62,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     reported = decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return decontamination.digest(reported).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_output": op8_token_output,
         "op9_quality": op9_quality,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op12_align": op12_align,
         "op13_decontaminate": op13_decontaminate,
     }
 

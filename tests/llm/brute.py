@@ -213,3 +213,66 @@ def leaks(docs: list[tuple[int, str | None]], items: list[tuple[int | None, str
         names = sorted(str(i) for i in found if i is not None)
         out[d] = (len(w), len(hit), len(names), sha(",".join(names)))
     return out
+
+
+class Aligner:
+    """Both tokenizers on whole texts, and their tokens' bytes, from the contract."""
+
+    def __init__(self):
+        import public_tokenizers as P
+        import sentencepiece
+        from tokenizers import Tokenizer
+
+        self.a = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+        self.a.encode_special_tokens = True
+        self.b = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [x for x in range(256) if x not in visible]
+        self.letters = {chr(x): x for x in visible} | {chr(256 + i): x for i, x in enumerate(hidden)}
+
+    def tokens(self, text: str | None) -> tuple[list, list]:
+        if not text:
+            return [], []
+        a = [(i, bytes(self.letters[c] for c in self.a.id_to_token(i))) for i in self.a.encode(" " + text, add_special_tokens=False).ids]
+        b = []
+        for i in self.b.encode(text):
+            piece = self.b.id_to_piece(i)
+            b.append((i, bytes([int(piece[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", piece) else piece.replace("▁", " ").encode()))
+        whole = (" " + text).encode()
+        return (a, b) if b"".join(x for _, x in a) == whole == b"".join(x for _, x in b) else ([], [])
+
+
+def alignments(docs: list[tuple[int, str | None]]) -> list[tuple]:
+    """Rows of the alignment's contract, in the order of ``docs``."""
+    both, split, counts = Aligner(), [], Counter()
+    for d, text in docs:
+        ends = []
+        for side in both.tokens(text):
+            at, own = 0, []
+            for i, x in side:
+                at += len(x)
+                own.append((at, i))
+            ends.append(own)
+        a, b = ends
+        at_end = dict(b)
+        links = [(x, at_end[e]) for e, x in a if e in at_end]
+        counts.update(links)
+        split.append((d, a, b, links))
+    most: dict = {}
+    for (_, y), n in counts.items():
+        most[y] = max(most.get(y, 0), n)
+    out = []
+    for d, a, b, links in split:
+        cuts = sorted({e for e, _ in a} & {e for e, _ in b})
+        groups, i, j = [], 0, 0
+        for cut in cuts:
+            left, right = [], []
+            while i < len(a) and a[i][0] <= cut:
+                left.append(str(a[i][1]))
+                i += 1
+            while j < len(b) and b[j][0] <= cut:
+                right.append(str(b[j][1]))
+                j += 1
+            groups.append(",".join(left) + "|" + ",".join(right))
+        out.append((d, len(a), len(b), len(groups), len(links), sum(counts[x] == most[x[1]] for x in links), sum(counts[x] for x in links), sha(";".join(groups)) if groups else ""))
+    return out

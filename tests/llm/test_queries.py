@@ -113,6 +113,10 @@ def test_quality(spark, sf, docs):
     assert np.mean(right) > 0.9
 
 
+def test_align(spark, sf, docs):
+    assert sorted(map(tuple, run(spark, sf, "op12_align"))) == sorted(brute.alignments(docs))
+
+
 def test_decontaminate(spark, sf, docs):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     expected = brute.leaks(docs, items)
