@@ -5,12 +5,13 @@ ends, and an equi-join on the end finds where tokens of both end together. A run
 numbers the groups; the joined rows are the links, and their counts by id pair, over all documents, are
 joined back to them.
 
-The key beside the end is not the document but a piece of text. Texts are cut before a space that follows
-a character which is no white space and no control character: neither tokenizer joins tokens across
-such a place, so it is a cut in every document. Equal pieces are exploded and aligned once, with the
-number of their occurrences as weight, so the relational work grows with the different pieces. A slice
-of the documents keeps its texts as codes into its own list of pieces, and gets the aligned pieces back to
-put its documents' groups together.
+The key beside the end is not the document but a piece of text. Texts are cut where both tokenizers always
+cut, whatever is around: before a space that follows a character which is no white space and no control
+character, between letters and marks, and around a single line break. A's pattern never matches across
+these places; that B has no token across them is seen from its vocabulary. Equal pieces are exploded and
+aligned once, with the number of their occurrences as weight, so the relational work grows with the
+different pieces. A slice of the documents keeps its texts as codes of its words, and its words as codes of
+pieces, and gets the aligned pieces back to put its documents' groups together.
 
 Cases: null and empty texts, and texts that either tokenizer doesn't give back byte for byte, have no
 tokens and take no part in the counts; repeated rows count as often as they come and get a row each; an
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from ._scratch import written
 from ._tokens import _byte_letters
 
-#: Pieces that a slice's list holds, and codes of its texts, at most (about).
-SLICE_PIECES, SLICE_CODES = 1 << 18, 1 << 23
+#: Words that a slice's list holds, and codes of its texts, at most (about).
+SLICE_WORDS, SLICE_CODES = 1 << 19, 1 << 23
 #: Pieces that are encoded at a time.
 ENCODED_PIECES = 2048
 
@@ -44,6 +46,9 @@ _SPACE = "\u2581"
 _ODD = r"[\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"
 _JOINED = re.compile(f"(?:^|{_ODD}) ")
 _ODD_END = re.compile(f"(?:^|{_ODD})\\Z")
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: Marks that a letter may be cut from; an apostrophe may belong to letters.
+_MARKS = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]
 _loaded: dict[tuple[str, str], "Pair"] = {}
 
 
@@ -72,18 +77,34 @@ class Pair:
             byte = whole.fullmatch(piece)
             self.bytes_b.append(bytes([int(byte[1], 16)]) if byte and self.b.is_byte(i) else piece.replace(_SPACE, " ").encode())
         self.space = self.b.piece_to_id(_SPACE)
+        self.cut = self._cuts()
+
+    def _cuts(self) -> re.Pattern:
+        """Where a word, with the space before it, is cut further: B has no token with the two characters side by side."""
+        texts = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        beside = {x for t in texts for x in zip(t, t[1:])}
+        if any("\n" in x for x in beside):
+            return re.compile("(?!)")
+        letter = re.compile(f"[{_LETTERS}]")
+        apart = lambda m: not any(m in x and (letter.match(x[0]) or letter.match(x[1])) for x in beside)
+        marks = "".join(map(re.escape, filter(apart, _MARKS)))
+        found = [f"(?<=[{_LETTERS}])(?=[{marks}])", f"(?<=[{marks}])(?=[{_LETTERS}])"] if marks else []
+        found += [f"(?<=[{_LETTERS}{marks}])(?=\n[{_LETTERS}{marks}])", f"(?<=[{_LETTERS}{marks}]\n)(?=[{_LETTERS}{marks}])"]
+        return re.compile("|".join(found))
 
     def returns(self, text: str) -> bool:
         """Whether B gives back the text as it is; A always does."""
         return self.b.normalize(text) == _SPACE + text.replace(" ", _SPACE) and _SPACE not in text
 
     def encode(self, pieces: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int]]]:
-        """Ids and byte lengths by A and B of pieces that are given without the space that they begin with."""
-        by_a = self.a.encode_batch_fast([f" {p}" for p in pieces], add_special_tokens=False)
-        for piece, found, b in zip(pieces, by_a, self.b.encode(pieces, num_threads=1), strict=True):
-            a, b = found.ids, b if piece else [self.space]
+        """Ids and byte lengths of pieces by A and B."""
+        by_a = self.a.encode_batch_fast(pieces, add_special_tokens=False)
+        # B adds a space; where a piece has none, a line break, which no token of B joins, keeps the two apart
+        by_b = self.b.encode([p[1:] if p[0] == " " else "\n" + p for p in pieces], num_threads=1)
+        for piece, found, b in zip(pieces, by_a, by_b, strict=True):
+            a, b = found.ids, [self.space] if piece == " " else b if piece[0] == " " else b[2:]
             parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            if not b" " + piece.encode() == b"".join(parts_a) == b"".join(parts_b):
+            if not piece.encode() == b"".join(parts_a) == b"".join(parts_b):
                 raise ValueError(f"a tokenizer changes the piece {piece[:80]!r}, though not as part of a text")
             yield a, list(map(len, parts_a)), b, list(map(len, parts_b))
 
@@ -95,8 +116,8 @@ def pair(path_a: str, path_b: str) -> Pair:
     return _loaded[path_a, path_b]
 
 
-def pieces(text: str) -> list[str]:
-    """Pieces of " " + text, each without the space that it begins with."""
+def words(text: str) -> list[str]:
+    """" " + text cut before spaces; each word without the space that it begins with."""
     parts = text.split(" ")
     if not _JOINED.search(text):
         return parts
@@ -109,8 +130,15 @@ def pieces(text: str) -> list[str]:
     return [" ".join(x) for x in out]
 
 
+_CODED = {"slice": pa.int64(), "doc_id": pa.int64(), "codes": pa.binary(), "ends": pa.binary(), "code": pa.int32(), "piece": pa.string(), "n": pa.int64()}
+
+
 def _coded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Rows of two kinds: documents as codes of pieces, and each slice's pieces with their occurrences."""
+    """Rows of three kinds: documents as codes of words, each slice's words as codes of pieces (with ``ends``),
+    and each slice's pieces (``code``) with their occurrences."""
+
+    def rows(size: int, **columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * size), k) for c, k in _CODED.items()], list(_CODED))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -119,23 +147,26 @@ def _coded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         docs: list[tuple[int | None, bytes]] = []
         held = 0
 
-        def rows(first: list[list], second: list[list]) -> pa.RecordBatch:
-            n, m = len(first[0]), len(second[0])
-            slice_ = (part << 32) + made
-            values = [[slice_] * (n + m), first[0] + [None] * m, first[1] + [None] * m, [None] * n + second[0], [None] * n + second[1], [None] * n + second[2]]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(values, kinds, strict=True)], ["slice", "doc_id", "codes", "code", "piece", "n"])
-
         def flush() -> Iterator[pa.RecordBatch]:
+            name = (part << 32) + made
             counts = np.zeros(len(known), np.int64)
             for at in range(0, len(docs), 1024):
                 own = docs[at : at + 1024]
                 counts += np.bincount(np.frombuffer(b"".join(c for _, c in own), np.uint32), minlength=len(known))
-                yield rows([[d for d, _ in own], [c for _, c in own]], [[], [], []])
-            names = list(known)
-            for at in range(0, len(names), 8192):
-                to = min(at + 8192, len(names))
-                yield rows([[], []], [list(range(at, to)), names[at:to], counts[at:to].tolist()])
+                yield rows(len(own), slice=[name] * len(own), doc_id=[d for d, _ in own], codes=[c for _, c in own])
+            names: dict[str, int] = {}
+            codes, ends = array("I"), array("I")
+            for word in known:
+                codes.extend([names.setdefault(p, len(names)) for p in both.cut.split(f" {word}")])
+                ends.append(len(codes))
+            yield rows(1, slice=[name], codes=[codes.tobytes()], ends=[ends.tobytes()])
+            occurs = np.repeat(counts, np.diff(np.frombuffer(ends, np.uint32), prepend=np.uint32(0))) if known else counts
+            n = np.zeros(len(names), np.int64)
+            np.add.at(n, np.frombuffer(codes, np.uint32), occurs)
+            pieces = list(names)
+            for at in range(0, len(pieces), 8192):
+                to = min(at + 8192, len(pieces))
+                yield rows(to - at, slice=[name] * (to - at), code=list(range(at, to)), piece=pieces[at:to], n=n[at:to].tolist())
 
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -143,7 +174,7 @@ def _coded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 if not text or not both.returns(text):
                     docs.append((doc, b""))
                 else:
-                    found = pieces(text)
+                    found = words(text)
                     codes = list(map(known.get, found))
                     at = -1
                     try:
@@ -153,7 +184,7 @@ def _coded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     except ValueError:
                         docs.append((doc, array("I", codes).tobytes()))
                     held += len(codes)
-                if len(known) >= SLICE_PIECES or held >= SLICE_CODES or len(docs) >= 1 << 16:
+                if len(known) >= SLICE_WORDS or held >= SLICE_CODES or len(docs) >= 1 << 16:
                     yield from flush()
                     made, held = made + 1, 0
                     known.clear()
@@ -161,7 +192,7 @@ def _coded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         if docs:
             yield from flush()
 
-    return docs.mapInArrow(code, "slice bigint, doc_id bigint, codes binary, code int, piece string, n bigint")
+    return docs.mapInArrow(code, "slice bigint, doc_id bigint, codes binary, ends binary, code int, piece string, n bigint")
 
 
 def _encoded(distinct: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -195,7 +226,9 @@ def _ends(encoded: DataFrame, side: str) -> DataFrame:
 def aligned_tokens(encoded: DataFrame) -> DataFrame:
     """A row for each byte offset at which a token of A, B or both ends, with the number of its group."""
     before = Window.partitionBy("piece_id").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    both = _ends(encoded, "a").join(_ends(encoded, "b"), ["piece_id", "end"], "full")
+    # explode and window keep this partitioning, so tokens are shuffled for the join alone
+    dealt = encoded.select("piece_id", "a", "b").repartition("piece_id")
+    both = _ends(dealt, "a").join(_ends(dealt, "b"), ["piece_id", "end"], "full")
     cut = F.col("a").isNotNull() & F.col("b").isNotNull()
     return both.withColumn("cut", cut).withColumn("group", F.coalesce(F.sum(F.col("cut").cast("int")).over(before), F.lit(0)))
 
@@ -210,11 +243,11 @@ def pair_counts(links: DataFrame, weights: DataFrame) -> DataFrame:
 
 def _summed(encoded: DataFrame) -> DataFrame:
     """A row for each piece: what it adds to its documents' counts, and its groups as text."""
-    rows = written(aligned_tokens(encoded), "aligned-tokens")
+    rows = written(aligned_tokens(encoded), "aligned-tokens", compression="zstd")
     links = rows.filter("cut").select("piece_id", "a", "b")
     counts = pair_counts(links, encoded.select("piece_id", "n"))
     ids = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side)))), lambda x: x[side].cast("string")), ",")
-    groups = rows.groupBy("piece_id", "group").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.concat(ids("a"), F.lit("|"), ids("b")).alias("listed"))
+    groups = rows.repartition("piece_id").groupBy("piece_id", "group").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.concat(ids("a"), F.lit("|"), ids("b")).alias("listed"))
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("group", "listed"))), lambda x: x["listed"])
     per = groups.groupBy("piece_id").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.array_join(in_order, ";").alias("listed"))
     scored = links.join(counts, ["a", "b"]).groupBy("piece_id").agg(F.count("*").alias("n_links"), F.count(F.when(F.col("best"), 1)).alias("n_best"), F.sum("count").alias("count_sum"))
@@ -226,14 +259,21 @@ _SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 def _assembled(coded: DataFrame, aligned: DataFrame, with_groups: bool) -> DataFrame:
     """Each document's sums and groups from its pieces'."""
-    texts = coded.filter("codes is not null").select("slice", "doc_id", "codes")
+    texts = coded.filter("codes is not null").select("slice", "doc_id", "codes", "ends")
     kinds = [pa.int64()] * 7 + [pa.string()] * (1 + with_groups)
     names = ["doc_id", *_SUMS, "groups_sha256", *["groups"] * with_groups]
 
-    def assemble(docs: pa.Table, own: pa.Table) -> pa.Table:
+    def assemble(texts: pa.Table, own: pa.Table) -> pa.Table:
         order = np.argsort(own.column("code").to_numpy())
         sums = [own.column(c).to_numpy()[order] for c in _SUMS]
         listed = own.column("listed").take(pa.array(order)).to_pylist()
+        docs = texts.filter(pc.is_null(texts.column("ends")))
+        (of_words,) = texts.filter(pc.is_valid(texts.column("ends"))).select(["codes", "ends"]).to_pylist()
+        parts, ends = np.frombuffer(of_words["codes"], np.uint32), np.frombuffer(of_words["ends"], np.uint32).astype(np.int64)
+        starts = np.append(0, ends[:-1])[: len(ends)]
+        sums = [np.add.reduceat(x[parts], starts) if len(starts) else x for x in sums]
+        codes = parts.tolist()
+        listed = [listed[codes[a]] if b - a == 1 else ";".join([listed[c] for c in codes[a:b]]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         out: list[list] = [[] for _ in names]
         for doc, packed in zip(docs.column("doc_id").to_pylist(), docs.column("codes").to_pylist(), strict=True):
             codes = np.frombuffer(packed, np.uint32)
@@ -255,7 +295,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     lists = coded.filter("code is not null").select("slice", "code", "piece", "n")
     distinct = lists.groupBy("piece").agg(F.sum("n").alias("n"))
     distinct = distinct.select(F.monotonically_increasing_id().alias("piece_id"), "piece", "n")
-    encoded = written(_encoded(distinct, path_a, path_b), "encoded-pieces")
+    encoded = written(_encoded(distinct, path_a, path_b), "encoded-pieces", compression="zstd")
     summed = encoded.select("piece_id", "piece").join(_summed(encoded), "piece_id").drop("piece_id")
     aligned = lists.drop("n").join(summed, "piece").drop("piece")
     return _assembled(coded, aligned, with_groups)

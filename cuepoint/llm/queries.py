@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontamination, mixing, ngram_join, packing, pii, quality, secrets, sentence_dedup, sql, suffix_dedup, token_output, topk
+from . import alignment, collocations, decontamination, mixing, ngram_join, packing, pii, quality, secrets, sentence_dedup, sql, suffix_dedup, token_output, topk
 from ._scratch import scratch_path
 from ._tokens import vocabulary
 
@@ -62,6 +62,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
@@ -83,10 +87,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_output": op8_token_output,
         "op9_quality": op9_quality,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_collocations": op11_collocations,
         "op12_align": op12_align,
         "op13_decontaminate": op13_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": sql.OP2, "op3_ngram_join": sql.OP3, "op4_topk": sql.OP4, "op9_quality": sql.OP9, "op13_decontaminate": sql.OP13}
+    return {"op2_mix": sql.OP2, "op3_ngram_join": sql.OP3, "op4_topk": sql.OP4, "op9_quality": sql.OP9, "op11_collocations": sql.OP11, "op13_decontaminate": sql.OP13}

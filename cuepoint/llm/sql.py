@@ -118,6 +118,30 @@ FROM b LEFT JOIN far ON far.doc_id = b.doc_id
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP11 = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+f AS (
+  SELECT lang, w[i : i + n - 1] AS w, n, count(*)::HUGEINT AS a
+  FROM (SELECT lang, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM p, (VALUES (1), (2), (3)) v(n) WHERE len(w) >= n)
+  GROUP BY ALL HAVING n = 1 OR a >= 10
+),
+s AS (
+  SELECT c.lang, c.w, c.n, c.a, k, x.a AS l, y.a AS r, 1000000 * c.a * c.a // (x.a * y.a) AS score
+  FROM (SELECT *, unnest(generate_series(1, n - 1)) AS k FROM f WHERE n > 1) c
+  JOIN f x ON x.lang = c.lang AND x.w = c.w[1 : k] JOIN f y ON y.lang = c.lang AND y.w = c.w[k + 1 : c.n]
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.w ORDER BY score, k) = 1
+),
+u AS (SELECT lang, w, max(a) AS most FROM (SELECT lang, unnest([w[1 : 2], w[2 : 3]]) AS w, a FROM f WHERE n = 3) GROUP BY ALL),
+z AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE n = 1 GROUP BY lang),
+o AS (
+  SELECT s.lang, array_to_string(s.w, ' ') AS phrase, s.a, l, r, score
+  FROM s LEFT JOIN u ON u.lang = s.lang AND u.w = s.w WHERE NOT (100 * coalesce(most, 0) >= 50 * s.a)
+)
+SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, z.n, score::BIGINT AS score
+FROM o JOIN z ON z.lang = o.lang QUALIFY rank <= 2000
+"""
+
 OP13 = rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

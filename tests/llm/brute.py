@@ -276,3 +276,30 @@ def alignments(docs: list[tuple[int, str | None]]) -> list[tuple]:
             groups.append(",".join(left) + "|" + ",".join(right))
         out.append((d, len(a), len(b), len(groups), len(links), sum(counts[x] == most[x[1]] for x in links), sum(counts[x] for x in links), sha(";".join(groups)) if groups else ""))
     return out
+
+
+def collocations(docs: list[tuple[str | None, str | None]], longest: int = 3, least: int = 10, top: int = 2000) -> list[tuple]:
+    """Ranked phrases of ``(lang, text)`` rows, from the contract."""
+    counts: dict[str, Counter] = {}
+    for lang, text in docs:
+        own = counts.setdefault("und" if lang is None else lang, Counter())
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text or "")):
+            w = tuple(re.findall(r"[^\x20\x09]+", piece))
+            own.update(w[i : i + n] for n in range(1, longest + 1) for i in range(len(w) - n + 1))
+    out = []
+    for lang, own in counts.items():
+        total = sum(c for w, c in own.items() if len(w) == 1)
+        found = {w: c for w, c in own.items() if len(w) > 1 and c >= least}
+        within: dict = {}
+        for w, c in found.items():
+            for n in range(2, len(w)):
+                for i in range(len(w) - n + 1):
+                    within[w[i : i + n]] = max(within.get(w[i : i + n], 0), c)
+        rows = []
+        for w, a in found.items():
+            if 100 * within.get(w, 0) >= 50 * a:
+                continue
+            score, _, left, right = min((1_000_000 * a * a // (own[w[:k]] * own[w[k:]]), k, own[w[:k]], own[w[k:]]) for k in range(1, len(w)))
+            rows.append((-score, -a, " ".join(w).encode(), left, right))
+        out += [(lang, i + 1, p.decode(), -a, left, right, total, -s) for i, (s, a, p, left, right) in enumerate(sorted(rows)[:top])]
+    return out
