@@ -51,6 +51,16 @@ def release(spark: SparkSession) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Delete intermediate tables that what came of them, now written, no longer needs."""
+    for frame in frames:
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        for name in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+            folder = path(name)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(frame: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``frame`` to the shared folder and return it read back.
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._scratch import written
+from ._scratch import dropped, written
 from ._tokens import _byte_letters
 
 #: Words that a slice's list holds, and codes of its texts, at most (about).
@@ -134,8 +134,8 @@ _CODED = {"slice": pa.int64(), "doc_id": pa.int64(), "codes": pa.binary(), "ends
 
 
 def _coded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Rows of three kinds: documents as codes of words, each slice's words as codes of pieces (with ``ends``),
-    and each slice's pieces (``code``) with their occurrences."""
+    """Rows of three kinds: documents as packed codes of words and the bytes that they unpack to, each slice's
+    words as codes of pieces (with ``ends``), and each slice's pieces (``code``) with their occurrences."""
 
     def rows(size: int, **columns: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * size), k) for c, k in _CODED.items()], list(_CODED))
@@ -153,7 +153,8 @@ def _coded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for at in range(0, len(docs), 1024):
                 own = docs[at : at + 1024]
                 counts += np.bincount(np.frombuffer(b"".join(c for _, c in own), np.uint32), minlength=len(known))
-                yield rows(len(own), slice=[name] * len(own), doc_id=[d for d, _ in own], codes=[c for _, c in own])
+                # early, and so frequent, words have small codes, which pack well
+                yield rows(len(own), slice=[name] * len(own), doc_id=[d for d, _ in own], codes=[pa.compress(c, "zstd", asbytes=True) for _, c in own], n=[len(c) for _, c in own])
             names: dict[str, int] = {}
             codes, ends = array("I"), array("I")
             for word in known:
@@ -238,7 +239,9 @@ def pair_counts(links: DataFrame, weights: DataFrame) -> DataFrame:
     counts = links.join(weights, "piece_id").groupBy("a", "b").agg(F.sum("n").alias("count"))
     counts = written(counts, "pair-counts")
     most = counts.groupBy("b").agg(F.max("count").alias("most"))
-    return counts.join(most, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
+    best = written(counts.join(most, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best")), "best-pairs")
+    dropped(counts)
+    return best
 
 
 def _summed(encoded: DataFrame) -> DataFrame:
@@ -251,7 +254,9 @@ def _summed(encoded: DataFrame) -> DataFrame:
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("group", "listed"))), lambda x: x["listed"])
     per = groups.groupBy("piece_id").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.array_join(in_order, ";").alias("listed"))
     scored = links.join(counts, ["a", "b"]).groupBy("piece_id").agg(F.count("*").alias("n_links"), F.count(F.when(F.col("best"), 1)).alias("n_best"), F.sum("count").alias("count_sum"))
-    return per.join(scored, "piece_id")
+    summed = written(encoded.select("piece_id", "piece").join(per.join(scored, "piece_id"), "piece_id").drop("piece_id"), "aligned-pieces", compression="zstd")
+    dropped(encoded, rows, counts)
+    return summed
 
 
 _SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -259,7 +264,7 @@ _SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 def _assembled(coded: DataFrame, aligned: DataFrame, with_groups: bool) -> DataFrame:
     """Each document's sums and groups from its pieces'."""
-    texts = coded.filter("codes is not null").select("slice", "doc_id", "codes", "ends")
+    texts = coded.filter("codes is not null").select("slice", "doc_id", "codes", "ends", "n")
     kinds = [pa.int64()] * 7 + [pa.string()] * (1 + with_groups)
     names = ["doc_id", *_SUMS, "groups_sha256", *["groups"] * with_groups]
 
@@ -275,8 +280,8 @@ def _assembled(coded: DataFrame, aligned: DataFrame, with_groups: bool) -> DataF
         codes = parts.tolist()
         listed = [listed[codes[a]] if b - a == 1 else ";".join([listed[c] for c in codes[a:b]]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         out: list[list] = [[] for _ in names]
-        for doc, packed in zip(docs.column("doc_id").to_pylist(), docs.column("codes").to_pylist(), strict=True):
-            codes = np.frombuffer(packed, np.uint32)
+        for doc, packed, size in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "codes", "n")), strict=True):
+            codes = np.frombuffer(pa.decompress(packed, size, "zstd", asbytes=True), np.uint32) if size else np.zeros(0, np.uint32)
             groups = ";".join(map(listed.__getitem__, codes.tolist()))
             row = [doc, *(int(x[codes].sum()) for x in sums), hashlib.sha256(groups.encode()).hexdigest() if groups else "", groups]
             for column, x in zip(out, row):
@@ -296,6 +301,5 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     distinct = lists.groupBy("piece").agg(F.sum("n").alias("n"))
     distinct = distinct.select(F.monotonically_increasing_id().alias("piece_id"), "piece", "n")
     encoded = written(_encoded(distinct, path_a, path_b), "encoded-pieces", compression="zstd")
-    summed = encoded.select("piece_id", "piece").join(_summed(encoded), "piece_id").drop("piece_id")
-    aligned = lists.drop("n").join(summed, "piece").drop("piece")
+    aligned = lists.drop("n").join(_summed(encoded), "piece").drop("piece")
     return _assembled(coded, aligned, with_groups)
