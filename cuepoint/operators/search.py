@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +14,10 @@ from ..config import DEFAULT, Settings
 from ..functions.text import strip
 from .folds import anchored_best
 
-#: Queries sent to every task: this many at most, above it they are joined in blocks.
-BROADCAST_QUERIES = 4096
+#: Queries that meet a batch of the index together, at most about; up to this many are sent to all tasks.
+QUERY_BLOCK = 4096
+#: Blocks of queries whose best similarities a task keeps.
+_REMEMBERED = 64
 
 
 def _best(group: np.ndarray, sims: np.ndarray, k: int, ids: pa.Array) -> np.ndarray:
@@ -32,65 +35,83 @@ def _best(group: np.ndarray, sims: np.ndarray, k: int, ids: pa.Array) -> np.ndar
     return kept
 
 
-def _scores(index: DataFrame, queries: list[tuple[object, list[float], object]], keys: list[str], k: int, vector: str, id_col: str, own: str | None) -> DataFrame:
-    """Rows of ``index`` that are among the ``k`` nearest of their key in their batch, with query_id and sim.
+def _packed(index: DataFrame, own: str | None) -> DataFrame:
+    """A row for each Arrow batch of ``index`` (and value of ``own``), with the batch's rows as an array."""
+    names = index.columns
+    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in index.schema.fields)
+    kind = index.schema[own].dataType.simpleString() if own else "int"
 
-    With ``own`` a query meets only the rows whose ``own`` column has its value.
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(names.index(own)).dictionary_encode() if own else None
+            for k in range(len(values.dictionary) if own else 1):
+                rows = batch.filter(pc.fill_null(pc.equal(values.indices, k), False)) if own else batch
+                if len(rows):
+                    one = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), pa.StructArray.from_arrays(rows.columns, names))
+                    yield pa.RecordBatch.from_arrays([values.dictionary.slice(k, 1) if own else pa.array([0], pa.int32()), one], ["_own", "_rows"])
+
+    return index.mapInArrow(pack, f"_own {kind}, _rows array<struct<{fields}>>")
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors as rows, shorter ones with zeros behind."""
+    lengths = np.diff(column.offsets.to_numpy())
+    if (lengths > width).any():
+        raise ValueError("index and query vectors differ in length")
+    out = np.zeros((len(lengths), width))
+    out[np.arange(width)[None, :] < lengths[:, None]] = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return out
+
+
+def _groups(rows: pa.StructArray, keys: list[str]) -> np.ndarray:
+    """A number for each combination of the keys' values."""
+    group = np.zeros(len(rows), np.int64)
+    for key in keys:
+        codes = np.nan_to_num(rows.field(key).dictionary_encode().indices.to_numpy(zero_copy_only=False), nan=-1).astype(np.int64)
+        group = group * (int(codes.max(initial=0)) + 2) + codes + 1
+    return group - group.min(initial=0)
+
+
+def _scored(met: DataFrame, columns: list[str], schema: str, keys: list[str], k: int, vector: str, id_col: str) -> DataFrame:
+    """Rows of each batch that may be among the ``k`` nearest of a query that it meets, with query_id and sim.
+
+    A task remembers each query's k best so far; of later batches only what reaches the k-th goes on.
     """
-    kept = [c for c in index.columns if c != vector]
-    source = index.select(*kept, vector)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    names = [q for q, _, _ in queries]
-    width = max(len(v) for _, v, _ in queries)
-    matrix = np.array([list(v) + [0.0] * (width - len(v)) for _, v, _ in queries], np.float64)
-    kind = pa.int64() if all(isinstance(q, int) for q in names) else pa.string()
-    places: dict[object, list[int]] = {}
-    for i, (_, _, value) in enumerate(queries):
-        places.setdefault(value, []).append(i)
-    shared = index.sparkSession.sparkContext.broadcast((names, matrix, places))
-
-    def met(rows: pa.RecordBatch, vectors: np.ndarray, group: np.ndarray, asked: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Places of rows, queries and similarities, for some queries and all of these rows."""
-        sims = vectors @ shared.value[1][asked].T
-        if not group.any() and len(sims) > 4 * k:  # no more than the k best, and those tied with the k-th, can matter
-            least = np.partition(sims, len(sims) - k, axis=0)[len(sims) - k]
-            near = sims >= least
-        else:
-            near = np.ones(sims.shape, bool)
-        for j, query in enumerate(asked):
-            at = np.flatnonzero(near[:, j])
-            best = at[_best(group[at], sims[at, j], k, rows.column(id_col).take(pa.array(at)))] if len(at) > k else at
-            yield best, np.full(len(best), query), sims[best, j]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, places = shared.value
+        known: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            usable = np.flatnonzero(np.asarray(batch.column(len(kept)).is_valid()))
-            if not len(usable):
-                continue
-            rows = batch.take(pa.array(usable))
-            column = rows.column(len(kept))
-            lengths = np.diff(column.offsets.to_numpy())
-            if (lengths > q.shape[1]).any():
-                raise ValueError("index and query vectors differ in length")
-            vectors = np.zeros((len(lengths), q.shape[1]))
-            vectors[np.arange(q.shape[1])[None, :] < lengths[:, None]] = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            group = np.zeros(len(vectors), np.int64)
-            for key in keys:
-                codes = rows.column(key).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-                group = group * (int(np.nan_to_num(codes, nan=-1).max(initial=0)) + 2) + np.nan_to_num(codes, nan=-1).astype(np.int64) + 1
-            group -= group.min(initial=0)
-            if own is None:
-                parts = [(np.arange(len(vectors)), list(range(len(ids))))]
-            else:
-                values = rows.column(own).to_pylist()
-                parts = [(np.array([i for i, v in enumerate(values) if v == value]), asked) for value, asked in places.items() if value in set(values)]
-            found = [(at[near], asked, sims) for at, own_queries in parts for near, asked, sims in met(rows.take(pa.array(at)), vectors[at], group[at], own_queries)]
-            if found:
-                at, asked, sims = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([*rows.take(pa.array(at)).columns[:-1], pa.array([ids[i] for i in asked.tolist()], kind), pa.array(sims)], [*kept, "query_id", "sim"])
-
-    return source.mapInArrow(score, f"{fields}, query_id {'bigint' if kind == pa.int64() else 'string'}, sim double")
+            for i in range(len(batch)):
+                asked, rows = batch.column(2).slice(i, 1).flatten(), batch.column(1).slice(i, 1).flatten()
+                rows = rows.filter(rows.field(vector).is_valid())
+                if not len(rows):
+                    continue
+                queries = asked.field("vector")
+                width = int(np.diff(queries.offsets.to_numpy()).max())
+                sims = _matrix(rows.field(vector), width) @ _matrix(queries, width).T
+                group, ids = _groups(rows, keys), rows.field(id_col)
+                names = asked.field("query_id")
+                near = np.ones(sims.shape, bool)
+                if not keys:
+                    block = (batch.column(0)[i].as_py(), *names.to_pylist())
+                    if len(known) >= _REMEMBERED and block not in known:
+                        known.clear()
+                    both = np.concatenate([known.get(block, np.full((k, len(names)), -np.inf)), sims])
+                    # the k highest, the least of them first
+                    known[block] = np.sort(np.partition(both, len(both) - k, axis=0)[len(both) - k :], axis=0)
+                    near = sims >= known[block][0]
+                found = []
+                for j in np.flatnonzero(near.any(axis=0)).tolist():
+                    at = np.flatnonzero(near[:, j])
+                    if len(at) > k:
+                        at = at[_best(group[at], sims[at, j], k, ids.take(pa.array(at)))]
+                    found.append((at, np.full(len(at), j), sims[at, j]))
+                if found:
+                    at, query, sim = (np.concatenate(x) for x in zip(*found, strict=True))
+                    own = rows.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([*(own.field(c) for c in columns), names.take(pa.array(query)), pa.array(sim)], [*columns, "query_id", "sim"])
+
+    return met.select("_own", "_rows", "_asked").mapInArrow(score, schema)
 
 
 def asked(queries: DataFrame, text: str = "query") -> DataFrame:
@@ -101,30 +122,30 @@ def asked(queries: DataFrame, text: str = "query") -> DataFrame:
 def candidates(index: DataFrame, queries: DataFrame, k: int = 10, keys: list[str] | None = None, vector: str = "embedding", id_col: str = "id", keep_self: bool = True, own: str | None = None) -> DataFrame:
     """Rows that may be among the ``k`` nearest to a query (query_id, vector): each batch's best, with query_id and sim.
 
-    Queries go to the tasks in blocks of ``BROADCAST_QUERIES``, so their number bounds what is sent at once; the
-    index is read once for each block. With ``own``, a column of both, a query meets the rows with its value
-    only, and other partitions of the index aren't read.
+    Queries are dealt to blocks of about ``QUERY_BLOCK`` by a hash, and batches of the index meet them in an
+    equi-join on the block. A single block is sent to all tasks; more are shuffled, each to as many parts of the
+    index as there are partitions for it, so neither side is held whole. With ``own``, a column of both, a query
+    meets the rows with its value only.
     """
-    keys = keys or []
-    out = None
-    block: list[tuple[object, list[float], object]] = []
-    if own is not None:
-        index = index.join(F.broadcast(queries.select(own).distinct()), own, "left_semi")
-
-    def scored(rows: list[tuple[object, list[float], object]]) -> DataFrame:
-        return _scores(index, rows, keys, k + (0 if keep_self else 1), vector, id_col, own)
-
-    value = F.col(own) if own else F.lit(None).cast("string")
-    for row in queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), value.alias("own")).filter("vector is not null").toLocalIterator():
-        block.append((row["query_id"], row["vector"], row["own"]))
-        if len(block) == BROADCAST_QUERIES:
-            out = scored(block) if out is None else out.unionByName(scored(block))
-            block = []
-    if block:
-        out = scored(block) if out is None else out.unionByName(scored(block))
-    if out is None:
-        base = index.drop(vector)
-        out = base.select("*", F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.lit(None).cast("double").alias("sim")).limit(0)
+    spark, keys = index.sparkSession, keys or []
+    columns = [c for c in index.columns if c != vector]
+    value = F.col(own) if own else F.lit(0)
+    given = queries.select(value.alias("_own"), "query_id", F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null")
+    blocks = max(1, -(-given.count() // QUERY_BLOCK))
+    asked = given.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("_own", "_block").agg(F.collect_list(F.struct("query_id", "vector")).alias("_asked"))
+    if own:
+        index = index.join(given.select(F.col("_own").alias(own)).distinct(), own, "left_semi")
+    packs = _packed(index.select(*columns, vector), own)
+    if blocks == 1:  # of a bounded number of queries
+        met = packs.join(F.broadcast(asked), "_own")
+    else:
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = packs.withColumn("_part", F.pmod(F.xxhash64(F.col("_rows")[0][id_col]), F.lit(parts)).cast("int")).withColumn("_block", every(blocks))
+        met = dealt.join(asked.withColumn("_part", every(parts)), ["_own", "_block", "_part"])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.select(*columns).schema.fields)
+    schema = f"{fields}, query_id {queries.schema['query_id'].dataType.simpleString()}, sim double"
+    out = _scored(met, columns, schema, keys, k + (0 if keep_self else 1), vector, id_col)
     return out if keep_self else out.filter(F.col(id_col) != F.col("query_id"))
 
 
