@@ -14,6 +14,7 @@ from .config import settings
 from .operators import registry, search
 from .plans import ask, ingest
 from .session import session
+from .shared import release
 from .sinks import tables
 from .sources import json_files, media
 
@@ -92,16 +93,17 @@ def main(argv: list[str] | None = None) -> None:
             if args.video:
                 found = ask.ask(frames, chunks, asked, args.video, reranker, answerer, options, pictures=pictures)
             else:
-                found = ask.ask_library(frames, chunks, asked, known, reranker, answerer, options, pictures=pictures)
+                found = ask.ask_library(frames, chunks, asked, known, reranker, answerer, options, pictures=pictures).orderBy("video_place")
             ask.answer_view(found).show(truncate=False, vertical=True)
         else:
             annotated = json_files.annotations(spark, args.annotations)
             vectors = query_vectors(annotated.select("query").distinct(), "query", frame_model, text_model)
-            rows = ask.evaluate(annotated, frames, chunks, vectors, reranker, args.k, options).persist()
+            rows = ask.evaluate(annotated, frames, chunks, vectors, reranker, args.k, options)
             report = ask.report(rows, args.k)
             ask.summary_lines(rows, report.select(F.col("*"))).show(100, truncate=False)
             if args.output:
                 tables.one_json(report, args.output)
+    release(spark)
 
 
 def _annotate(spark, known, args, options) -> None:

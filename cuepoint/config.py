@@ -51,6 +51,10 @@ class Settings:
     # batches
     image_batch: int = 32
     text_batch: int = 64
+    # calls of language models: at a time in a task, attempts, and seconds before the second of them
+    model_threads: int = 1
+    model_tries: int = 1
+    model_wait_sec: float = 1.0
 
 
 DEFAULT = Settings()

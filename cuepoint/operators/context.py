@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions.replies import selected
 from ..functions.text import clipped, context_line, minutes_clock, strip
+from .calls import replies
 
 NOTHING_FOUND = "No part of the recording seems to answer this question. Another wording may help."
 
@@ -41,8 +42,8 @@ def candidate_lines(rows: DataFrame, keys: list[str], order: list[str], clip: in
     return numbered.groupBy(*keys).agg(F.concat(F.array_join(F.transform(ordered, lambda r: r["_line"]), "\n"), ask).alias("prompt"))
 
 
-def gather(rows: DataFrame, replies: DataFrame, keys: list[str], order: list[Column], settings: Settings = DEFAULT) -> DataFrame:
-    """Rows that replies (keys, reply) choose, in the order of the reply, with ``place`` from 1.
+def gather(rows: DataFrame, replied: DataFrame, keys: list[str], order: list[Column], settings: Settings = DEFAULT) -> DataFrame:
+    """Rows that ``replied`` (keys, reply) chooses, in the order of the reply, with ``place`` from 1.
 
     Up to ``rerank_skip`` rows stay as they are. An empty choice gives the first rows; a null reply or
     one that can't be read as indices stands for a failed call and gives the best by score.
@@ -50,7 +51,7 @@ def gather(rows: DataFrame, replies: DataFrame, keys: list[str], order: list[Col
     whole = Window.partitionBy(*keys)
     numbered = rows.withColumn("_pos", F.row_number().over(whole.orderBy(*order)) - 1).withColumn("_rows", F.count("*").over(whole))
     numbered = numbered.withColumn("_by_score", F.row_number().over(whole.orderBy(F.col("score").desc(), "_pos")) - 1)
-    joined = numbered.join(replies, keys, "left")
+    joined = numbered.join(replied, keys, "left")
     choice = selected(F.col("reply"), F.col("_rows").cast("int"), settings.parse_fallback)
     chosen = joined.withColumn("_choice", F.when(F.col("_rows") > settings.rerank_skip, F.when(F.col("reply").isNotNull(), choice)))
     first = F.array(F.col("_pos").cast("int"))
@@ -64,37 +65,15 @@ def gather(rows: DataFrame, replies: DataFrame, keys: list[str], order: list[Col
     return out.withColumn("place", F.col("_at") + 1).drop("_at")
 
 
-def rerank(rows: DataFrame, keys: list[str], order: list[Column], model: Callable[[str], str] | None, query: str = "query", settings: Settings = DEFAULT) -> DataFrame:
-    """Re-ranked rows; ``model`` is called once for each key with more than ``rerank_skip`` rows.
+def rerank(rows: DataFrame, keys: list[str], order: list[Column], model: Callable[[str], str] | None, query: str = "query", settings: Settings = DEFAULT, ledger: str | None = None) -> DataFrame:
+    """Re-ranked rows; ``model`` is called once for each different prompt of a key with more than ``rerank_skip`` rows.
 
     A model that raises counts as a failed call. Without a model every call fails.
     """
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(query).alias("_query")).filter(F.col("_n") > settings.rerank_skip)
     asked = candidate_lines(rows, keys, [c for c in ("place", "ord") if c in rows.columns], settings.clip_chars).join(counts, keys)
     asked = asked.select(*keys, F.concat(F.lit("Question: "), "_query", F.lit("\n"), "prompt").alias("prompt"))
-    return gather(rows, _called(asked, keys, model, "reply"), keys, order, settings)
-
-
-def _called(prompts: DataFrame, keys: list[str], model: Callable[[str], str] | None, name: str) -> DataFrame:
-    """Replies of a model to prompts, in the tasks; null where it fails. A prompt of parts reaches the model as a
-    list of (kind, text or picture)."""
-    if model is None:
-        return prompts.select(*keys, F.lit(None).cast("string").alias(name))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields if f.name in keys)
-    shown = lambda p: p if p is None or isinstance(p, str) else [(x["kind"], x["image"] if x["kind"] == "image" else x["value"]) for x in p]
-
-    def ask(frames):
-        for frame in frames:
-            replies = []
-            for prompt in frame["prompt"]:
-                try:
-                    replies.append(model(shown(prompt)))
-                except Exception:  # noqa: BLE001  any failure of the model is a failed call
-                    replies.append(None)
-            frame[name] = replies
-            yield frame[[*keys, name]]
-
-    return prompts.mapInPandas(ask, f"{fields}, {name} string")
+    return gather(rows, replies(asked, keys, model, "reply", settings, ledger), keys, order, settings)
 
 
 def assemble(rows: DataFrame, keys: list[str], place: str = "place", max_images: int = 5) -> DataFrame:
@@ -141,7 +120,7 @@ def loaded_parts(prompts: DataFrame, keys: list[str], pictures: DataFrame) -> Da
     return joined.groupBy(*keys).agg(F.transform(ordered, lambda x: x["p"]).alias("prompt"))
 
 
-def answers(rows: DataFrame, queries: DataFrame, keys: list[str], model: Callable[[str], str] | None, model_name: str = "", settings: Settings = DEFAULT, pictures: DataFrame | None = None) -> DataFrame:
+def answers(rows: DataFrame, queries: DataFrame, keys: list[str], model: Callable[[str], str] | None, model_name: str = "", settings: Settings = DEFAULT, pictures: DataFrame | None = None, ledger: str | None = None) -> DataFrame:
     """An answer for every row of ``queries`` (keys, query) from its re-ranked ``rows``.
 
     Without results it says so; where the model fails it lists the times and the context. With ``pictures``
@@ -153,7 +132,7 @@ def answers(rows: DataFrame, queries: DataFrame, keys: list[str], model: Callabl
     found = F.col("timestamps").isNotNull()
     prompts = prompt_parts(full.filter(found), settings.max_images)
     asked = loaded_parts(prompts, keys, pictures) if pictures is not None else prompts.select(*keys, F.array_join(F.transform("prompt_parts", lambda p: F.concat(F.when(p["kind"] == "image", "[image] ").otherwise(""), p["value"])), "\n\n").alias("prompt"))
-    replied = full.join(_called(asked, keys, model, "_reply"), keys, "left")
+    replied = full.join(replies(asked, keys, model, "_reply", settings, ledger), keys, "left")
     times = F.array_join(F.transform("timestamps", minutes_clock), ", ")
     fallback = F.concat(F.lit("The answer couldn't be written. Relevant times: "), times, F.lit("\n\n"), F.coalesce("context", F.lit("")))
     text = F.when(~found, F.lit(NOTHING_FOUND)).otherwise(F.coalesce("_reply", fallback))

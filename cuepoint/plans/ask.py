@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions.text import display_name, hours_clock, parse_times, shown_pct, static_url, strip
 from ..operators import context, metrics, registry, search
+from ..shared import written
 from ..sinks import tables
 
 Model = Callable[[str], str] | None
@@ -28,8 +29,8 @@ def search_range(frames: DataFrame, transcript: DataFrame, queries: DataFrame, v
 
 
 def search_library(frames: DataFrame, transcript: DataFrame, queries: DataFrame, videos: DataFrame, settings: Settings = DEFAULT, gate: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """The best recordings of each query and their results, from one search over all partitions."""
-    results = search.hybrid(frames, transcript, queries, ["video_hash"], settings)
+    """The best recordings of each query and their results, from one search over all partitions, which is written."""
+    results = written(search.hybrid(frames, transcript, queries, ["video_hash"], settings), "search-results")
     dated = results.join(videos.select("video_hash", F.coalesce("date_indexed", F.lit("")).alias("date_indexed")), "video_hash")
     best = dated.groupBy("query_id", "video_hash", "date_indexed").agg(F.max("score").alias("best_score")).filter(F.col("best_score") >= (settings.video_gate if gate is None else gate))
     order = Window.partitionBy("query_id").orderBy(F.col("best_score").desc(), F.col("date_indexed").desc(), "video_hash")
@@ -38,24 +39,36 @@ def search_library(frames: DataFrame, transcript: DataFrame, queries: DataFrame,
     return info, results.join(top.select("query_id", "video_hash", "video_place", "best_score"), ["query_id", "video_hash"])
 
 
-def ask(frames: DataFrame, transcript: DataFrame, queries: DataFrame, video_hash: str, reranker: Model, answerer: Model, settings: Settings = DEFAULT, model_name: str = "", pictures: DataFrame | None = None) -> DataFrame:
-    """Answers about one recording; ``queries`` also has query, the text. Blank questions are left out."""
-    queries = search.asked(queries)
-    found = search_video(frames, transcript, queries, video_hash, settings)
-    rows = _described(found).join(queries.select("query_id", "query"), "query_id")
-    picked = context.rerank(rows, ["query_id"], [F.col("place")], reranker, settings=settings)
-    return context.answers(picked, queries.select("query_id", "query"), ["query_id"], answerer, model_name, settings, pictures)
+def _picked(results: DataFrame, queries: DataFrame, keys: list[str], reranker: Model, settings: Settings, ledger: str | None) -> DataFrame:
+    """Re-ranked results. Both they and what was found are written: later steps read them several times."""
+    rows = written(_described(results).join(queries.select("query_id", "query"), "query_id"), "found-rows")
+    return written(context.rerank(rows, keys, [F.col("place")], reranker, settings=settings, ledger=ledger), "picked-rows")
 
 
-def ask_library(frames: DataFrame, transcript: DataFrame, queries: DataFrame, videos: DataFrame, reranker: Model, answerer: Model, settings: Settings = DEFAULT, model_name: str = "", pictures: DataFrame | None = None) -> DataFrame:
-    """Answers about the best recordings of each query, best first; those whose results don't reach the gate are left out."""
-    keys, queries = ["query_id", "video_hash"], search.asked(queries)
+def ask(frames: DataFrame, transcript: DataFrame, queries: DataFrame, video_hash: str, reranker: Model, answerer: Model, settings: Settings = DEFAULT, model_name: str = "", pictures: DataFrame | None = None, ledger: str | None = None) -> DataFrame:
+    """Answers about one recording; ``queries`` also has query, the text. Blank questions are left out.
+
+    Questions, what is found, what is picked and the models' replies are written as they come, so each is
+    made once. ``ledger`` is a folder that keeps replies for later runs.
+    """
+    queries = written(search.asked(queries), "questions")
+    picked = _picked(search_video(frames, transcript, queries, video_hash, settings), queries, ["query_id"], reranker, settings, _of(ledger, "rerank"))
+    return context.answers(picked, queries.select("query_id", "query"), ["query_id"], answerer, model_name, settings, pictures, _of(ledger, "answer"))
+
+
+def ask_library(frames: DataFrame, transcript: DataFrame, queries: DataFrame, videos: DataFrame, reranker: Model, answerer: Model, settings: Settings = DEFAULT, model_name: str = "", pictures: DataFrame | None = None, ledger: str | None = None) -> DataFrame:
+    """Answers about the best recordings of each query, with their ``video_place``; those whose results don't reach
+    the gate are left out. Written step by step as in ``ask``; the order of rows is the caller's."""
+    keys, queries = ["query_id", "video_hash"], written(search.asked(queries), "questions")
     top, results = search_library(frames, transcript, queries, videos, settings)
-    rows = _described(results).join(queries.select("query_id", "query"), "query_id")
-    picked = context.gated(context.rerank(rows, keys, [F.col("place")], reranker, settings=settings), keys, settings.answer_gate)
+    picked = context.gated(_picked(results, queries, keys, reranker, settings, _of(ledger, "rerank")), keys, settings.answer_gate)
     asked = picked.select(*keys).distinct().join(queries.select("query_id", "query"), "query_id")
-    answered = context.answers(picked, asked, keys, answerer, model_name, settings, pictures)
-    return answered.join(top.select(*keys, "video_place", "best_score"), keys).orderBy("query_id", "video_place")
+    answered = context.answers(picked, asked, keys, answerer, model_name, settings, pictures, _of(ledger, "answer"))
+    return answered.join(top.select(*keys, "video_place", "best_score"), keys)
+
+
+def _of(ledger: str | None, kind: str) -> str | None:
+    return ledger and f"{ledger.rstrip('/')}/{kind}"
 
 
 def _described(results: DataFrame) -> DataFrame:
@@ -65,19 +78,19 @@ def _described(results: DataFrame) -> DataFrame:
     return results
 
 
-def evaluate(annotated: DataFrame, frames: DataFrame, transcript: DataFrame, vectors: DataFrame, reranker: Model, k: int = 5, settings: Settings = DEFAULT) -> DataFrame:
-    """A metrics row for each annotated query. ``vectors`` has query, frame_vector, transcript_vector.
+def evaluate(annotated: DataFrame, frames: DataFrame, transcript: DataFrame, vectors: DataFrame, reranker: Model, k: int = 5, settings: Settings = DEFAULT, ledger: str | None = None) -> DataFrame:
+    """A metrics row for each annotated query, written. ``vectors`` has query, frame_vector, transcript_vector.
 
     All queries are searched in one plan, each in its own recording. Re-ranking returns at most five rows, so precision at a larger
     k can't pass five over k.
     """
     queries = annotated.select(F.concat_ws(":", "video_hash", "pos").alias("query_id"), "video_hash", "query", "relevant_timestamps", "tolerance").join(vectors, "query", "left")
-    found = search.hybrid(frames, transcript, queries, settings=settings, own="video_hash").join(queries.select("query_id", "query"), "query_id")
-    picked = context.rerank(_described(found), ["query_id"], [F.col("place")], reranker, settings=settings)
+    queries = written(queries, "questions")
+    picked = _picked(search.hybrid(frames, transcript, queries, settings=settings, own="video_hash"), queries, ["query_id"], reranker, settings, _of(ledger, "rerank"))
     retrieved = picked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "timestamp"))), lambda r: r["timestamp"]).alias("retrieved"))
     rows = queries.join(retrieved, "query_id", "left").withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<double>")))
     measured = metrics.query_metrics(rows, k, settings.tolerance_sec, "retrieved", "relevant_timestamps")
-    return metrics.rounded(measured)
+    return written(metrics.rounded(measured), "evaluated")
 
 
 def report(per_query: DataFrame, k: int) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +38,29 @@ def shared_root(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+_lock = threading.Lock()
+_writers = 0
+
+
+@contextmanager
+def _cleanup(spark: SparkSession) -> Iterator[None]:
+    """The setting is on while any thread writes, and as it was when the last has ended: a query that ends before
+    its stages do, as ``show`` may, would lose shuffles that are still written."""
+    global _writers
+    with _lock:
+        _writers += 1
+        if _writers == 1:
+            _cleanup.before = spark.conf.get(_CLEANUP, None)
+            spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers -= 1
+            if not _writers:
+                spark.conf.unset(_CLEANUP) if _cleanup.before is None else spark.conf.set(_CLEANUP, _cleanup.before)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, known to ``release``."""
     folder = f"{shared_root(spark)}/cuepoint-{uuid.uuid4().hex}"
@@ -67,12 +93,10 @@ def written(frame: DataFrame, name: str, compression: str = "snappy") -> DataFra
     """Write ``frame`` to the shared folder and return it read back.
 
     The copy cuts the lineage, so a lost executor costs a read and not the work before it, and
-    whatever is used twice is computed once. Shuffle files of the write go when it has ended: the
-    setting stays on in the session once it's needed, so that threads don't switch it under each other.
+    whatever is used twice is computed once. Shuffle files of the write go when it has ended.
     """
     spark = frame.sparkSession
     path = scratch_path(spark, name)
-    if spark.conf.get(_CLEANUP, "false") != "true":
-        spark.conf.set(_CLEANUP, "true")
-    frame.write.parquet(path, compression=compression)
+    with _cleanup(spark):
+        frame.write.parquet(path, compression=compression)
     return spark.read.schema(frame.schema).parquet(path)
