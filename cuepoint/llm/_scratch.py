@@ -1,78 +1,5 @@
 """Intermediate tables in the folder that the whole cluster shares."""
 
-from __future__ import annotations
+from ..shared import dropped, release, scratch_path, shared_root, written
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, or by an earlier ``setCheckpointDir``.
-
-    Where neither is set, a single-process session gets a temporary folder of its own; on a cluster
-    that's an error, as no folder is known to be shared.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if context.master.startswith("local[") or context.master == "local":
-        folder = tempfile.mkdtemp(prefix="cuepoint-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
-        return context.getCheckpointDir().rstrip("/")
-    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-
-
-_made: list[str] = []
-#: Spark's setting that removes a query's shuffle files at its end.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, known to ``release``."""
-    folder = f"{shared_root(spark)}/cuepoint-{uuid.uuid4().hex}"
-    _made.append(folder)
-    return f"{folder}/{name}"
-
-
-def release(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this driver; for when the results built on them are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    while _made:
-        folder = path(_made.pop())
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def dropped(*frames: DataFrame) -> None:
-    """Delete intermediate tables that what came of them, now written, no longer needs."""
-    for frame in frames:
-        spark = frame.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        for name in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            folder = path(name)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def written(frame: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``frame`` to the shared folder and return it read back.
-
-    The copy cuts the lineage, so a lost executor costs a read and not the work before it, and
-    whatever is used twice is computed once. Shuffle files of the write go when it has ended.
-    """
-    spark = frame.sparkSession
-    path = scratch_path(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        frame.write.parquet(path, compression=compression)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(frame.schema).parquet(path)
+__all__ = ["dropped", "release", "scratch_path", "shared_root", "written"]
