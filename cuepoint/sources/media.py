@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from ..adapters import keyed, once
 from ..functions.text import video_hash
-from ..operators.timeline import duration, sample_frames
+from ..operators.timeline import duration, sample_frames, sample_step
+
+
+#: Sampled frames that a task decodes in one go.
+RANGE_FRAMES = 600
 
 
 def video_files(spark: SparkSession, path: str, pattern: str = "*.{mp4,mkv,avi,mov,webm}") -> DataFrame:
@@ -36,19 +40,25 @@ def video_metadata(videos: DataFrame, factory: Callable[[], Callable[[str], dict
 
 
 def decoded_frames(videos: DataFrame, factory: Callable[[], Callable[[str, int, int, int], Iterable[tuple[int, bytes]]]], fps: float = 1.0, start_sec: float | None = None, end_sec: float | None = None) -> DataFrame:
-    """Sampled frames with timestamps. The decoder gets the range's first and last frame and the step between
-    wanted ones; what it gives besides those is left out before it crosses to the JVM."""
-    known = keyed(factory)
+    """Sampled frames with timestamps. A recording is cut into ranges of ``RANGE_FRAMES`` sampled frames, which are
+    dealt to all tasks. The decoder gets a range's first and last frame and the step between wanted ones; what it
+    gives besides those is left out before it crosses to the JVM."""
+    known, spark = keyed(factory), videos.sparkSession
+    step = sample_step(F.col("fps"), fps)
+    first = (F.lit(start_sec or 0) * F.col("fps")).cast("int")
+    last = F.col("total_frames") - 1 if end_sec is None else F.least(F.col("total_frames") - 1, (F.lit(end_sec) * F.col("fps")).cast("int"))
+    wanted = videos.select("video_hash", "fps", "path", step.alias("step"), first.alias("first"), last.alias("last")).filter("first <= last")
+    ranges = wanted.select("video_hash", "fps", "path", "step", F.explode(F.sequence("first", "last", F.col("step") * RANGE_FRAMES)).alias("first"), "last")
+    ranges = ranges.withColumn("last", F.least("last", F.col("first") + F.col("step") * RANGE_FRAMES - 1))
+    dealt = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "video_hash", "first")
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder, names = once(known), ["video_hash", "fps", "frame_idx", "frame"]
         for frame in frames:
             for row in frame.itertuples():
-                first, step = int((start_sec or 0) * row.fps), max(1, round(row.fps / fps))
-                last = row.total_frames - 1 if end_sec is None else min(row.total_frames - 1, int(end_sec * row.fps))
                 part: list[tuple] = []
-                for index, picture in decoder(row.path, first, last, step):
-                    if (index - first) % step:
+                for index, picture in decoder(row.path, row.first, row.last, row.step):
+                    if (index - row.first) % row.step:
                         continue
                     part.append((row.video_hash, float(row.fps), int(index), picture))
                     if len(part) == 64:
@@ -56,7 +66,7 @@ def decoded_frames(videos: DataFrame, factory: Callable[[], Callable[[str, int,
                         part = []
                 yield pd.DataFrame(part, columns=names)
 
-    raw = videos.select("video_hash", "fps", "total_frames", "path").mapInPandas(decode, "video_hash string, fps double, frame_idx int, frame binary")
+    raw = dealt.mapInPandas(decode, "video_hash string, fps double, frame_idx int, frame binary")
     return sample_frames(raw, F.col("fps"), fps, start_sec, end_sec).drop("fps")
 
 
