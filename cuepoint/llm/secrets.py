@@ -64,6 +64,8 @@ _ESCAPED_PACKED = re.compile(r"(?:\\x1f\\x8b|x(?:\\x01|\^|\\x9c|\\xda)|BZh[1-9]1
 #: Characters that the patterns and encodings above consist of; texts fall apart at all others.
 _INSIDE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"': %\\{};&#")
 _SEPARATOR = re.compile(r"""[^A-Za-z0-9+/_.=\-"': %\\{};&#]""")
+#: A line that may be one of base64, some of it encoded: the break behind it doesn't part what goes on.
+_LINE = re.compile(r"[A-Za-z0-9+/%\\{};&#]{40}\r?")
 
 Span = tuple[int, int]
 Place = Callable[[int, int], Span]
@@ -104,13 +106,34 @@ def _percent(run: str) -> str | None:
         return None
 
 
+def _separates(text: str, at: int) -> bool:
+    """Whether nothing that is looked for goes on across a character that no pattern holds.
+
+    Line breaks and the blanks behind them are in base64 of several lines. Where too little of the text before
+    is known, they count as such.
+    """
+    if text[at] == "\t":
+        return at > 0 and text[at - 1] not in "\n\t "
+    if text[at] not in "\r\n":
+        return True
+    line = text[max(0, at - 41) : at]
+    if len(line) < 41:
+        return _SEPARATOR.search(line.removesuffix("\r")) is not None
+    return not (_LINE.fullmatch(line) or _LINE.fullmatch(line, 1))
+
+
 def _last_separator(text: str, start: int, end: int) -> int:
     """Place of the last separator of a part of the text, or -1."""
-    while end > start and text[end - 1] in _INSIDE:
+    while end > start and (text[end - 1] in _INSIDE or not _separates(text, end - 1)):
         end -= 1
     return end - 1 if end > start else -1
 
 
+def _first_separator(text: str, start: int, end: int) -> int:
+    """Place of the first separator of a part of the text, or -1."""
+    return next((m.start() for m in _SEPARATOR.finditer(text, start, end) if _separates(text, m.start())), -1)
+
+
 def _in_place(text: str, pattern: re.Pattern, decode: Callable[[str], str | None]) -> tuple[str, Place] | None:
     """The parts of the text with runs to decode, decoded, and where their characters come from."""
     pieces, at, new = [], 0, 0
@@ -120,11 +143,11 @@ def _in_place(text: str, pattern: re.Pattern, decode: Callable[[str], str | None
         if decoded is None:
             continue
         last = _last_separator(text, at, m.start())
-        first = _SEPARATOR.search(text, at, m.start()) if len(begins) > 1 and last >= 0 else None
-        if last >= 0 and (first is None or first.start() < last):
-            if first is not None:
-                pieces.append(text[at : first.end()])
-                new += first.end() - at
+        first = _first_separator(text, at, m.start()) if len(begins) > 1 and last >= 0 else -1
+        if last >= 0 and first < last:
+            if first >= 0:
+                pieces.append(text[at : first + 1])
+                new += first + 1 - at
             begins.append(new)
             origins.append(last)
             whole.append(False)
@@ -141,8 +164,8 @@ def _in_place(text: str, pattern: re.Pattern, decode: Callable[[str], str | None
         at = m.end()
     if len(begins) == 1:
         return None
-    rest = _SEPARATOR.search(text, at)
-    pieces.append(text[at : rest.end() if rest else len(text)])
+    rest = _first_separator(text, at, len(text))
+    pieces.append(text[at : rest + 1 if rest >= 0 else len(text)])
     ends = [*origins[1:], len(text)]
 
     def place(start: int, end: int) -> Span:
@@ -257,9 +280,11 @@ def _windows(pieces: _Unpacked) -> Iterator[str]:
         return
     if shown < 0.95 * total:
         return
-    ready, tail, size = [], [], 0
+    ready, tail, size, before = [], [], 0, ""
     for text in _decoded(pieces):
-        cut = _last_separator(text, 0, len(text)) + 1
+        known = before + text
+        cut = max(_last_separator(known, len(before), len(known)) + 1 - len(before), 0)
+        before = known[-64:]
         if cut:
             ready += [*tail, text[:cut]]
             tail = []

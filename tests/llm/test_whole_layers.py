@@ -91,3 +91,49 @@ def test_payloads_in_other_dress():
         text = f"before {run} after"
         found = {(kind, text[a:b]) for kind, a, b in secrets.scan(text)[1]}
         assert any(kind == "assign" and len(part) > 0.9 * len(run) - 4 for kind, part in found), (k, run[:60], found)
+
+
+def wrapped(data, width=76, end="\n", indent=""):
+    text = base64.b64encode(data).decode()
+    return (end + indent).join(text[i : i + width] for i in range(0, len(text), width))
+
+
+NOISE = bytes((i * 197 + i // 7 * 31) % 256 for i in range(3000))
+
+
+@pytest.mark.parametrize("window", [50, secrets.WINDOW_CHARS])
+@pytest.mark.parametrize("end,indent", [("\n", ""), ("\r\n", ""), ("\n", "  \t "), ("\n", "\t\t")])
+def test_base64_lines_across_windows(monkeypatch, window, end, indent):
+    monkeypatch.setattr(secrets, "WINDOW_CHARS", window)
+    monkeypatch.setattr(secrets, "CHUNK_BYTES", 999 if window == 50 else secrets.CHUNK_BYTES)
+    block = wrapped(gzip.compress(NOISE[::3].hex().encode() + b", " + SECRET.encode()), end=end, indent=indent)
+    inner = "some words, é\n" * 300 + f"begin:\n{block}\n-- end\n" + "more words\n" * 300
+    assert "assign" in kinds(packed(gzip.compress(inner.encode())))
+    assert "assign" in kinds(inner)
+
+
+@pytest.mark.parametrize("encoded", ["first +", "last +", "each +", "+ and /", "no"])
+@pytest.mark.parametrize("form", ["%2B", "\\x2b", "&#43;", "\\u002b"])
+def test_base64_lines_with_encoded_characters(monkeypatch, encoded, form):
+    data = gzip.compress(NOISE.hex().encode() + b", " + SECRET.encode())
+    block = wrapped(data)
+    assert block.count("+") > 2
+    if encoded == "first +":
+        block = block.replace("+", form, 1)
+    elif encoded == "last +":
+        block = form.join(block.rsplit("+", 1))
+    elif encoded != "no":
+        block = block.replace("+", form)
+        if encoded == "+ and /":
+            block = block.replace("/", form.replace("2B", "2F").replace("2b", "2f").replace("43", "47"))
+    text = f"words\n{block}\nmore words"
+    assert "assign" in kinds(text)
+    monkeypatch.setattr(secrets, "WINDOW_CHARS", 50)
+    assert "assign" in kinds(packed(gzip.compress((f"a line of words, {NOISE.hex()[:30]}\n" * 100 + text).encode())))
+
+
+def test_large_payload_with_base64_lines():
+    block = wrapped(gzip.compress(NOISE.hex().encode() + b", " + SECRET.encode()))
+    half = "words of a line that goes on.\n" * (4_030_000 // 30)
+    data = gzip.compress(f"{half}{block}\n{half}".encode(), 1)
+    assert len(half) * 2 + len(block) > 8_000_000 and "assign" in kinds(packed(data))
