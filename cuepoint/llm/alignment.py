@@ -301,5 +301,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     distinct = lists.groupBy("piece").agg(F.sum("n").alias("n"))
     distinct = distinct.select(F.monotonically_increasing_id().alias("piece_id"), "piece", "n")
     encoded = written(_encoded(distinct, path_a, path_b), "encoded-pieces", compression="zstd")
-    aligned = lists.drop("n").join(_summed(encoded), "piece").drop("piece")
+    summed = _summed(encoded)
+    aligned = written(lists.drop("n").join(summed, "piece").drop("piece"), "aligned-lists", compression="zstd")
+    dropped(summed)
     return _assembled(coded, aligned, with_groups)
