@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..shared import written
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], sequence: Column | None = None) -> DataFrame:
@@ -40,15 +41,22 @@ def pending(incoming: DataFrame, registry: DataFrame, key: str = "video_hash", f
 def ranked(rows: DataFrame, coarse: Column, order: list[Column]) -> DataFrame:
     """``rows`` with their ``place`` (from 1) in a total order whose first key, descending, is ``coarse``.
 
-    Counts of the coarse key are summed over its distinct values, and rows are numbered within each, so
-    that no task sorts all rows.
+    Rows are dealt by ranges of the whole order, from a sample, and sorted within them; what stands before a
+    range follows from the ranges' counts, one number for each partition. The sorted rows are written, as the
+    ranges of a second run may differ, so no task sorts all rows, however many or few values a key has.
     """
-    keyed = rows.withColumn("_coarse", coarse)
-    counts = keyed.groupBy("_coarse").agg(F.count("*").alias("_n"))
-    before = counts.select(F.col("_coarse").alias("_c"), (F.sum("_n").over(Window.orderBy(F.col("_coarse").desc_nulls_last())) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_coarse").orderBy(*order))
-    joined = keyed.withColumn("_within", within).join(before, F.col("_coarse").eqNullSafe(F.col("_c")))
-    return joined.withColumn("place", F.col("_before") + F.col("_within")).drop("_coarse", "_c", "_n", "_before", "_within")
+    keys = [coarse.desc_nulls_last(), *order]
+    dealt = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    # the number of the partition above 33 bits of the row's number in it
+    numbered = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = {r["part"]: r["n"] for r in numbered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for k in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(k, 0)
+    offset = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in before]), part.cast("int") + 1) if before else F.lit(0).cast("bigint")
+    return numbered.withColumn("place", offset + within + 1).drop("_at")
 
 
 def not_done(queries: DataFrame, done: DataFrame, key: str = "query") -> DataFrame:

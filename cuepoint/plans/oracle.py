@@ -248,6 +248,10 @@ def oracle_sql() -> dict[str, str]:
         "registry_upsert": """SELECT c_custkey, c_name, round(CASE WHEN c_custkey % 6 = 0 THEN c_acctbal + 2 WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END, 2) AS value,
               CASE WHEN c_custkey % 6 = 0 THEN 2 WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS load_seq FROM customer
             UNION ALL SELECT c_custkey + 10000000, c_name, round(c_acctbal, 2), 1 FROM customer WHERE c_custkey % 10 = 0""",
+        "upsert_log": """SELECT c_custkey, c_name,
+              round(CASE WHEN c_custkey % 15 = 0 THEN c_acctbal + 3 WHEN c_custkey % 6 = 0 THEN c_acctbal + 2 WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END, 2) AS value,
+              CASE WHEN c_custkey % 15 = 0 THEN 3 WHEN c_custkey % 6 = 0 THEN 2 WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS load_seq
+            FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 15 = 0""",
         "registry_rename": """SELECT c_custkey, n AS custom_name, CASE WHEN n <> '' THEN n ELSE c_name END AS display_name
             FROM (SELECT c_custkey, c_name, CASE WHEN c_custkey = 7 THEN 'Lecture seven' WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE '' END AS n FROM customer)""",
         "registry_delete": "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)",

@@ -18,7 +18,9 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import context, folds, metrics, registry, search, timeline
 from ..session import table
+from ..shared import scratch_path
 from ..sinks import tables
+from ..sinks.log import Log
 from ..sources import json_files
 from . import ask
 
@@ -233,6 +235,20 @@ def registry_upsert(spark: SparkSession, d: str) -> DataFrame:
     return registry.upsert(base, later.unionByName(latest).unionByName(new), ["c_custkey"], F.col("load_seq")).withColumn("value", F.round("value", 2))
 
 
+def upsert_log(spark: SparkSession, d: str) -> DataFrame:
+    base = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_acctbal").alias("value"), F.lit(0).alias("load_seq"))
+    customers = Log(spark, scratch_path(spark, "customers"), base.schema, ["c_custkey"])
+    customers.append(base)
+    raised = lambda every, by: base.filter(F.col("c_custkey") % every == 0).withColumn("value", F.col("value") + by).withColumn("load_seq", F.lit(by))
+    # two rows of a key in one commit, a batch that comes twice, deleted keys of which one part comes back
+    for _ in range(2):
+        customers.append(raised(3, 1).unionByName(raised(6, 2)), sequence=F.col("load_seq"), stream="loads", batch=0)
+    customers.append(gone=base.filter("c_custkey % 5 = 0"))
+    customers.compact()
+    customers.append(raised(15, 3))
+    return customers.read().withColumn("value", F.round("value", 2))
+
+
 def registry_rename(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("video_name"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_mktsegment")).otherwise("").alias("custom_name"))
     renamed = registry.rename(rows, "c_custkey", 7, "  Lecture seven \t")
@@ -503,6 +519,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "annotate_resumed": annotate_resumed,
         "shown_annotations": shown_annotations,
         "library_view": library_view,
+        "upsert_log": upsert_log,
         "frame_ssim": frame_ssim,
         "gray_levels": gray_levels,
         "prompt_images": prompt_images,

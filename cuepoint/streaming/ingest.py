@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import dot
+from ..sinks.log import Log
 from ..sinks.tables import upsert_rows
 
 
@@ -23,6 +24,16 @@ def upsert_stream(rows: DataFrame, path: str, schema, keys: list[str], checkpoin
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
+def log_stream(rows: DataFrame, log: Log, checkpoint: str, name: str):
+    """Commit a stream's rows to a log: each batch writes its own rows only, and a repeated one nothing."""
+
+    def commit(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            log.append(batch, stream=name, batch=number)
+
+    return rows.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
+
+
 def landing(spark: SparkSession, folder: str, schema) -> DataFrame:
     """Rows of Parquet files as they land in a folder."""
     return spark.readStream.schema(schema).parquet(folder)
