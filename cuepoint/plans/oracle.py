@@ -179,6 +179,8 @@ def oracle_sql() -> dict[str, str]:
         "frame_sampling": f"""SELECT user_id, event_id, frame_idx::INT AS frame_idx, round(frame_idx / 2.5::DOUBLE, 3) AS timestamp
             FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY timestamp, event_id) - 1 AS frame_idx FROM ({_EVENTS}))
             WHERE frame_idx >= 5 AND (frame_idx - 5) % 2 = 0 AND frame_idx <= 100""",
+        "frame_scan": """SELECT user_id, i::INT AS frame_idx, round(i / 2.5::DOUBLE, 3) AS timestamp, 'user-' || user_id || '@' || i AS picture
+            FROM (SELECT user_id, unnest(range(5, count(*) * 10, 2)) AS i FROM events GROUP BY user_id) WHERE i / 2.5 >= 20 AND i < 400""",
         "scene_renumber": f"""WITH e AS (SELECT user_id, timestamp AS a, lead(timestamp) OVER (PARTITION BY user_id ORDER BY timestamp, event_id) AS b FROM ({_EVENTS})),
             k AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY a, b) - 1 AS scene_id, round(a, 3) AS start_sec, round(b, 3) AS end_sec FROM e WHERE b - a >= 2)
             SELECT user_id, scene_id::INT AS scene_id, start_sec, end_sec FROM k

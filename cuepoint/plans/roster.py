@@ -22,6 +22,7 @@ from ..shared import scratch_path
 from ..sinks import tables
 from ..sinks.log import Log
 from ..sources import json_files
+from ..sources.frames import frame_table
 from . import ask
 
 FIXTURE = replace(DEFAULT, score_threshold=0.15, video_gate=0.15)
@@ -131,6 +132,20 @@ def frame_sampling(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(F.col("video_hash").alias("user_id"), "event_id", "frame_idx", "timestamp")
 
 
+def _named_frames() -> Callable:
+    """A decoder whose pictures say which frame of which recording they are."""
+    return lambda path, first, last, step: ((i, f"{path}@{i}".encode()) for i in range(first, last + 1, step))
+
+
+def frame_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A recording for each user, ten frames for each event, through the data source; both filters reach its reader."""
+    counts = table(spark, d, "events").groupBy("user_id").agg((F.count("*") * 10).cast("int").alias("total_frames"))
+    place = scratch_path(spark, "recordings")
+    counts.select(F.col("user_id").cast("string").alias("video_hash"), F.concat(F.lit("user-"), "user_id").alias("path"), F.lit(2.5).cast("double").alias("fps"), "total_frames").write.parquet(place)
+    read = frame_table(spark, place, _named_frames, start_sec=2.0).filter("timestamp >= 20 AND frame_idx < 400")
+    return read.select(F.col("video_hash").cast("bigint").alias("user_id"), "frame_idx", "timestamp", F.col("frame").cast("string").alias("picture"))
+
+
 def scene_renumber(spark: SparkSession, d: str) -> DataFrame:
     after = F.lead("timestamp").over(Window.partitionBy("video_hash").orderBy("timestamp", "event_id"))
     rows = _events(spark, d).withColumn("end_sec", after)
@@ -477,6 +492,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scene_lookup": scene_lookup,
         "scene_changes": scene_changes,
         "frame_sampling": frame_sampling,
+        "frame_scan": frame_scan,
         "scene_renumber": scene_renumber,
         "rolling_threshold": rolling_threshold,
         "semantic_filter": semantic_filter,

@@ -11,10 +11,7 @@ from pyspark.sql import functions as F
 from ..adapters import keyed, once
 from ..functions.text import video_hash
 from ..operators.timeline import duration, sample_frames, sample_step
-
-
-#: Sampled frames that a task decodes in one go.
-RANGE_FRAMES = 600
+from .frames import BATCH_FRAMES, RANGE_FRAMES, on_grid
 
 
 def video_files(spark: SparkSession, path: str, pattern: str = "*.{mp4,mkv,avi,mov,webm}") -> DataFrame:
@@ -57,11 +54,9 @@ def decoded_frames(videos: DataFrame, factory: Callable[[], Callable[[str, int,
         for frame in frames:
             for row in frame.itertuples():
                 part: list[tuple] = []
-                for index, picture in decoder(row.path, row.first, row.last, row.step):
-                    if (index - row.first) % row.step:
-                        continue
-                    part.append((row.video_hash, float(row.fps), int(index), picture))
-                    if len(part) == 64:
+                for index, picture in on_grid(decoder, row.path, row.first, row.last, row.step):
+                    part.append((row.video_hash, float(row.fps), index, picture))
+                    if len(part) == BATCH_FRAMES:
                         yield pd.DataFrame(part, columns=names)
                         part = []
                 yield pd.DataFrame(part, columns=names)
