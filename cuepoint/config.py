@@ -21,6 +21,8 @@ class Settings:
     cold_std: float = 0.05
     # semantic filter
     semantic_threshold: float = 0.95
+    # tasks for both filters where single recordings are too long for one; 0: one task a recording
+    fold_parts: int = 0
     # transcript windows
     chunk_sec: float = 30.0
     overlap_sec: float = 5.0

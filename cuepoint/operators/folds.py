@@ -7,6 +7,7 @@ the meaning.
 
 from __future__ import annotations
 
+import pickle
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -149,12 +150,26 @@ def frame_similarity(pairs: DataFrame, a: str, b: str, height: int, width: int,
     return pairs.withColumn(into, compare(F.col(a), F.col(b)))
 
 
+def _packed(value: np.ndarray | None) -> tuple | None:
+    return None if value is None else (value.dtype.str, value.shape, value.tobytes())
+
+
+def _opened(packed: tuple | None) -> np.ndarray | None:
+    return None if packed is None else np.frombuffer(packed[2], packed[0]).reshape(packed[1])
+
+
 class _Semantic:
     """Drops a row as similar as ``threshold`` to the last one kept."""
 
     def __init__(self, vector: str, threshold: float, similarity: Callable):
         self.vector, self.threshold, self.similarity, self.last = vector, threshold, similarity, None
 
+    def save(self) -> bytes:
+        return pickle.dumps(_packed(self.last))
+
+    def load(self, saved: bytes) -> None:
+        self.last = _opened(pickle.loads(saved))
+
     def step(self, batch: pa.RecordBatch) -> list:
         keep, scores = [], []
         for value in batch.column(self.vector):
@@ -167,12 +182,21 @@ class _Semantic:
         return [pa.array(keep, pa.bool_()), pa.array(scores, pa.float64())]
 
 
-def semantic_filter(frames: DataFrame, keys: list[str], order: list[str], vector: str = "embedding", threshold: float = 0.95, similarity: Callable = dot) -> DataFrame:
-    """``frames`` with ``keep`` and ``score`` (similarity to the last kept frame; null for the first)."""
-    return sorted_fold(frames, keys, order, lambda: _Semantic(vector, threshold, similarity), "keep boolean, score double")
+def semantic_filter(frames: DataFrame, keys: list[str], order: list[str], vector: str = "embedding", threshold: float = 0.95, similarity: Callable = dot, parts: int = 0) -> DataFrame:
+    """``frames`` with ``keep`` and ``score`` (similarity to the last kept frame; null for the first).
+
+    With ``parts`` long recordings are cut and folded by that many tasks, with the same result (``speculative_fold``).
+    """
+    return _folded(frames, keys, order, lambda: _Semantic(vector, threshold, similarity), "keep boolean, score double", [vector], parts)
+
+
+def _folded(frames: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], added: str, reads: list[str], parts: int) -> DataFrame:
+    from .speculative import speculative_fold
 
+    return speculative_fold(frames, keys, order, start, added, reads, parts) if parts else sorted_fold(frames, keys, order, start, added)
 
-class _Adaptive:
+
+class Adaptive:
     """Drops a row that is more similar to the last kept one than a rolling threshold.
 
     The score joins the window before the threshold is taken; a change of scene empties the window and
@@ -185,16 +209,34 @@ class _Adaptive:
         self.window: deque[float] = deque(maxlen=window)
         self.last, self.current, self.begun = None, None, False
 
+    def save(self) -> bytes:
+        last, scores, scene = self.memory()
+        return pickle.dumps((_packed(last), scores, scene, self.begun))
+
+    def load(self, saved: bytes) -> None:
+        last, scores, scene, begun = pickle.loads(saved)
+        if begun:
+            self.resume(_opened(last), scores, scene)
+
     def _threshold(self) -> float:
         scores = np.array(self.window)
         mean = scores.mean() if len(scores) else self.cold_mean
         std = scores.std() if len(scores) > 1 else self.cold_std
         return float(mean - self.multiplier * std)
 
-    def step(self, batch: pa.RecordBatch) -> list:
+    def resume(self, last: np.ndarray | None, scores: list[float], scene: int | None) -> None:
+        """Go on behind a frame: the last kept one, the scores in the window and the scene that it left."""
+        self.last, self.current, self.begun = last, scene, True
+        self.window.clear()
+        self.window.extend(scores)
+
+    def memory(self) -> tuple[np.ndarray | None, list[float], int | None]:
+        return self.last, [float(s) for s in self.window], self.current
+
+    def decide(self, values: list[np.ndarray], scenes: list) -> tuple[list, list, list, list]:
+        """Lists of keep, score, threshold and reset for frames that follow."""
         keeps, scores, thresholds, resets = [], [], [], []
-        for value, scene in zip(batch.column(self.value), batch.column(self.scene).to_pylist(), strict=True):
-            own = np.asarray(value.values if hasattr(value, "values") else value.as_py())
+        for own, scene in zip(values, scenes, strict=True):
             reset = self.begun and scene != self.current
             if reset:
                 self.window.clear()
@@ -211,16 +253,21 @@ class _Adaptive:
             self.begun = True
             for column, x in zip((keeps, scores, thresholds, resets), (keep, score, threshold, reset), strict=True):
                 column.append(x)
+        return keeps, scores, thresholds, resets
+
+    def step(self, batch: pa.RecordBatch) -> list:
+        values = [np.asarray(v.values if hasattr(v, "values") else v.as_py()) for v in batch.column(self.value)]
+        keeps, scores, thresholds, resets = self.decide(values, batch.column(self.scene).to_pylist())
         return [pa.array(keeps, pa.bool_()), pa.array(scores, pa.float64()), pa.array(thresholds, pa.float64()), pa.array(resets, pa.bool_())]
 
 
 def adaptive_filter(
     frames: DataFrame, keys: list[str], order: list[str], value: str, scene: str = "scene_id", window: int = 30, multiplier: float = 1.0,
-    floor: float = 0.50, ceiling: float = 0.98, cold_mean: float = 0.85, cold_std: float = 0.05, similarity: Callable = dot,
+    floor: float = 0.50, ceiling: float = 0.98, cold_mean: float = 0.85, cold_std: float = 0.05, similarity: Callable = dot, parts: int = 0,
 ) -> DataFrame:
-    """``frames`` with ``keep``, ``score``, ``threshold`` and ``reset``; ``scene`` is -1 outside of all scenes."""
-    start = lambda: _Adaptive(value, scene, window, multiplier, floor, ceiling, cold_mean, cold_std, similarity)
-    return sorted_fold(frames, keys, order, start, "keep boolean, score double, threshold double, reset boolean")
+    """``frames`` with ``keep``, ``score``, ``threshold`` and ``reset``; ``scene`` is -1 outside of all scenes. ``parts`` as in ``semantic_filter``."""
+    start = lambda: Adaptive(value, scene, window, multiplier, floor, ceiling, cold_mean, cold_std, similarity)
+    return _folded(frames, keys, order, start, "keep boolean, score double, threshold double, reset boolean", [value, scene], parts)
 
 
 def filter_stats(filtered: DataFrame, keys: list[str]) -> DataFrame:

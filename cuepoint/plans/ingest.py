@@ -48,7 +48,7 @@ def frames_of(videos: DataFrame, models: Models, stages: Stages, settings: Setti
         frames = timeline.with_scenes(decoded_frames(new, models.decode, settings.sample_fps), scenes)
         filtered = folds.adaptive_filter(
             frames, ["video_hash"], ["timestamp", "frame_idx"], "frame", window=settings.window, multiplier=settings.std_multiplier, floor=settings.floor,
-            ceiling=settings.ceiling, cold_mean=settings.cold_mean, cold_std=settings.cold_std, similarity=models.similarity,
+            ceiling=settings.ceiling, cold_mean=settings.cold_mean, cold_std=settings.cold_std, similarity=models.similarity, parts=settings.fold_parts,
         )
         return filtered.withColumn("frame", F.when(F.col("keep"), F.col("frame")))
 
@@ -59,7 +59,7 @@ def frames_of(videos: DataFrame, models: Models, stages: Stages, settings: Setti
     cuts = stages.step("cuts", videos, lambda new: detected_scenes(new, models.scenes))
     sampled = stages.step("sampled", videos, pixel)
     vectors = stages.step("embedded", videos, embedded)
-    semantic = folds.semantic_filter(vectors, ["video_hash"], ["timestamp", "frame_idx"], threshold=settings.semantic_threshold)
+    semantic = folds.semantic_filter(vectors, ["video_hash"], ["timestamp", "frame_idx"], threshold=settings.semantic_threshold, parts=settings.fold_parts)
     key = ["video_hash"]
     stats = folds.filter_stats(sampled, key).select("video_hash", F.col("total_input").alias("n_sampled"), F.col("reduction_pct").alias("ssim_reduction_pct"))
     more = folds.filter_stats(semantic, key).select("video_hash", F.col("total_kept").cast("int").alias("total_keyframes"), F.col("reduction_pct").alias("clip_reduction_pct"))

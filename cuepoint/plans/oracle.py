@@ -85,6 +85,12 @@ s AS (
   )
 )"""
 
+
+def _as_one(filtered: str) -> str:
+    """A filter's tables over all vectors as one recording."""
+    return filtered.replace("FROM embeddings", "FROM (SELECT * REPLACE (0 AS label) FROM embeddings)")
+
+
 _TURNS = """turns AS (
   SELECT conv_id, turn, role, text, coalesce(sum(length(text)) OVER w, 0) / 15 AS a, (coalesce(sum(length(text)) OVER w, 0) + length(text)) / 15 AS b
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
@@ -194,6 +200,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT event_id, round(mean, 8) AS mean, round(std, 8) AS std, round(mean - std, 8) AS threshold FROM w""",
         "semantic_filter": f"{_SEMANTIC} SELECT vec_id, keep, round(score, 6) AS score FROM s",
         "adaptive_filter": f"{_ADAPTIVE} SELECT vec_id, keep, round(score, 6) AS score, round(threshold, 6) AS threshold, reset FROM s",
+        "semantic_filter_cut": f"{_as_one(_SEMANTIC)} SELECT vec_id, keep, round(score, 6) AS score FROM s",
+        "adaptive_filter_cut": f"{_as_one(_ADAPTIVE)} SELECT vec_id, keep, round(score, 6) AS score, round(threshold, 6) AS threshold, reset FROM s",
         "filter_stats": f"""{_SEMANTIC} SELECT label AS video, count(*) AS total_input, count(*) FILTER (keep) AS total_kept, count(*) FILTER (NOT keep) AS total_dropped,
             round(100 * count(*) FILTER (NOT keep) / count(*), 2) AS reduction_pct, round(coalesce(avg(score), 0), 4) AS mean_score, round(coalesce(stddev_pop(score), 0), 4) AS std_score
             FROM s GROUP BY label""",

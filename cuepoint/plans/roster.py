@@ -169,12 +169,26 @@ def semantic_filter(spark: SparkSession, d: str) -> DataFrame:
     return _semantic(spark, d).select(F.col("id").alias("vec_id"), "keep", F.round("score", 6).alias("score"))
 
 
-def adaptive_filter(spark: SparkSession, d: str) -> DataFrame:
+def semantic_filter_cut(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors as one recording, folded in four parts."""
+    one = _vectors(spark, d).drop("timestamp").withColumn("video", F.lit(0))
+    out = folds.semantic_filter(one, ["video"], ["id"], threshold=0.10, parts=4)
+    return out.select(F.col("id").alias("vec_id"), "keep", F.round("score", 6).alias("score"))
+
+
+def adaptive_filter(spark: SparkSession, d: str, parts: int = 0) -> DataFrame:
     frames = _vectors(spark, d).withColumn("scene_id", F.when(F.pmod(F.floor(F.col("id") / 40), F.lit(3)) == 2, -1).otherwise(F.floor(F.col("id") / 40)).cast("int"))
-    out = folds.adaptive_filter(frames, ["video"], ["id"], "embedding", multiplier=0.9, floor=-0.15, ceiling=0.15)
+    if parts:
+        frames = frames.withColumn("video", F.lit(0))
+    out = folds.adaptive_filter(frames, ["video"], ["id"], "embedding", multiplier=0.9, floor=-0.15, ceiling=0.15, parts=parts)
     return out.select(F.col("id").alias("vec_id"), "keep", F.round("score", 6).alias("score"), F.round("threshold", 6).alias("threshold"), "reset")
 
 
+def adaptive_filter_cut(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors as one recording, folded in four parts."""
+    return adaptive_filter(spark, d, parts=4)
+
+
 def filter_stats(spark: SparkSession, d: str) -> DataFrame:
     return folds.filter_stats(_semantic(spark, d), ["video"])
 
@@ -497,6 +511,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rolling_threshold": rolling_threshold,
         "semantic_filter": semantic_filter,
         "adaptive_filter": adaptive_filter,
+        "semantic_filter_cut": semantic_filter_cut,
+        "adaptive_filter_cut": adaptive_filter_cut,
         "filter_stats": filter_stats,
         "transcript_chunks": transcript_chunks,
         "context_budget": context_budget,

@@ -115,3 +115,18 @@ def test_long_recording_is_decoded_in_several_tasks(spark, tmp_path, monkeypatch
     assert got.rdd.glom().map(len).filter(lambda n: n > 0).count() > 1
     part = media.decoded_frames(one, counting(str(tmp_path), "decode", stub.decode, lambda p, a, b, s: len(range(a, b + 1, s))), start_sec=10.0, end_sec=20.0)
     assert sorted(r.timestamp for r in part.collect()) == [float(t) for t in range(10, 21)] and noted(tmp_path) == {"decode": 11}
+
+
+def test_filters_in_parts_give_the_same_index(spark, videos, tmp_path):
+    from dataclasses import replace
+
+    from cuepoint.config import DEFAULT
+
+    found = []
+    for parts in (0, 3):
+        folder = str(tmp_path / f"parts{parts}")
+        known = spark.createDataFrame([], schemas.REGISTRY)
+        used = ingest.Models(stub.probe, stub.decode, stub.scenes, stub.speech, stub.pictures, stub.words, stub.picture_similarity)
+        ingest.index_videos(spark, videos, known, folder, used, settings=replace(DEFAULT, fold_parts=parts))
+        found.append(tables(spark, folder))
+    assert found[0] == found[1] and found[0][0]
