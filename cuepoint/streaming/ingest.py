@@ -1,4 +1,4 @@
-"""Incremental ingest: new index rows by micro-batch, and the semantic filter as a stateful stream."""
+"""Incremental ingest: new index rows by micro-batch, and both filters as stateful streams."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.folds import dot
+from ..operators.folds import Adaptive, dot
 from ..sinks.log import Log
 from ..sinks.tables import upsert_rows
 
@@ -66,3 +67,63 @@ def semantic_stream(frames: DataFrame, key: str = "video_hash", order: str = "ti
 
     state = f"last array<double>, seen {kinds[order]}"
     return frames.groupBy(key).applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def adaptive_stream(
+    frames: DataFrame, key: str = "video_hash", order: str = "timestamp", value: str = "embedding", scene: str = "scene_id", window: int = 30, multiplier: float = 1.0,
+    floor: float = 0.50, ceiling: float = 0.98, cold_mean: float = 0.85, cold_std: float = 0.05, similarity: Callable = dot,
+) -> DataFrame:
+    """The adaptive filter's decision on each frame of a stream: key, order, keep, score, threshold, reset.
+
+    A video's state is four typed values: the last kept frame, the rolling scores, the scene and the time of the last
+    frame. Frames have to arrive in order of time across batches; within one they are sorted, and what is older than its
+    video's last frame is left out, since its decision can't be taken any more. A null key is a video too. Needs the
+    RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
+    if kinds[value] not in ("binary", "array<float>", "array<double>"):
+        raise ValueError(f"{value} is {kinds[value]}, not a picture or a vector")
+    start = lambda: Adaptive(value, scene, window, multiplier, floor, ceiling, cold_mean, cold_std, similarity)
+    rows = frames.select(key, order, value, scene)
+    shape = f"{key} {kinds[key]}, {order} {kinds[order]}, keep boolean, score double, threshold double, reset boolean"
+    processor = _AdaptiveProcessor(key, order, value, scene, kinds, start)
+    return rows.groupBy(key).transformWithStateInPandas(processor, shape, "append", "none")
+
+
+class _AdaptiveProcessor(StatefulProcessor):
+    """Keeps the fold of each video between batches."""
+
+    def __init__(self, key: str, order: str, value: str, scene: str, kinds: dict[str, str], start: Callable[[], Adaptive]):
+        self.key, self.order, self.value, self.scene, self.kinds, self.start = key, order, value, scene, kinds, start
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("kept", f"frame {self.kinds[self.value]}")
+        self.scores = handle.getValueState("scores", "rolling array<double>")
+        self.current = handle.getValueState("scene", f"scene {self.kinds[self.scene]}")
+        self.seen = handle.getValueState("seen", f"at {self.kinds[self.order]}")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fold = self.start()
+        seen = self.seen.get()[0] if self.seen.exists() else None
+        if self.kept.exists():
+            fold.resume(self._array(self.kept.get()[0]), list(self.scores.get()[0]), self.current.get()[0])
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        if seen is not None:
+            batch = batch[batch[self.order] >= seen]
+        if batch.empty:
+            return
+        scenes = [None if s is None or s != s else int(s) for s in batch[self.scene]]
+        keep, score, threshold, reset = fold.decide([self._array(v) for v in batch[self.value]], scenes)
+        last, scores, scene = fold.memory()
+        self.kept.update((last.tobytes() if self.kinds[self.value] == "binary" else last.tolist(),))
+        self.scores.update((scores,))
+        self.current.update((scene,))
+        self.seen.update((batch[self.order].iloc[-1].item(),))
+        nullable = lambda x: pd.array(x, "Float64")
+        yield pd.DataFrame({self.key: [key[0]] * len(batch), self.order: batch[self.order].to_numpy(), "keep": keep, "score": nullable(score), "threshold": nullable(threshold), "reset": pd.array(reset, "boolean")})
+
+    def _array(self, value) -> np.ndarray:
+        return np.asarray(value) if self.kinds[self.value] == "binary" else np.asarray(value, np.float32 if "float" in self.kinds[self.value] else np.float64)
+
+    def close(self) -> None:
+        pass
