@@ -269,6 +269,12 @@ def oracle_sql() -> dict[str, str]:
         "fuzzy_name_match": f"""SELECT wanted, p_partkey, p_name FROM (VALUES {names}) AS w(wanted) JOIN part
               ON p_name = wanted OR contains(regexp_replace(p_name, '\\.[^.]*$', ''), regexp_replace(wanted, '\\.[^.]*$', '')) OR contains(regexp_replace(wanted, '\\.[^.]*$', ''), regexp_replace(p_name, '\\.[^.]*$', ''))
             QUALIFY row_number() OVER (PARTITION BY wanted ORDER BY p_partkey) = 1""",
+        "fuzzy_name_table": """WITH p AS (SELECT p_partkey, p_name, regexp_replace(p_name, '\\.[^.]*$', '') AS stem FROM part),
+            w AS (
+              SELECT substr(p_name, (3 + p_partkey % 4)::INT, (3 + p_partkey % 9)::INT) AS wanted FROM part UNION SELECT p_name || ' take ' || p_partkey || '.mkv' FROM part UNION SELECT p_brand FROM part
+            ), ws AS (SELECT wanted, regexp_replace(wanted, '\\.[^.]*$', '') AS stem FROM w),
+            s AS (SELECT stem, min(p_partkey) AS first FROM p GROUP BY stem)
+            SELECT wanted, min(first) AS p_partkey, min_by(p_name, p_partkey) AS p_name FROM ws JOIN s ON contains(s.stem, ws.stem) OR contains(ws.stem, s.stem) JOIN part ON p_partkey = first GROUP BY wanted""",
         "answer_assembly": f"""{_hybrid()}, a AS (
               SELECT query_id, array_to_string(list_sort(list_distinct(list(vec_id))), ',') AS timestamps,
                 array_to_string((list('f' || vec_id ORDER BY place) FILTER (source = 'frames'))[1:5], ',') AS keyframe_paths,

@@ -302,6 +302,14 @@ def fuzzy_name_match(spark: SparkSession, d: str) -> DataFrame:
     return registry.match_names(table(spark, d, "part"), [*NAMES], "p_name", "p_partkey")
 
 
+def fuzzy_name_table(spark: SparkSession, d: str) -> DataFrame:
+    """Names from a table: pieces of part names, part names with more behind them, and brands."""
+    parts = table(spark, d, "part")
+    piece = F.expr("substring(p_name, CAST(3 + p_partkey % 4 AS INT), CAST(3 + p_partkey % 9 AS INT))")
+    wanted = parts.select(F.explode(F.array(piece, F.concat("p_name", F.lit(" take "), "p_partkey", F.lit(".mkv")), F.col("p_brand"))).alias("wanted"))
+    return registry.match_name_table(parts, wanted, "p_name", "p_partkey")
+
+
 def answer_assembly(spark: SparkSession, d: str) -> DataFrame:
     rows = _hybrid(spark, d).withColumn("text", F.when(F.col("source") == "transcript", F.concat(F.lit("t"), "id"))).withColumn("frame_path", F.when(F.col("source") == "frames", F.concat(F.lit("f"), "id")))
     parts = context.assemble(rows, ["query_id"])
@@ -528,6 +536,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "registry_delete": registry_delete,
         "resume_anti": resume_anti,
         "fuzzy_name_match": fuzzy_name_match,
+        "fuzzy_name_table": fuzzy_name_table,
         "answer_assembly": answer_assembly,
         "library_listing": library_listing,
         "search_response": search_response,
