@@ -17,6 +17,7 @@ from .session import session
 from .shared import release
 from .sinks import tables
 from .sources import json_files, media
+from .streaming.ingest import index_stream
 
 
 def _named(path: str):
@@ -57,6 +58,10 @@ def main(argv: list[str] | None = None) -> None:
     sub.add_argument("path")
     sub.add_argument("--models", required=True, help="a Models object, module:attribute")
     sub.add_argument("--force", action="store_true")
+    sub = commands.add_parser("watch", help="index what has landed since the last run; with --seconds go on watching")
+    sub.add_argument("path")
+    sub.add_argument("--models", required=True, help="a Models object, module:attribute")
+    sub.add_argument("--seconds", type=int, help="time between two looks")
     commands.add_parser("list")
     args = parser.parse_args(argv)
 
@@ -82,6 +87,10 @@ def main(argv: list[str] | None = None) -> None:
         _annotate(spark, known, args, options)
     elif args.command == "index":
         ask.library_view(ingest.index_path(spark, args.path, args.folder, _named(args.models), args.force, options)).orderBy("place").show(1000, truncate=False)
+    elif args.command == "watch":
+        live = index_stream(spark, args.path, args.folder, _named(args.models), f"{args.folder}/_landed", options)
+        live = live.trigger(processingTime=f"{args.seconds} seconds") if args.seconds else live.trigger(availableNow=True)
+        live.start().awaitTermination()
     else:
         frames, chunks = ingest.search_tables(spark, args.folder)
         if args.command == "query":

@@ -114,9 +114,13 @@ def index_videos(spark: SparkSession, videos: DataFrame, known: DataFrame, folde
 
 def index_path(spark: SparkSession, path: str, folder: str, models: Models, force: bool = False, settings: Settings = DEFAULT) -> DataFrame:
     """Index the video files at a path, those that aren't yet or all, and write the registry, which is returned as read back."""
+    return index_files(spark, video_files(spark, path), folder, models, force, settings)
+
+
+def index_files(spark: SparkSession, videos: DataFrame, folder: str, models: Models, force: bool = False, settings: Settings = DEFAULT) -> DataFrame:
+    """As ``index_path``, for rows of ``video_files``."""
     where = f"{folder}/registry.json"
     known = json_files.registry(spark, where)
-    videos = video_files(spark, path)
     if force or not registry.pending(videos, known).isEmpty():
         stages = Stages(spark, folder, settings)
         tables.registry_json(index_videos(spark, videos, known, folder, models, force, settings, stages), where)

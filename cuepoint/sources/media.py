@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -16,7 +17,16 @@ from .frames import BATCH_FRAMES, RANGE_FRAMES, on_grid
 
 def video_files(spark: SparkSession, path: str, pattern: str = "*.{mp4,mkv,avi,mov,webm}") -> DataFrame:
     """Video files by path with their key; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return _keyed_files(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path))
+
+
+def landing_files(spark: SparkSession, path: str, pattern: str = "*.{mp4,mkv,avi,mov,webm}", per_batch: int = 1000) -> DataFrame:
+    """The rows of ``video_files`` as a stream: each file once, in batches of up to ``per_batch``."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+    return _keyed_files(files.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(path))
+
+
+def _keyed_files(files: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(video_hash(name, F.col("length")).alias("video_hash"), name.alias("video_name"), "path", F.col("length").alias("size_bytes"))
 
@@ -88,11 +98,19 @@ def images(paths: DataFrame, known: DataFrame, column: str = "frame_path", resiz
 
 
 def land(spark: SparkSession, path: str, folder: str) -> str:
-    """Copy an uploaded file into the folder unless it is there already, and return its place there."""
+    """Copy an uploaded file into the folder unless it is there already, and return its place there.
+
+    It is copied under a hidden name and then renamed, so a stream on the folder never sees a part of it.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs
     source, conf = hadoop.Path(path), spark._jsc.hadoopConfiguration()
     target = hadoop.Path(f"{folder.rstrip('/')}/{source.getName()}")
     files = target.getFileSystem(conf)
     if not files.exists(target):
-        hadoop.FileUtil.copy(source.getFileSystem(conf), source, files, target, False, False, conf)
+        aside = hadoop.Path(f"{folder.rstrip('/')}/.{source.getName()}.{uuid.uuid4().hex}")
+        hadoop.FileUtil.copy(source.getFileSystem(conf), source, files, aside, False, False, conf)
+        if not files.rename(aside, target):
+            files.delete(aside, False)
+            if not files.exists(target):
+                raise OSError(f"{target} can't be put in its place")
     return target.toString()

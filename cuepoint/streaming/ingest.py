@@ -7,12 +7,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..config import DEFAULT, Settings
 from ..operators.folds import Adaptive, dot
+from ..plans import ingest
+from ..plans.ingest import Models
+from ..shared import written
 from ..sinks.log import Log
 from ..sinks.tables import upsert_rows
+from ..sources import media
 
 
 def upsert_stream(rows: DataFrame, path: str, schema, keys: list[str], checkpoint: str, partition: str = "video_hash"):
@@ -40,6 +46,22 @@ def landing(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
+def index_stream(spark: SparkSession, path: str, folder: str, models: Models, checkpoint: str, settings: Settings = DEFAULT, per_batch: int = 1000):
+    """Index recordings as they land at ``path``: from the file to both indexes and the registry.
+
+    The stream's offsets say which files a batch holds, and the registry which of them are indexed, so a batch that is
+    repeated after a failure indexes only what isn't in the registry yet, and takes its finished stages over. One
+    recording that lands twice, in a batch or later, is indexed once. Files have to appear whole (``media.land``).
+    """
+
+    def index(batch: DataFrame, _: int) -> None:
+        videos = batch.groupBy("video_hash").agg(F.min_by(F.struct(*[c for c in batch.columns if c != "video_hash"]), "path").alias("v")).select("video_hash", "v.*")
+        if not batch.isEmpty():
+            ingest.index_files(batch.sparkSession, written(videos, "landed"), folder, models, settings=settings)
+
+    return media.landing_files(spark, path, per_batch=per_batch).writeStream.foreachBatch(index).option("checkpointLocation", checkpoint)
+
+
 def semantic_stream(frames: DataFrame, key: str = "video_hash", order: str = "timestamp", vector: str = "embedding", threshold: float = 0.95, similarity: Callable = dot) -> DataFrame:
     """Kept frames of a stream. The state of a video is its last kept vector and the time of its last frame.
 
