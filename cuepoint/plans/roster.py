@@ -140,9 +140,8 @@ def _named_frames() -> Callable:
 def frame_scan(spark: SparkSession, d: str) -> DataFrame:
     """A recording for each user, ten frames for each event, through the data source; both filters reach its reader."""
     counts = table(spark, d, "events").groupBy("user_id").agg((F.count("*") * 10).cast("int").alias("total_frames"))
-    place = scratch_path(spark, "recordings")
-    counts.select(F.col("user_id").cast("string").alias("video_hash"), F.concat(F.lit("user-"), "user_id").alias("path"), F.lit(2.5).cast("double").alias("fps"), "total_frames").write.parquet(place)
-    read = frame_table(spark, place, _named_frames, start_sec=2.0).filter("timestamp >= 20 AND frame_idx < 400")
+    videos = counts.select(F.col("user_id").cast("string").alias("video_hash"), F.concat(F.lit("user-"), "user_id").alias("path"), F.lit(2.5).cast("double").alias("fps"), "total_frames")
+    read = frame_table(videos, _named_frames, start_sec=2.0).filter("timestamp >= 20 AND frame_idx < 400")
     return read.select(F.col("video_hash").cast("bigint").alias("user_id"), "frame_idx", "timestamp", F.col("frame").cast("string").alias("picture"))
 
 

@@ -1,19 +1,19 @@
 """Frames of recordings as a Spark data source: filters on recording, frame and time reach the decoder.
 
-``frame_table`` opens a Parquet table of probed recordings (video_hash, path, fps, total_frames) as rows of
-sampled frames. What is planned is ranges of frames, not files: one long recording is read by many tasks, short
+``frame_table`` gives the sampled frames of probed recordings (video_hash, path, fps, total_frames). What is planned is ranges of frames, not files: one long recording is read by many tasks, short
 ones share a task, and what a filter rules out is never decoded.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..adapters import Keyed, keyed, once
@@ -80,17 +80,18 @@ class VideoFrames(DataSource):
     """The format behind ``frame_table``, which binds a decoder to it."""
 
     decoder: Keyed
+    recordings: pa.Table
 
     def schema(self) -> str:
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return FrameReader(self.options, self.decoder)
+        return FrameReader(self.options, self.decoder, self.recordings)
 
 
 class FrameReader(DataSourceReader):
-    def __init__(self, options: dict, decoder: Keyed):
-        self.videos, self.decoder, self.bounds = options["videos"], decoder, Bounds()
+    def __init__(self, options: dict, decoder: Keyed, recordings: pa.Table | None):
+        self.recordings, self.decoder, self.bounds = recordings, decoder, Bounds()
         self.fps, self.tasks = float(options.get("fps", 1.0)), int(options.get("tasks", 10_000))
         self.start, self.end = float(options.get("start", 0.0)), float(options.get("end", math.inf))
 
@@ -99,18 +100,13 @@ class FrameReader(DataSourceReader):
             self.bounds.narrow(condition)
         return filters
 
-    def _recordings(self) -> Iterator[tuple[str, str, float, int]]:
-        import pyarrow.dataset as ds
-
-        columns = ["video_hash", "path", "fps", "total_frames"]
-        named = None if self.bounds.videos is None else ds.field("video_hash").isin(pa.array(sorted(v for v in self.bounds.videos if v is not None), pa.string()))
-        for batch in ds.dataset(self.videos, format="parquet").to_batches(columns=columns, filter=named):
-            yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"recordings": None}  # tasks get their ranges
 
     def partitions(self) -> list[Ranges]:
         wanted = []
-        for video, path, fps, total in self._recordings():
-            if path is None or not total or not fps or fps <= 0:
+        for video, path, fps, total in zip(*(c.to_pylist() for c in self.recordings.columns), strict=True):
+            if self.bounds.videos is not None and video not in self.bounds.videos:
                 continue
             step = max(1, round(fps / self.fps))
             last = total - 1 if self.end == math.inf else min(total - 1, int(self.end * fps))
@@ -149,20 +145,24 @@ class FrameReader(DataSourceReader):
         return pa.RecordBatch.from_pydict({"video_hash": [video] * len(part), "frame_idx": [i for i, _ in part], "timestamp": [seconds(i, fps) for i, _ in part], "frame": [p for _, p in part]}, schema)
 
 
-def frame_table(spark: SparkSession, videos: str, factory: Callable[[], Decoder], fps: float = 1.0, start_sec: float | None = None, end_sec: float | None = None, tasks: int = 10_000) -> DataFrame:
-    """Sampled frames (video_hash, frame_idx, timestamp, frame) of the recordings in a Parquet table.
+def frame_table(videos: DataFrame, factory: Callable[[], Decoder], fps: float = 1.0, start_sec: float | None = None, end_sec: float | None = None, tasks: int = 10_000) -> DataFrame:
+    """Sampled frames (video_hash, frame_idx, timestamp, frame) of ``videos``, each of which is read.
 
     ``start_sec`` and ``end_sec`` say where the sampling grid begins and ends, as in ``decoded_frames``; filters on
     video_hash, frame_idx and timestamp only choose among its frames, and reach the reader. A task takes at least
-    ``RANGE_FRAMES`` frames, and more where there would be over ``tasks`` tasks. Planning holds one entry for each range.
-    Recordings without a path, frames or a positive rate have no frames; those without a key keep a null one; repeated
-    rows are read each. Turns on the session's setting that lets filters reach Python sources.
+    ``RANGE_FRAMES`` frames, and more where there would be over ``tasks`` tasks.
+
+    The driver plans, so it holds four values of each recording, from when this is called, and an entry for each range;
+    nothing of a recording's contents. Recordings without a path, frames or a positive rate have no frames; those
+    without a key keep a null one. Turns on the session's setting that lets filters reach Python sources.
     """
-    known = keyed(factory)
+    spark, known = videos.sparkSession, keyed(factory)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    source = type("BoundFrames", (VideoFrames,), {"decoder": known, "name": classmethod(lambda cls: f"frames_{known.token}")})
-    spark.dataSource.register(source)
-    reader = spark.read.format(f"frames_{known.token}").option("videos", videos).option("fps", fps).option("tasks", tasks)
-    for name, value in (("start", start_sec), ("end", end_sec)):
-        reader = reader if value is None else reader.option(name, value)
+    usable = videos.filter("path IS NOT NULL AND fps > 0 AND NOT isnan(fps) AND total_frames > 0")
+    recordings = usable.selectExpr("cast(video_hash AS string)", "path", "cast(fps AS double)", "cast(total_frames AS int)").toArrow()
+    name = f"frames_{uuid.uuid4().hex}"
+    spark.dataSource.register(type("BoundFrames", (VideoFrames,), {"decoder": known, "recordings": recordings, "name": classmethod(lambda cls: name)}))
+    reader = spark.read.format(name).option("fps", fps).option("tasks", tasks)
+    for option, value in (("start", start_sec), ("end", end_sec)):
+        reader = reader if value is None else reader.option(option, value)
     return reader.load()

@@ -10,10 +10,9 @@ SHAPE = "video_hash string, path string, fps double, total_frames int"
 
 
 @pytest.fixture
-def videos(spark, tmp_path):
+def videos(spark):
     rows = [("a", "/a", 2.0, 120), ("b", "/b", 16.0, 4001), ("c", "/c", 29.97, 20_000), ("d", "/d", 0.4, 9), (None, "/n", 1.0, 3)]
-    spark.createDataFrame(rows + [("x", "/x", None, 5), ("y", None, 1.0, 5), ("z", "/z", 0.0, 5), ("w", "/w", 1.0, 0), ("v", "/v", 1.0, None)], SHAPE).repartition(3).write.parquet(f"{tmp_path}/videos")
-    return f"{tmp_path}/videos", spark.createDataFrame(rows, SHAPE)
+    return spark.createDataFrame(rows + [("x", "/x", None, 5), ("y", None, 1.0, 5), ("z", "/z", 0.0, 5), ("w", "/w", 1.0, 0), ("v", "/v", 1.0, None)], SHAPE), spark.createDataFrame(rows, SHAPE)
 
 
 def rows(frame):
@@ -22,9 +21,9 @@ def rows(frame):
 
 @pytest.mark.parametrize("start,end", [(None, None), (3.3, 47.7), (0.5, None), (None, 30.0), (1e6, None), (9.0, 2.0)])
 def test_equals_decoded_frames(spark, videos, start, end):
-    path, table = videos
-    for fps in (1.0, 4.0):
-        assert rows(frames.frame_table(spark, path, stub.decode, fps, start, end)) == rows(media.decoded_frames(table, stub.decode, fps, start, end))
+    every, table = videos
+    fps = 4.0 if start else 1.0
+    assert rows(frames.frame_table(every, stub.decode, fps, start, end)) == rows(media.decoded_frames(table, stub.decode, fps, start, end))
 
 
 @pytest.mark.parametrize(
@@ -40,34 +39,31 @@ def test_equals_decoded_frames(spark, videos, start, end):
     ],
 )
 def test_filters_reach_the_decoder(spark, videos, tmp_path, condition, decoded):
-    path, table = videos
+    every, table = videos
     calls = tmp_path / "calls"
     calls.mkdir()
     decode = counting(str(calls), "decode", stub.decode, lambda p, a, b, s: len(range(a, b + 1, s)))
-    found = rows(frames.frame_table(spark, path, decode).filter(condition))
+    found = rows(frames.frame_table(every, decode).filter(condition))
     assert found == rows(media.decoded_frames(table, stub.decode).filter(condition))
     assert noted(str(calls))["decode"] == decoded
 
 
-def test_one_recording_is_read_by_many_tasks(spark, tmp_path):
-    path = f"{tmp_path}/one"
-    spark.createDataFrame([("v", "/v", 1.0, 10_000)], SHAPE).write.parquet(path)
-    read = frames.frame_table(spark, path, stub.decode)
+def test_one_recording_is_read_by_many_tasks(spark):
+    one = spark.createDataFrame([("v", "/v", 1.0, 10_000)], SHAPE)
+    read = frames.frame_table(one, stub.decode)
     assert read.rdd.getNumPartitions() == -(-10_000 // frames.RANGE_FRAMES) and read.count() == 10_000
-    few = frames.frame_table(spark, path, stub.decode, tasks=4)
+    few = frames.frame_table(one, stub.decode, tasks=4)
     assert few.rdd.getNumPartitions() == 4 and rows(few) == rows(read)
 
 
-def test_short_recordings_share_tasks_and_empty_tables_are_read(spark, tmp_path):
+def test_short_recordings_share_tasks_and_empty_tables_are_read(spark):
     many = spark.range(500).selectExpr("cast(id AS string) AS video_hash", "concat('/', id) AS path", "2D AS fps", "10 AS total_frames", "id AS extra")
-    many.write.parquet(f"{tmp_path}/many")
-    read = frames.frame_table(spark, f"{tmp_path}/many", stub.decode)
+    read = frames.frame_table(many, stub.decode)
     assert read.count() == 2500 and read.rdd.getNumPartitions() == 5
-    many.limit(0).write.parquet(f"{tmp_path}/none")
-    assert frames.frame_table(spark, f"{tmp_path}/none", stub.decode).count() == 0
+    assert frames.frame_table(many.limit(0), stub.decode).count() == 0
 
 
-def test_a_decoder_that_gives_more_is_cut(spark, tmp_path):
-    spark.createDataFrame([("v", "/v", 2.0, 9)], SHAPE).write.parquet(f"{tmp_path}/v")
+def test_a_decoder_that_gives_more_is_cut(spark):
+    one = spark.createDataFrame([("v", "/v", 2.0, 9)], SHAPE)
     every = lambda: lambda path, first, last, step: ((i, b"x") for i in range(20))
-    assert [r[1] for r in rows(frames.frame_table(spark, f"{tmp_path}/v", every))] == [0, 2, 4, 6, 8]
+    assert [r[1] for r in rows(frames.frame_table(one, every))] == [0, 2, 4, 6, 8]
