@@ -15,7 +15,7 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
    expanded into its pairs.
 5. Components of all links come from large-star/small-star rounds.
 
-In steps 3 and 4 a group of up to ``BLOCK`` sets meets in one task. A larger one is cut into blocks, and
+In steps 3 and 4 a group of up to ``BLOCK`` sets and ``BLOCK_BYTES`` meets in one task. A larger one is cut into blocks, and
 each meets with a few pivots, which most near copies link to: their number grows with the group, not
 with its square. What this leaves outside the group's largest component then meets every block.
 
@@ -36,6 +36,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,15 +47,18 @@ from ._scratch import written
 #: Percent of the union that two sets share at least.
 THRESHOLD = 80
 SHINGLE = 5
-#: Frequent shingles: in at least this many documents and this share of them. There are at most
-#: (mean set size / share) of them whatever the corpus, so they are broadcast.
-FREQUENT_COUNT, FREQUENT_SHARE = 24, 0.0005
+#: Frequent shingles: in at least this many documents, this share of them, and so often that no more than
+#: ``FREQUENT_MOST`` can be, whatever the corpus and the length of its texts: 16 MB that are broadcast.
+FREQUENT_COUNT, FREQUENT_SHARE, FREQUENT_MOST = 24, 0.0005, 1 << 20
 #: Prefix shingles that one bucket's task holds, about.
 BUCKET_ELEMENTS = 400_000
 #: Tasks that buckets are dealt to at most.
 BUCKET_TASKS = 16_384
-#: Tiles of up to this many sets give pairs; sets of a block; pivots of a group of several blocks, about.
-SMALL_TILE, BLOCK, PIVOTS = 24, 1024, 16
+#: Tiles of up to this many sets give pairs; sets of a block; pivots of a group of several blocks, about, and
+#: at least, where so many are more than a block's bytes.
+SMALL_TILE, BLOCK, PIVOTS, LEAST_PIVOTS = 24, 1024, 16, 4
+#: Bytes of a block, about: texts and sets, or bitmaps.
+BLOCK_BYTES = 64 << 20
 
 _ELEMENT = np.dtype([("hash", "<u8"), ("node", "<i8"), ("n", "<u4")])
 
@@ -106,9 +110,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, i
 
 
 def _measured(source: DataFrame, seed: int) -> DataFrame:
-    """Rows of documents (doc_id, tie, n_shingles, node, twin) and rows of locally frequent shingles (shingle, found)."""
+    """Rows of documents (doc_id, tie, n_shingles, node, twin, size in bytes of text and set) and rows of locally frequent shingles (shingle, found)."""
     key = source.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "tie", "n_shingles", "node", "twin", "shingle", "found"]
+    names = ["doc_id", "tie", "n_shingles", "node", "twin", "size", "shingle", "found"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -120,21 +124,24 @@ def _measured(source: DataFrame, seed: int) -> DataFrame:
             often = counts >= 3
             values, counts = values[often].view(np.int64), counts[often].astype(np.int64)
             empty = pa.nulls(len(values), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.nulls(len(values), kind), empty, empty, empty, empty, pa.array(values), pa.array(counts)], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(values), kind), *[empty] * 5, pa.array(values), pa.array(counts)], names)
 
         for batch, first, sets in _sets(batches):
             kind = batch.column("doc_id").type
             identities = [_identity(s, seed) if len(s) else (None, None) for s in sets]
             nodes, twins = zip(*identities, strict=True)
             empty = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(sets)), batch.column("tie").slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(twins, pa.int64()), empty, empty], names)
+            n = pa.array([len(s) for s in sets], pa.int64())
+            bytes_of = pc.coalesce(pc.binary_length(batch.column("text").slice(first, len(sets))), pa.scalar(0, pa.int32()))
+            size = pc.add(pc.cast(bytes_of, pa.int64()), pc.multiply(n, pa.scalar(8, pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(sets)), batch.column("tie").slice(first, len(sets)), n, pa.array(nodes, pa.int64()), pa.array(twins, pa.int64()), size, empty, empty], names)
             held += sets
             if sum(map(len, held)) > 500_000:
                 yield frequent()
         if held:
             yield frequent()
 
-    return source.mapInArrow(measure, f"doc_id {key}, tie bigint, n_shingles bigint, node bigint, twin bigint, shingle bigint, found bigint")
+    return source.mapInArrow(measure, f"doc_id {key}, tie bigint, n_shingles bigint, node bigint, twin bigint, size bigint, shingle bigint, found bigint")
 
 
 def _prefixes(source: DataFrame, frequent: tuple[np.ndarray, np.ndarray], seed: int) -> DataFrame:
@@ -306,7 +313,7 @@ def _text_links(table: pa.Table) -> pa.Table:
 
 
 def _tile_groups(members: DataFrame) -> DataFrame:
-    """``(group, node)``: members of large tiles, by neighbouring bands of sizes where a tile is more than a block."""
+    """``(group, node, size)``: members of large tiles, with about their bitmaps' bytes, by neighbouring bands of sizes where a tile is more than a block."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / THRESHOLD) * 1.000001)).cast("int")
     banded = members.withColumn("band", band)
     tiles = banded.groupBy("tile").agg(F.count("*").alias("rows"), F.collect_set("band").alias("bands"))
@@ -314,33 +321,36 @@ def _tile_groups(members: DataFrame) -> DataFrame:
     own = F.array(key(F.col("band")))
     several = F.when(F.array_contains("bands", F.col("band") - 1), F.concat(own, F.array(key(F.col("band") - 1)))).otherwise(own)
     group = F.explode(F.when(F.col("rows") <= BLOCK, F.array(key(F.lit("")))).otherwise(several))
-    return banded.join(tiles, "tile").select(group.alias("group"), "node")
+    return banded.join(tiles, "tile").select(group.alias("group"), "node", F.col("n").cast("bigint").alias("size"))
 
 
 def _linked(members: DataFrame, payload: DataFrame, kernel: Callable[[pa.Table], pa.Table], name: str) -> DataFrame:
     """Links ``(a, b)`` that ``kernel`` finds among the sets of each group; every pair of a group's sets has
-    met or is connected by links that are returned. ``members``: (group, node); ``payload``: (node, ...)."""
-    sizes = members.groupBy("group").agg(F.count("*").alias("rows"))
+    met or is connected by links that are returned. ``members``: (group, node, size in bytes); ``payload``: (node, ...)."""
+    sizes = members.groupBy("group").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
     placed = written(members.join(sizes, "group"), f"{name}-members")
     spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK)), F.least(n, F.ceil(size / F.lit(BLOCK_BYTES)))).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
 
     def met(cells: DataFrame, step: str) -> DataFrame:
         return written(cells.join(payload, "node").groupBy("cell").applyInArrow(kernel, "a bigint, b bigint"), f"{name}-{step}")
 
-    own = blocks(F.col("rows"))
-    pivot = (own > 1) & (F.pmod(F.xxhash64("node", F.lit("pivot")), F.col("rows")) < PIVOTS)
+    own = F.when(F.col("rows") > LEAST_PIVOTS, blocks(F.col("rows"), F.col("bytes"))).otherwise(1)
+    pivots = F.least(F.lit(PIVOTS), F.greatest(F.lit(LEAST_PIVOTS), F.floor(F.col("rows") / own)))
+    pivot = (own > 1) & (F.pmod(F.xxhash64("node", F.lit("pivot")), F.col("rows")) < pivots)
     dealt = placed.select("group", "node", F.explode(F.when(pivot, upto(own)).otherwise(F.array(spread(own)))).alias("block"))
     first = met(dealt.select(F.concat_ws(":", "group", "block").alias("cell"), "node", F.col("node").alias("label")), "links")
-    large = placed.filter(F.col("rows") > BLOCK)
+    large = placed.filter(own > 1)
     if large.isEmpty():
         return first
     labels = written(components(first), f"{name}-labels").withColumnRenamed("root", "label")
-    labelled = written(large.join(labels, "node", "left").select("group", "node", F.coalesce("label", "node").alias("label")), f"{name}-labelled")
-    counts = labelled.groupBy("group", "label").agg(F.count("*").alias("n"))
-    groups = counts.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    apart = written(groups.filter("most < all").select("group", "main", blocks(F.col("most")).alias("inner"), blocks(F.col("all") - F.col("most")).alias("outer")), f"{name}-apart")
+    labelled = written(large.join(labels, "node", "left").select("group", "node", "size", F.coalesce("label", "node").alias("label")), f"{name}-labelled")
+    counts = labelled.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    groups = counts.groupBy("group").agg(F.max(F.struct("n", "label", "bytes")).alias("main"), F.sum("n").alias("all"), F.sum("bytes").alias("bytes"))
+    left = F.col("all") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")
+    apart = groups.filter(F.col("main.n") < F.col("all")).select("group", F.col("main.label").alias("main"), blocks(F.col("main.n"), F.col("main.bytes")).alias("inner"), blocks(*left).alias("outer"))
+    apart = written(apart, f"{name}-apart")
     if apart.isEmpty():
         return first
     outer, inner = spread(F.col("outer")), spread(F.col("inner"))
@@ -359,14 +369,15 @@ def _classes(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     seed = 0
     while True:
         measured = written(_measured(source, seed), "sets-measured")
-        documents = measured.filter("shingle is null").select("doc_id", "tie", "n_shingles", "node", "twin")
+        documents = measured.filter("shingle is null").select("doc_id", "tie", "n_shingles", "node", "twin", "size")
         key = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
-        classes = written(documents.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("smallest"), key, F.min("twin").alias("_t"), F.max("twin").alias("_u")), "set-classes")
+        classes = written(documents.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("smallest"), key, F.max("size").alias("size"), F.min("twin").alias("_t"), F.max("twin").alias("_u")), "set-classes")
         if classes.filter("_t <> _u").isEmpty():
             break
         seed += 1
-    rows, elements = documents.agg(F.count("*"), F.coalesce(F.sum(F.col("n_shingles") - F.ceil(F.col("n_shingles") * THRESHOLD / 100) + 1), F.lit(0))).first()
-    often = max(FREQUENT_COUNT, int(rows * FREQUENT_SHARE))
+    n = F.col("n_shingles")
+    rows, shingles, elements = documents.agg(F.count("*"), F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.sum(n - F.ceil(n * THRESHOLD / 100) + 1), F.lit(0))).first()
+    often = max(FREQUENT_COUNT, int(rows * FREQUENT_SHARE), -(-shingles // FREQUENT_MOST))
     frequent = measured.filter("shingle is not null").groupBy("shingle").agg(F.sum("found").alias("found")).filter(F.col("found") >= often).toArrow()
     hashes, counts = frequent.column("shingle").to_numpy().view(np.uint64), frequent.column("found").to_numpy()
     order = np.argsort(hashes)
@@ -387,10 +398,10 @@ def _classes(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain = classes.select("node", F.col("node").alias("root"), F.col("smallest").alias("component_id"), "first")
     if passed.isEmpty():
         return documents, plain
-    clusters = written(components(passed), "set-clusters")
-    firsts = clusters.select("node").join(classes, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie"))
+    clusters = written(components(passed).join(classes.select("node", "first", "size"), "node"), "set-clusters")
+    firsts = clusters.select("node", F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie"))
     texts = source.join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).select("node", "text").dropDuplicates(["node"])
-    links = _linked(clusters.select(F.col("root").cast("string").alias("group"), "node"), texts, _text_links, "set")
+    links = _linked(clusters.select(F.col("root").cast("string").alias("group"), "node", "size"), texts, _text_links, "set")
     if links.isEmpty():
         return documents, plain
     roots = components(links)

@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cuepoint.llm import _text as T
@@ -59,10 +60,11 @@ def test_keep_one_by_row(spark):
     assert len(names & {"a", "j"}) == 1 and len(names & {"f", "g"}) == 1
 
 
-def test_large_clusters_by_pivots(spark, monkeypatch):
-    """Blocks of 32 sets: near copies, copies at the border of a link, and texts that share a passage only."""
-    monkeypatch.setattr(ngram_join, "BLOCK", 32)
-    monkeypatch.setattr(ngram_join, "SMALL_TILE", 8)
+@pytest.mark.parametrize("limits", [{"BLOCK": 32}, {"BLOCK_BYTES": 60_000}, {"BLOCK_BYTES": 12_000, "LEAST_PIVOTS": 2, "FREQUENT_MOST": 3}], ids=["sets", "bytes", "few bytes"])
+def test_large_clusters_by_pivots(spark, monkeypatch, limits):
+    """Small blocks: near copies, copies at the border of a link, and texts that share a passage only."""
+    for name, value in ({"SMALL_TILE": 8} | limits).items():
+        monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(3)
     base, passage = [f"w{i}" for i in range(150)], " ".join(f"v{i}" for i in range(40))
     docs = []
