@@ -7,12 +7,14 @@ import shutil
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
+#: Folders made in each step that a thread is in.
+_steps = threading.local()
 #: Spark's setting that removes a query's shuffle files at its end.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -65,6 +67,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, known to ``release``."""
     folder = f"{shared_root(spark)}/cuepoint-{uuid.uuid4().hex}"
     _made.append(folder)
+    for folders in getattr(_steps, "open", []):
+        folders.append(folder)
     return f"{folder}/{name}"
 
 
@@ -100,3 +104,18 @@ def written(frame: DataFrame, name: str, compression: str = "snappy") -> DataFra
     with _cleanup(spark):
         frame.write.parquet(path, compression=compression)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def step(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, written; the intermediate tables that this thread made on the way are deleted then."""
+    made: list[str] = []
+    _steps.open = [*getattr(_steps, "open", []), made]
+    try:
+        result = written(make(), name)
+    finally:
+        _steps.open = _steps.open[:-1]
+    for folder in made[:-1]:  # the last is the result's
+        deleted(spark, folder)
+        if folder in _made:
+            _made.remove(folder)
+    return result
