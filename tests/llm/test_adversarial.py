@@ -199,7 +199,28 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     text = lambda x: " ".join(f"{x}{i} of the" for i in range(60)) + ". Write to jane@site.com now."
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     rows = [(1, text("a"), "en", "s", 9), (1, text("a"), "en", "s", 9), (2, text("a"), "en", None, 9), (None, text("b"), None, "t", 9), (None, text("b") + " x", None, "t", 9), (4, None, "en", "s", 0), (5, "", None, None, None)]
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "odd/documents.parquet"))
+    clashing = {c: F.lit("?") for c in ("node", "size", "_row", "spans", "rate", "tokens")}
+    spark.createDataFrame(rows, schema).withColumns(clashing).write.parquet(str(tmp_path / "odd/documents.parquet"))
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none/documents.parquet"))
-    assert {r.doc_id for r in P.run(spark, str(tmp_path / "odd")).collect()} <= {1, None}
+    packed = P.run(spark, str(tmp_path / "odd")).collect()
+    # two sources of one document each: the first comes twice (its most), the second the once that is left, or more
+    # where its document is a word longer
+    long = {d: sum(r.length for r in packed if r.doc_id == d) / max(r.doc_tokens for r in packed if r.doc_id == d) for d in {r.doc_id for r in packed}}
+    assert set(long) == {1, None} and long[1] == 2 and long[None] in (1, 2)
     assert P.run(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_pipeline_keeps_no_copies(spark, sf):
+    """What is left when the pipeline returns: the last stage's input and what packing itself writes."""
+    from pathlib import Path
+
+    import corpus_pipeline as P
+    from cuepoint.llm._scratch import release, shared_root
+
+    tables = lambda: {x for x in Path(shared_root(spark).removeprefix("file:")).glob("cuepoint-*/*") if x.is_dir()}
+    before = tables()
+    P.run(spark, sf)
+    left = {x.name for x in tables() - before}
+    assert "stage-mixing" in left and not any(n.startswith(("set", "stage")) for n in left - {"stage-mixing"})
+    release(spark)
+    assert not {x for x in tables() - before if x.name == "stage-mixing"}
