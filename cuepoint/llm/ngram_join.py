@@ -400,7 +400,8 @@ def _classes(source: DataFrame) -> tuple[DataFrame, DataFrame]:
         return documents, plain
     clusters = written(components(passed).join(classes.select("node", "first", "size"), "node"), "set-clusters")
     firsts = clusters.select("node", F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie"))
-    texts = source.join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).select("node", "text").dropDuplicates(["node"])
+    # clusters grow with the corpus: the same join at every size
+    texts = source.join(firsts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).select("node", "text").dropDuplicates(["node"])
     links = _linked(clusters.select(F.col("root").cast("string").alias("group"), "node", "size"), texts, _text_links, "set")
     if links.isEmpty():
         return documents, plain
