@@ -7,16 +7,20 @@ the meaning.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of pictures that are compared or turned gray at once; working arrays are some fifty times that.
+STACK_BYTES = 1 << 20
+
 
 def sorted_fold(frame: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], added: str) -> DataFrame:
     """``frame`` with the columns ``added`` ("name type, ...") that each key's fold gives its rows.
@@ -99,11 +103,13 @@ def dot(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.dot(a.astype(np.float64), b.astype(np.float64)))
 
 
+def _luma(bgr: np.ndarray) -> np.ndarray:
+    return np.rint(bgr[..., 0] * 0.114 + bgr[..., 1] * 0.587 + bgr[..., 2] * 0.299)
+
+
 def gray(image: np.ndarray) -> np.ndarray:
     """Luma of a BGR image."""
-    if image.ndim == 2:
-        return image.astype(np.float64)
-    return np.rint(image[..., 0] * 0.114 + image[..., 1] * 0.587 + image[..., 2] * 0.299)
+    return image.astype(np.float64) if image.ndim == 2 else _luma(image)
 
 
 def rgb(image: np.ndarray) -> np.ndarray:
@@ -111,41 +117,66 @@ def rgb(image: np.ndarray) -> np.ndarray:
     return image[..., ::-1]
 
 
+def _stacks(pictures: pa.Array, *shape: int) -> Iterator[np.ndarray]:
+    """Pictures of one shape, none null, as arrays of several that have ``STACK_BYTES`` at most, or one."""
+    size = math.prod(shape)
+    plain = pictures.cast(pa.binary(size))  # raises where a picture has another size
+    data = np.frombuffer(plain.buffers()[1], np.uint8, len(plain) * size, plain.offset * size).reshape(-1, *shape)
+    step = max(1, STACK_BYTES // size)
+    for at in range(0, len(data), step):
+        yield data[at : at + step]
+
+
+def _spread(values: pa.Array, known: np.ndarray) -> pa.Array:
+    """``values`` at the places that are known, null at the others."""
+    return values.take(pa.array(np.cumsum(known) - 1, pa.int64(), mask=~known))
+
+
 def gray_frames(frames: DataFrame, column: str, height: int, width: int, into: str = "gray") -> DataFrame:
-    """``frames`` with the luma of raw BGR pictures (binary, row by row), a byte a pixel."""
+    """``frames`` with the luma of raw BGR pictures (binary, row by row), a byte a pixel; null where there is none."""
 
-    @F.pandas_udf("binary")
-    def convert(pictures: pd.Series) -> pd.Series:
-        return pictures.map(lambda x: None if x is None else gray(np.frombuffer(x, np.uint8).reshape(height, width, 3)).astype(np.uint8).tobytes())
+    @F.arrow_udf("binary")
+    def convert(pictures: pa.Array) -> pa.Array:
+        known = pictures.is_valid().to_numpy(zero_copy_only=False)
+        shades = [_luma(x).astype(np.uint8).tobytes() for x in _stacks(pictures.drop_null(), height, width, 3)] if known.any() else []
+        values = pa.Array.from_buffers(pa.binary(height * width), int(known.sum()), [None, pa.py_buffer(b"".join(shades))])
+        return _spread(values.cast(pa.binary()), known)
 
     return frames.withColumn(into, convert(F.col(column)))
 
 
-def ssim(a: np.ndarray, b: np.ndarray, side: int = 7, span: float = 255.0) -> float:
-    """Mean structural similarity of two gray images (Wang et al. 2004) with square windows; may be negative."""
-    a, b = gray(a), gray(b)
-    side = min(side, *a.shape)
+def _structure(a: np.ndarray, b: np.ndarray, side: int, span: float) -> np.ndarray:
+    """Mean structural similarity (Wang et al. 2004) of gray images, or of two stacks of them, with square windows."""
+    side = min(side, *a.shape[-2:])
     n = side * side
 
     def mean(x: np.ndarray) -> np.ndarray:
-        total = np.zeros((x.shape[0] + 1, x.shape[1] + 1))
-        total[1:, 1:] = x.cumsum(0).cumsum(1)
-        return (total[side:, side:] - total[:-side, side:] - total[side:, :-side] + total[:-side, :-side]) / n
+        total = np.zeros((*x.shape[:-2], x.shape[-2] + 1, x.shape[-1] + 1))
+        total[..., 1:, 1:] = x.cumsum(-2).cumsum(-1)
+        return (total[..., side:, side:] - total[..., :-side, side:] - total[..., side:, :-side] + total[..., :-side, :-side]) / n
 
     mu, nu = mean(a), mean(b)
     unbiased = n / max(n - 1, 1)
     va, vb, cov = (unbiased * (mean(x) - y) for x, y in ((a * a, mu * mu), (b * b, nu * nu), (a * b, mu * nu)))
     c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
-    return float((((2 * mu * nu + c1) * (2 * cov + c2)) / ((mu * mu + nu * nu + c1) * (va + vb + c2))).mean())
+    return (((2 * mu * nu + c1) * (2 * cov + c2)) / ((mu * mu + nu * nu + c1) * (va + vb + c2))).mean((-2, -1))
+
+
+def ssim(a: np.ndarray, b: np.ndarray, side: int = 7, span: float = 255.0) -> float:
+    """Mean structural similarity of two images; may be negative."""
+    return float(_structure(gray(a), gray(b), side, span))
 
 
 def frame_similarity(pairs: DataFrame, a: str, b: str, height: int, width: int, into: str = "ssim", side: int = 7) -> DataFrame:
     """``pairs`` with the structural similarity of two gray frames (binary, row by row); null where one is."""
 
-    @F.pandas_udf("double")
-    def compare(x: pd.Series, y: pd.Series) -> pd.Series:
-        image = lambda v: np.frombuffer(v, np.uint8).reshape(height, width)
-        return pd.Series([None if u is None or v is None else ssim(image(u), image(v), side) for u, v in zip(x, y, strict=True)], dtype="float64")
+    @F.arrow_udf("double")
+    def compare(x: pa.Array, y: pa.Array) -> pa.Array:
+        both = pc.and_(x.is_valid(), y.is_valid())
+        known = both.to_numpy(zero_copy_only=False)
+        stacks = zip(_stacks(x.filter(both), height, width), _stacks(y.filter(both), height, width), strict=True) if known.any() else []
+        found = [_structure(u.astype(np.float64), v.astype(np.float64), side, 255.0) for u, v in stacks]
+        return _spread(pa.array(np.concatenate([np.zeros(0), *found])), known)
 
     return pairs.withColumn(into, compare(F.col(a), F.col(b)))
 

@@ -281,6 +281,13 @@ def oracle_sql() -> dict[str, str]:
                 array_to_string(list('t' || vec_id ORDER BY place) FILTER (source = 'transcript'), ',') AS transcript_used, count(*)::INT AS n_sources FROM h GROUP BY query_id
             )
             SELECT query_id, timestamps, coalesce(keyframe_paths, '') AS keyframe_paths, coalesce(transcript_used, '') AS transcript_used, n_sources FROM a""",
+        "answer_view": f"""{_hybrid()}, lc AS (
+              SELECT *, CASE WHEN timestamp >= 3600 THEN printf('%d:%02d:%02d', timestamp::BIGINT // 3600, timestamp::BIGINT // 60 % 60, timestamp::BIGINT % 60) ELSE {_MMSS.format(s="timestamp")} END AS clock FROM h
+            ),
+            lt AS (SELECT query_id, string_agg(clock, ', ' ORDER BY timestamp) AS times FROM (SELECT DISTINCT query_id, timestamp, clock FROM lc) GROUP BY query_id)
+            SELECT query_id::VARCHAR AS query, 'about ' || query_id AS response_text, any_value(times) AS times, coalesce(array_to_string((list('f' || vec_id ORDER BY place) FILTER (source = 'frames'))[1:5], ', '), '') AS keyframe_paths,
+              string_agg(source || ' at ' || clock || ' (' || round(score::DECIMAL(18, 9), 2)::DECIMAL(18, 2) || ')', ', ' ORDER BY place) AS sources
+            FROM lc JOIN lt USING (query_id) GROUP BY query_id""",
         "search_response": f"""{_hybrid()}, c AS (SELECT query_id, count(*) FILTER (source = 'frames') AS frame_candidates, count(*) FILTER (source = 'transcript') AS transcript_candidates FROM u GROUP BY query_id),
             k AS (SELECT query_id, count(*) AS dynamic_k FROM h GROUP BY query_id)
             SELECT q.vec_id AS query_id, coalesce(frame_candidates, 0) AS frame_candidates, coalesce(transcript_candidates, 0) AS transcript_candidates, coalesce(dynamic_k, 0) AS dynamic_k

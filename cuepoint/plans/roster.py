@@ -317,6 +317,14 @@ def answer_assembly(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("query_id", whole.alias("timestamps"), joined("keyframe_paths").alias("keyframe_paths"), joined("transcript_used").alias("transcript_used"), F.size("sources").alias("n_sources"))
 
 
+def answer_view(spark: SparkSession, d: str) -> DataFrame:
+    """What a chat shows of each question's answer: its text, the times and the sources with clocks and scores."""
+    rows = _hybrid(spark, d).withColumn("text", F.when(F.col("source") == "transcript", F.concat(F.lit("t"), "id"))).withColumn("frame_path", F.when(F.col("source") == "frames", F.concat(F.lit("f"), "id")))
+    answered = context.assemble(rows, ["query_id"]).select(F.col("query_id").cast("string").alias("query"), F.concat(F.lit("about "), "query_id").alias("response_text"), "timestamps", "keyframe_paths", "sources")
+    shown = ask.answer_view(answered)
+    return shown.select("query", "response_text", *[F.array_join(c, ", ").alias(c) for c in ("times", "keyframe_paths", "sources")])
+
+
 def search_response(spark: SparkSession, d: str) -> DataFrame:
     out = search.response(_hybrid(spark, d), _union(spark, d), _queries(spark, d))
     return out.select("query_id", "frame_candidates", "transcript_candidates", "dynamic_k")
@@ -537,6 +545,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fuzzy_name_match": fuzzy_name_match,
         "fuzzy_name_table": fuzzy_name_table,
         "answer_assembly": answer_assembly,
+        "answer_view": answer_view,
         "library_listing": library_listing,
         "search_response": search_response,
         "score_lists": score_lists,

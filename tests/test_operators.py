@@ -174,6 +174,28 @@ def test_ssim():
     assert folds.ssim(a, np.clip(a.astype(int) + 3, 0, 255).astype(np.uint8)) > 0.95
 
 
+@pytest.mark.parametrize("held", [1, 700, 1 << 20])
+def test_stacks_of_pictures(spark, monkeypatch, held):
+    """Stacks of one picture, of a few and of all give what single pictures do, with nulls between them."""
+    monkeypatch.setattr(folds, "STACK_BYTES", held)
+    rng = np.random.default_rng(2)
+    color = [None if i % 5 == 2 else rng.integers(0, 256, (6, 9, 3)).astype(np.uint8) for i in range(40)]
+    raw = lambda x: None if x is None else x.tobytes()
+    rows = [(i, raw(x), raw(color[i - 3])) for i, x in enumerate(color)]
+    frames = spark.createDataFrame(rows, "i int, now binary, before binary").repartition(3)
+    gray = {r.i: r for r in folds.gray_frames(folds.gray_frames(frames, "now", 6, 9, "a"), "before", 6, 9, "b").select("i", "a", "b").collect()}
+    for i, x in enumerate(color):
+        assert gray[i].a == (None if x is None else folds.gray(x).astype(np.uint8).tobytes())
+    pairs = spark.createDataFrame(list(gray.values()), "i int, a binary, b binary")
+    for r in folds.frame_similarity(pairs, "a", "b", 6, 9).collect():
+        x, y = color[r.i], color[r.i - 3]
+        assert r.ssim == (None if x is None or y is None else pytest.approx(folds.ssim(folds.gray(x), folds.gray(y)), abs=1e-9))
+    none = frames.select("i", F.lit(None).cast("binary").alias("a"), F.col("now").alias("b")).limit(5)
+    assert {r.ssim for r in folds.frame_similarity(none, "a", "b", 6, 27).collect()} == {None}
+    with pytest.raises(Exception, match="(?i)invalid|size|length|bytes"):
+        folds.gray_frames(frames, "now", 6, 8).collect()
+
+
 def budget(spark, lines, size):
     frame = spark.createDataFrame([("c", float(i), i, x) for i, x in enumerate(lines)], "k string, timestamp double, ord int, text string")
     got = context.budgeted_context(frame, ["k"], size).collect()
