@@ -9,7 +9,7 @@ import importlib
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .adapters import HashedWords, query_vectors
+from .adapters import query_vectors
 from .config import settings
 from .operators import registry, search
 from .plans import ask, ingest
@@ -29,8 +29,8 @@ def _named(path: str):
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="cuepoint")
     parser.add_argument("--folder", default="index", help="folder of the index tables and registry.json")
-    parser.add_argument("--frame-model", help="factory of the frame space's text embedder, module:attribute")
-    parser.add_argument("--text-model", help="factory of the transcript space's text embedder, module:attribute")
+    parser.add_argument("--frame-model", help="factory of the frame space's text embedder, module:attribute; else that of the models that made the index")
+    parser.add_argument("--text-model", help="factory of the transcript space's text embedder, module:attribute; else that of the models that made the index")
     parser.add_argument("--reranker", help="function from a prompt to a reply, module:attribute")
     parser.add_argument("--answerer", help="function from a prompt to an answer, module:attribute")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -69,7 +69,6 @@ def main(argv: list[str] | None = None) -> None:
     where = f"{args.folder}/registry.json"
     known = json_files.registry(spark, where)
     options = settings(spark)
-    frame_model, text_model = (_named(m) if m else HashedWords for m in (args.frame_model, args.text_model))
     reranker, answerer = (_named(m) if m else None for m in (args.reranker, args.answerer))
     if args.command == "list":
         ask.library_view(known).orderBy("place").show(1000, truncate=False)
@@ -86,8 +85,10 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "annotate":
         _annotate(spark, known, args, options)
     elif args.command == "index":
+        _note_models(spark, args)
         ask.library_view(ingest.index_path(spark, args.path, args.folder, _named(args.models), args.force, options)).orderBy("place").show(1000, truncate=False)
     elif args.command == "watch":
+        _note_models(spark, args)
         live = index_stream(spark, args.path, args.folder, _named(args.models), f"{args.folder}/_landed", options)
         live = live.trigger(processingTime=f"{args.seconds} seconds") if args.seconds else live.trigger(availableNow=True)
         live.start().awaitTermination()
@@ -97,7 +98,7 @@ def main(argv: list[str] | None = None) -> None:
             asked = search.asked(spark.createDataFrame([("q", args.query)], "query_id string, query string"))
             if asked.isEmpty():
                 raise SystemExit("the question is blank")
-            asked = query_vectors(asked, "query", frame_model, text_model)
+            asked = query_vectors(asked, "query", *_embedders(spark, args))
             pictures = media.pictures(spark, f"{args.folder}/keyframes") if args.pictures else None
             if args.video:
                 found = ask.ask(frames, chunks, asked, args.video, reranker, answerer, options, pictures=pictures)
@@ -106,7 +107,7 @@ def main(argv: list[str] | None = None) -> None:
             ask.answer_view(found).show(truncate=False, vertical=True)
         else:
             annotated = json_files.annotations(spark, args.annotations)
-            vectors = query_vectors(annotated.select("query").distinct(), "query", frame_model, text_model)
+            vectors = query_vectors(annotated.select("query").distinct(), "query", *_embedders(spark, args))
             rows = ask.evaluate(annotated, frames, chunks, vectors, reranker, args.k, options)
             report = ask.report(rows, args.k)
             ask.summary_lines(rows, report.select(F.col("*"))).show(100, truncate=False)
@@ -115,6 +116,38 @@ def main(argv: list[str] | None = None) -> None:
     release(spark)
 
 
+def _noted_models(spark, folder: str) -> str | None:
+    """The name of the models that made the index, if it's known."""
+    try:
+        noted = spark.read.schema("models string").json(f"{folder}/models.json").first()
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+    return noted and noted["models"]
+
+
+def _note_models(spark, args) -> None:
+    """Keep the models' name with the index; vectors of other models aren't added to it."""
+    noted = _noted_models(spark, args.folder)
+    if noted and noted != args.models:
+        raise SystemExit(f"the index was made with {noted}; vectors of {args.models} can't be compared with its own")
+    if not noted:
+        tables.one_json(spark.createDataFrame([(args.models,)], "models string"), f"{args.folder}/models.json")
+
+
+def _embedders(spark, args) -> tuple:
+    """What embeds questions in both spaces: as named, or as the models that made the index have it."""
+    noted = None if args.frame_model and args.text_model else _noted_models(spark, args.folder)
+    models = _named(noted) if noted else None
+    frame_model = _named(args.frame_model) if args.frame_model else getattr(models, "question_vectors", None)
+    text_model = _named(args.text_model) if args.text_model else getattr(models, "text_vectors", None)
+    missing = [option for option, model in (("--frame-model", frame_model), ("--text-model", text_model)) if model is None]
+    if missing:
+        raise SystemExit(f"name {' and '.join(missing)}: the index doesn't say what embeds questions")
+    return frame_model, text_model
+
+
 def _annotate(spark, known, args, options) -> None:
     """Ask for the times and notes of each query that has none, and write the file anew."""
     matched = registry.match_names(known, [args.video], "video_name", "date_indexed")

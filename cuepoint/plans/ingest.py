@@ -34,6 +34,8 @@ class Models:
     similarity: Callable = folds.ssim
     #: A raw picture and a quality to the bytes of a file; without it pictures are kept as they are decoded.
     encode: Callable | None = None
+    #: Embeds questions in the space of the pictures.
+    question_vectors: Callable | None = None
 
 
 def frames_of(videos: DataFrame, models: Models, stages: Stages, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:

@@ -452,6 +452,32 @@ def test_commands(spark, tmp_path, monkeypatch, capsys):
     assert "First" in capsys.readouterr().out
 
 
+def test_questions_need_the_models_of_the_index(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from cuepoint import __main__ as cli
+    from cuepoint.adapters import HashedWords
+
+    folder = str(tmp_path)
+    args = lambda **given: SimpleNamespace(**{"folder": folder, "frame_model": None, "text_model": None, "models": None} | given)
+    stub = "cuepoint.adapters:HashedWords"
+    for given in ({}, {"frame_model": stub}, {"text_model": stub}):
+        with pytest.raises(SystemExit, match="name --"):
+            cli._embedders(spark, args(**given))
+    assert cli._embedders(spark, args(frame_model=stub, text_model=stub)) == (HashedWords, HashedWords)
+    cli.stub_models = SimpleNamespace(question_vectors=HashedWords, text_vectors=HashedWords)
+    name = "cuepoint.__main__:stub_models"
+    for _ in range(2):
+        cli._note_models(spark, args(models=name))
+    with pytest.raises(SystemExit, match="was made with"):
+        cli._note_models(spark, args(models="other:models"))
+    assert cli._embedders(spark, args()) == (HashedWords, HashedWords)
+    cli.stub_models.question_vectors = None
+    with pytest.raises(SystemExit, match="name --frame-model:"):
+        cli._embedders(spark, args())
+    del cli.stub_models
+
+
 def test_best_of_batch():
     import pyarrow as pa
 
