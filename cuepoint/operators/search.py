@@ -14,10 +14,15 @@ from ..config import DEFAULT, Settings
 from ..functions.text import strip
 from .folds import anchored_best
 
-#: Queries that meet a batch of the index together, at most about; up to this many are sent to all tasks.
+#: Queries that are sent to all tasks, at most.
 QUERY_BLOCK = 4096
 #: Blocks of queries whose best similarities a task keeps.
 _REMEMBERED = 64
+#: More queries are dealt to cells of this many times ``QUERY_BLOCK``, or fewer whose vectors have ``CELL_BYTES``,
+#: and of about so many rows of the index.
+CELL_BLOCKS, CELL_BYTES, CELL_ROWS = 16, 48 << 20, 1 << 17
+#: Similarities that are made at a time, rows found that a cell holds at least before it sorts them out, and their bytes.
+_SIMS, _HELD, _HELD_BYTES = 1 << 21, 1 << 20, 64 << 20
 
 
 def _best(group: np.ndarray, sims: np.ndarray, k: int, ids: pa.Array) -> np.ndarray:
@@ -114,38 +119,186 @@ def _scored(met: DataFrame, columns: list[str], schema: str, keys: list[str], k:
     return met.select("_own", "_rows", "_asked").mapInArrow(score, schema)
 
 
+class _Cell:
+    """The ``k`` best rows of a cell for each of its queries: rows come sorted by ``keys``, one group after the other."""
+
+    def __init__(self, keys: list[str], k: int, id_col: str, columns: list[str]):
+        self.keys, self.k, self.id_col, self.columns = keys, k, id_col, columns
+        self.names: list[pa.Array] = []
+        self.vectors: list[pa.Array] = []
+        self.matrix: np.ndarray | None = None
+        self.group, self.number = None, -1
+        self.held: list[tuple] = []
+        self.count = self.bytes = 0
+
+    def ask(self, names: pa.Array, vectors: pa.Array) -> None:
+        self.names.append(names)
+        self.vectors.append(vectors)
+
+    def _begin(self) -> None:
+        names, vectors = pa.concat_arrays(self.names), pa.concat_arrays(self.vectors)
+        self.vectors, self.asked = [], names
+        self.matrix = _matrix(vectors, int(pc.max(pc.list_value_length(vectors)).as_py()))
+        self.length = np.linalg.norm(self.matrix, axis=1)
+        self.small = self.matrix.astype(np.float32) if np.abs(self.matrix).max(initial=0) < 1e15 else None
+        self.limit = max(_HELD, 2 * len(names) * self.k)
+
+    def meet(self, rows: pa.StructArray, vectors: pa.Array) -> Iterator[pa.RecordBatch]:
+        if not self.names:
+            return
+        if self.matrix is None:
+            self._begin()
+        values = list(zip(*(["nan" if v != v else v for v in rows.field(c).to_pylist()] for c in self.keys), strict=True)) or [()] * len(rows)
+        cuts = [0] + [i for i in range(1, len(values)) if values[i] != values[i - 1]] + [len(values)]
+        x = _matrix(vectors, self.matrix.shape[1])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if self.number < 0 or values[a] != self.group:
+                self.group, self.number = values[a], self.number + 1
+                self.least = np.full(len(self.asked), -np.inf)
+            yield from self._score(rows.slice(a, b - a), x[a:b])
+
+    def _score(self, rows: pa.StructArray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Similarities in single precision, less what they may be off, leave out what can't be among the best."""
+        n, width = x.shape
+        single = self.small is not None and np.abs(x).max(initial=0) < 1e15
+        left, right = (x.astype(np.float32), self.small) if single else (x, self.matrix)
+        kind = left.dtype.type
+        norms = np.linalg.norm(x, axis=1)
+        longest = norms[np.isfinite(norms)].max(initial=0)
+        off = (width + 4) * (float(np.finfo(kind).eps) * longest * self.length + float(np.finfo(kind).tiny) * (1 + longest + self.length))
+        step = max(1, _SIMS // n)
+        for a in range(0, len(self.asked), step):
+            own = slice(a, a + step)
+            sims = left @ right[own].T
+            if n >= self.k and np.isneginf(self.least[own]).any():
+                # NaN is above all numbers
+                first = np.partition(sims, n - self.k, axis=0)[n - self.k].astype(np.float64) - off[own]
+                self.least[own] = np.fmax(self.least[own], first)
+            floor = np.nextafter((self.least[own] - off[own]).astype(kind), kind(-np.inf))
+            at, query = np.divmod(np.flatnonzero(~(sims < floor)), sims.shape[1])
+            if len(at):
+                sim = (x[at] * self.matrix[a + query]).sum(axis=1)
+                on = np.flatnonzero(~(sim < self.least[a + query]))
+                found = rows.take(pa.array(at[on]))
+                self.held.append((np.full(len(on), self.number), a + query[on], sim[on], found))
+                self.count, self.bytes = self.count + len(on), self.bytes + found.nbytes
+            if self.count > self.limit or self.bytes > _HELD_BYTES:
+                self._sort_out()
+                if 2 * self.count > self.limit or 2 * self.bytes > _HELD_BYTES:
+                    yield from self.end()
+
+    def _sort_out(self) -> None:
+        """Only the best of what is held stays; ties go to the smaller id."""
+        group, query, sim = (np.concatenate([h[i] for h in self.held]) for i in range(3))
+        rows = pa.concat_arrays([h[3] for h in self.held])
+        high = np.where(np.isnan(sim), np.inf, sim)
+        one = group * len(self.asked) + query
+        order = np.lexsort((-high, one))
+        head = np.append(True, one[order[1:]] != one[order[:-1]])
+        heads = np.flatnonzero(head)
+        size = np.diff(np.append(heads, len(order)))
+        least = high[order[heads + np.minimum(size, self.k) - 1]]
+        kept = order[high[order] >= np.repeat(least, size)]
+        if len(kept) > int(np.minimum(size, self.k).sum()):
+            tied = pa.table({"one": one[kept], "low": -high[kept], "id": rows.field(self.id_col).take(pa.array(kept))})
+            kept = kept[pc.sort_indices(tied, [("one", "ascending"), ("low", "ascending"), ("id", "ascending")], null_placement="at_start").to_numpy()]
+            starts = np.flatnonzero(np.append(True, one[kept[1:]] != one[kept[:-1]]))
+            kept = kept[np.arange(len(kept)) - np.repeat(starts, np.diff(np.append(starts, len(kept)))) < self.k]
+        now = heads[(size >= self.k) & (group[order[heads]] == self.number)]
+        asked = query[order[now]]
+        self.least[asked] = np.fmax(self.least[asked], high[order[now + self.k - 1]])
+        rows = rows.take(pa.array(kept))
+        self.held = [(group[kept], query[kept], sim[kept], rows)]
+        self.count, self.bytes = len(kept), rows.nbytes
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        """What is held goes on."""
+        if self.count:
+            self._sort_out()
+            _, query, sim, rows = self.held[0]
+            for at in range(0, len(query), 1 << 15):
+                own = rows.slice(at, 1 << 15).flatten()
+                names = self.asked.take(pa.array(query[at : at + (1 << 15)]))
+                yield pa.RecordBatch.from_arrays([*own, names, pa.array(sim[at : at + (1 << 15)])], [*self.columns, "query_id", "sim"])
+        self.held, self.count, self.bytes = [], 0, 0
+
+
+def _in_cells(index: DataFrame, given: DataFrame, columns: list[str], schema: str, keys: list[str], k: int, vector: str, id_col: str, own: str | None, per_cell: int) -> DataFrame:
+    """The best rows of each cell of queries and rows. A cell's rows pass by its queries batch by batch, and only the best are held.
+
+    Rows are shuffled once for each cell's worth of queries that there are (of their own value), queries once for each of rows.
+    """
+    spark = index.sparkSession
+    rows = index.filter(F.col(vector).isNotNull()).withColumn("_own", F.col(own) if own else F.lit(0))
+    cut = lambda n, size: F.ceil(n / size).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    if own:
+        asked, held = (t.groupBy("_own").agg(F.count("*").alias("n")) for t in (given, rows))
+        sizes = asked.select("_own", cut(F.col("n"), per_cell).alias("_blocks")).join(held.select("_own", cut(F.col("n"), CELL_ROWS).alias("_parts")), "_own")
+        given, rows = given.join(sizes, "_own"), rows.join(sizes, "_own")
+    else:
+        blocks, parts = max(1, -(-given.count() // per_cell)), max(1, -(-rows.count() // CELL_ROWS))
+        given, rows = (t.withColumn("_blocks", F.lit(blocks)).withColumn("_parts", F.lit(parts)) for t in (given, rows))
+    within = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.col(n)).cast("int")
+    asks = given.select("_own", within("query_id", "_blocks", 1).alias("_block"), every(F.col("_parts")).alias("_part"), F.lit(0).alias("_side"), "query_id", F.col("vector").alias("_asked"))
+    held = rows.select("_own", every(F.col("_blocks")).alias("_block"), within(id_col, "_parts", 2).alias("_part"), F.lit(1).alias("_side"), F.col(vector).alias("_vector"), F.struct(*columns).alias("_row"))
+    met = asks.unionByName(held, allowMissingColumns=True)
+    cell = ["_own", "_block", "_part"]
+    cells = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *cell)
+    met = cells.sortWithinPartitions(*cell, "_side", *(F.col("_row")[c] for c in keys)).select(*cell, "_side", "query_id", "_asked", "_vector", "_row")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            coded = np.column_stack([*(batch.column(i).dictionary_encode().indices.to_numpy() for i in range(3)), batch.column(3).to_numpy()])
+            cuts = [0, *(np.flatnonzero((coded[1:] != coded[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(batch.column(i)[a].as_py() for i in range(3))
+                if state is None or key != now:
+                    if state:
+                        yield from state.end()
+                    now, state = key, _Cell(keys, k, id_col, columns)
+                if coded[a, 3]:
+                    yield from state.meet(batch.column(7).slice(a, b - a), batch.column(6).slice(a, b - a))
+                else:
+                    state.ask(batch.column(4).slice(a, b - a), batch.column(5).slice(a, b - a))
+        if state:
+            yield from state.end()
+
+    return met.mapInArrow(score, schema)
+
+
 def asked(queries: DataFrame, text: str = "query") -> DataFrame:
     """Queries that aren't blank."""
     return queries.filter(strip(F.coalesce(F.col(text), F.lit(""))) != "")
 
 
 def candidates(index: DataFrame, queries: DataFrame, k: int = 10, keys: list[str] | None = None, vector: str = "embedding", id_col: str = "id", keep_self: bool = True, own: str | None = None) -> DataFrame:
-    """Rows that may be among the ``k`` nearest to a query (query_id, vector): each batch's best, with query_id and sim.
+    """Rows that may be among the ``k`` nearest to a query (query_id, vector), with query_id and sim.
 
-    Queries are dealt to blocks of about ``QUERY_BLOCK`` by a hash, and batches of the index meet them in an
-    equi-join on the block. A single block is sent to all tasks; more are shuffled, each to as many parts of the
-    index as there are partitions for it, so neither side is held whole. With ``own``, a column of both, a query
-    meets the rows with its value only.
+    Up to ``QUERY_BLOCK`` queries are sent to all tasks, and each batch of the index gives its best. More are dealt
+    to cells, each of a bounded number of queries and a part of the index, which is shuffled to them; a cell gives
+    its best, so nothing is held whole. With ``own``, a column of both, a query meets the rows with its value only.
     """
-    spark, keys = index.sparkSession, keys or []
+    keys = keys or []
     columns = [c for c in index.columns if c != vector]
     value = F.col(own) if own else F.lit(0)
-    given = queries.select(value.alias("_own"), "query_id", F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null")
-    blocks = max(1, -(-given.count() // QUERY_BLOCK))
-    asked = given.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("_own", "_block").agg(F.collect_list(F.struct("query_id", "vector")).alias("_asked"))
-    if own:
-        index = index.join(given.select(F.col("_own").alias(own)).distinct(), own, "left_semi")
-    packs = _packed(index.select(*columns, vector), own)
-    if blocks == 1:  # of a bounded number of queries
-        met = packs.join(F.broadcast(asked), "_own")
-    else:
-        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        dealt = packs.withColumn("_part", F.pmod(F.xxhash64(F.col("_rows")[0][id_col]), F.lit(parts)).cast("int")).withColumn("_block", every(blocks))
-        met = dealt.join(asked.withColumn("_part", every(parts)), ["_own", "_block", "_part"])
+    given = queries.select(value.alias("_own"), "query_id", "vector").filter("vector is not null")
+    n, width = given.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.select(*columns).schema.fields)
     schema = f"{fields}, query_id {queries.schema['query_id'].dataType.simpleString()}, sim double"
-    out = _scored(met, columns, schema, keys, k + (0 if keep_self else 1), vector, id_col)
+    k += 0 if keep_self else 1
+    if n <= QUERY_BLOCK:
+        asked = given.withColumn("vector", F.col("vector").cast("array<double>")).groupBy("_own").agg(F.collect_list(F.struct("query_id", "vector")).alias("_asked"))
+        if own:
+            index = index.join(given.select(F.col("_own").alias(own)).distinct(), own, "left_semi")
+        met = _packed(index.select(*columns, vector), own).join(F.broadcast(asked), "_own")
+        out = _scored(met, columns, schema, keys, k, vector, id_col)
+    else:
+        per_cell = max(1, min(CELL_BLOCKS * QUERY_BLOCK, CELL_BYTES // (12 * max(1, width))))
+        out = _in_cells(index, given, columns, schema, keys, k, vector, id_col, own, per_cell)
     return out if keep_self else out.filter(F.col(id_col) != F.col("query_id"))
 
 

@@ -76,3 +76,27 @@ def test_later_batches_are_pruned(spark):
         assert search.candidates(index, queries, 3).count() == 3
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("keys,own", [(False, False), (True, False), (False, True)])
+def test_cells_of_many_queries(spark, monkeypatch, keys, own):
+    """More queries than are sent to all tasks meet rows of the index, not packs of them, and little is held of what is found."""
+    for name, value in (("QUERY_BLOCK", 5), ("CELL_BLOCKS", 4), ("CELL_ROWS", 70), ("_SIMS", 64), ("_HELD", 40), ("_HELD_BYTES", 2000)):
+        monkeypatch.setattr(search, name, value)
+    monkeypatch.setattr(search, "CELL_BYTES", 12 * 6 * 13)
+    rows, index, queries = tables(spark)
+    found = search.candidates(index, queries, 3, ["video"] if keys else None, own="video" if own else None)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    best = search.ranked(found, ["query_id", *(["video"] if keys else [])], 3).collect()
+    assert sorted((r.query_id, r.id, r["rank"], r.sim) for r in best) == brute(rows, queries.collect(), 3, keys, own)
+
+
+def test_single_precision_leaves_nothing_out(spark, monkeypatch):
+    """Similarities that differ in double precision only are told apart, at any size of numbers; a row of NaN costs no other row."""
+    monkeypatch.setattr(search, "QUERY_BLOCK", 1)
+    for scale in (1.0, 1e-25, 1e12, 1e30):
+        rows = [(i, [scale * (1 + i * 1e-12), scale]) for i in range(300)]
+        index = spark.createDataFrame([*rows, (1000, [float("nan"), 0.0])], "id bigint, embedding array<double>")
+        queries = spark.createDataFrame([(q, [1.0, 0.5]) for q in range(3)], "query_id bigint, vector array<double>")
+        best = search.nearest(index, queries, 4).collect()
+        assert sorted((r.query_id, r["rank"], r.id) for r in best) == [(q, n + 1, i) for q in range(3) for n, i in enumerate((1000, 299, 298, 297))]
