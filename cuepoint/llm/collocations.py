@@ -31,9 +31,9 @@ from ._scratch import written
 
 MAX_WORDS, MIN_COUNT, TOP, COVERED = 3, 10, 2000, 50
 #: Bytes of words in a shard, and those that a task holds for all languages, about.
-SHARD_BYTES, HELD_BYTES = 16 << 20, 32 << 20
-#: Words of all documents for each bucket of phrases.
-BUCKET_WORDS = 2_000_000
+SHARD_BYTES, HELD_BYTES = 8 << 20, 16 << 20
+#: Words of all documents for each bucket of phrases, and its phrases that are sorted at a time, about.
+BUCKET_WORDS, SORTED = 2_000_000, 1 << 17
 #: Bytes of bitmaps that are extended at a time, and pairs of bytes that are met at a time.
 BATCH, PAIRS = 1 << 18, 1 << 20
 NO_LANGUAGE = "und"
@@ -112,7 +112,8 @@ def word_counts(cut: DataFrame, seed: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
                 ends = np.frombuffer(row["term_ends"], "<u4")
                 codes = np.frombuffer(row["codes"], "<u4")
                 n = np.bincount(codes[codes != _BORDER], minlength=len(ends))
@@ -290,42 +291,63 @@ def _counted(cut: DataFrame, replies: list[DataFrame], size: int, buckets: int,
     return cut.groupBy("shard").cogroup(sent.withColumnRenamed("shard", "of").groupBy("of")).applyInArrow(answered, schema)
 
 
-def _summed(parts: DataFrame, least: int) -> DataFrame:
-    """Frequent phrases ``(keys, a)``, and the bits that answer each shard's part ``(shard, bucket, size, bits)``."""
-    schema = "shard bigint, bucket int, size int, bits binary, keys array<bigint>, a bigint"
-
-    def add(group: pa.Table) -> pa.Table:
-        size, bucket = group.column("size")[0].as_py(), group.column("bucket")[0].as_py()
-        rows = [np.frombuffer(x.as_py(), "<u8").reshape(-1, size) for x in group.column("rows")]
-        counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in group.column("counts")]).astype(np.int64)
-        every = np.concatenate(rows)
-        mixed = _mixed(every)
-        order = np.argsort(mixed, kind="stable")
-        differ = (every[order[1:]] != every[order[:-1]]).any(axis=1)
+def _flat(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in all values of a binary column, not copied, and how many are in each."""
+    values = column.combine_chunks()
+    ends = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset)
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(values.buffers()[2], kind, int(ends[-1] - ends[0]) // size, int(ends[0])), np.diff(ends) // size
+
+
+def _added(group: pa.Table, least: int) -> pa.Table:
+    """A bucket's frequent phrases, and the bits that answer each shard's part. Its phrases are sorted in ranges of their
+    mixed values, so little is held beside them."""
+    size, bucket = group.column("size")[0].as_py(), group.column("bucket")[0].as_py()
+    every, (counts, lengths) = _flat(group.column("rows"), "<u8")[0].reshape(-1, size), _flat(group.column("counts"), "<u4")
+    mixed = _mixed(every)
+    ranges = max(1, len(mixed) // SORTED)
+    part = ((mixed >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint16)
+    where, ends = np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=ranges))
+    flags = np.zeros(len(mixed), bool)
+    keys, totals = [np.zeros((0, size), np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+        if a == b:
+            continue
+        own = where[a:b]
+        order = own[np.argsort(mixed[own], kind="stable")]
+        rows = every[order]
+        differ = (rows[1:] != rows[:-1]).any(axis=1)
         if (differ & (mixed[order[1:]] == mixed[order[:-1]])).any():  # two phrases of one mixed value lie side by side
-            order = np.lexsort(every.T[::-1])
-            differ = (every[order[1:]] != every[order[:-1]]).any(axis=1)
+            again = np.lexsort(rows.T[::-1])
+            order, rows = order[again], rows[again]
+            differ = (rows[1:] != rows[:-1]).any(axis=1)
         head = np.append(True, differ)
-        total = np.add.reduceat(counts[order], np.flatnonzero(head))
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(head) - 1
+        heads = np.flatnonzero(head)
+        total = np.add.reduceat(counts[order].astype(np.int64), heads)
         frequent = total >= least
-        flags = np.split(frequent[number], np.cumsum([len(x) for x in rows])[:-1])
-        bits = [np.packbits(x).tobytes() for x in flags]
-        found = every[order[np.flatnonzero(head)[frequent]]].view(np.int64)
-        n, m = len(bits), len(found)
-        return pa.table(
-            {
-                "shard": pa.concat_arrays([group.column("shard").combine_chunks().cast(pa.int64()), pa.nulls(m, pa.int64())]),
-                "bucket": pa.array([bucket] * (n + m), pa.int32()),
-                "size": pa.array([size] * (n + m), pa.int32()),
-                "bits": pa.array(bits + [None] * m, pa.binary()),
-                "keys": pa.array([None] * n + found.tolist(), pa.list_(pa.int64())),
-                "a": pa.array([None] * n + total[frequent].tolist(), pa.int64()),
-            }
-        )
-
-    return parts.groupBy("bucket").applyInArrow(add, schema)
+        flags[order] = frequent[np.cumsum(head) - 1]
+        keys.append(rows[heads[frequent]])
+        totals.append(total[frequent])
+    bits = [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(lengths)[:-1])]
+    found, total = np.concatenate(keys).view(np.int64), np.concatenate(totals)
+    n, m = len(bits), len(found)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * size, pa.int32()), pa.array(found.ravel()))
+    return pa.table(
+        {
+            "shard": pa.concat_arrays([group.column("shard").combine_chunks().cast(pa.int64()), pa.nulls(m, pa.int64())]),
+            "bucket": pa.array(np.full(n + m, bucket), pa.int32()),
+            "size": pa.array(np.full(n + m, size), pa.int32()),
+            "bits": pa.concat_arrays([pa.array(bits, pa.binary()), pa.nulls(m, pa.binary())]),
+            "keys": pa.concat_arrays([pa.nulls(n, lists.type), lists]),
+            "a": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(total)]),
+        }
+    )
+
+
+def _summed(parts: DataFrame, least: int) -> DataFrame:
+    """Frequent phrases ``(keys, a)``, and the bits that answer each shard's part ``(shard, bucket, size, bits)``."""
+    schema = "shard bigint, bucket int, size int, bits binary, keys array<bigint>, a bigint"
+    return parts.groupBy("bucket").applyInArrow(lambda group: _added(group, least), schema)
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, least: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:

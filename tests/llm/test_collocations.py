@@ -1,10 +1,12 @@
 """Phrases of random words against plain counting, bitmaps alone, and odd tables."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +102,26 @@ def test_odd_tables(spark):
     long = [(None, "p q " * 200_000)]
     assert found(spark, long) == sorted(brute.collocations(long))
     assert len(T.run_hashes(np.zeros(0, np.uint8), np.zeros(0, int), np.zeros(0, int))) == 0
+
+
+def test_a_bucket_holds_little_beside_its_phrases(spark):
+    """All of a bucket's phrases can be frequent, as they are in a large corpus: sorting them takes no more than a few times their bytes."""
+    rng = np.random.default_rng(8)
+    rows = np.repeat(rng.integers(0, 2**63, (400_000, 3), np.uint64), 3, axis=0)
+    rng.shuffle(rows)
+    counts = rng.integers(1, 9, len(rows)).astype("<u4")
+    cuts = np.array_split(np.arange(len(rows)), 7)
+    group = pa.table({"bucket": pa.array([3] * 7, pa.int32()), "shard": pa.array(range(7), pa.int64()), "size": pa.array([3] * 7, pa.int32()), "rows": pa.array([rows[c].astype("<u8").tobytes() for c in cuts], pa.binary()), "counts": pa.array([counts[c].tobytes() for c in cuts], pa.binary())})
+    tracemalloc.start()
+    try:
+        out = C._added(group, 10)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3.5 * rows.nbytes
+    unique, number = np.unique(rows, axis=0, return_inverse=True)
+    total = np.bincount(number.ravel(), counts).astype(int)
+    found = {tuple(k): a for k, a in zip(out["keys"].to_pylist(), out["a"].to_pylist(), strict=True) if k}
+    assert found == {tuple(k): a for k, a in zip(unique.view(np.int64).tolist(), total.tolist(), strict=True) if a >= 10}
+    bits = [b for b in out["bits"].to_pylist() if b is not None]
+    assert all((np.unpackbits(np.frombuffer(b, np.uint8), count=len(c)).astype(bool) == (total >= 10)[number.ravel()[c]]).all() for b, c in zip(bits, cuts, strict=True))
