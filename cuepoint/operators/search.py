@@ -177,7 +177,9 @@ class _Cell:
             floor = np.nextafter((self.least[own] - off[own]).astype(kind), kind(-np.inf))
             at, query = np.divmod(np.flatnonzero(~(sims < floor)), sims.shape[1])
             if len(at):
-                sim = (x[at] * self.matrix[a + query]).sum(axis=1)
+                # a small slice is found whole by all queries: so many terms at a time as similarities
+                some = max(1, _SIMS // max(1, width))
+                sim = np.concatenate([(x[at[i : i + some]] * self.matrix[a + query[i : i + some]]).sum(axis=1) for i in range(0, len(at), some)])
                 on = np.flatnonzero(~(sim < self.least[a + query]))
                 found = rows.take(pa.array(at[on]))
                 self.held.append((np.full(len(on), self.number), a + query[on], sim[on], found))
@@ -227,6 +229,7 @@ def _in_cells(index: DataFrame, given: DataFrame, columns: list[str], schema: st
     """The best rows of each cell of queries and rows. A cell's rows pass by its queries batch by batch, and only the best are held.
 
     Rows are shuffled once for each cell's worth of queries that there are (of their own value), queries once for each of rows.
+    With ``keys`` a cell has few of their values, each whole or in parts of about ``CELL_ROWS``: every value in a cell costs ``k`` rows a query.
     """
     spark = index.sparkSession
     rows = index.filter(F.col(vector).isNotNull()).withColumn("_own", F.col(own) if own else F.lit(0))
@@ -240,8 +243,15 @@ def _in_cells(index: DataFrame, given: DataFrame, columns: list[str], schema: st
         blocks, parts = max(1, -(-given.count() // per_cell)), max(1, -(-rows.count() // CELL_ROWS))
         given, rows = (t.withColumn("_blocks", F.lit(blocks)).withColumn("_parts", F.lit(parts)) for t in (given, rows))
     within = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.col(n)).cast("int")
+    part = within(id_col, "_parts", 2)
+    if keys and not own:
+        # values with more rows than a cell: as many as there are cells of rows, at most
+        rows = rows.withColumn("_value", F.xxhash64(*keys, F.lit(3)))
+        large = rows.groupBy("_value").agg(cut(F.count("*"), CELL_ROWS).alias("_cuts")).filter("_cuts > 1")
+        rows = rows.join(F.broadcast(large), "_value", "left").fillna(1, ["_cuts"])
+        part = F.pmod(F.pmod("_value", F.col("_parts")) + within(id_col, "_cuts", 2), F.col("_parts")).cast("int")
     asks = given.select("_own", within("query_id", "_blocks", 1).alias("_block"), every(F.col("_parts")).alias("_part"), F.lit(0).alias("_side"), "query_id", F.col("vector").alias("_asked"))
-    held = rows.select("_own", every(F.col("_blocks")).alias("_block"), within(id_col, "_parts", 2).alias("_part"), F.lit(1).alias("_side"), F.col(vector).alias("_vector"), F.struct(*columns).alias("_row"))
+    held = rows.select("_own", every(F.col("_blocks")).alias("_block"), part.alias("_part"), F.lit(1).alias("_side"), F.col(vector).alias("_vector"), F.struct(*columns).alias("_row"))
     met = asks.unionByName(held, allowMissingColumns=True)
     cell = ["_own", "_block", "_part"]
     cells = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *cell)

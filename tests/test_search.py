@@ -100,3 +100,42 @@ def test_single_precision_leaves_nothing_out(spark, monkeypatch):
         queries = spark.createDataFrame([(q, [1.0, 0.5]) for q in range(3)], "query_id bigint, vector array<double>")
         best = search.nearest(index, queries, 4).collect()
         assert sorted((r.query_id, r["rank"], r.id) for r in best) == [(q, n + 1, i) for q in range(3) for n, i in enumerate((1000, 299, 298, 297))]
+
+
+def test_cells_hold_few_values_of_the_keys(spark, monkeypatch):
+    """A video's rows meet in as many cells as they fill, not in all: each cell gives k rows a query and video. Large videos are cut; null is one."""
+    for name, value in (("QUERY_BLOCK", 5), ("CELL_BLOCKS", 100), ("CELL_ROWS", 100)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(5)
+    rows = [(i, None if i % 40 == 0 else f"v{i % 37}" if i % 3 else "long", [float(x) for x in rng.normal(size=4)]) for i in range(3000)]
+    index = spark.createDataFrame(rows, "id bigint, video string, embedding array<double>")
+    queries = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(20)], "query_id bigint, vector array<double>")
+    found = search.candidates(index, queries, 2, ["video"]).cache()
+    expected = brute(rows, [(r.query_id, None, r.vector) for r in queries.collect()], 2, keys=True)
+    best = search.ranked(found, ["query_id", "video"], 2).collect()
+    near = lambda rows: sorted((q, i, n, round(s, 9)) for q, i, n, s in rows)
+    assert near((r.query_id, r.id, r["rank"], r.sim) for r in best) == near(expected)
+    # 38 videos in one cell each, and one of some 1000 rows in ten: not 39 in thirty
+    assert found.count() <= 20 * 2 * (38 + 10)
+
+
+def test_small_slices_are_scored_in_parts():
+    """The first rows of a video are found whole by all queries; their terms aren't gathered at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, width = 65_536, 64
+    cell = search._Cell(["video"], 11, "id", ["id", "video"])
+    values = np.random.default_rng(1).normal(size=n * width)
+    cell.ask(pa.array(np.arange(n)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values)))
+    rows = pa.StructArray.from_arrays([pa.array(np.arange(12)), pa.array(["a"] * 12)], ["id", "video"])
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(13, dtype=np.int32) * width), pa.array(values[: 12 * width]))
+    cell._begin()
+    tracemalloc.start()
+    assert list(cell.meet(rows, vectors)) == []
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+    found = sum(len(b) for b in cell.end())
+    assert found == n * 11
