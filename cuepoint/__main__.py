@@ -6,7 +6,6 @@ import argparse
 import datetime
 import importlib
 
-from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from .adapters import query_vectors
@@ -109,10 +108,9 @@ def main(argv: list[str] | None = None) -> None:
             annotated = json_files.annotations(spark, args.annotations)
             vectors = query_vectors(annotated.select("query").distinct(), "query", *_embedders(spark, args))
             rows = ask.evaluate(annotated, frames, chunks, vectors, reranker, args.k, options)
-            report = ask.report(rows, args.k)
-            ask.summary_lines(rows, report.select(F.col("*"))).show(100, truncate=False)
+            ask.summary_lines(rows, ask.means(rows, args.k)).show(100, truncate=False)
             if args.output:
-                tables.one_json(report, args.output)
+                tables.one_json(ask.report(rows, args.k), args.output)
     release(spark)
 
 

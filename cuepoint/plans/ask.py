@@ -93,12 +93,16 @@ def evaluate(annotated: DataFrame, frames: DataFrame, transcript: DataFrame, vec
     return written(metrics.rounded(measured), "evaluated")
 
 
+def means(per_query: DataFrame, k: int) -> DataFrame:
+    """The numbers of a report: means of the rounded metrics over all queries, none of which is gathered. Without queries there is none."""
+    return metrics.macro(per_query).withColumn("k", F.lit(k))
+
+
 def report(per_query: DataFrame, k: int) -> DataFrame:
-    """The report of a file: means of the rounded metrics and all rows. Without queries there is none."""
+    """The report of a file: ``means`` and all rows in one, as its format asks for; where that isn't wanted, ``means`` does. Without queries there is none."""
     columns = ["query", "retrieved_timestamps", "relevant_timestamps", "hits", "precision_at_k", "recall_at_k", "reciprocal_rank", "hit_at_k"]
     rows = per_query.agg(F.array_sort(F.collect_list(F.struct("query_id", F.struct(*columns).alias("r")))).alias("_r")).select(F.transform("_r", lambda r: r["r"]).alias("query_results"))
-    means = metrics.macro(per_query).withColumn("k", F.lit(k))
-    return means.join(rows, F.size("query_results") > 0)
+    return means(per_query, k).join(rows, F.size("query_results") > 0)
 
 
 def summary_lines(per_query: DataFrame, means: DataFrame) -> DataFrame:

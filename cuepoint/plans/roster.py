@@ -396,12 +396,12 @@ def evaluate_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evaluate_report(spark: SparkSession, d: str) -> DataFrame:
-    return ask.report(_evaluated(spark, d), 5).withColumn("n_results", F.size("query_results")).drop("query_results")
+    return ask.means(_evaluated(spark, d), 5).withColumn("n_results", F.col("num_queries").cast("int"))
 
 
 def summary_lines(spark: SparkSession, d: str) -> DataFrame:
     rows = _evaluated(spark, d)
-    return ask.summary_lines(rows, ask.report(rows, 5))
+    return ask.summary_lines(rows, ask.means(rows, 5))
 
 
 def video_duration(spark: SparkSession, d: str) -> DataFrame:
