@@ -365,7 +365,11 @@ def hybrid(frames: DataFrame, transcript: DataFrame, queries: DataFrame, keys: l
     and transcript_vector. A null vector leaves its index out.
     """
     by = ["query_id", *(keys or [])]
-    results = union_results(frames, transcript, queries, keys, settings, keep_self, own=own)
+    return picked(union_results(frames, transcript, queries, keys, settings, keep_self, own=own), by, settings)
+
+
+def picked(results: DataFrame, by: list[str], settings: Settings = DEFAULT) -> DataFrame:
+    """What a hybrid search gives of the united ``results``: the best of each stretch of time, as many as ``dynamic_k`` takes."""
     best = anchored_best(results, by, settings.dedup_sec)
     return dynamic_k(best, by, settings.score_threshold, settings.min_k, settings.max_k, ties=["grp"]).drop("grp")
 

@@ -18,7 +18,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import context, folds, metrics, registry, search, timeline
 from ..session import table
-from ..shared import scratch_path
+from ..shared import scratch_path, written
 from ..sinks import tables
 from ..sinks.log import Log
 from ..sources import json_files
@@ -326,7 +326,9 @@ def answer_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_response(spark: SparkSession, d: str) -> DataFrame:
-    out = search.response(_hybrid(spark, d), _union(spark, d), _queries(spark, d))
+    # one search: both the candidates and the results are made of it
+    found = written(_union(spark, d), "candidates")
+    out = search.response(search.picked(found, ["query_id"], FIXTURE), found, _queries(spark, d))
     return out.select("query_id", "frame_candidates", "transcript_candidates", "dynamic_k")
 
 

@@ -2,6 +2,7 @@
 
 import pytest
 
+from cuepoint.operators import search
 from cuepoint.plans import ask, roster
 
 
@@ -18,3 +19,11 @@ def test_means_are_those_of_the_report(spark, sf):
     assert ask.means(rows, 5).first().asDict() == {k: v for k, v in whole.asDict().items() if k != "query_results"}
     assert whole.num_queries == len(whole.query_results) > 0
     assert ask.means(rows.filter("false"), 5).count() == 0
+
+
+def test_a_response_is_of_one_search(spark, sf, monkeypatch):
+    """Each index is searched once for both the candidates and the results."""
+    searched, whole = [], search.candidates
+    monkeypatch.setattr(search, "candidates", lambda *a, **b: searched.append(1) or whole(*a, **b))
+    roster.search_response(spark, sf).collect()
+    assert len(searched) == 2
