@@ -23,6 +23,8 @@ _REMEMBERED = 64
 CELL_BLOCKS, CELL_BYTES, CELL_ROWS = 16, 48 << 20, 1 << 17
 #: Similarities that are made at a time, rows found that a cell holds at least before it sorts them out, and their bytes.
 _SIMS, _HELD, _HELD_BYTES = 1 << 21, 1 << 20, 64 << 20
+#: Rows of a batch that give a cell's first bounds.
+_FIRST = 2048
 
 
 def _best(group: np.ndarray, sims: np.ndarray, k: int, ids: pa.Array) -> np.ndarray:
@@ -119,6 +121,13 @@ def _scored(met: DataFrame, columns: list[str], schema: str, keys: list[str], k:
     return met.select("_own", "_rows", "_asked").mapInArrow(score, schema)
 
 
+def _marked(flags: np.ndarray) -> np.ndarray:
+    """Places of the true ones, few among many: eight are looked at at once, so there are a multiple of eight."""
+    words = np.flatnonzero(flags.view(np.uint64))
+    at, place = np.nonzero(flags.reshape(-1, 8)[words])
+    return words[at] * 8 + place
+
+
 class _Cell:
     """The ``k`` best rows of a cell for each of its queries: rows come sorted by ``keys``, one group after the other."""
 
@@ -130,6 +139,13 @@ class _Cell:
         self.group, self.number = None, -1
         self.held: list[tuple] = []
         self.count = self.bytes = 0
+        self.rooms: dict[type, np.ndarray] = {}
+
+    def _room(self, kind: type, size: int) -> np.ndarray:
+        """Room for ``size`` numbers that are made anew for each step; what it holds is of the step before."""
+        if len(self.rooms.get(kind, ())) < size:
+            self.rooms[kind] = np.empty(size, kind)
+        return self.rooms[kind][:size]
 
     def ask(self, names: pa.Array, vectors: pa.Array) -> None:
         self.names.append(names)
@@ -169,17 +185,24 @@ class _Cell:
         step = max(1, _SIMS // n)
         for a in range(0, len(self.asked), step):
             own = slice(a, a + step)
-            sims = left @ right[own].T
+            some = right[own]
+            size = n * len(some)
+            sims = np.matmul(left, some.T, out=self._room(kind, size).reshape(n, len(some)))
             if n >= self.k and np.isneginf(self.least[own]).any():
-                # NaN is above all numbers
-                first = np.partition(sims, n - self.k, axis=0)[n - self.k].astype(np.float64) - off[own]
+                # the k-th of some rows is a bound too; NaN is above all numbers
+                few = min(n, max(self.k, _FIRST))
+                first = np.partition(sims[:few], few - self.k, axis=0)[few - self.k].astype(np.float64) - off[own]
                 self.least[own] = np.fmax(self.least[own], first)
             floor = np.nextafter((self.least[own] - off[own]).astype(kind), kind(-np.inf))
-            at, query = np.divmod(np.flatnonzero(~(sims < floor)), sims.shape[1])
+            flags = self._room(np.bool_, size + -size % 8)
+            flags[size:] = False
+            near = flags[:size].reshape(sims.shape)
+            np.logical_not(np.less(sims, floor, out=near), out=near)
+            at, query = np.divmod(_marked(flags), sims.shape[1])
             if len(at):
                 # a small slice is found whole by all queries: so many terms at a time as similarities
-                some = max(1, _SIMS // max(1, width))
-                sim = np.concatenate([(x[at[i : i + some]] * self.matrix[a + query[i : i + some]]).sum(axis=1) for i in range(0, len(at), some)])
+                part = max(1, _SIMS // max(1, width))
+                sim = np.concatenate([(x[at[i : i + part]] * self.matrix[a + query[i : i + part]]).sum(axis=1) for i in range(0, len(at), part)])
                 on = np.flatnonzero(~(sim < self.least[a + query]))
                 found = rows.take(pa.array(at[on]))
                 self.held.append((np.full(len(on), self.number), a + query[on], sim[on], found))

@@ -139,3 +139,31 @@ def test_small_slices_are_scored_in_parts():
     assert peak < 300 << 20
     found = sum(len(b) for b in cell.end())
     assert found == n * 11
+
+
+def test_similarities_share_one_room():
+    """Steps of a cell leave their similarities in the same room, whatever their shapes, and none sees another's."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    for n in (8, 64, 4096):
+        flags = rng.random(n) < 0.1
+        assert search._marked(flags).tolist() == np.flatnonzero(flags).tolist()
+    assert search._marked(np.zeros(16, bool)).tolist() == []
+
+    width, asked, k = 5, 21, 4
+    lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * width), pa.array(m.ravel()))
+    queries, x = rng.normal(size=(asked, width)), rng.normal(size=(6000, width))
+    cell = search._Cell([], k, "id", ["id"])
+    cell.ask(pa.array(np.arange(asked)), lists(queries))
+    out, at, rooms = [], 0, []
+    for n in (3000, 3, 2000, 1, 996):
+        rows = pa.StructArray.from_arrays([pa.array(np.arange(at, at + n))], ["id"])
+        out += cell.meet(rows, lists(x[at : at + n]))
+        at += n
+        rooms.append({id(room) for room in cell.rooms.values()})
+    assert rooms[0] and all(r == rooms[0] for r in rooms)
+    out += cell.end()
+    found = sorted((r["query_id"], -r["sim"], r["id"]) for batch in out for r in batch.to_pylist())
+    sims = queries @ x.T
+    assert [(q, i) for q, _, i in found] == [(q, int(i)) for q in range(asked) for i in np.argsort(-sims[q])[:k]]
